@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,32 +29,84 @@ from plumbline.llm.common import cut, small_batches
 
 SIZE, END = 2048, 0
 #: Distinct chunks whose ids a worker remembers, and pieces of a rank bucket.
-REMEMBERED, BUCKET = 400_000, 20_000
+REMEMBERED, BUCKET = 500_000, 20_000
+#: Marks that close a word.
+MARKS = ",.;:!?|"
+
+
+class Numbered(dict):
+    """Numbers keys as they come; new holds those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
 
 class Encoder:
-    """Ids of texts, chunk by chunk between ASCII white space; remembers a bounded number of chunks."""
+    """Ids of texts, chunk by chunk between ASCII white space; remembers a bounded number of chunks.
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+    A chunk of ASCII letters, with or without closing marks, is encoded as its lower-case word and its marks,
+    for the tokenizer folds case and always parts letters from marks; any other chunk goes to it as it is.
+    """
 
-        self.encode, self.known, self.remembered = Tokenizer.from_file(path).encode_batch, {}, remembered
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.word, self.remembered = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered
+        self.word.normalizer, self.word.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks, self.units = Numbered(), Numbered()
+        self.pairs = np.empty((0, 2), np.int64)
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Appends each chunk's two units (word and marks, or all of it and nothing) and the ids of new units."""
+        number, first, second = self.units.__getitem__, [], []
+        for c in chunks:
+            core = c.rstrip(MARKS)
+            if core.isascii() and core.isalpha():
+                first.append(number(core.lower()))
+                second.append(number(c[len(core) :]))
+            else:
+                first.append(number(c))
+                second.append(number(""))
+        self.pairs = np.concatenate([self.pairs, np.array([first, second], np.int64).T])
+        new = self.units.new
+        plain = [u.isascii() and u.isalpha() and u.islower() for u in new]
+        words = iter(self.word.encode_batch_fast([u for u, w in zip(new, plain) if w], add_special_tokens=False))
+        others = iter(self.whole.encode_batch_fast([u for u, w in zip(new, plain) if not w], add_special_tokens=False))
+        rows = [next(words if w else others).ids for w in plain]
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, rows), np.int64, len(rows))])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(rows), np.uint32)])
+        new.clear()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut_up = [t.split(" ") if t.isprintable() else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        new = [c for c in set().union(*cut_up) if c not in known]
-        if new:
-            known.update((c, e.ids) for c, e in zip(new, self.encode(new, add_special_tokens=False)))
+        """The ids of each text, the end id last."""
+        if len(self.chunks) > self.remembered:
+            self.forget()
+        number = self.chunks.__getitem__
+        rows = []
+        for t in texts:
+            chunks = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            rows.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+        if self.chunks.new:
+            self.learn(self.chunks.new)
+            self.chunks.new.clear()
+        first = np.cumsum(self.sizes) - self.sizes
         out = []
-        for chunks in cut_up:
-            ids: list[int] = []
-            for c in chunks:
-                ids += known[c]
-            ids.append(END)
-            out.append(np.array(ids, np.uint32))
+        for row in rows:
+            units = self.pairs[row].ravel()
+            n = self.sizes[units]
+            ends = np.cumsum(n)
+            ids = np.full(int(ends[-1]) + 1, END, np.uint32)
+            ids[:-1] = self.ids[np.arange(ends[-1]) + np.repeat(first[units] - ends + n, n)]
+            out.append(ids)
         return out
 
 
