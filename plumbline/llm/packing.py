@@ -15,6 +15,7 @@ go by (doc_id, piece). An empty table gives an empty result. Other columns are i
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,6 +33,8 @@ SIZE, END = 2048, 0
 REMEMBERED, BUCKET = 500_000, 20_000
 #: Marks that close a word.
 MARKS = ",.;:!?|"
+#: Letters before this one fold case one by one and have no other form.
+LATIN = "\u0130"
 
 
 class Numbered(dict):
@@ -49,11 +52,12 @@ class Numbered(dict):
 class Encoder:
     """Ids of texts, chunk by chunk between ASCII white space; remembers a bounded number of chunks.
 
-    A chunk of ASCII letters, with or without closing marks, is encoded as its lower-case word and its marks,
+    A chunk of Latin letters, with or without closing marks, is encoded as its lower-case word and its marks,
     for the tokenizer folds case and always parts letters from marks; any other chunk goes to it as it is.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.word, self.remembered = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered
@@ -70,7 +74,7 @@ class Encoder:
         number, first, second = self.units.__getitem__, [], []
         for c in chunks:
             core = c.rstrip(MARKS)
-            if core.isascii() and core.isalpha():
+            if core.isalpha() and max(core) < LATIN:
                 first.append(number(core.lower()))
                 second.append(number(c[len(core) :]))
             else:
@@ -78,7 +82,7 @@ class Encoder:
                 second.append(number(""))
         self.pairs = np.concatenate([self.pairs, np.array([first, second], np.int64).T])
         new = self.units.new
-        plain = [u.isascii() and u.isalpha() and u.islower() for u in new]
+        plain = [u.isalpha() and max(u) < LATIN and u == u.lower() for u in new]
         words = iter(self.word.encode_batch_fast([u for u, w in zip(new, plain) if w], add_special_tokens=False))
         others = iter(self.whole.encode_batch_fast([u for u, w in zip(new, plain) if not w], add_special_tokens=False))
         rows = [next(words if w else others).ids for w in plain]
@@ -99,15 +103,11 @@ class Encoder:
             self.learn(self.chunks.new)
             self.chunks.new.clear()
         first = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for row in rows:
-            units = self.pairs[row].ravel()
-            n = self.sizes[units]
-            ends = np.cumsum(n)
-            ids = np.full(int(ends[-1]) + 1, END, np.uint32)
-            ids[:-1] = self.ids[np.arange(ends[-1]) + np.repeat(first[units] - ends + n, n)]
-            out.append(ids)
-        return out
+        units = self.pairs[np.concatenate(rows)].ravel()
+        n = self.sizes[units]
+        ends = np.cumsum(n)
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first[units] - ends + n, n)]
+        return [np.append(x, np.uint32(END)) for x in np.split(ids, ends[2 * np.cumsum([len(r) for r in rows]) - 1][:-1])]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
