@@ -48,6 +48,7 @@ ROWS = 2048
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_LEADS = np.arange(DEPTH, dtype=np.uint64) * _FACTORS[2]
 _WEIGHTS = np.random.default_rng(21).integers(1, 2**63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -236,7 +237,7 @@ def _held(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def _suffix(h: np.ndarray, around: np.ndarray, lead: int) -> np.ndarray:
     """Key of the suffixes that start lead bytes before their anchors: the anchor, then the bytes around it."""
-    return _mixed(h + around[:, AROUND - lead : 2 * AROUND - lead].astype(np.uint64) @ _WEIGHTS[:AROUND] + np.uint64(lead) * _FACTORS[2])
+    return _mixed(h + around[:, AROUND - lead : 2 * AROUND - lead].astype(np.uint64) @ _WEIGHTS[:AROUND] + _LEADS[lead])
 
 
 def _smaller(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
