@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import language_id, language_model, mixing, packing, simhash, suffix_dedup, toxicity
+from plumbline.llm import imatch, language_id, language_model, mixing, packing, simhash, suffix_dedup, toxicity
 from plumbline.llm.common import read, remainder
 
 
@@ -43,4 +43,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op6_language_model, op7_simhash, op8_packing)}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op6_language_model, op7_simhash, op8_packing, op10_imatch)}
