@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import imatch, language_id, language_model, mixing, packing, simhash, suffix_dedup, toxicity
+from plumbline.llm import imatch, language_id, language_model, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from plumbline.llm.common import read, remainder
 
 
@@ -30,6 +30,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(read(spark, sf_dir, "documents"))
 
@@ -43,8 +48,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = url_filter.captures_of(read(spark, sf_dir, "pages"))
+    return url_filter.as_of(captures, url_filter.list_of(captures))
+
+
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op6_language_model, op7_simhash, op8_packing, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op5_quality, op6_language_model, op7_simhash, op8_packing, op9_url_filter, op10_imatch)}

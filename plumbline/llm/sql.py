@@ -23,4 +23,30 @@ p AS (
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
-ORACLE = {"op3_mixing": OP3}
+NUMBER = "CAST(('0x' || substr(md5('{tag}:' || {text}), 1, 8))::BIGINT % {n} AS INTEGER)"
+
+OP9 = rf"""
+WITH c AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+    {NUMBER.format(tag="day", text="CAST(page_id AS VARCHAR)", n=730)} AS day
+  FROM pages
+), h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),
+x AS (SELECT host, p, unnest(range(1, greatest(len(p) - 1, 1) + 1)) AS i FROM h),
+s AS (SELECT host, array_to_string(p[i:], '.') AS domain FROM x),
+n AS (SELECT DISTINCT domain FROM s),
+l AS (
+  SELECT domain, {NUMBER.format(tag="add", text="domain", n=730)} AS a, {NUMBER.format(tag="off", text="domain", n=200)} + 1 AS g, {NUMBER.format(tag="back", text="domain", n=200)} + 1 AS b
+  FROM n WHERE {NUMBER.format(tag="list", text="domain", n=3)} = 0
+), e AS (
+  SELECT domain, a AS day, TRUE AS listed FROM l UNION ALL SELECT domain, a + g, FALSE FROM l UNION ALL SELECT domain, a + g + b, b % 2 = 0 FROM l
+), v AS (
+  SELECT domain, day AS since, lead(day) OVER (PARTITION BY domain ORDER BY day) AS until, listed FROM e
+), m AS (
+  SELECT c.host, c.day, v.domain, v.since, row_number() OVER (PARTITION BY c.host, c.day ORDER BY length(v.domain) DESC, v.domain DESC, v.since DESC) AS r
+  FROM (SELECT DISTINCT host, day FROM c) c JOIN s ON s.host = c.host JOIN v ON v.domain = s.domain AND v.listed AND v.since <= c.day AND (v.until IS NULL OR c.day < v.until)
+)
+SELECT c.page_id, c.host, c.day, m.domain IS NOT NULL AS listed, m.domain, m.since
+FROM c LEFT JOIN m ON m.host = c.host AND m.day = c.day AND m.r = 1
+"""
+
+ORACLE = {"op3_mixing": OP3, "op9_url_filter": OP9}
