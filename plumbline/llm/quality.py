@@ -30,8 +30,8 @@ from plumbline.llm.common import cut
 WINDOW, SUBSET, STEPS, LEAST, BINS = 8, 0.75, 3, 20, 16
 #: Vector: names, and the floors of their standard deviations.
 VECTOR = {"v0": 0.5, "v1": 0.15, "v2": 0.35, "v3": 0.6}
-#: Median of the chi-square distribution with 4 degrees of freedom, and its quantile at 1 - 1e-6.
-MEDIAN, CUT = 3.3567, 33.377
+#: Median of the chi-square distribution with 4 degrees of freedom, and its quantile at 1 - 1e-8.
+MEDIAN, CUT = 3.3567, 43.1
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 FEWEST, MOST_REPEATED = 20, 30
 
