@@ -1,0 +1,5 @@
+"""The operators, as named SELECTs that refer to each other and to given relations (log, logits, records, runs, plates)."""
+
+from plumbline.operators import agreement, benchmark, consensus, evaluation, perturbation, risk, robustness, uncertainty
+
+MODELS = agreement.MODELS | perturbation.MODELS | consensus.MODELS | risk.MODELS | evaluation.MODELS | robustness.MODELS | uncertainty.MODELS | benchmark.MODELS
