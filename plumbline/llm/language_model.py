@@ -21,11 +21,12 @@ and the model stays untrained. Extra columns are ignored. An empty table gives a
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, remainder, small_batches, text_bytes
@@ -33,23 +34,36 @@ from plumbline.llm.common import cut, remainder, small_batches, text_bytes
 #: Tokens whose counts every task holds; classes of one token; classes of hashed tokens; dimensions.
 HEAD, TOP, BUCKETS, DIMS = 200_000, 640, 128, 16
 #: Noise samples and tokens of a training step, and its rate.
-NOISE, STEP, RATE = 64, 8192, 0.02
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NOISE, STEP, RATE = 64, 4096, 0.05
+#: Distinct tokens that a task holds while it counts.
+HELD = 300_000
 
 
 def bucket(token: bytes) -> int:
     return zlib.crc32(token[:2]) % BUCKETS
 
 
-def tokens(text: Column) -> Column:
-    """The words of a text with A-Z lowered, then the end token (empty)."""
-    flat = F.translate(F.coalesce(text, F.lit("")), UPPER + "\t\n\x0b\x0c\r", LOWER + "     ")
-    return F.concat(F.filter(F.split(flat, " "), lambda w: w != ""), F.array(F.lit("")))
+def counts(train: DataFrame, held: int = HELD) -> DataFrame:
+    """(token, c) of the training documents; a task adds up to held distinct tokens before it sends them on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["token", "c"])
+            seen.clear()
+            return batch
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                seen.update(text.lower().split())
+            seen[b""] += b.num_rows
+            if len(seen) > held:
+                yield out()
+        if seen:
+            yield out()
 
-def counts(train: DataFrame) -> DataFrame:
-    """(token, c) of the training documents."""
-    return train.select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    return train.select(text_bytes().alias("text")).mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary(dict):
@@ -194,9 +208,9 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     train = docs.filter(~out)
     c = cut(spark, counts(train))
     total, distinct = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    first = [(r["token"].encode(), r["c"]) for r in c.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    first = [(bytes(r["token"]), r["c"]) for r in c.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
     # Mass of each bucket over all its tokens, those of the head beyond TOP too.
-    by = F.crc32(F.substring(F.col("token").cast("binary"), 1, 2)) % BUCKETS
+    by = F.crc32(F.substring("token", 1, 2)) % BUCKETS
     mass = np.ones(BUCKETS)
     for r in c.groupBy(by.alias("k")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
         mass[r["k"]] += r["m"]
@@ -225,7 +239,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     rows = docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_head long, head_sum double, p double, tail array<binary>")
     rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()))
     tail = rows.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
-    known = tail.join(c.select(F.col("token").cast("binary").alias("token"), "c"), "token")
+    known = tail.join(c, "token")
     known = known.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("n").alias("n_tail"))
     whole = rows.drop("tail").join(known, "row", "left").na.fill(0, ["tail_sum", "n_tail"])
     base = F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
