@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, remainder, small_batches, text_bytes
 
 #: Tokens whose counts every task holds; classes of one token; classes of hashed tokens; dimensions.
-HEAD, TOP, BUCKETS, DIMS = 200_000, 640, 128, 16
+HEAD, TOP, BUCKETS, DIMS = 200_000, 256, 64, 12
 #: Noise samples and tokens of a training step, and its rate.
 NOISE, STEP, RATE = 64, 4096, 0.05
 #: Distinct tokens that a task holds while it counts.
