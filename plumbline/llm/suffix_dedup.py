@@ -43,8 +43,8 @@ DEPTH, K = 50, 24
 AROUND = DEPTH - K
 #: Bytes of text in a block; an anchor in more blocks, or in more documents of one block, is compared suffix by suffix.
 BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 8 << 20, 64, 16
-#: Rows of the batches that are packed into blocks.
-ROWS = 2048
+#: Rows of the batches that are packed into blocks; bytes of text whose hashes a task holds at once.
+ROWS, SLICE = 1024, 1 << 20
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -97,25 +97,37 @@ class Block:
         self.starts, self.ends = at[:-1] - at[0], at[1:] - at[0]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, hash, number of document) of each anchor."""
+        """(place, hash, number of document) of each anchor; documents are taken some SLICE bytes at a time, to bound memory."""
         none = np.empty(0, np.int64)
-        if len(self.flat) < DEPTH:
-            return none, none.astype(np.uint64), none
-        h, parts = _TABLE[self.flat], {}
-        for i in range(4):  # hashes of 2, 4, 8, 16 bytes
-            h = h[: -(1 << i)] * _FACTORS[i] + h[1 << i :]
-            parts[2 << i] = h
-        h = _mixed(parts[16][: len(self.flat) - K + 1] * _FACTORS[4] + parts[8][16:]) | np.uint64(1)
-        least = _slide(h, AROUND + 1, np.minimum)  # of each DEPTH-byte string
-        whole = np.zeros(len(self.flat) + 1, np.int8)  # strings within one document
-        long = self.ends - self.starts >= DEPTH
-        np.add.at(whole, self.starts[long], 1)
-        np.add.at(whole, self.ends[long] - DEPTH + 1, -1)
-        least[np.cumsum(whole[:-1], dtype=np.int8)[: len(least)] == 0] = 0
-        zeros = np.zeros(AROUND, np.uint64)
-        best = _slide(np.concatenate([zeros, least, zeros]), AROUND + 1, np.maximum)
-        place = np.flatnonzero(best == h)
-        return place, h[place], np.searchsorted(self.ends, place, side="right")
+        found = [(none, none.astype(np.uint64))]
+        cuts = np.flatnonzero(np.diff(self.starts // SLICE)) + 1 if len(self.starts) else none
+        for docs in np.split(np.arange(len(self.starts)), cuts):
+            if len(docs):
+                place, h = _anchors(self.flat[self.starts[docs[0]] : self.ends[docs[-1]]], self.starts[docs] - self.starts[docs[0]], self.ends[docs] - self.starts[docs[0]])
+                found.append((place + self.starts[docs[0]], h))
+        place, h = (np.concatenate(x) for x in zip(*found))
+        return place, h, np.searchsorted(self.ends, place, side="right")
+
+
+def _anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of the anchors of documents that stand end to end."""
+    if len(flat) < DEPTH:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    h, eight = _TABLE[flat], None
+    for i in range(4):  # hashes of 2, 4, 8, 16 bytes
+        h = h[: -(1 << i)] * _FACTORS[i] + h[1 << i :]
+        eight = h if i == 2 else eight
+    h = _mixed(h[: len(flat) - K + 1] * _FACTORS[4] + eight[16:]) | np.uint64(1)
+    least = _slide(h, AROUND + 1, np.minimum)  # of each DEPTH-byte string
+    whole = np.zeros(len(flat) + 1, np.int8)  # strings within one document
+    long = ends - starts >= DEPTH
+    np.add.at(whole, starts[long], 1)
+    np.add.at(whole, ends[long] - DEPTH + 1, -1)
+    least[np.cumsum(whole[:-1], dtype=np.int8)[: len(least)] == 0] = 0
+    zeros = np.zeros(AROUND, np.uint64)
+    best = _slide(np.concatenate([zeros, least, zeros]), AROUND + 1, np.maximum)
+    place = np.flatnonzero(best == h)
+    return place, h[place]
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
