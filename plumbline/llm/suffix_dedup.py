@@ -13,7 +13,7 @@ strings. Two things keep that affordable:
   the bytes around the anchors that remain, once for each block and content, and hears for each suffix
   whether a smaller document has it. Equal contents within a block are settled there.
 
-Documents stand in blocks of some 8 MB, by a hash of the id; digits are compared in buckets, by a hash of the
+Documents stand in blocks of some 4 MB, by a hash of the id; digits are compared in buckets, by a hash of the
 anchor. An anchor that many documents share (a boilerplate line before ever different text) would fill one
 bucket: such anchors send a key for each suffix instead, deduplicated in the block first, so that they spread
 over all buckets. Digits are compared as 64-bit hashes. The blocks are kept on executors' disks; if one is
@@ -42,9 +42,11 @@ from plumbline.llm.common import small_batches
 DEPTH, K = 50, 24
 AROUND = DEPTH - K
 #: Bytes of text in a block; an anchor in more blocks, or in more documents of one block, is compared suffix by suffix.
-BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 8 << 20, 64, 16
+BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 4 << 20, 64, 16
 #: Rows of the batches that are packed into blocks; bytes of text whose hashes a task holds at once.
-ROWS, SLICE = 1024, 1 << 20
+ROWS, SLICE, ROWS_AT_ONCE = 1024, 1 << 20, 1 << 15
+#: Marks an anchor whose suffixes are all repeats.
+REPEAT = 1 << 40
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -167,7 +169,7 @@ def _compare_first(key: tuple, table: pa.Table, blocks_most: int) -> pa.Table:
     many = (n > blocks_most) | (np.bincount(of, flat & np.uint64(1), len(digits)) > 0)
     code = ((n > 1) + 2 * many).astype(np.uint8)[of]
     data = [_squeeze(x) for x in np.split(code, np.cumsum([len(p) for p in parts])[:-1])]
-    return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "kind": pa.array([0] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+    return _heard(table, [0] * len(data), data)
 
 
 def _answers(table: pa.Table, kind: int) -> list[bytes]:
@@ -175,70 +177,138 @@ def _answers(table: pa.Table, kind: int) -> list[bytes]:
     return [d for _, d in sorted(rows)]
 
 
-def _second_digits(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -> pa.Table:
-    """Pass 2 of a block: the bytes around its anchors for each bucket, and what it needs to apply the answers."""
-    block = Block(packs)
-    place, h, doc, digits, of, documents = _heads(block)
-    code = np.concatenate([_spread(d, "u1")[0] for d in _answers(heard, 0)] or [np.empty(0, np.uint8)])
-    stay = ((code & 1).astype(bool) | (documents > 1))[of]
-    place, h, doc, many = place[stay], h[stay], doc[stay], (code >= 2)[of[stay]]
-    left = np.minimum(place - block.starts[doc], AROUND).astype(np.uint8)
-    right = np.minimum(block.ends[doc] - place - K, AROUND).astype(np.uint8)
-    # Distinct contents, each with its least document; equal contents of other documents are repeats.
-    content = h.copy()
-    padded = np.concatenate([np.zeros(AROUND, np.uint8), block.flat, np.zeros(AROUND, np.uint8)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + AROUND) if len(place) else np.empty((0, DEPTH + AROUND), np.uint8)
-
-    def around(rows: np.ndarray) -> np.ndarray:
-        c = view[place[rows]]
+class Survey:
+    """The anchors of a block that another document may have too, and the distinct contents around them.
+
+    first: an anchor of each content, in the least document that has it; which: the content of each anchor.
+    cold, hot: numbers of the contents of rare and common anchors, in the order in which they are sent.
+    """
+
+    def __init__(self, packs: pa.Table, code: np.ndarray):
+        block = self.block = Block(packs)
+        place, h, doc, digits, of, documents = _heads(block)
+        stay = ((code & 1).astype(bool) | (documents > 1))[of]
+        self.place, self.h, self.doc, many = place[stay], h[stay], doc[stay], (code >= 2)[of[stay]]
+        self.left = np.minimum(self.place - block.starts[self.doc], AROUND).astype(np.uint8)
+        self.right = np.minimum(block.ends[self.doc] - self.place - K, AROUND).astype(np.uint8)
+        padded = np.concatenate([np.zeros(AROUND, np.uint8), block.flat, np.zeros(AROUND, np.uint8)])
+        self.view = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + AROUND) if len(self.place) else None
+        content = self.h.copy()
+        for i in range(0, len(content), ROWS_AT_ONCE):
+            rows = np.arange(i, min(i + ROWS_AT_ONCE, len(content)))
+            content[rows] += self.around(rows).astype(np.uint64) @ np.resize(_WEIGHTS, 2 * AROUND)
+        content = _mixed(content + self.left.astype(np.uint64) * _FACTORS[0] + self.right.astype(np.uint64) * _FACTORS[1])
+        order = np.lexsort((self.doc, content))
+        self.first = order[np.append(True, np.diff(content[order]) != 0)] if len(order) else order
+        self.content, self.which = np.unique(content, return_inverse=True)  # in the order of first
+        self.ids = block.ids[self.doc[self.first]]
+        many = many[self.first]
+        self.cold, self.hot = np.flatnonzero(~many), np.flatnonzero(many)
+        self.cold = self.cold[np.argsort(self.h[self.first[self.cold]], kind="stable")]  # so by bucket too
+        self.hot = self.hot[np.argsort(self.content[self.hot], kind="stable")]
+
+    def around(self, rows: np.ndarray) -> np.ndarray:
+        """The bytes around anchors; zero beyond the document."""
+        if not len(rows):
+            return np.empty((0, 2 * AROUND), np.uint8)
+        c, at = self.view[self.place[rows]], np.arange(AROUND)
         c = np.concatenate([c[:, :AROUND], c[:, DEPTH:]], axis=1)
-        at = np.arange(AROUND)
-        c[:, :AROUND] *= at >= AROUND - left[rows][:, None].astype(np.int64)
-        c[:, AROUND:] *= at < right[rows][:, None].astype(np.int64)
+        c[:, :AROUND] *= at >= AROUND - self.left[rows][:, None].astype(np.int64)
+        c[:, AROUND:] *= at < self.right[rows][:, None].astype(np.int64)
         return c
 
-    step = 1 << 16
-    for i in range(0, len(place), step):
-        rows = np.arange(i, min(i + step, len(place)))
-        content[rows] += around(rows).astype(np.uint64) @ np.resize(_WEIGHTS, 2 * AROUND)
-    content = _mixed(content + left.astype(np.uint64) * _FACTORS[0] + right.astype(np.uint64) * _FACTORS[1])
-    order = np.lexsort((doc, content))
-    first = order[np.append(True, np.diff(content[order]) != 0)] if len(order) else order
-    _, which = np.unique(content, return_inverse=True)  # first is in the order of the distinct contents
-    repeat = block.ids[doc] > block.ids[doc[first]][which] if len(first) else np.empty(0, bool)
-    wait = ~repeat
-    # Cold anchors send contents by bucket of the anchor; common ones send suffixes.
-    cold, hot = first[~many[first]], first[many[first]]
-    cold = cold[np.argsort(_bucket(h[cold], buckets), kind="stable")]
-    out: list[tuple[int, int, bytes]] = []
-    to = _bucket(h[cold], buckets)
-    for part in np.split(cold, np.flatnonzero(np.diff(to)) + 1):
-        if len(part):
-            out.append((int(_bucket(h[part[:1]], buckets)[0]), 1, _squeeze(h[part], block.ids[doc[part]], left[part], right[part], around(part).reshape(-1))))
-    keys, key_of = np.empty(0, np.uint64), np.empty((len(hot), AROUND + 1), np.int64)
+
+def _parts(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, numbers) of ascending hashes."""
+    if not len(h):
+        return []
+    to = _bucket(h, buckets)
+    return [(int(to[p[0]]), p) for p in np.split(np.arange(len(h)), np.flatnonzero(np.diff(to)) + 1)]
+
+
+def _sent(block: int, rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    b, k, d = zip(*rows)
+    return pa.table({"bucket": pa.array(b, pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(d, pa.binary())})
+
+
+def _heard(table: pa.Table, kinds: list[int], data: list) -> pa.Table:
+    return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _codes(heard: pa.Table, kind: int) -> np.ndarray:
+    return np.concatenate([_spread(d, "u1")[0] for d in _answers(heard, kind)] or [np.empty(0, np.uint8)])
+
+
+def _contents(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -> pa.Table:
+    """Pass 2 of a block: hashes of its distinct contents for each bucket (of rare anchors by anchor, of common ones by content)."""
+    code = _codes(heard, 0)
+    s, number = Survey(packs, code), key[0].as_py()
+    out = []
+    h, c, ids = s.h[s.first[s.cold]], s.content[s.cold], s.ids[s.cold]
+    out += [(to, 1, _squeeze(np.diff(h[p], prepend=np.uint64(0)), c[p], ids[p])) for to, p in _parts(h, buckets)]
+    c, ids = s.content[s.hot], s.ids[s.hot]
+    out += [(to, 2, _squeeze(np.diff(c[p], prepend=np.uint64(0)), ids[p])) for to, p in _parts(c, buckets)]
+    return _sent(number, [*out, (number % buckets, 3, _squeeze(code))])
+
+
+#: Answers on contents: nobody else has the anchor's content nor another content of it; a smaller document has all of it; others may have parts.
+ALONE, REPEATED, OPEN = 0, 1, 2
+
+
+def _compare_contents(key: tuple, table: pa.Table) -> pa.Table:
+    """Pass 2 of a bucket: an answer for each content."""
+    kinds, data = (table.column(c).to_pylist() for c in ("kind", "data"))
+    answer: list[bytes | None] = [d if k == 3 else None for k, d in zip(kinds, data)]
+    for kind in (1, 2):
+        at = [i for i, k in enumerate(kinds) if k == kind]
+        if not at:
+            continue
+        parts = [_spread(data[i], *(["<u8"] * (3 - kind)), "<i8") for i in at]
+        head, ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[-1] for p in parts])
+        content = np.concatenate([p[1] for p in parts]) if kind == 1 else head
+        code = np.full(len(ids), OPEN, np.uint8)
+        if kind == 1:  # an anchor with one content is settled by it
+            order = np.lexsort((content, head))
+            new = np.append(True, np.diff(head[order]) != 0)
+            differs = np.append(False, (np.diff(content[order]) != 0) & ~new[1:])
+            group = np.cumsum(new) - 1
+            code[order[np.bincount(group, differs)[group] == 0]] = ALONE
+        code[_smaller(content, ids)] = REPEATED
+        for i, part in zip(at, np.split(code, np.cumsum([len(p[-1]) for p in parts])[:-1])):
+            answer[i] = _squeeze(part)
+    return _heard(table, kinds, answer)
+
+
+def _second_digits(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -> pa.Table:
+    """Pass 3 of a block: the bytes around the anchors whose contents are open, and what it needs to apply the answers."""
+    code = np.concatenate([_spread(d, "u1")[0] for d in _answers(heard, 3)] or [np.empty(0, np.uint8)])
+    s, number = Survey(packs, code), key[0].as_py()
+    verdict = np.empty(len(s.first), np.uint8)
+    verdict[s.cold], verdict[s.hot] = _codes(heard, 1), _codes(heard, 2)
+    cold, hot = s.first[s.cold[verdict[s.cold] == OPEN]], s.first[s.hot[verdict[s.hot] == OPEN]]
+    out = []
+    for to, p in _parts(s.h[cold], buckets):
+        rows = cold[p]
+        out.append((to, 1, _squeeze(s.h[rows], s.block.ids[s.doc[rows]], s.left[rows], s.right[rows], s.around(rows).reshape(-1))))
+    keys, ids, key_of = np.empty(0, np.uint64), np.empty(0, np.int64), np.full((len(hot), AROUND + 1), -1, np.int64)
     if len(hot):
-        c = around(hot)
-        every = np.stack([_suffix(h[hot], c, lead) for lead in range(AROUND + 1)], axis=1)
-        on = _held(left[hot], right[hot])
+        c = s.around(hot)
+        every = np.stack([_suffix(s.h[hot], c, lead) for lead in range(AROUND + 1)], axis=1)
+        on = _held(s.left[hot], s.right[hot])
         keys, inverse = np.unique(every[on], return_inverse=True)
-        key_of[:] = -1
         key_of[on] = inverse
         ids = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(ids, inverse, np.broadcast_to(block.ids[doc[hot]][:, None], on.shape)[on])
-        to = _bucket(keys, buckets)
-        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(to)) + 1):
-            out.append((int(to[part[0]]), 2, _squeeze(keys[part], ids[part])))
-    else:
-        ids = np.empty(0, np.int64)
-    # The state: repeats as they are; waiting anchors with the number of their content among cold or hot ones.
-    number = np.full(len(h), -1, np.int64)
-    number[cold] = np.arange(len(cold))
-    number[hot] = -2 - np.arange(len(hot))
-    mine = number[first][which] if len(first) else number
-    state = _squeeze(place, left, right, np.where(wait, mine, np.int64(1) << 40), key_of.reshape(-1), ids)
-    out.append((key[0].as_py() % buckets, 3, state))
-    b, k, d = zip(*out)
-    return pa.table({"bucket": pa.array(b, pa.int32()), "block": pa.array([key[0].as_py()] * len(out), pa.int32()), "kind": pa.array(k, pa.int32()), "data": pa.array(d, pa.binary())})
+        np.minimum.at(ids, inverse, np.broadcast_to(s.block.ids[s.doc[hot]][:, None], on.shape)[on])
+        out += [(to, 2, _squeeze(keys[p], ids[p])) for to, p in _parts(keys, buckets)]
+    # The state: repeats as they are; the anchors of an open content's least document with the content's number.
+    mine = np.full(len(s.first), -1, np.int64)
+    of = s.which
+    mine[of[cold]], mine[of[hot]] = np.arange(len(cold)), -2 - np.arange(len(hot))
+    later = s.block.ids[s.doc] > s.ids[of]
+    state = np.where(later | (verdict[of] == REPEATED), REPEAT, mine[of])
+    stay = state != -1
+    out.append((number % buckets, 3, _squeeze(s.place[stay], s.left[stay], s.right[stay], state[stay], key_of.reshape(-1), ids)))
+    return _sent(number, out)
 
 
 def _held(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -263,7 +333,7 @@ def _smaller(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _compare_second(key: tuple, table: pa.Table) -> pa.Table:
-    """Pass 2 of a bucket: for each content, the suffixes that a smaller document has (as bits); for each suffix of a common anchor, whether one has it."""
+    """Pass 3 of a bucket: for each content, the suffixes that a smaller document has (as bits); for each suffix of a common anchor, whether one has it."""
     kinds, data = (table.column(c).to_pylist() for c in ("kind", "data"))
     answer: list[bytes | None] = [d if k == 3 else None for k, d in zip(kinds, data)]
     at = [i for i, k in enumerate(kinds) if k == 1]
@@ -278,7 +348,7 @@ def _compare_second(key: tuple, table: pa.Table) -> pa.Table:
         for lead in range(AROUND + 1):
             rows = live[(left[live] >= lead) & (right[live] >= AROUND - lead)]
             found = np.empty(len(rows), bool)
-            keys = np.concatenate([_suffix(h[rows[i : i + 65536]], c[rows[i : i + 65536]], lead) for i in range(0, len(rows), 65536)] or [h[:0]])
+            keys = np.concatenate([_suffix(h[rows[i : i + ROWS_AT_ONCE]], c[rows[i : i + ROWS_AT_ONCE]], lead) for i in range(0, len(rows), ROWS_AT_ONCE)] or [h[:0]])
             found = _smaller(keys, ids[rows])
             bits[rows[found]] |= np.uint32(1 << lead)
         for i, part in zip(at, np.split(bits, np.cumsum([len(p[0]) for p in parts])[:-1])):
@@ -289,7 +359,7 @@ def _compare_second(key: tuple, table: pa.Table) -> pa.Table:
         found = _smaller(*(np.concatenate([p[i] for p in parts]) for i in range(2)))
         for i, part in zip(at, np.split(found.view(np.uint8), np.cumsum([len(p[0]) for p in parts])[:-1])):
             answer[i] = _squeeze(part)
-    return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()), "kind": pa.array(kinds, pa.int32()), "data": pa.array(answer, pa.binary())})
+    return _heard(table, kinds, answer)
 
 
 def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
@@ -304,7 +374,7 @@ def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
         key_of = key_of.reshape(-1, AROUND + 1)
         owner = block.ids[np.searchsorted(block.ends, place, side="right")]
         masks = np.zeros(len(place), np.uint32)
-        cold, hot, repeat = (number >= 0) & (number < 1 << 40), number < -1, number == 1 << 40
+        cold, hot, repeat = (number >= 0) & (number < REPEAT), number < -1, number == REPEAT
         masks[cold] = bits[number[cold]]
         if hot.any():
             k = key_of[-2 - number[hot]]
@@ -364,6 +434,8 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block: int =
     sent = "bucket int, block int, kind int, data binary"
     first = packs.groupBy("block").applyInArrow(lambda k, t: _first_digits(k, t, n, many[1]), "bucket int, block int, data binary")
     heard = first.groupBy("bucket").applyInArrow(lambda k, t: _compare_first(k, t, many[0]), "block int, bucket int, kind int, data binary")
+    second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _contents(k, a, b, n), sent)
+    heard = second.groupBy("bucket").applyInArrow(_compare_contents, "block int, bucket int, kind int, data binary")
     second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _second_digits(k, a, b, n), sent)
     heard = second.groupBy("bucket").applyInArrow(_compare_second, "block int, bucket int, kind int, data binary")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
