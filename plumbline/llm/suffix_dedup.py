@@ -44,9 +44,7 @@ AROUND = DEPTH - K
 #: Bytes of text in a block; an anchor in more blocks, or in more documents of one block, is compared suffix by suffix.
 BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 4 << 20, 64, 16
 #: Rows of the batches that are packed into blocks; bytes of text whose hashes a task holds at once.
-ROWS, SLICE, ROWS_AT_ONCE = 1024, 1 << 20, 1 << 15
-#: Marks an anchor whose suffixes are all repeats.
-REPEAT = 1 << 40
+ROWS, SLICE, ROWS_AT_ONCE = 4096, 1 << 20, 1 << 15
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -245,7 +243,7 @@ def _contents(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -> pa.
     s, number = Survey(packs, code), key[0].as_py()
     out = []
     h, c, ids = s.h[s.first[s.cold]], s.content[s.cold], s.ids[s.cold]
-    out += [(to, 1, _squeeze(np.diff(h[p], prepend=np.uint64(0)), c[p], ids[p])) for to, p in _parts(h, buckets)]
+    out += [(to, 1, _squeeze(np.diff(h[p], prepend=np.uint64(0)), c[p] >> np.uint64(16), ids[p])) for to, p in _parts(h, buckets)]
     c, ids = s.content[s.hot], s.ids[s.hot]
     out += [(to, 2, _squeeze(np.diff(c[p], prepend=np.uint64(0)), ids[p])) for to, p in _parts(c, buckets)]
     return _sent(number, [*out, (number % buckets, 3, _squeeze(code))])
@@ -265,7 +263,7 @@ def _compare_contents(key: tuple, table: pa.Table) -> pa.Table:
             continue
         parts = [_spread(data[i], *(["<u8"] * (3 - kind)), "<i8") for i in at]
         head, ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[-1] for p in parts])
-        content = np.concatenate([p[1] for p in parts]) if kind == 1 else head
+        content = _mixed(np.concatenate([p[1] for p in parts]) * _FACTORS[3] + head) if kind == 1 else head
         code = np.full(len(ids), OPEN, np.uint8)
         if kind == 1:  # an anchor with one content is settled by it
             order = np.lexsort((content, head))
@@ -289,7 +287,7 @@ def _second_digits(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -
     out = []
     for to, p in _parts(s.h[cold], buckets):
         rows = cold[p]
-        out.append((to, 1, _squeeze(s.h[rows], s.block.ids[s.doc[rows]], s.left[rows], s.right[rows], s.around(rows).reshape(-1))))
+        out.append((to, 1, _squeeze(np.diff(s.h[rows], prepend=np.uint64(0)), s.block.ids[s.doc[rows]], s.left[rows], s.right[rows], s.around(rows).reshape(-1))))
     keys, ids, key_of = np.empty(0, np.uint64), np.empty(0, np.int64), np.full((len(hot), AROUND + 1), -1, np.int64)
     if len(hot):
         c = s.around(hot)
@@ -300,14 +298,19 @@ def _second_digits(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -
         ids = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(ids, inverse, np.broadcast_to(s.block.ids[s.doc[hot]][:, None], on.shape)[on])
         out += [(to, 2, _squeeze(keys[p], ids[p])) for to, p in _parts(keys, buckets)]
-    # The state: repeats as they are; the anchors of an open content's least document with the content's number.
+    # The state: the runs that whole repeats remove; the anchors of an open content's least document with its number.
     mine = np.full(len(s.first), -1, np.int64)
     of = s.which
     mine[of[cold]], mine[of[hot]] = np.arange(len(cold)), -2 - np.arange(len(hot))
     later = s.block.ids[s.doc] > s.ids[of]
-    state = np.where(later | (verdict[of] == REPEATED), REPEAT, mine[of])
-    stay = state != -1
-    out.append((number % buckets, 3, _squeeze(s.place[stay], s.left[stay], s.right[stay], state[stay], key_of.reshape(-1), ids)))
+    repeat = later | (verdict[of] == REPEATED)
+    cover = np.zeros(len(s.block.flat) + 1, np.int32)
+    np.add.at(cover, s.place[repeat] - s.left[repeat], 1)
+    np.add.at(cover, s.place[repeat] + K + s.right[repeat], -1)
+    runs = np.flatnonzero(np.diff((np.cumsum(cover) > 0).view(np.int8), prepend=np.int8(0)))
+    stay = np.flatnonzero(~repeat & (mine[of] != -1))
+    stay = stay[np.argsort(s.place[stay])]
+    out.append((number % buckets, 3, _squeeze(np.diff(runs, prepend=0), np.diff(s.place[stay], prepend=0), s.left[stay], s.right[stay], mine[of][stay].astype(np.int32), key_of.reshape(-1), ids)))
     return _sent(number, out)
 
 
@@ -339,7 +342,8 @@ def _compare_second(key: tuple, table: pa.Table) -> pa.Table:
     at = [i for i, k in enumerate(kinds) if k == 1]
     if at:
         parts = [_spread(data[i], "<u8", "<i8", "u1", "u1", "u1") for i in at]
-        h, ids, left, right = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        h = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
+        ids, left, right = (np.concatenate([p[i] for p in parts]) for i in range(1, 4))
         c = np.concatenate([p[4].reshape(-1, 2 * AROUND) for p in parts])
         bits = np.zeros(len(h), np.uint32)
         # Anchors of one document only end here; so do those whose contents are all equal.
@@ -368,19 +372,21 @@ def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
     state = _answers(heard, 3)
     cover = np.zeros(len(block.flat) + 1, np.int32)
     if state:
-        place, left, right, number, key_of, ids = _spread(state[0], "<i8", "u1", "u1", "<i8", "<i8", "<i8")
+        runs, place, left, right, number, key_of, ids = _spread(state[0], "<i8", "<i8", "u1", "u1", "<i4", "<i8", "<i8")
+        runs, place, number = np.cumsum(runs), np.cumsum(place), number.astype(np.int64)
+        cover[runs[::2]] += 1
+        cover[runs[1::2]] -= 1
         bits = np.concatenate([_spread(d, "<u4")[0] for d in _answers(heard, 1)] or [np.empty(0, np.uint32)])
         more = np.concatenate([_spread(d, "u1")[0] for d in _answers(heard, 2)] or [np.empty(0, np.uint8)]).astype(bool)
         key_of = key_of.reshape(-1, AROUND + 1)
         owner = block.ids[np.searchsorted(block.ends, place, side="right")]
         masks = np.zeros(len(place), np.uint32)
-        cold, hot, repeat = (number >= 0) & (number < REPEAT), number < -1, number == REPEAT
+        cold, hot = number >= 0, number < -1
         masks[cold] = bits[number[cold]]
         if hot.any():
             k = key_of[-2 - number[hot]]
             yes = (k >= 0) & (more[k] | (ids[k] < owner[hot][:, None]))
             masks[hot] = (yes * (np.uint32(1) << np.arange(AROUND + 1, dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
-        masks[repeat] = (_held(left[repeat], right[repeat]) * (np.uint32(1) << np.arange(AROUND + 1, dtype=np.uint32))).sum(axis=1, dtype=np.uint32)
         for lead in range(AROUND + 1):
             start = place[(masks >> np.uint32(lead) & np.uint32(1)).astype(bool)] - lead
             np.add.at(cover, start, 1)
@@ -424,7 +430,7 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block: int =
                 if j > i:
                     out = pa.BufferOutputStream()
                     part = t.take(pa.array(order[i:j])).combine_chunks()
-                    with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
                         w.write_table(part)
                     packs.append((int(held[i]), out.getvalue().to_pybytes()))
             if packs:
