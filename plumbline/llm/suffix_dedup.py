@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from plumbline.llm.common import small_batches
 
 #: Bytes of a repeated string, of an anchor, and around it.
-DEPTH, K = 50, 24
+DEPTH, K = 50, 32
 AROUND = DEPTH - K
 #: Bytes of text in a block; an anchor in more blocks, or in more documents of one block, is compared suffix by suffix.
 BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 4 << 20, 64, 16
@@ -113,11 +113,10 @@ def _anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     """(place, hash) of the anchors of documents that stand end to end."""
     if len(flat) < DEPTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h, eight = _TABLE[flat], None
-    for i in range(4):  # hashes of 2, 4, 8, 16 bytes
+    h = _TABLE[flat]
+    for i in range(5):  # hashes of 2, 4, 8, 16, 32 bytes
         h = h[: -(1 << i)] * _FACTORS[i] + h[1 << i :]
-        eight = h if i == 2 else eight
-    h = _mixed(h[: len(flat) - K + 1] * _FACTORS[4] + eight[16:]) | np.uint64(1)
+    h = _mixed(h) | np.uint64(1)
     least = _slide(h, AROUND + 1, np.minimum)  # of each DEPTH-byte string
     whole = np.zeros(len(flat) + 1, np.int8)  # strings within one document
     long = ends - starts >= DEPTH
