@@ -1,11 +1,11 @@
-"""A corpus pipeline: toxicity, SimHash near-duplicates, repeated substrings, source mixture, packing."""
+"""A corpus pipeline: toxicity, near-duplicates, repeated substrings, source mixture, packing."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from plumbline.llm import jaccard, mixing, packing, suffix_dedup, toxicity
 from plumbline.llm.common import cut, read
 
 
@@ -14,7 +14,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return jaccard.keep_one(docs)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

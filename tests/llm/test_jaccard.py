@@ -1,0 +1,72 @@
+"""The pipeline's near-duplicates against all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+import corpus_pipeline
+from plumbline.llm import jaccard
+from tests.llm.fixtures import documents, prose, table
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _shingles(text: str | None) -> frozenset:
+    words = [w.lower() for w in WORD.findall((text or "").encode())]
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _components(rows: list[tuple]) -> dict[int, int]:
+    of = {r[0]: _shingles(r[1]) for r in rows}
+    root = {i: i for i in of}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in of:
+        for j in of:
+            if j < i and (of[i] == of[j] or 5 * len(of[i] & of[j]) >= 4 * len(of[i] | of[j]) > 0):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in of}
+
+
+def edited() -> list[tuple]:
+    """Copies with replaced words, at similarities on both sides of the limit; chains of copies of copies; a hub's many copies."""
+    r, rows = random.Random(6), []
+    for k in range(40):
+        words = prose(400 + k, r.randint(40, 300)).split()
+        for n in range(3):
+            rows.append((3000 + 10 * k + n, " ".join(words), "en", "a", 1))
+            for _ in range(max(1, len(words) * r.randint(5, 40) // 1000)):
+                words[r.randrange(len(words))] = f"edit{r.random()}"
+    words = prose(7, 200).split()
+    for k in range(60):
+        own = list(words)
+        for _ in range(r.randint(1, 5)):
+            own[r.randrange(len(own))] = f"edit{r.random()}"
+        rows.append((5000 + k, " ".join(own), "en", "a", 1))
+    return rows
+
+
+@pytest.mark.parametrize("clashing", [False, True])
+def test_pipeline_near_duplicates_equal_all_pairs(spark, clashing):
+    rows = [*documents(), *edited()]
+    want = _components(rows)
+    docs = table(spark, rows, clashing)
+    if not clashing:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+        assert got == want
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted(i for i, c in want.items() if i == c)
+    assert 20 < sum(i != c for i, c in want.items() if 3000 <= i < 5000) < 80
+
+
+def test_near_duplicates_of_no_rows(spark):
+    assert jaccard.near_duplicates(table(spark, [])).count() == 0
