@@ -13,8 +13,8 @@ for each task and bin. The estimates, one row for each group, return by a join t
 their measured size allows.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a group of its own.
-Documents that fail the base rules do not take part in the estimates; a group with fewer than LEAST others has none, and
-keeps what passes. Scatter has a floor for each dimension, so ties and constant columns are no error. Repeated
+Documents that fail the base rules do not take part in the estimates. A group with fewer than LEAST others is judged by the
+estimate of its language, a language with fewer than LEAST by that of all documents, whatever their number. Scatter has a floor for each dimension, so ties and constant columns are no error. Repeated
 rows count as often as they occur. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -110,10 +110,10 @@ def limits(rows: DataFrame, shares: dict[str, float]) -> DataFrame:
     return bins.groupBy("lang", "source").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("bin"))).alias(name) for name, share in shares.items()))
 
 
-def estimates(vectors: DataFrame) -> DataFrame:
-    """(lang, source, m_*, l_*_*, scale) of each group with enough vectors (lang, source, v*)."""
+def estimates(vectors: DataFrame, fewest: int = LEAST) -> DataFrame:
+    """(lang, source, m_*, l_*_*, scale) of each group with at least fewest vectors (lang, source, v*)."""
     spark, names = vectors.sparkSession, list(VECTOR)
-    first = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names)).filter(F.col("n") >= LEAST).drop("n")
+    first = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names)).filter(F.col("n") >= fewest).drop("n")
     spread = _with(vectors, first).filter("m_v0 IS NOT NULL").groupBy("lang", "source").agg(*(F.first(f"m_{a}").alias(f"m_{a}") for a in names), *(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"d_{a}") for a in names))
     zero = {f"s_{a}_{b}": F.lit(0.0) for i, a in enumerate(names) for b in names[i + 1 :]}
     now = spread.withColumns({f"s_{a}_{a}": F.pow(F.col(f"d_{a}") * 1.4826, 2) for a in names} | zero)
@@ -137,6 +137,17 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = cut(spark, statistics(docs))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumns(vector())
-    found = estimates(rows.filter("NOT base_failed").select("lang", "source", *VECTOR))
-    out = distance(_with(rows, found)).withColumn("distance", F.col("d2") / F.col("scale"))
+    good = rows.filter("NOT base_failed").select("lang", "source", *VECTOR)
+    found = estimates(good)
+    # The same estimates on coarser keys, for groups that are too small.
+    of_lang = estimates(good.withColumn("source", F.lit(None).cast("string"))).drop("source")
+    of_all = estimates(good.withColumns({k: F.lit(None).cast("string") for k in ("lang", "source")}), 1).drop("lang", "source")
+    names = of_all.columns
+    groups = rows.select("lang", "source").distinct()
+    l, a = of_lang.withColumnsRenamed({c: f"l_{c}" for c in of_lang.columns}), of_all.withColumnsRenamed({c: f"a_{c}" for c in names})
+    whole = _with(groups, found).join(l, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(a, F.lit(True), "left")
+    # All columns of one estimate, the finest there is.
+    estimate = F.when(F.col("scale").isNotNull(), F.struct(*names)).when(F.col("l_scale").isNotNull(), F.struct(*(F.col(f"l_{c}").alias(c) for c in names))).otherwise(F.struct(*(F.col(f"a_{c}").alias(c) for c in names)))
+    whole = cut(spark, whole.select("lang", "source", estimate.alias("e")).select("lang", "source", "e.*"))
+    out = distance(_with(rows, whole)).withColumn("distance", F.col("d2") / F.col("scale"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))

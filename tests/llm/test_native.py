@@ -50,6 +50,19 @@ def test_quality_base_and_verdicts(spark, clashing):
     assert quality.judge(table(spark, [])).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    odd = lambda i: " ".join(w + "%%%" for w in prose(8000 + i, 90).split())
+    rows = [(5000 + i, prose(7000 + i, 80 + i % 60), "en", "big", 1) for i in range(120)]
+    # A rare source of a known language, a rare language, and null keys.
+    for i, (lang, source) in enumerate([("en", "rare"), ("xx", "big"), (None, None), ("en", None)]):
+        rows += [(6000 + 10 * i, odd(i), lang, source, 1), (6001 + 10 * i, prose(9000 + i, 90), lang, source, 1)]
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
+    assert all(got[6001 + 10 * i]["kept"] and not got[6000 + 10 * i]["kept"] for i in range(4))
+    few = {r["doc_id"]: r["distance"] for r in quality.judge(table(spark, rows[:3])).collect()}
+    assert all(d is not None for d in few.values())
+
+
 def test_minimum_covariance_steps_equal_numpy(spark):
     r = np.random.default_rng(4)
     x = np.concatenate([r.normal(0, 1, (300, 4)), r.normal(8, 0.2, (40, 4))])
