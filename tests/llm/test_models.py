@@ -151,3 +151,10 @@ def test_log_bilinear_probabilities_add_up():
     total = 10 ** net.log10(one, one[::-1].copy(), np.tile(np.arange(20), 2))
     assert total[:20].sum() == pytest.approx(1, abs=1e-5) and total[20:].sum() == pytest.approx(1, abs=1e-5)
     assert 10 ** language_model.Bilinear(p).log10(np.zeros(20, int), np.zeros(20, int), np.arange(20)) == pytest.approx(p, abs=1e-5)
+
+
+def test_language_model_predicts_640_tokens_on_their_own():
+    head = [(b"t%d" % i, 2000 - i) for i in range(1000)]
+    v = language_model.Vocabulary(head, np.ones(language_model.BUCKETS), 1, 1000)
+    assert v.classes[:640].tolist() == list(range(640)) and (v.share[:640] == 0).all()
+    assert len(v.p) == 640 + 128 and language_model.Bilinear(v.p).q.shape == (768, 16)
