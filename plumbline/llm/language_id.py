@@ -9,8 +9,8 @@ A text's cross-entropy is the mean over all its characters; the least one wins.
 probability of the winner; accepted tells whether the cross-entropy is one that the language's own texts
 have. Every distinct word is scored once for each worker's memory of REMEMBERED words.
 
-The models learn from a bounded sample of the labelled rows: about SAMPLE_BYTES of text of each language,
-drawn by a hash of the id from all rows outside the held-out remainder.
+The models learn from a bounded sample of the labelled rows: the first SAMPLE_BYTES of text of each language,
+in the order of a hash of the id, of all rows outside the held-out remainder; a language has one text at least.
 
 Null texts and texts without letters get `und` and score 0. Rows with a null label do not teach. Without a
 labelled row every text is `und`. Repeated rows are scored alike. Extra columns are ignored. An empty table
@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import remainder, small_batches
 
-SAMPLE_BYTES, MOST_LANGUAGES = 1_500_000, 400
+SAMPLE_BYTES = 1_500_000
 ORDER, DISCOUNT, REMEMBERED = 5, 0.75, 400_000
 #: Share of a language's own sample that its rejection threshold keeps.
 KEPT = 0.999
@@ -181,12 +182,14 @@ class Identifier:
 def fit(docs: DataFrame, mod: int = 4, held: int = 2) -> Identifier | None:
     """Learns from a bounded sample; None without a labelled text."""
     train = docs.filter((remainder("doc_id", mod) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN))
-    sizes = train.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    part = F.lit(0.0)
-    for r in sizes:
-        part = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_BYTES / max(1, r["n"])))).otherwise(part)
-    drawn = train.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < part * (1 << 20)).select("lang", "text")
-    texts = [(r["lang"], r["text"]) for r in drawn.toLocalIterator()]  # about SAMPLE_BYTES for each language
+    size, w = F.octet_length("text"), W.partitionBy("lang").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    train = train.withColumn("_h", F.xxhash64("doc_id", F.lit("language"))).select("lang", "text", "_h", F.pmod("_h", F.lit(4096)).alias("bin"))
+    # Documents in the order of bins, then of hashes: those whose predecessors have less than SAMPLE_BYTES, the last one cut.
+    bins = train.groupBy("lang", "bin").agg(F.sum(size).alias("n")).withColumn("base", F.coalesce(F.sum("n").over(w), F.lit(0))).filter(F.col("base") < SAMPLE_BYTES).drop("n")
+    drawn = train.join(bins, ["lang", "bin"]).select("lang", "bin", "_h", "base", size.alias("n"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text"))
+    before = F.col("base") + F.coalesce(F.sum("n").over(W.partitionBy("lang", "bin").orderBy("_h", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    drawn = drawn.withColumn("left", SAMPLE_BYTES - before).filter("left > 0").select("lang", F.expr("substring(text, 1, cast(left as int))").alias("text"))
+    texts = [(r["lang"], bytes(r["text"]).decode(errors="ignore")) for r in drawn.toLocalIterator()]  # at most SAMPLE_BYTES for each language
     counts: dict[str, dict[str, int]] = {}
     for lang, text in texts:
         c = counts.setdefault(lang, {})
@@ -199,7 +202,7 @@ def fit(docs: DataFrame, mod: int = 4, held: int = 2) -> Identifier | None:
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, bits, accepted) of each document."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, mod, held))  # of a size that SAMPLE_BYTES and MOST_LANGUAGES bound
+    model = spark.sparkContext.broadcast(fit(docs, mod, held))  # of a size that SAMPLE_BYTES and the number of languages bound
     small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

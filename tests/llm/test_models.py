@@ -43,6 +43,16 @@ def test_language_of_no_rows(spark):
     assert [r["lang_pred"] for r in language_id.identify(table(spark, [(1, "abc", None, None, 3)])).collect()] == ["und"]
 
 
+def test_language_of_few_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 2000)
+    few = [(i, (t + " ") * 400, lang, "s", 1) for i, (t, lang) in zip((1, 2, 3, 5, 6, 7), (("wuga bexo", "long"), ("piq zhod", "far")) * 3)]
+    few = [r for r in few if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = table(spark, [*few, *((1000 + r[0], *r[1:]) for r in spoken())])
+    assert sorted(language_id.fit(docs).models.languages) == sorted({r[2] for r in few} | {"x", "y", "z"})
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert all(got[r[0]] == r[2] for r in few) and len(few) > 1
+
+
 def test_kneser_ney_probabilities_add_up():
     models = language_id.Models({"x": [("abab", 2), ("abc", 1), ("bca", 3)], "y": [("ccc", 1)]})
     for start in ("", "a", "ab", "bca"):
