@@ -1,16 +1,4 @@
-"""Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from min-hashes: each text has BANDS keys of ROWS minima each, and texts that share a key are
-compared. A pair at the least similarity shares none with probability (1 - 0.8 ** ROWS) ** BANDS, 3 in a million;
-nothing else is lost. Each candidate is then decided by the exact similarity of the two sets.
-
-Texts of equal sets are one node, so copies cost nothing after the first aggregate. Nodes that share a key are
-first compared with its least and its greatest node only; the links found put large groups together. Then all
-pairs that share a key and are still in different groups are compared, without a cap.
-
-Null and empty texts have no shingle and are one group; shorter texts than five words are one shingle. Equal ids
-are kept as separate rows. Extra columns are ignored. An empty table gives an empty result.
-"""
+"""Sets of word shingles, and the exact check of their similarity for pairs that a search has found."""
 
 from __future__ import annotations
 
@@ -23,22 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, small_batches, text_bytes
-from plumbline.llm.graph import components
 
 SEED, WORDS = 42, 5
-#: Keys of a text, minima of a key.
-BANDS, ROWS = 32, 5
 #: The least similarity, LEAST / OF.
 LEAST, OF = 4, 5
-_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
-_XOR, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles."""
+def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle, one of none has none."""
     words = text.lower().split()
     h = xxhash.xxh64_intdigest
-    hashes = [h(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))] if words else []
+    hashes = [h(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))] if words else []
     return np.unique(np.array(hashes, np.uint64))
 
 
@@ -47,78 +30,24 @@ def node_of(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).view(np.int64))
 
 
-def keys(held: np.ndarray) -> np.ndarray:
-    """A hash for each band; none of the empty set."""
-    if not len(held):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(held), 4096):
-        least = np.minimum(least, ((held[None, i : i + 4096] ^ _XOR) * _TIMES).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
-
-
-def _texts(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return (shingles(t.as_buffer().to_pybytes()) for t in b.column(1))
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, keys) of each document; one narrow pass over the text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(node_of(s), keys(s)) for s in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([k for _, k in found], pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
-
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, keys array<bigint>")
-
+def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int = WORDS) -> DataFrame:
+    """Those of the pairs (u, v) of nodes whose sets are similar: their intersection is LEAST / OF of their union or more.
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets are similar; the sets are made again for these nodes only."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts has (key, text), nodes the key of one text of each node. Sets are made again for the nodes of the pairs only.
+    """
+    spark = texts.sparkSession
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node_of(s), s.view(np.int64)) for s in _texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["doc_id", "node", "held"])
+            held = [shingles(t.as_buffer().to_pybytes(), n) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in held], pa.list_(pa.int64()))], ["node", "held"])
 
-    pairs = cut(docs.sparkSession, pairs)
+    pairs = cut(spark, pairs)
     used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    used = nodes.select("node", "least").join(used, "node")
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(used.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    # Of equal ids with different texts, only that of the node counts.
-    made = texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, held array<bigint>")
-    held = cut(docs.sparkSession, made.join(used.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "held"))
+    used = nodes.select("node", "key").join(used, "node")
+    chosen = texts.select("key", text_bytes().alias("text")).join(used, "key").dropDuplicates(["node"])
+    held = cut(spark, chosen.select("node", "text").mapInArrow(run, "node long, held array<bigint>"))
     both = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
     shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    return cut(docs.sparkSession, both.filter(OF * shared >= LEAST * (total - shared)).select("u", "v"))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, component_id): component_id is the smallest doc_id reachable through similar texts."""
-    spark = docs.sparkSession
-    signed = cut(spark, signatures(docs))
-    nodes = cut(spark, signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    rows = cut(spark, rows.join(ends, "key"))
-    ends = rows.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(rows.select(F.col("node").alias("u"), F.col("high").alias("v")))
-    links = similar(docs, nodes, ends.filter("u < v").distinct())
-    of = components(spark, links).withColumnRenamed("component", "root")
-    # All pairs of a key that the first links have not put together.
-    rows = rows.select("key", "node").join(of, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    rows = cut(spark, rows.join(apart, "key", "left_semi"))
-    one, two = rows.select("key", F.col("node").alias("u"), F.col("root").alias("r")), rows.select("key", F.col("node").alias("v"), F.col("root").alias("s"))
-    rest = one.join(two, "key").filter("u < v AND r <> s").select("u", "v").distinct().join(ends, ["u", "v"], "left_anti")
-    links = links.unionByName(similar(docs, nodes, rest))
-    named = nodes.join(components(spark, links), "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    named = cut(spark, named)
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return signed.select("doc_id", "node").join(named.join(roots, "root").select("node", "component_id"), "node").select("doc_id", "node", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those whose group of similar texts has a smaller doc_id; their own columns stay."""
-    lost = near_duplicates(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    return cut(spark, both.filter(OF * shared >= LEAST * (total - shared)).select("u", "v"))

@@ -1,19 +1,33 @@
 """SimHash near-duplicates by anchor points of a covering code.
 
-The 64 bits of a fingerprint fall into three blocks of 21 or 22 bits. If two fingerprints differ in at most
-4 bits, some block differs in at most 1. Each block, padded to 23 bits, is covered by the binary Golay code:
-every point has exactly one codeword within 3 bits. Codewords are the anchors. A fingerprint is replicated
-to every anchor within 3 + 1 bits of each of its blocks (5.3 on average, 16 in all); its nearest anchor is
-its home. Two fingerprints that are within one bit in a block meet at the home of either, and only there are
-they compared, over all 64 bits. So no link is lost and no bucket or candidate is capped.
-
-Equal fingerprints are one node, so copies cost nothing after the first aggregate. An anchor with many
-fingerprints is cut into a grid of cells of bounded size: homes by row, visitors by column, each cell a group
-of its own. A cell gives the components of what it holds (at most one edge for each of its members), never
-its pairs; the edges of all cells then go through connected components.
+Fingerprints within 4 of 64 bits (`near_duplicates`). The 64 bits fall into three blocks of 21 or 22 bits. If two
+fingerprints differ in at most 4 bits, some block differs in at most 1, and some pair of blocks in at most 2
+together. Each block, padded to 23 bits, is covered by the binary Golay code: every point has exactly one codeword
+within 3 bits. Codewords are the anchors; the codeword nearest to a block is its home. A fingerprint is replicated
+to every anchor within covering radius plus the block's share of the distance, and two fingerprints that are close
+in a block meet at the home of either. Only there are they compared, over all 64 bits. So no link is lost and no
+bucket or candidate is capped.
+
+* Up to PRODUCT_FROM distinct fingerprints, anchors are single codewords: 3 x 4,096 anchors, 16 replicas.
+* Beyond, anchors are pairs of codewords of two blocks: 3 x 2^24 anchors, 183 replicas. There each anchor stays
+  small: homes times visitors are the square of the fingerprints divided by 2^24, not by 2^12. Both find the same links.
+
+Texts with a Jaccard similarity of 0.8 or more of five-word shingles (`similar_groups`, `keep_one`). Their
+fingerprints differ in 15 % of the bits or less, on average over hashes, which 4 of 64 bits would mostly miss. So
+these fingerprints have WIDE words of 64 bits, over the set of shingles; each of BLOCKS_WIDE blocks of 23 bits has
+anchors as above, with replicas within one bit more than the covering radius. A pair at 0.8 meets in a block with a
+chance of 0.39, so 16 blocks lose 0.03 % of such pairs, and fewer of closer ones. Pairs that meet and differ in at
+most FAR of 192 bits (4 standard deviations above the mean at 0.8) are candidates; each link is decided by the exact
+similarity. First each text is compared with its nearest and its first candidate of each anchor, and what is similar
+is put together; then all candidate pairs that are still apart are compared.
+
+Equal fingerprints (or sets) are one node, so copies cost nothing after the first aggregate. An anchor with many
+nodes is cut into a grid of cells of bounded size: homes by row, visitors by column, each cell a group of its own.
 
 Null and empty texts have no shingle and fingerprint zero, which links like any other. Equal ids are kept
-as separate rows. Extra columns are ignored. An empty table gives an empty result.
+as separate rows; a null id is larger than any. Repeated rows (equal id and text) are all reported by
+`near_duplicates`, and `keep_one` keeps one of them. Extra columns pass through `keep_one` unchanged, whatever their
+names, and are ignored elsewhere. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,17 +37,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, small_batches, text_bytes
 from plumbline.llm.graph import components
+from plumbline.llm.jaccard import WORDS as WORDS_WIDE
+from plumbline.llm.jaccard import node_of, shingles, similar
 
 SEED, WORDS, DISTANCE = 42, 4, 4
 #: Generator of the binary Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1) and its length; first bits and widths of the blocks.
 GOLAY, LENGTH, BLOCKS = 0b110001110101, 23, ((0, 21), (21, 21), (42, 22))
-#: Most homes or visitors in a cell.
-CELL = 4096
+#: Covering radius of the code.
+RADIUS = 3
+#: Most homes or visitors in a cell; distinct fingerprints from which anchors are pairs of codewords.
+CELL, PRODUCT_FROM = 4096, 2_000_000
+#: Wide fingerprints: words of 64 bits, blocks that have anchors, words that are compared, most bits in which candidates differ there.
+WIDE, BLOCKS_WIDE, COMPARED, FAR = 6, 16, 3, 50
+_RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, WIDE), np.uint64)
+_XOR, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def fingerprint(text: bytes, n: int = WORDS, seed: int = SEED) -> int:
@@ -84,24 +108,53 @@ def cosets(radius: int) -> list[np.ndarray]:
     return np.split(errors[order], np.cumsum(np.bincount(of, minlength=2048))[:-1])
 
 
-def anchored(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(anchor, fp, home) of each fingerprint: every anchor within covering radius plus the block's share of the distance."""
-    share = distance // len(BLOCKS)
+class Code:
+    """For each syndrome the error patterns of at most radius bits, so that point ^ error are the anchors of a point."""
+
+    def __init__(self, radius: int):
+        table = cosets(radius)
+        self.flat, self.sizes = np.concatenate(table), np.array([len(x) for x in table])
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def replicas(self, point: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of each replica, its anchor, the bits between them); a row's nearest anchor comes first."""
+        s = syndrome(point)
+        n = self.sizes[s]
+        row = np.repeat(np.arange(len(point)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        error = self.flat[self.first[s[row]] + nth]
+        return row, point[row] ^ error, np.bitwise_count(error)
+
+
+def _points(fp: np.ndarray) -> list[np.ndarray]:
+    bits = fp.view(np.uint64)
+    return [(bits >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64) for low, width in BLOCKS]
+
+
+def anchored(nodes: DataFrame, distance: int = DISTANCE, product: bool = False) -> DataFrame:
+    """(anchor, fp, home) of each fingerprint: every anchor within covering radius plus the share of the distance."""
+    share = (2 * distance if product else distance) // len(BLOCKS)
+
+    def single(fp: np.ndarray, code: Code) -> Iterator[tuple]:
+        for block, point in enumerate(_points(fp)):
+            row, anchor, off = code.replicas(point)
+            yield row, anchor << 2 | block, off <= RADIUS
+
+    def double(fp: np.ndarray, code: Code) -> Iterator[tuple]:
+        points = _points(fp)
+        for one, two in ((0, 1), (0, 2), (1, 2)):
+            row, a, off = code.replicas(points[one])
+            row2, b, off2 = code.replicas(points[two][row])  # of each replica of the first block
+            extra = np.maximum(off[row2].astype(np.int64) - RADIUS, 0) + np.maximum(off2.astype(np.int64) - RADIUS, 0)
+            near = extra <= share
+            yield row[row2][near], (a[row2][near] << LENGTH | b[near]) << 2 | (one + two - 1), (off[row2][near] <= RADIUS) & (off2[near] <= RADIUS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = cosets(3 + share)
-        flat, sizes = np.concatenate(table), np.array([len(x) for x in table])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        code = Code(RADIUS + share)
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for block, (low, width) in enumerate(BLOCKS):
-                point = (fp >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
-                s = syndrome(point)
-                n = sizes[s]
-                row = np.repeat(np.arange(len(fp)), n)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                anchor = point[row] ^ flat[first[s[row]] + nth]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor << 2 | block), pa.array(fp[row].view(np.int64)), pa.array(nth == 0)], ["anchor", "fp", "home"])
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            for row, anchor, home in (double if product else single)(fp, code):
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(home)], ["anchor", "fp", "home"])
 
     return nodes.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
 
@@ -130,28 +183,30 @@ def _cell(fp: np.ndarray, home: np.ndarray, distance: int) -> tuple[np.ndarray,
     return nodes[far], nodes[label[far]]
 
 
-def links(spark: SparkSession, nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
-    """Edges (u, v) that span the components of fingerprints within the distance."""
-    rows = cut(spark, anchored(nodes, distance))
-    wide = rows.groupBy("anchor").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts")).filter("parts > 1")
-    placed = rows.join(wide, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def by_cell(rows: DataFrame, cell: int, find, schema: str, wide: DataFrame | None = None) -> DataFrame:
+    """find(table of one cell) over the cells of rows (anchor, home, ...); an anchor with many rows is a grid of cells.
+
+    wide, if given, is what the rows are counted from, once more.
+    """
+    most = (rows if wide is None else wide).groupBy("anchor").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts")).filter("parts > 1")
+    names = [c for c in rows.columns if c not in ("anchor", "home")]
+    placed = rows.join(most, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # Homes of one anchor are compared with each other too, so each is also a visitor.
     placed = placed.withColumn("home", F.explode(F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
-    own, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+    own, every = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     placed = placed.withColumn("r", F.explode(F.when(F.col("home"), F.array(own)).otherwise(every)))
     placed = placed.withColumn("c", F.explode(F.when(F.col("home"), every).otherwise(F.array(own))))
-    placed = placed.withColumn("key", F.xxhash64("anchor", "r", "c")).select("key", "anchor", "r", "c", "fp", "home")
+    placed = placed.withColumn("cell", F.xxhash64("anchor", "r", "c")).select("cell", "anchor", "r", "c", "home", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def edges(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
             a, r, c = (t.column(k).to_numpy() for k in ("anchor", "r", "c"))
-            fp, home = t.column("fp").to_numpy(), t.column("home").to_numpy()
             at = np.flatnonzero((a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])) + 1
-            found = [_cell(fp[i:j], home[i:j], distance) for i, j in zip([0, *at.tolist()], [*at.tolist(), len(a)])]
-            u, v = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            held = {k: t.column(k).to_numpy() for k in ("home", *names)}
+            for i, j in zip([0, *at.tolist()], [*at.tolist(), len(a)]):
+                yield from find({k: v[i:j] for k, v in held.items()})
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -160,12 +215,32 @@ def links(spark: SparkSession, nodes: DataFrame, distance: int = DISTANCE, cell:
             last = np.flatnonzero(np.logical_or.reduce([t.column(k).to_numpy() != t.column(k)[-1].as_py() for k in ("anchor", "r", "c")]))
             done = int(last[-1]) + 1 if len(last) else 0
             if done:
-                yield from edges(t.slice(0, done))
+                yield from _joined(found(t.slice(0, done)))
             rest = t.slice(done).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield from edges(rest)
+            yield from _joined(found(rest))
+
+    return placed.repartition("cell").sortWithinPartitions("anchor", "r", "c").mapInArrow(run, schema)
+
 
-    return placed.repartition("key").sortWithinPartitions("anchor", "r", "c").mapInArrow(run, "u long, v long").distinct()
+def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The (u, v) of many cells as batches of a bounded size."""
+    us, vs, n = [], [], 0
+    for u, v in parts:
+        us.append(u)
+        vs.append(v)
+        n += len(u)
+        if n > 1 << 16:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            us, vs, n = [], [], 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
+def links(spark: SparkSession, nodes: DataFrame, distance: int = DISTANCE, cell: int = CELL, product_from: int = PRODUCT_FROM) -> DataFrame:
+    """Edges (u, v) that span the components of fingerprints within the distance; never a cell's pairs."""
+    rows = cut(spark, anchored(nodes, distance, nodes.count() > product_from))
+    return by_cell(rows, cell, lambda t: [_cell(t["fp"], t["home"], distance)], "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, n: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -184,7 +259,106 @@ def hexadecimal(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The documents without those whose group of near-duplicates has a smaller doc_id; their own columns stay."""
-    lost = near_duplicates(docs, distance).filter("component_id < doc_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+def wide_fingerprint(held: np.ndarray) -> np.ndarray:
+    """WIDE words of 64 bits over a set of hashes: each bit is the majority of the set's."""
+    ones = np.zeros((WIDE, 8, 8), np.int64)  # word, bit of a byte, byte
+    for i in range(0, len(held), 255):  # a byte of a lane holds the count of 255 hashes
+        h = (held[i : i + 255, None] ^ _XOR) * _TIMES
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        for bit in range(8):
+            ones[:, bit] += (h >> np.uint64(bit) & _LANES).sum(axis=0).view(np.uint8).reshape(WIDE, 8)
+    return np.packbits((2 * ones > len(held)).reshape(WIDE, 64), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def row_key() -> Column:
+    """Names a row by its id and text; null and empty texts have no word and count as equal."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary")))
+
+
+def signatures(docs: DataFrame, n: int = WORDS_WIDE) -> DataFrame:
+    """(doc_id, key, node, fp) of each document; node is a hash of its set of shingles, fp its wide fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_buffer().to_pybytes(), n) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s).view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "node", "fp"])
+
+    small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", row_key().alias("key"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, node long, fp array<bigint>")
+
+
+def anchored_wide(nodes: DataFrame) -> DataFrame:
+    """(anchor, node, f0.., root, home) of each node (node, fp, root) at each anchor of each block."""
+    names = [f"f{k}" for k in range(COMPARED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = Code(RADIUS + 1)
+        for b in batches:
+            node, root = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
+            bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
+            points = bits[:, : BLOCKS_WIDE * LENGTH].reshape(len(node), BLOCKS_WIDE, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
+            for block in range(BLOCKS_WIDE):
+                row, anchor, off = code.replicas(points[:, block])
+                columns = [anchor * BLOCKS_WIDE + block, off <= RADIUS, node[row], root[row], *(words[row, k] for k in range(COMPARED))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["anchor", "home", "node", "root", *names])
+
+    return nodes.select("node", "fp", "root").mapInArrow(run, "anchor long, home boolean, node long, root long, " + ", ".join(f"{k} long" for k in names))
+
+
+def _candidates(t: dict[str, np.ndarray], every: bool, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidate pairs u < v of a cell with different roots: all, or each home's nearest and least visitor."""
+    home = t["home"]
+    if not home.any() or home.all():
+        return
+    node, root = t["node"], t["root"]
+    words = np.stack([t[f"f{k}"] for k in range(COMPARED)], axis=1).view(np.uint64)
+    h, v = np.flatnonzero(home), np.flatnonzero(~home)
+    v = v[np.argsort(node[v])]
+    for i in range(0, len(h), 512):
+        rows = h[i : i + 512]
+        off = sum(np.bitwise_count(words[rows, k][:, None] ^ words[v, k][None, :]).astype(np.int16) for k in range(COMPARED))
+        ok = (off <= far) & (root[rows][:, None] != root[v][None, :])
+        if every:
+            a, b = np.nonzero(ok)
+        else:
+            a = np.flatnonzero(ok.any(axis=1))
+            nearest = np.where(ok[a], off[a], np.int16(999)).argmin(axis=1)
+            a, b = np.concatenate([a, a]), np.concatenate([nearest, ok[a].argmax(axis=1)])
+        if len(a):
+            x, y = node[rows[a]], node[v[b]]
+            yield np.minimum(x, y), np.maximum(x, y)
+
+
+def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> DataFrame:
+    """(doc_id, key, node, root): root is common to the documents of a group that similar texts link."""
+    spark = docs.sparkSession
+    signed = cut(spark, signatures(docs, n))
+    nodes = cut(spark, signed.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.col("node").alias("root")))
+    texts = docs.select(row_key().alias("key"), "text")
+    links = None
+    for every in (False, True):
+        rows = anchored_wide(nodes)
+        found = by_cell(rows, cell, lambda t, every=every: _candidates(t, every, FAR), "u long, v long", rows).distinct()
+        if links is not None:
+            found = found.join(tried, ["u", "v"], "left_anti")
+        tried = cut(spark, found)
+        true = similar(texts, nodes, tried, n)
+        links = true if links is None else links.unionByName(true)
+        of = components(spark, links)
+        nodes = cut(spark, nodes.drop("root").join(of.select("node", F.col("component").alias("root")), "node", "left").select("node", "key", "fp", F.coalesce("root", "node").alias("root")))
+    return signed.select("doc_id", "key", "node").join(nodes.select("node", "root"), "node").select("doc_id", "key", "node", "root")
+
+
+def keep_one(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> DataFrame:
+    """One document of each group of similar texts, the one with the least doc_id (on ties, the least key); own columns stay."""
+    grouped = cut(docs.sparkSession, similar_groups(docs, cell, n))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    first = grouped.groupBy("root").agg(F.min(order)["key"].alias("kept"))
+    lost = grouped.join(first, "root").filter("key <> kept").select("key").distinct().withColumn("lost", F.lit(True))
+    rows = docs.select(F.struct("*").alias("row"), row_key().alias("key")).join(lost, "key", "left").filter("lost IS NULL")
+    # Repeated rows have one key.
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy("key"))).filter("nth = 1").select("row.*")

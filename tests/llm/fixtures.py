@@ -6,7 +6,9 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns named as the operators' own.
-CLASHING = SCHEMA + ", fp long, size long, rank int, component_id long, piece int, key string, length long, words array<string>, bucket int, anchor long, node long, target double"
+EXTRA = {"long": "fp size component_id length anchor node copies row root draw level source_size left h _id _bytes block left_ n least total", "int": "rank piece bucket nth copy _block part range q start lane seen", "string": "key kept of _text _kept pack lost data label", "double": "target drawn score distance rate weight", "array<string>": "words _spans spans terms"}
+CLASHING = SCHEMA + "".join(f", {name} {kind}" for kind, names in EXTRA.items() for name in names.split())
+_VALUES = {"long": 7, "int": 7, "string": "x", "double": 7.0, "array<string>": ["x"]}
 
 
 def prose(seed: int, n: int) -> str:
@@ -25,5 +27,5 @@ def documents() -> list[tuple]:
 
 def table(spark, rows: list[tuple] | None = None, clashing: bool = False):
     rows = documents() if rows is None else rows
-    extra = (7, 7, 7, 7, 7, "x", 7, ["x"], 7, 7, 7, 7.0)
+    extra = tuple(_VALUES[kind] for kind, names in EXTRA.items() for _ in names.split())
     return spark.createDataFrame([(*r, *extra) for r in rows], CLASHING) if clashing else spark.createDataFrame(rows, SCHEMA)

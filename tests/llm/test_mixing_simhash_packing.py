@@ -48,8 +48,9 @@ def test_mix_follows_the_targets(spark, clashing):
         assert r["copies"] in ((0,) if not r["size"] else (int(rate + 1e-9), int(rate + 1e-9) + 1))
 
 
-def test_mixture_repeats_rows_and_keeps_columns(spark):
-    docs = table(spark)
+@pytest.mark.parametrize("clashing", [False, True])
+def test_mixture_repeats_rows_and_keeps_columns(spark, clashing):
+    docs = table(spark, clashing=clashing)
     out = mixing.mixture(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r["copies"] for r in mixing.mix(docs).collect())
@@ -102,8 +103,8 @@ def test_simhash_finds_chains_in_split_cells(spark):
             fps.append(f)
     of = dict(enumerate(fps))
     nodes = spark.createDataFrame([(f if f < 2**63 else f - 2**64,) for f in set(fps)], "fp long")
-    for cell in (8, 4096):
-        edges = simhash.links(spark, nodes, cell=cell)
+    for cell, product_from in ((8, 10**6), (4096, 10**6), (8, 0), (4096, 0)):  # single codewords, pairs of codewords
+        edges = simhash.links(spark, nodes, cell=cell, product_from=product_from)
         named = {r["node"] % 2**64: r["component"] % 2**64 for r in simhash.components(spark, edges).collect()}
         groups = defaultdict(set)
         for i, root in _components(of).items():
@@ -113,12 +114,24 @@ def test_simhash_finds_chains_in_split_cells(spark):
         assert len({named.get(f, f) for f in set(fps)}) == len(groups)
 
 
-def test_keep_one_keeps_the_first_of_each_group(spark):
-    docs = table(spark)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    want = _components({r[0]: _fingerprint(r[1]) for r in documents()})
-    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted(i for i, c in want.items() if i == c)
+def test_any_pair_within_four_bits_meets_at_an_anchor(spark):
+    r = np.random.default_rng(8)
+    fps = r.integers(0, 2**63, 300).astype(np.uint64)
+    near = fps.copy()
+    for i in range(len(fps)):
+        for b in r.choice(64, r.integers(0, 5), replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    for product in (False, True):
+        homes: dict[int, set] = {}
+        nodes = spark.createDataFrame([(int(f.view(np.int64)),) for f in np.concatenate([fps, near])], "fp long").distinct()
+        at: dict[int, set] = defaultdict(set)
+        for x in simhash.anchored(nodes, product=product).collect():
+            at[x["fp"]].add(x["anchor"])
+            if x["home"]:
+                homes.setdefault(x["fp"], set()).add(x["anchor"])
+        assert all(len(h) == 3 for h in homes.values())
+        for a, b in zip(fps.view(np.int64).tolist(), near.view(np.int64).tolist()):
+            assert homes[a] & at[b] and homes[b] & at[a]
 
 
 def test_best_fit_places_every_piece_once():

@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from plumbline.llm import jaccard
+from plumbline.llm import simhash
 from tests.llm.fixtures import documents, prose, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -60,13 +61,42 @@ def test_pipeline_near_duplicates_equal_all_pairs(spark, clashing):
     want = _components(rows)
     docs = table(spark, rows, clashing)
     if not clashing:
-        got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
-        assert got == want
+        groups: dict[int, set] = {}
+        for r in simhash.similar_groups(docs).collect():
+            groups.setdefault(r["root"], set()).add(r["doc_id"])
+        assert sorted(map(sorted, groups.values())) == sorted(sorted(i for i, c in want.items() if c == root) for root in set(want.values()))
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted({r["doc_id"] for r in kept.collect()}) == sorted(i for i, c in want.items() if i == c)
+    # Of repeated rows one stays.
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
     assert 20 < sum(i != c for i, c in want.items() if 3000 <= i < 5000) < 80
 
 
+def test_small_cells_find_the_same(spark):
+    rows = edited()
+    want = _components(rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(table(spark, rows), cell=5).collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_rows_are_kept_not_ids(spark):
+    """An id that two texts share does not take one with the other; null ids lose to others; repeated rows are one."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b + " more", "en", "s", 1), (None, a, "en", "s", 1), (None, c, "en", "s", 1), (4, "", None, None, 0), (4, None, None, None, None), (7, c, "en", "s", 1), (7, c, "en", "s", 1)]
+    got = sorted((r["doc_id"], r["text"] or "") for r in simhash.keep_one(table(spark, rows)).collect())
+    assert got == sorted([(1, a), (2, b), (4, ""), (7, c)])
+
+
 def test_near_duplicates_of_no_rows(spark):
-    assert jaccard.near_duplicates(table(spark, [])).count() == 0
+    docs = table(spark, [])
+    assert simhash.similar_groups(docs).count() == 0 and simhash.keep_one(docs).count() == 0
+
+
+def test_wide_fingerprint_is_the_majority():
+    held = np.random.default_rng(2).integers(0, 2**64, 700, np.uint64)
+    h = (held[:, None] ^ simhash._XOR) * simhash._TIMES
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    ones = np.unpackbits(h.view(np.uint8).reshape(700, -1), axis=1, bitorder="little").reshape(700, simhash.WIDE, 8, 8).sum(axis=0)  # word, byte, bit
+    want = np.packbits((2 * ones.transpose(0, 2, 1) > 700).reshape(simhash.WIDE, 64), axis=1, bitorder="little").view(np.uint64).ravel()
+    assert (simhash.wide_fingerprint(held) == want).all() and (simhash.wide_fingerprint(held[:0]) == 0).all()
