@@ -13,15 +13,21 @@ strings. Two things keep that affordable:
   the bytes around the anchors that remain, once for each block and content, and hears for each suffix
   whether a smaller document has it. Equal contents within a block are settled there.
 
-Documents stand in blocks of some 4 MB, by a hash of the id; digits are compared in buckets, by a hash of the
+How digits are compared (`_smaller`): rows are ordered by one digit after the other, the most significant first, and
+a group of one row ends there. The anchor is one digit, a 64-bit hash of its K bytes; the AROUND bytes about it are
+three digits, of 8, 8 and 2 real bytes (pass 3). Two short cuts spare most rows pass 3: contents (K + 2 x AROUND
+bytes) that are equal as a whole are found in pass 2 by 128 bits of hashes, and the suffixes of an anchor that very
+many documents share go by 128 bits as well. Nothing is decided on fewer bits.
+
+Documents stand in blocks of some 4 MB, by a hash of the id and text; digits are compared in buckets, by a hash of the
 anchor. An anchor that many documents share (a boilerplate line before ever different text) would fill one
 bucket: such anchors send a key for each suffix instead, deduplicated in the block first, so that they spread
-over all buckets. Digits are compared as 64-bit hashes. The blocks are kept on executors' disks; if one is
-lost, Spark makes its blocks again from the input, the same ones.
+over all buckets. The blocks are kept on executors' disks; if one is lost, Spark makes its blocks again from the
+input, the same ones.
 
-Null texts are empty. Documents of equal id do not remove each other's bytes; a null id counts as larger
-than any. Texts shorter than DEPTH bytes stay as they are. Other columns pass through unchanged. An empty
-table gives an empty result.
+Ids are integers. Null texts are empty. Documents of equal id do not remove each other's bytes; a null id counts as
+larger than any. Texts shorter than DEPTH bytes stay as they are. Other columns pass through unchanged, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,11 +51,13 @@ AROUND = DEPTH - K
 BLOCK, MANY_BLOCKS, MANY_DOCUMENTS = 4 << 20, 64, 16
 #: Rows of the batches that are packed into blocks; bytes of text whose hashes a task holds at once.
 ROWS, SLICE, ROWS_AT_ONCE = 4096, 1 << 20, 1 << 15
+#: Beyond so many blocks, a bucket serves SPREAD blocks' worth of anchors, so that a block speaks to fewer.
+MANY_BUCKETS, SPREAD = 1024, 4
 
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 _LEADS = np.arange(DEPTH, dtype=np.uint64) * _FACTORS[2]
-_WEIGHTS = np.random.default_rng(21).integers(1, 2**63, DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WEIGHTS = np.random.default_rng(21).integers(1, 2**63, (2, DEPTH + AROUND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -190,30 +198,36 @@ class Survey:
         self.right = np.minimum(block.ends[self.doc] - self.place - K, AROUND).astype(np.uint8)
         padded = np.concatenate([np.zeros(AROUND, np.uint8), block.flat, np.zeros(AROUND, np.uint8)])
         self.view = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + AROUND) if len(self.place) else None
-        content = self.h.copy()
+        content = np.empty(len(self.h), np.uint64)
         for i in range(0, len(content), ROWS_AT_ONCE):
             rows = np.arange(i, min(i + ROWS_AT_ONCE, len(content)))
-            content[rows] += self.around(rows).astype(np.uint64) @ np.resize(_WEIGHTS, 2 * AROUND)
+            content[rows] = self.window(rows).astype(np.uint64) @ _WEIGHTS[0]
         content = _mixed(content + self.left.astype(np.uint64) * _FACTORS[0] + self.right.astype(np.uint64) * _FACTORS[1])
-        order = np.lexsort((self.doc, content))
-        self.first = order[np.append(True, np.diff(content[order]) != 0)] if len(order) else order
-        self.content, self.which = np.unique(content, return_inverse=True)  # in the order of first
+        order = np.lexsort((self.doc, self.h, content))
+        new = np.append(True, (np.diff(content[order]) != 0) | (np.diff(self.h[order]) != 0)) if len(order) else np.empty(0, bool)
+        self.first, self.which = order[new], np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.content = content[self.first]
         self.ids = block.ids[self.doc[self.first]]
         many = many[self.first]
         self.cold, self.hot = np.flatnonzero(~many), np.flatnonzero(many)
         self.cold = self.cold[np.argsort(self.h[self.first[self.cold]], kind="stable")]  # so by bucket too
         self.hot = self.hot[np.argsort(self.content[self.hot], kind="stable")]
 
-    def around(self, rows: np.ndarray) -> np.ndarray:
-        """The bytes around anchors; zero beyond the document."""
+    def window(self, rows: np.ndarray) -> np.ndarray:
+        """The anchors with the bytes around them; zero beyond the document."""
         if not len(rows):
-            return np.empty((0, 2 * AROUND), np.uint8)
+            return np.empty((0, DEPTH + AROUND), np.uint8)
         c, at = self.view[self.place[rows]], np.arange(AROUND)
-        c = np.concatenate([c[:, :AROUND], c[:, DEPTH:]], axis=1)
         c[:, :AROUND] *= at >= AROUND - self.left[rows][:, None].astype(np.int64)
-        c[:, AROUND:] *= at < self.right[rows][:, None].astype(np.int64)
+        c[:, DEPTH:] *= at < self.right[rows][:, None].astype(np.int64)
         return c
 
+    def around(self, rows: np.ndarray) -> np.ndarray:
+        """The bytes around the anchors alone."""
+        c = self.window(rows)
+        return np.concatenate([c[:, :AROUND], c[:, DEPTH:]], axis=1)
+
 
 def _parts(h: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, numbers) of ascending hashes."""
@@ -242,9 +256,9 @@ def _contents(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -> pa.
     s, number = Survey(packs, code), key[0].as_py()
     out = []
     h, c, ids = s.h[s.first[s.cold]], s.content[s.cold], s.ids[s.cold]
-    out += [(to, 1, _squeeze(np.diff(h[p], prepend=np.uint64(0)), c[p] >> np.uint64(16), ids[p])) for to, p in _parts(h, buckets)]
-    c, ids = s.content[s.hot], s.ids[s.hot]
-    out += [(to, 2, _squeeze(np.diff(c[p], prepend=np.uint64(0)), ids[p])) for to, p in _parts(c, buckets)]
+    out += [(to, 1, _squeeze(np.diff(h[p], prepend=np.uint64(0)), c[p], ids[p])) for to, p in _parts(h, buckets)]
+    h, c, ids = s.h[s.first[s.hot]], s.content[s.hot], s.ids[s.hot]
+    out += [(to, 2, _squeeze(np.diff(c[p], prepend=np.uint64(0)), h[p], ids[p])) for to, p in _parts(c, buckets)]
     return _sent(number, [*out, (number % buckets, 3, _squeeze(code))])
 
 
@@ -260,9 +274,9 @@ def _compare_contents(key: tuple, table: pa.Table) -> pa.Table:
         at = [i for i, k in enumerate(kinds) if k == kind]
         if not at:
             continue
-        parts = [_spread(data[i], *(["<u8"] * (3 - kind)), "<i8") for i in at]
-        head, ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[-1] for p in parts])
-        content = _mixed(np.concatenate([p[1] for p in parts]) * _FACTORS[3] + head) if kind == 1 else head
+        parts = [_spread(data[i], "<u8", "<u8", "<i8") for i in at]
+        # Of rare anchors the anchor comes first, of common ones the content.
+        head, content, ids = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
         code = np.full(len(ids), OPEN, np.uint8)
         if kind == 1:  # an anchor with one content is settled by it
             order = np.lexsort((content, head))
@@ -270,7 +284,7 @@ def _compare_contents(key: tuple, table: pa.Table) -> pa.Table:
             differs = np.append(False, (np.diff(content[order]) != 0) & ~new[1:])
             group = np.cumsum(new) - 1
             code[order[np.bincount(group, differs)[group] == 0]] = ALONE
-        code[_smaller(content, ids)] = REPEATED
+        code[_smaller([head, content], ids)] = REPEATED
         for i, part in zip(at, np.split(code, np.cumsum([len(p[-1]) for p in parts])[:-1])):
             answer[i] = _squeeze(part)
     return _heard(table, kinds, answer)
@@ -289,14 +303,18 @@ def _second_digits(key: tuple, packs: pa.Table, heard: pa.Table, buckets: int) -
         out.append((to, 1, _squeeze(np.diff(s.h[rows], prepend=np.uint64(0)), s.block.ids[s.doc[rows]], s.left[rows], s.right[rows], s.around(rows).reshape(-1))))
     keys, ids, key_of = np.empty(0, np.uint64), np.empty(0, np.int64), np.full((len(hot), AROUND + 1), -1, np.int64)
     if len(hot):
-        c = s.around(hot)
-        every = np.stack([_suffix(s.h[hot], c, lead) for lead in range(AROUND + 1)], axis=1)
+        c = s.window(hot)
         on = _held(s.left[hot], s.right[hot])
-        keys, inverse = np.unique(every[on], return_inverse=True)
+        one, two = (np.stack([_suffix(s.h[hot], c, lead, w) for lead in range(AROUND + 1)], axis=1)[on] for w in _WEIGHTS)
+        order = np.lexsort((two, one))
+        new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        keys, more = one[order[new]], two[order[new]]
         key_of[on] = inverse
         ids = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(ids, inverse, np.broadcast_to(s.block.ids[s.doc[hot]][:, None], on.shape)[on])
-        out += [(to, 2, _squeeze(keys[p], ids[p])) for to, p in _parts(keys, buckets)]
+        out += [(to, 2, _squeeze(keys[p], more[p], ids[p])) for to, p in _parts(keys, buckets)]
     # The state: the runs that whole repeats remove; the anchors of an open content's least document with its number.
     mine = np.full(len(s.first), -1, np.int64)
     of = s.which
@@ -319,18 +337,36 @@ def _held(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return (lead <= left[:, None].astype(np.int64)) & (AROUND - lead <= right[:, None].astype(np.int64))
 
 
-def _suffix(h: np.ndarray, around: np.ndarray, lead: int) -> np.ndarray:
-    """Key of the suffixes that start lead bytes before their anchors: the anchor, then the bytes around it."""
-    return _mixed(h + around[:, AROUND - lead : 2 * AROUND - lead].astype(np.uint64) @ _WEIGHTS[:AROUND] + _LEADS[lead])
+def _suffix(h: np.ndarray, window: np.ndarray, lead: int, weights: np.ndarray) -> np.ndarray:
+    """A hash of the suffixes of DEPTH bytes that start lead bytes before their anchors, and of lead."""
+    return _mixed(h + window[:, AROUND - lead : AROUND - lead + DEPTH].astype(np.uint64) @ weights[:DEPTH] + _LEADS[lead])
 
 
-def _smaller(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Whether an equal key has a smaller id."""
-    order = np.argsort(key, kind="stable")
-    at = np.append(True, np.diff(key[order]) != 0)
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(at)) if len(order) else ids
-    out = np.empty(len(key), bool)
-    out[order] = ids[order] > least[np.cumsum(at) - 1]
+def _bytes_as_digits(around: np.ndarray, lead: int) -> list[np.ndarray]:
+    """The AROUND bytes of suffixes that start lead bytes before their anchors (the anchor left out), as digits of 8, 8 and 2 bytes."""
+    c = np.zeros((len(around), 24), np.uint8)
+    c[:, :AROUND] = around[:, AROUND - lead : 2 * AROUND - lead]
+    return list(c.view(">u8").astype(np.uint64).T)
+
+
+def _smaller(digits: list[np.ndarray], ids: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """Whether an equal key has a smaller id, by passes over the digits, the most significant first; groups of one row end."""
+    rows = np.arange(len(ids))
+    group = np.zeros(len(ids), np.int64) if group is None else group
+    out = np.zeros(len(ids), bool)
+    for digit in digits:
+        order = np.lexsort((digit[rows], group))
+        rows, group = rows[order], group[order]
+        d = digit[rows]
+        new = np.append(True, (group[1:] != group[:-1]) | (d[1:] != d[:-1]))[: len(rows)]
+        group = np.cumsum(new) - 1
+        stay = np.bincount(group)[group] > 1 if len(rows) else np.empty(0, bool)
+        rows, group = rows[stay], group[stay]
+        if not len(rows):
+            return out
+    at = np.append(True, group[1:] != group[:-1])
+    least = np.minimum.reduceat(ids[rows], np.flatnonzero(at))
+    out[rows] = ids[rows] > least[np.cumsum(at) - 1]
     return out
 
 
@@ -350,23 +386,30 @@ def _compare_second(key: tuple, table: pa.Table) -> pa.Table:
         live = np.flatnonzero(n[of] > 1)
         for lead in range(AROUND + 1):
             rows = live[(left[live] >= lead) & (right[live] >= AROUND - lead)]
-            found = np.empty(len(rows), bool)
-            keys = np.concatenate([_suffix(h[rows[i : i + ROWS_AT_ONCE]], c[rows[i : i + ROWS_AT_ONCE]], lead) for i in range(0, len(rows), ROWS_AT_ONCE)] or [h[:0]])
-            found = _smaller(keys, ids[rows])
+            found = _smaller(_bytes_as_digits(c[rows], lead), ids[rows], of[rows])
             bits[rows[found]] |= np.uint32(1 << lead)
         for i, part in zip(at, np.split(bits, np.cumsum([len(p[0]) for p in parts])[:-1])):
             answer[i] = _squeeze(part)
     at = [i for i, k in enumerate(kinds) if k == 2]
     if at:
-        parts = [_spread(data[i], "<u8", "<i8") for i in at]
-        found = _smaller(*(np.concatenate([p[i] for p in parts]) for i in range(2)))
+        parts = [_spread(data[i], "<u8", "<u8", "<i8") for i in at]
+        one, two, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        found = _smaller([one, two], ids)
         for i, part in zip(at, np.split(found.view(np.uint8), np.cumsum([len(p[0]) for p in parts])[:-1])):
             answer[i] = _squeeze(part)
     return _heard(table, kinds, answer)
 
 
-def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
-    """The rows of a block with their removed runs and what stays."""
+def _whole(flat: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Marks all bytes of every UTF-8 character of which a byte is marked."""
+    lead = (flat & np.uint8(0xC0)) != np.uint8(0x80)
+    lead[:1] = True
+    lost = np.logical_or.reduceat(gone, np.flatnonzero(lead))
+    return lost[np.cumsum(lead) - 1]
+
+
+def _remove(packs: pa.Table, heard: pa.Table, whole: bool) -> pa.Table:
+    """The rows of a block with their removed runs and what stays; if whole, of every character all bytes or none."""
     block = Block(packs)
     state = _answers(heard, 3)
     cover = np.zeros(len(block.flat) + 1, np.int32)
@@ -397,7 +440,7 @@ def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
         if g.any():
             edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).view(np.int8)))
             spans.append([{"start": int(i), "end": int(j)} for i, j in zip(edge[::2], edge[1::2])])
-            kept.append(block.flat[a:b][~g].tobytes())
+            kept.append(block.flat[a:b][~(_whole(block.flat[a:b], g) if whole else g)].tobytes())
         else:
             spans.append([])
             kept.append(block.flat[a:b].tobytes())
@@ -406,20 +449,32 @@ def _remove(packs: pa.Table, heard: pa.Table) -> pa.Table:
     return out.append_column("_bytes", pa.array(block.ends - block.starts)).append_column("_spans", pa.array(spans, kind)).append_column("_kept", pa.array(kept, pa.binary()))
 
 
-def repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block: int = BLOCK, many: tuple[int, int] = (MANY_BLOCKS, MANY_DOCUMENTS)) -> DataFrame:
-    """The carried columns of each document with _bytes, _spans (removed runs of bytes) and _kept (the other bytes)."""
+def _repeats(docs: DataFrame, carried: list[str], block: int = BLOCK, many: tuple[int, int] = (MANY_BLOCKS, MANY_DOCUMENTS), whole: bool = False) -> DataFrame:
+    """(row, _bytes, _spans, _kept); row holds the carried columns, so that their names meet no others."""
     spark = docs.sparkSession
-    small_batches(spark, ROWS)
+    small_batches(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    number = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    rows = docs.select(number.alias("_block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), text.alias("_text"), *carry)
-    carried = docs.select(*carry).schema
+    buckets = n if n <= MANY_BUCKETS else max(MANY_BUCKETS, n // SPREAD)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    rows = docs.select(number.alias("_block"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"), text.alias("_text"), F.struct(*carried).alias("row"))
+    kept_row = rows.select("row").schema
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Batches put together to some ROWS rows or a block's bytes."""
+        held, count, size = [], 0, 0
+        for b in batches:
+            held.append(b)
+            count, size = count + b.num_rows, size + b.nbytes
+            if count >= ROWS or size >= block:
+                yield pa.Table.from_batches(held)
+                held, count, size = [], 0, 0
+        if held:
+            yield pa.Table.from_batches(held)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
+        for t in gathered(batches):
             t = t.set_column(2, "_text", t.column("_text").cast(pa.large_binary()))
             order = np.argsort(t.column("_block").to_numpy(), kind="stable")
             held = t.column("_block").to_numpy()[order]
@@ -437,15 +492,20 @@ def repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), block: int =
 
     packs = rows.mapInArrow(pack, "block int, pack binary").repartition(n, "block").persist(StorageLevel.DISK_ONLY)
     sent = "bucket int, block int, kind int, data binary"
-    first = packs.groupBy("block").applyInArrow(lambda k, t: _first_digits(k, t, n, many[1]), "bucket int, block int, data binary")
+    first = packs.groupBy("block").applyInArrow(lambda k, t: _first_digits(k, t, buckets, many[1]), "bucket int, block int, data binary")
     heard = first.groupBy("bucket").applyInArrow(lambda k, t: _compare_first(k, t, many[0]), "block int, bucket int, kind int, data binary")
-    second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _contents(k, a, b, n), sent)
+    second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _contents(k, a, b, buckets), sent)
     heard = second.groupBy("bucket").applyInArrow(_compare_contents, "block int, bucket int, kind int, data binary")
-    second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _second_digits(k, a, b, n), sent)
+    second = packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda k, a, b: _second_digits(k, a, b, buckets), sent)
     heard = second.groupBy("bucket").applyInArrow(_compare_second, "block int, bucket int, kind int, data binary")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*carried, T.StructField("_bytes", T.LongType()), T.StructField("_spans", span), T.StructField("_kept", T.BinaryType())])
-    return packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b), schema)
+    schema = T.StructType([*kept_row, T.StructField("_bytes", T.LongType()), T.StructField("_spans", span), T.StructField("_kept", T.BinaryType())])
+    return packs.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, whole), schema)
+
+
+def repeats(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, _bytes, _spans, _kept) of each document: its length in bytes, the removed runs of bytes, the other bytes."""
+    return _repeats(docs, ["doc_id"], **options).select("row.doc_id", "_bytes", "_spans", "_kept")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -453,12 +513,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that loses some of its bytes is dropped; a text of which nothing stays is empty; a null text stays null.
     """
-    names = docs.columns
-    out = repeats(docs, carry=tuple(names))
-    # A cut may fall within a character, so that bytes left of it are no UTF-8: those are dropped.
-    kept = F.regexp_replace(F.decode("_kept", F.lit("UTF-8")), "�", "") if False else F.col("_kept").cast("string")
-    text = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(kept), F.lit("�"), F.lit("")))
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*names)
+    out = _repeats(docs, docs.columns, whole=True)
+    same, kept = F.size("_spans") == 0, F.col("_kept").cast("string")
+    new = {"text": kept, "n_chars": F.length(kept)}
+    own = lambda c: F.col("row").getField(c)
+    return out.select(*(F.when(same, own(c)).otherwise(new[c].cast(docs.schema[c].dataType)).alias(c) if c in new else own(c).alias(c) for c in docs.columns))

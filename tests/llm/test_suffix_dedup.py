@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -47,13 +48,19 @@ def test_equals_brute_force(spark, block, many):
     assert sorted((r["doc_id"], r["_bytes"], [tuple(s) for s in r["_spans"]], bytes(r["_kept"])) for r in got) == brute(rows)
 
 
-def test_without_repeats_keeps_columns(spark):
-    rows = [*documents(), *shared()]
-    docs = table(spark, rows)
+@pytest.mark.parametrize("clashing", [False, True])
+def test_without_repeats_keeps_columns(spark, clashing):
+    # Replacement characters of the text itself stay, also next to a cut.
+    rows = [*documents(), *shared(), (2010, "keep \ufffd me " + "w" * 70, "en", "s", 1), (2011, "keep \ufffd this \ufffd" + "w" * 70 + "\ufffdé end", "en", "s", 1), (None, "w" * 80, None, None, None), (None, prose(1, 3000), None, None, None)]
+    docs = table(spark, rows, clashing)
     out = suffix_dedup.without_repeats(docs)
     assert out.columns == docs.columns and out.schema == docs.schema
-    want = {i: k.decode("utf-8", "ignore") for i, _, s, k in brute(rows)}
-    null = {r[0] for r in rows if r[1] is None}
-    for r in out.collect():
-        assert r["text"] == (None if r["doc_id"] in null else want[r["doc_id"]])
+    want = Counter()
+    whole = [(2**63 - 1 if r[0] is None else r[0], *r[1:]) for r in rows]
+    for i, _, s, k in brute(whole):
+        want[i, k.decode("utf-8", "ignore")] += 1
+    got = out.collect()
+    assert Counter((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in got) == want
+    assert sum(r["text"] is None for r in got) == sum(r[1] is None for r in rows)
+    assert any("\ufffd" in (r["text"] or "") and r["doc_id"] == 2011 and "w" not in r["text"] for r in got)
     assert suffix_dedup.repeats(table(spark, [])).count() == 0
