@@ -3,11 +3,14 @@
 For each language, n-grams of characters up to ORDER, within words and their edges: raw counts for the
 longest, numbers of distinct preceding characters for the shorter ones, absolute discounting, and
 interpolation down to a uniform share. The n-grams of all languages stand in one sorted array of hashes for
-each length, with a column of values for each language, so that scoring is a binary search for each n-gram.
+each length; each points to its entries, one for each language that has it, so that scoring is a binary search for
+each n-gram and the model grows with the n-grams that occur, not with their number times that of languages.
 
 A text's cross-entropy is the mean over all its characters; the least one wins. Its score is the calibrated
-probability of the winner; accepted tells whether the cross-entropy is one that the language's own texts
-have. Every distinct word is scored once for each worker's memory of REMEMBERED words.
+probability of the winner; accepted tells whether the cross-entropy is one that unseen texts of the language
+have. Both are calibrated on texts that the model did not learn from: two models each learn from half the sample and
+measure the other half; the final one learns from all of it. Every distinct word is scored once for each worker's
+memory, of REMEMBERED bytes.
 
 The models learn from a bounded sample of the labelled rows: the first SAMPLE_BYTES of text of each language,
 in the order of a hash of the id, of all rows outside the held-out remainder; a language has one text at least.
@@ -20,7 +23,9 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +36,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import remainder, small_batches
 
 SAMPLE_BYTES = 1_500_000
-ORDER, DISCOUNT, REMEMBERED = 5, 0.75, 400_000
+ORDER, DISCOUNT, REMEMBERED = 5, 0.75, 128 << 20
 #: Share of a language's own sample that its rejection threshold keeps.
 KEPT = 0.999
+#: Bits of a character in a language that a half of the sample lacks.
+ABSENT = 64.0
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -59,6 +66,26 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     return out, of, at > 0
 
 
+class Entries:
+    """Values of (key, language) pairs, in the order of the keys."""
+
+    def __init__(self, parts: list[tuple], n: int):
+        key = np.concatenate([k for k, _, _ in parts]) if parts else np.empty(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        self.first = np.searchsorted(key[order], np.arange(n + 1)).astype(np.int64)
+        self.lang = np.concatenate([np.full(len(k), lang, np.int32) for k, lang, _ in parts])[order] if parts else np.empty(0, np.int32)
+        self.value = np.concatenate([v for _, _, v in parts]).astype(np.float32)[order] if parts else np.empty(0, np.float32)
+
+    def dense(self, at: np.ndarray, known: np.ndarray, languages: int, other: float) -> np.ndarray:
+        """The values of the known keys at, a row for each and a column for each language; other where there is none."""
+        out = np.full((len(at), languages), other, np.float32)
+        rows = np.flatnonzero(known)
+        low, n = self.first[at[rows]], self.first[at[rows] + 1] - self.first[at[rows]]
+        entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(rows, n), self.lang[entry]] = self.value[entry]
+        return out
+
+
 class Models:
     """Kneser-Ney models of some languages; words: for each language its (word, count) pairs."""
 
@@ -73,8 +100,9 @@ class Models:
         letters = np.unique(np.concatenate([g[0][0] for g in parts])) if parts else np.empty(0)
         self.floor = 1.0 / (len(letters) + 1)
         self.keys = [np.unique(np.concatenate([g[0][k][g[0][k] > 0] for g in parts])) for k in range(ORDER)]
-        self.own = [np.zeros((len(k), n), np.float32) for k in self.keys]  # discounted probability of an n-gram
-        self.rest = [np.ones((len(k), n), np.float32) for k in self.keys]  # weight of the shorter model after an n-gram
+        found: list[list[tuple]] = [[] for _ in range(ORDER)]  # (keys, language, discounted probabilities)
+        after: list[list[tuple]] = [[] for _ in range(ORDER)]  # (keys, language, weights of the shorter model after an n-gram)
+        self.start = np.ones(n, np.float32)
         for lang, (hashes, of, counted, weight) in enumerate(parts):
             for k in range(ORDER):
                 ok = (hashes[k] > 0) & counted
@@ -94,12 +122,13 @@ class Models:
                     sums, kinds = (np.bincount(ctx, x, len(self.keys[k - 1])) for x in (c[used], np.ones(len(used))))
                     total = sums[ctx]
                     seen = sums > 0
-                    self.rest[k - 1][seen, lang] = DISCOUNT * kinds[seen] / sums[seen]
+                    after[k - 1].append((np.flatnonzero(seen), lang, DISCOUNT * kinds[seen] / sums[seen]))
                 else:
                     total = np.full(len(used), c.sum())
-                    self.start = getattr(self, "start", np.ones(n, np.float32))
                     self.start[lang] = DISCOUNT * len(used) / max(c.sum(), 1)
-                self.own[k][used, lang] = (c[used] - DISCOUNT) / total
+                found[k].append((used, lang, (c[used] - DISCOUNT) / total))
+        self.own = [Entries(x, len(k)) for x, k in zip(found, self.keys)]
+        self.rest = [Entries(x, len(k)) for x, k in zip(after, self.keys)]
 
     def entropies(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of -log2 probability of each word's characters for each language, and the number of characters."""
@@ -111,8 +140,8 @@ class Models:
             at = np.minimum(at, len(self.keys[k]) - 1)
             known = (self.keys[k][at] == hashes[k])[:, None]
             held = hashes[k][:, None] > 0
-            p = np.where(held, np.where(known, self.own[k][at], 0) + rest * p, p)
-            after = np.where(known, self.rest[k][at], 1)
+            p = np.where(held, self.own[k].dense(at, known[:, 0], p.shape[1], 0) + rest * p, p)
+            after = self.rest[k].dense(at, known[:, 0], p.shape[1], 1)
             rest = np.concatenate([np.ones((1, p.shape[1]), np.float32), after[:-1]])
         bits = -np.log2(np.maximum(p, 1e-12)) * counted[:, None]
         first = np.flatnonzero(np.append(True, np.diff(of) > 0))
@@ -128,15 +157,18 @@ class Scorer:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.letters = 0
         self.bits, self.chars = np.empty((0, len(self.models.languages)), np.float32), np.empty(0, np.int64)
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Mean bits for each text and language; infinite without letters."""
-        if len(self.number) > REMEMBERED:
+        # A word takes its letters, some 100 bytes of Python, and a number for each language.
+        if self.letters + len(self.number) * (100 + 4 * len(self.models.languages)) > REMEMBERED:
             self.forget()
         number, before = self.number, len(self.number)
         rows = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t or "")), np.int64) for t in texts]
-        new = list(number)[before:] if len(number) > before else []
+        new = list(islice(number, before, None)) if len(number) > before else []
+        self.letters += sum(map(len, new))
         for i in range(0, len(new), 20_000):
             bits, chars = self.models.entropies(new[i : i + 20_000])
             self.bits, self.chars = np.concatenate([self.bits, bits]), np.concatenate([self.chars, chars])
@@ -147,23 +179,42 @@ class Scorer:
         return out
 
 
+def learned(texts: list[tuple[str, str]]) -> Models | None:
+    """Models of (language, text) pairs; None without a word."""
+    counts: dict[str, Counter] = {}
+    for lang, text in texts:
+        counts.setdefault(lang, Counter()).update(words_of(text))
+    words = {lang: sorted(c.items()) for lang, c in counts.items() if c}
+    return Models(words) if words else None
+
+
+def unseen(texts: list[tuple[str, str]], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropies of texts under a model of the other half, infinite for languages that the half lacks; their languages' numbers."""
+    h = np.full((len(texts), len(languages)), np.inf)
+    for half in (0, 1):
+        models = learned(texts[1 - half :: 2])
+        if models:
+            h[half::2, [languages.index(x) for x in models.languages]] = Scorer(models)([t for _, t in texts[half::2]])
+    return h, np.array([languages.index(name) for name, _ in texts])
+
+
 class Identifier:
     """Models with their calibration: a temperature for the score, a rejection threshold for each language."""
 
     def __init__(self, models: Models, texts: list[tuple[str, str]]):
         self.models, self.temperature = models, 8.0
-        self.most = np.full(len(models.languages), np.inf)
-        h = Scorer(models)([t for _, t in texts])
-        y = np.array([models.languages.index(name) for name, _ in texts])
-        ok = np.isfinite(h).all(axis=1)
-        h, y = h[ok], y[ok]
+        languages = self.models.languages
+        self.most = np.full(len(languages), np.inf)
+        h, y = unseen(sorted({t for t in texts if t[0] in languages}), languages)
+        ok = np.isfinite(h[np.arange(len(y)), y])  # the other half knows the language, and the text has letters
+        h, y = np.where(np.isfinite(h), h, ABSENT)[ok], y[ok]
         if len(y):
             def loss(t: float) -> float:
                 z = -t * (h - h.min(axis=1, keepdims=True))
                 return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y]).mean())
 
             self.temperature = min((0.5 * 2 ** (i / 2) for i in range(14)), key=loss)
-            for k in range(len(models.languages)):
+            for k in range(len(languages)):
                 if (y == k).any():
                     self.most[k] = np.quantile(h[y == k, k], KEPT)
 
@@ -190,13 +241,8 @@ def fit(docs: DataFrame, mod: int = 4, held: int = 2) -> Identifier | None:
     before = F.col("base") + F.coalesce(F.sum("n").over(W.partitionBy("lang", "bin").orderBy("_h", "text").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     drawn = drawn.withColumn("left", SAMPLE_BYTES - before).filter("left > 0").select("lang", F.expr("substring(text, 1, cast(left as int))").alias("text"))
     texts = [(r["lang"], bytes(r["text"]).decode(errors="ignore")) for r in drawn.toLocalIterator()]  # at most SAMPLE_BYTES for each language
-    counts: dict[str, dict[str, int]] = {}
-    for lang, text in texts:
-        c = counts.setdefault(lang, {})
-        for w in words_of(text):
-            c[w] = c.get(w, 0) + 1
-    words = {lang: sorted(c.items()) for lang, c in counts.items() if c}
-    return Identifier(Models(words), [t for t in sorted(texts) if t[0] in words]) if words else None
+    models = learned(sorted(texts))
+    return Identifier(models, texts) if models else None
 
 
 def identify(docs: DataFrame, mod: int = 4, held: int = 2) -> DataFrame:

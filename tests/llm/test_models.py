@@ -74,8 +74,8 @@ def _bits(models, word):
     for k in range(language_id.ORDER):
         at = np.minimum(np.searchsorted(models.keys[k], hashes[k]), len(models.keys[k]) - 1)
         known = (models.keys[k][at] == hashes[k])[:, None]
-        p = np.where(hashes[k][:, None] > 0, np.where(known, models.own[k][at], 0) + rest * p, p)
-        after = np.where(known, models.rest[k][at], 1)
+        own, after = models.own[k].dense(at, known[:, 0], p.shape[1], 0), models.rest[k].dense(at, known[:, 0], p.shape[1], 1)
+        p = np.where(hashes[k][:, None] > 0, own + rest * p, p)
         rest = np.concatenate([np.ones((1, p.shape[1])), after[:-1]])
     return -np.log2(p)
 
