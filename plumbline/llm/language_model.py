@@ -1,8 +1,9 @@
 """Scoring by a log-bilinear language model, trained in numpy with noise-contrastive estimation.
 
-Counts: Spark counts every training token (combined before the shuffle). The HEAD most frequent tokens, a
-bounded table, go to the tasks; the rare others of each document are joined with the counts by a shuffle,
-so every token of every text has its count over all training documents.
+Counts: Spark counts every training token (combined before the shuffle). The most frequent tokens, a table of HEAD
+at most, go to the tasks: all whose count lies above a limit that a histogram of the counts gives, so that nothing but
+these is read by the driver. The rare others of each document are joined with the counts by a shuffle, so every token
+of every text has its count over all training documents.
 
 Model: the TOP most frequent tokens are classes of their own; all others fall into BUCKETS classes by a hash
 of their first two bytes, and within a class a token has its share of smoothed counts. The vectors of the
@@ -11,7 +12,8 @@ two classes before a token, each times its place's matrix, predict the next clas
 of all known tokens and one unknown token for each bucket add up to 1.
 
 Training: every task trains a copy over the training documents it reads, with noise drawn from the class
-frequencies, and the copies are averaged by their tokens (in two steps, so that no task gathers all copies).
+frequencies, and the copies are averaged by their tokens (in two steps, so that no task gathers all copies). So the
+scores depend on how the input is dealt to tasks: the same files read in the same way give the same scores.
 Vectors start such that the untrained model is the smoothed unigram model.
 
 Null texts are empty: one end token. Repeated rows score alike. With no training documents all counts are 0
@@ -189,7 +191,7 @@ def fit(train: DataFrame, vocabulary, p: np.ndarray) -> Bilinear:
             yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([lane] * chunks, pa.int32()), pa.array([seen] * chunks, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["chunk", "lane", "seen", "sums"])
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float64) for x in t.column("sums").to_pylist())
+        total = sum(np.frombuffer(x, np.float64) for x in sorted(t.column("sums").to_pylist()))  # in an order that reruns repeat
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "lane": pa.array([0], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "chunk int, lane int, seen long, sums binary"
@@ -200,6 +202,20 @@ def fit(train: DataFrame, vocabulary, p: np.ndarray) -> Bilinear:
     return model.load(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["seen"] for r in rows])) if rows else model
 
 
+def head(c: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
+    """The most frequent tokens with their counts, HEAD at most: those in the top bins of the counts' logarithm, as many bins as fit."""
+    binned = c.withColumn("bin", F.floor(F.log2("c") * 256))
+    least, left = None, HEAD if most is None else most
+    for r in sorted(binned.groupBy("bin").agg(F.count("*").alias("n")).collect(), reverse=True):  # some ten thousand bins at most
+        if r["n"] > left:
+            break
+        least, left = r["bin"], left - r["n"]
+    if least is None:
+        return []
+    rows = [(bytes(r["token"]), r["c"]) for r in binned.filter(F.col("bin") >= least).select("token", "c").collect()]
+    return sorted(rows, key=lambda x: (-x[1], x[0]))
+
+
 def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
@@ -208,7 +224,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     train = docs.filter(~out)
     c = cut(spark, counts(train))
     total, distinct = c.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    first = [(bytes(r["token"]), r["c"]) for r in c.orderBy(F.desc("c"), "token").limit(HEAD).collect()]
+    first = head(c)
     # Mass of each bucket over all its tokens, those of the head beyond TOP too.
     by = F.crc32(F.substring("token", 1, 2)) % BUCKETS
     mass = np.ones(BUCKETS)
@@ -240,7 +256,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     rows = cut(spark, rows.withColumn("row", F.monotonically_increasing_id()))
     tail = rows.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
     known = tail.join(c, "token")
-    known = known.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("tail_sum"), F.sum("n").alias("n_tail"))
+    known = known.groupBy("row").agg(F.sum((F.col("n") * F.log10(F.col("c") + 1)).cast("decimal(38,12)")).cast("double").alias("tail_sum"), F.sum("n").alias("n_tail"))
     whole = rows.drop("tail").join(known, "row", "left").na.fill(0, ["tail_sum", "n_tail"])
     base = F.col("head_sum") + F.col("tail_sum") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
     return whole.select("doc_id", (remainder("doc_id", mod) == held).alias("held_out"), "n_tokens", (F.col("n_head") + F.col("n_tail")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("p") + F.col("tail_sum")).alias("score"))
