@@ -27,11 +27,11 @@ NUMBER = "CAST(('0x' || substr(md5('{tag}:' || {text}), 1, 8))::BIGINT % {n} AS
 
 OP9 = rf"""
 WITH c AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+  SELECT page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)', 1)), '.'), '') AS host,
     {NUMBER.format(tag="day", text="CAST(page_id AS VARCHAR)", n=730)} AS day
   FROM pages
 ), h AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),
-x AS (SELECT host, p, unnest(range(1, greatest(len(p) - 1, 1) + 1)) AS i FROM h),
+x AS (SELECT host, p, unnest(range(1, CASE WHEN regexp_matches(host, '^(\[.*\]|\d+\.\d+\.\d+\.\d+)$') THEN 2 ELSE greatest(len(p) - 1, 1) + 1 END)) AS i FROM h),
 s AS (SELECT host, array_to_string(p[i:], '.') AS domain FROM x),
 n AS (SELECT DISTINCT domain FROM s),
 l AS (
