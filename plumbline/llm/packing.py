@@ -15,6 +15,7 @@ go by (doc_id, piece). An empty table gives an empty result. Other columns are i
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,31 +30,47 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, small_batches
 
 SIZE, END = 2048, 0
-#: Distinct chunks whose ids a worker remembers, and pieces of a rank bucket.
-REMEMBERED, BUCKET = 500_000, 20_000
+#: Distinct chunks whose ids a worker remembers, the characters of all of them, and pieces of a rank bucket.
+REMEMBERED, CHARACTERS, BUCKET = 500_000, 32_000_000, 20_000
 #: Marks that close a word.
 MARKS = ",.;:!?|"
+# Fixed value: the pattern by which the word tokenizers part a text.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters before this one fold case one by one and have no other form.
 LATIN = "\u0130"
 
 
 class Numbered(dict):
-    """Numbers keys as they come; new holds those since it was last emptied."""
+    """Numbers keys as they come; new holds those since it was last emptied, characters counts all keys'."""
 
     def __init__(self):
         self.new: list[str] = []
+        self.characters = 0
 
     def __missing__(self, key: str) -> int:
         self[key] = n = len(self)
         self.new.append(key)
+        self.characters += len(key)
         return n
 
 
+def folds_and_parts(tokenizer) -> bool:
+    """Whether the tokenizer drops white space, folds case, composes characters and always parts letters from marks: then a text may be
+    encoded chunk by chunk. The rule is read from its own description, with the pattern that parts words as a fixed value."""
+    held = json.loads(tokenizer.to_str())
+    steps = held.get("normalizer") or {}
+    kinds = [n.get("type") for n in steps.get("normalizers", [])]
+    parts = ((held.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    pattern = parts.get("pattern", {}).get("Regex")
+    return kinds == ["NFC", "Replace", "Lowercase"] and parts.get("invert") is True and parts.get("behavior") == "Removed" and pattern == PARTS
+
+
 class Encoder:
     """Ids of texts, chunk by chunk between ASCII white space; remembers a bounded number of chunks.
 
     A chunk of Latin letters, with or without closing marks, is encoded as its lower-case word and its marks,
-    for the tokenizer folds case and always parts letters from marks; any other chunk goes to it as it is.
+    for the tokenizer folds case and always parts letters from marks; any other chunk goes to it as it is. A tokenizer
+    that does not work so (`folds_and_parts`) gets whole texts, and nothing is remembered.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -61,6 +78,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.word, self.remembered = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered
+        self.by_chunk = folds_and_parts(self.whole)
         self.word.normalizer, self.word.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
 
@@ -92,7 +110,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, the end id last."""
-        if len(self.chunks) > self.remembered:
+        if not self.by_chunk:
+            return [np.array([*self.whole.encode(t, add_special_tokens=False).ids, END], np.uint32) for t in texts]
+        if len(self.chunks) > self.remembered or self.chunks.characters > CHARACTERS:
             self.forget()
         number = self.chunks.__getitem__
         rows = []
