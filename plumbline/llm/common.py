@@ -18,14 +18,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows (so the memory) of the batches that Python workers get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows (so the memory) of the batches that Python workers get; all operators share the one value."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir; a local one only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
+    """A new folder in the shared folder of spark.checkpoint.dir.
+
+    Where it is unset, a local folder serves a local master, as in tests; a cluster has no folder that all its
+    machines see then, so that is an error. The folders hold intermediate tables and can go when the application ends.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        base = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
     return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
 
 

@@ -9,8 +9,12 @@ Only two aggregates cross the network: words by source (combined before the shuf
 with a third of all rows costs no more than another), and the plan, one row per source, which Spark
 broadcasts where its measured size allows and else joins with skew splitting.
 
+The windows of the plan run over one row per source in one task; a source is a data set, so there are
+thousands of them at most, not millions.
+
 Null texts and texts of white space have size 0 and are never taken. A null source is a source of its
-own, last in order. Equal ids draw equally. An empty table gives an empty result.
+own, last in order. Equal ids draw equally. Extra columns of any name pass through the mixture unchanged. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,18 +64,22 @@ def draw(doc_id: str = "doc_id", seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with size, source_size, target and copies of each document."""
-    sized = docs.select(*carry, F.col("source").alias("_source"), words_of("text").alias("size"))
+def _mixed(docs: DataFrame, carried: list[str], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """(row, size, source_size, target, copies); row holds the carried columns, so that their names meet no others."""
+    sized = docs.select(F.struct(*carried).alias("row"), draw(seed=seed).alias("drawn"), F.col("source").alias("of"), words_of("text").alias("size"))
     lean = docs.select(F.col("source").alias("key"), words_of("text").alias("size"))
-    joined = sized.join(plan(lean, weights, cap), F.col("_source").eqNullSafe(F.col("key")))
+    joined = sized.join(plan(lean, weights, cap), F.col("of").eqNullSafe(F.col("key")))
     whole = F.floor("rate")
-    copies = whole + (draw(seed=seed) < F.col("rate") - whole).cast("long")
-    return joined.select(*carry, "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"))
+    copies = whole + (F.col("drawn") < F.col("rate") - whole).cast("long")
+    return joined.select("row", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, size, source_size, target, copies) of each document."""
+    return _mixed(docs, ["doc_id"], **options).select("row.doc_id", "size", "source_size", "target", "copies")
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns."""
-    taken = mix(docs, carry=tuple(docs.columns), **options)
-    names = docs.columns
-    return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    taken = _mixed(docs, docs.columns, **options).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

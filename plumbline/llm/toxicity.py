@@ -4,12 +4,12 @@ Inputs: each word of a window has word features (a learned vector by word hash,
 word among the labels) and character features (the mean of learned vectors of its byte n-grams, and the
 largest and mean log-odds of its n-grams). Two gated recurrent layers read the window forwards and
 backwards; attention pools states and inputs into one vector and a logit. Windows overlap by half and
-together hold every word of a text; the document's score is a logistic calibration of its largest logit and
-its number of windows.
+together hold every word of a text; the document's score is a logistic calibration of its largest logit.
 
-The network learns from a bounded sample of the labelled rows: at most about SAMPLE documents and
-SAMPLE_BYTES of text of each class, drawn by a hash of the id from all labelled rows outside the held-out
-remainder. Training takes place on that sample; scoring is one narrow pass over all texts.
+The network learns from a bounded sample of the labelled rows: about SAMPLE documents of each class, drawn by
+a hash of the id from all labelled rows outside the held-out remainder, and of these, in the order of the hash,
+the first SAMPLE_BYTES of text, the last text cut. Spark applies both bounds before anything is read. Training
+takes place on that sample; scoring is one narrow pass over all texts.
 
 Null and empty texts get the calibrated score of a text without windows. Labels that contradict each other
 count as toxic; null labels do not count. Without a labelled row of both classes every score is 0.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import remainder, small_batches, text_bytes
@@ -199,17 +200,17 @@ class Net:
         return g
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        top, n = self.tops(Inputs(texts))
+        top = self.tops(Inputs(texts))
         return _sigmoid(self.scale[0] * top + self.scale[1]).astype(np.float64)
 
-    def tops(self, x: Inputs) -> tuple[np.ndarray, np.ndarray]:
-        """Largest logit and number of windows of each text; a text without words has the logit of no evidence."""
+    def tops(self, x: Inputs) -> np.ndarray:
+        """Largest logit of each text's windows; a text without words has the logit of no evidence."""
         text, w = x.windows()
-        top, n = np.full(len(x.rows), -4.0, np.float32), np.bincount(text, minlength=len(x.rows))
+        top = np.full(len(x.rows), -4.0, np.float32)
         v = self.inputs(x)
         for i in range(0, len(w), 8192):
             np.maximum.at(top, text[i : i + 8192], self.forward(v, w[i : i + 8192]))
-        return top, n
+        return top
 
 
 def _odds(hashes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
@@ -259,7 +260,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Net | None:
                     net.p[k] -= (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
         v = net.inputs(x)
         strength = np.concatenate([net.forward(v, w[i : i + 8192]) for i in range(0, len(w), 8192)])
-    top, n = net.tops(x)
+    top = net.tops(x)
     a, b = 1.0, 0.0  # logistic calibration of the largest logit
     z = top.astype(np.float64)
     for _ in range(25):
@@ -292,42 +293,43 @@ def labelled(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
         part = F.when(F.col("toxic") == toxic, F.lit(min(1.0, SAMPLE / count))).otherwise(part)
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < part * (1 << 20))
     # A few thousand ids at most, whatever the number of labels.
-    return docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(drawn), "doc_id")
+    texts = texts.select("doc_id", "toxic", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("doc_id", "text").alias("draw"))
+    before = F.coalesce(F.sum(F.octet_length("text")).over(W.partitionBy("toxic").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    texts = texts.withColumn("left", SAMPLE_BYTES - before).filter("left > 0")
+    return texts.select("doc_id", "draw", F.expr("substring(text, 1, CAST(left AS INT))").alias("text"), "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5) -> Net | None:
-    sample = labelled(docs, labels, mod)
-    sample = sample.withColumn("draw", F.xxhash64("doc_id", "text"))
-    rows, size, texts, toxic = sample.toLocalIterator(), {True: 0, False: 0}, [], []
-    for row in sorted(rows, key=lambda q: (q["draw"], q["doc_id"])):
-        if size[row["toxic"]] <= SAMPLE_BYTES:
-            size[row["toxic"]] += len(row["text"])
-            texts.append(bytes(row["text"]))
-            toxic.append(row["toxic"])
-    return train(texts, np.array(toxic, bool))
-
-
-def score(docs: DataFrame, labels: DataFrame, mod: int = 5, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The carried columns with score (0 to 1, higher: likelier toxic) and predicted (score >= 0.5)."""
+    # At most SAMPLE_BYTES of each class, which labelled() has cut.
+    rows = sorted(labelled(docs, labels, mod).toLocalIterator(), key=lambda q: (q["draw"], q["doc_id"]))
+    return train([bytes(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], bool))
+
+
+def _scored(docs: DataFrame, labels: DataFrame, carried: list[str], mod: int) -> DataFrame:
+    """(row, score); row holds the carried columns, so that their names meet no others."""
     spark = docs.sparkSession
     net = fit(docs, labels, mod)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(net)  # a few MB, fixed by SLOTS and ODDS
-    rows = docs.select(*carry, text_bytes().alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double")
+    rows = docs.select(F.struct(*carried).alias("row"), text_bytes().alias("text"))
+    schema = rows.drop("text").schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             s = model.scores(texts) if model else np.zeros(len(texts))
-            columns = [b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s)], [*carry, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["row", "score"])
+
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def score(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
+    """(doc_id, score, predicted): score from 0 to 1, higher where label 1 is likelier; predicted says whether it is 0.5 or more."""
+    return _scored(docs, labels, ["doc_id"], mod).select("row.doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
     """The documents whose score is below 0.5, with their own columns."""
-    marked = score(docs, labels, mod, carry=tuple(docs.columns))
-    return marked.filter("predicted = 0").select(*docs.columns)
+    return _scored(docs, labels, docs.columns, mod).filter("score < 0.5").select("row.*")
