@@ -19,7 +19,7 @@ anchors as above, with replicas within one bit more than the covering radius. A
 chance of 0.39, so 16 blocks lose 0.03 % of such pairs, and fewer of closer ones. Pairs that meet and differ in at
 most FAR of 192 bits (4 standard deviations above the mean at 0.8) are candidates; each link is decided by the exact
 similarity. First each text is compared with its nearest and its first candidate of each anchor, and what is similar
-is put together; then all candidate pairs that are still apart are compared.
+is put together; then, of the texts that have a candidate at all, all candidate pairs that are still apart are compared.
 
 Equal fingerprints (or sets) are one node, so copies cost nothing after the first aggregate. An anchor with many
 nodes is cut into a grid of cells of bounded size: homes by row, visitors by column, each cell a group of its own.
@@ -196,7 +196,7 @@ def by_cell(rows: DataFrame, cell: int, find, schema: str, wide: DataFrame | Non
     own, every = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     placed = placed.withColumn("r", F.explode(F.when(F.col("home"), F.array(own)).otherwise(every)))
     placed = placed.withColumn("c", F.explode(F.when(F.col("home"), every).otherwise(F.array(own))))
-    placed = placed.withColumn("cell", F.xxhash64("anchor", "r", "c")).select("cell", "anchor", "r", "c", "home", *names)
+    placed = placed.select("anchor", "r", "c", "home", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -220,7 +220,7 @@ def by_cell(rows: DataFrame, cell: int, find, schema: str, wide: DataFrame | Non
         if rest is not None and rest.num_rows:
             yield from _joined(found(rest))
 
-    return placed.repartition("cell").sortWithinPartitions("anchor", "r", "c").mapInArrow(run, schema)
+    return placed.repartition("anchor", "r", "c").sortWithinPartitions("anchor", "r", "c").mapInArrow(run, schema)
 
 
 def _joined(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def anchored_wide(nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(t: dict[str, np.ndarray], every: bool, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs u < v of a cell with different roots: all, or each home's nearest and least visitor."""
+    """Candidate pairs u < v of a cell with different roots: all, or each home's nearest and least visitor and each visitor's nearest home."""
     home = t["home"]
     if not home.any() or home.all():
         return
@@ -318,6 +318,7 @@ def _candidates(t: dict[str, np.ndarray], every: bool, far: int) -> Iterator[tup
     words = np.stack([t[f"f{k}"] for k in range(COMPARED)], axis=1).view(np.uint64)
     h, v = np.flatnonzero(home), np.flatnonzero(~home)
     v = v[np.argsort(node[v])]
+    least, of = np.full(len(v), far + 1, np.int16), np.zeros(len(v), np.int64)
     for i in range(0, len(h), 512):
         rows = h[i : i + 512]
         off = sum(np.bitwise_count(words[rows, k][:, None] ^ words[v, k][None, :]).astype(np.int16) for k in range(COMPARED))
@@ -326,11 +327,17 @@ def _candidates(t: dict[str, np.ndarray], every: bool, far: int) -> Iterator[tup
             a, b = np.nonzero(ok)
         else:
             a = np.flatnonzero(ok.any(axis=1))
-            nearest = np.where(ok[a], off[a], np.int16(999)).argmin(axis=1)
+            off = np.where(ok, off, np.int16(far + 1))
+            nearest, home_of = off[a].argmin(axis=1), off.argmin(axis=0)
             a, b = np.concatenate([a, a]), np.concatenate([nearest, ok[a].argmax(axis=1)])
+            closer = off[home_of, np.arange(len(v))] < least
+            least[closer], of[closer] = off[home_of[closer], closer], rows[home_of[closer]]
         if len(a):
             x, y = node[rows[a]], node[v[b]]
             yield np.minimum(x, y), np.maximum(x, y)
+    if (least <= far).any() and not every:
+        x, y = node[of[least <= far]], node[v[least <= far]]
+        yield np.minimum(x, y), np.maximum(x, y)
 
 
 def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> DataFrame:
@@ -341,7 +348,11 @@ def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> Da
     texts = docs.select(row_key().alias("key"), "text")
     links = None
     for every in (False, True):
-        rows = anchored_wide(nodes)
+        if every:  # each node that has a candidate has been in a pair
+            used = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+            rows = anchored_wide(cut(spark, nodes.join(used, "node", "left_semi")))
+        else:
+            rows = anchored_wide(nodes)
         found = by_cell(rows, cell, lambda t, every=every: _candidates(t, every, FAR), "u long, v long", rows).distinct()
         if links is not None:
             found = found.join(tried, ["u", "v"], "left_anti")
