@@ -18,7 +18,7 @@ Repeated rows get equal scores. Extra columns are ignored. An empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ class Inputs:
         self.rows = []
         for t in texts:
             words = chunks(t)
-            self.rows.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)))
+            self.rows.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
         words = list(number) or [b""]
         self.word, gram, self.owner = features(words)
         self.gram, self.n = gram, len(words)
@@ -110,7 +110,7 @@ class Inputs:
         base = (np.cumsum(sizes) - sizes)[text]
         place = at[:, None] + np.arange(WINDOW)
         held = place < sizes[text][:, None]
-        return text, np.where(held, np.concatenate(self.rows)[np.minimum(base[:, None] + place, sizes.sum() - 1)], -1)
+        return text, np.where(held, np.concatenate(self.rows)[np.minimum(base[:, None] + place, sizes.sum() - 1)], np.int32(-1))
 
 
 class Net:
@@ -213,7 +213,7 @@ class Net:
         return top
 
 
-def _odds(hashes: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _odds(hashes: Iterable[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Log-odds of each slot among toxic and other documents, shrunk towards 0 where it is rare."""
     t, c = np.zeros(ODDS), np.zeros(ODDS)
     for h, y in zip(hashes, toxic):
@@ -231,7 +231,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Net | None:
     x, r = Inputs(texts), np.random.default_rng(seed)
     ends = np.append(x.first, len(x.owner))
     grams = lambda row: x.gram[np.concatenate([np.arange(ends[i], ends[i + 1]) for i in np.unique(row)])] if len(row) else x.gram[:0]
-    net = Net(_odds([x.word[row] for row in x.rows], toxic), _odds([grams(row) for row in x.rows], toxic), seed)
+    net = Net(_odds((x.word[row] for row in x.rows), toxic), _odds((grams(row) for row in x.rows), toxic), seed)
     text, w = x.windows()
     v = net.inputs(x)
     strength = np.where(w >= 0, (v[:, 0] + v[:, 1])[w], -9).max(axis=1)
@@ -302,8 +302,8 @@ def labelled(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5) -> Net | None:
     # At most SAMPLE_BYTES of each class, which labelled() has cut.
-    rows = sorted(labelled(docs, labels, mod).toLocalIterator(), key=lambda q: (q["draw"], q["doc_id"]))
-    return train([bytes(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], bool))
+    rows = sorted((r["draw"], r["doc_id"], bytes(r["text"]), r["toxic"]) for r in labelled(docs, labels, mod).toLocalIterator())
+    return train([r[2] for r in rows], np.array([r[3] for r in rows], bool))
 
 
 def _scored(docs: DataFrame, labels: DataFrame, carried: list[str], mod: int) -> DataFrame:
