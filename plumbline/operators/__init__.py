@@ -1,5 +1,6 @@
-"""The operators, as named SELECTs that refer to each other and to given relations (log, logits, records, runs, plates)."""
+"""The operators, as named relations of each other and of given ones (log, logits, attention, records, runs, plates)."""
 
-from plumbline.operators import agreement, benchmark, consensus, evaluation, perturbation, risk, robustness, uncertainty
+from plumbline.operators import agreement, attention, benchmark, consensus, evaluation, perturbation, risk, robustness, uncertainty
+from plumbline.operators.frames import RELATIONS
 
-MODELS = agreement.MODELS | perturbation.MODELS | consensus.MODELS | risk.MODELS | evaluation.MODELS | robustness.MODELS | uncertainty.MODELS | benchmark.MODELS
+__all__ = ["RELATIONS", "agreement", "attention", "benchmark", "consensus", "evaluation", "perturbation", "risk", "robustness", "uncertainty"]

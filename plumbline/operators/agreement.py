@@ -1,51 +1,209 @@
 """Agreement, disagreement and confidence of models on clean samples.
 
-`base` holds the clean rows of the log; `deduped` the first non-null class and confidence of each sample and
-model by `seq`. Everything is grouped by sample first, so one shuffle on sample_id serves all of it.
+`rows` deals the log by sample once and keeps it on the executors' disks (made again if lost): all relations by sample
+group, join and rank within that dealing, without another shuffle. `deduped` holds the first non-null class and
+confidence of each sample and model by `seq`.
 """
 
 from __future__ import annotations
 
-from plumbline.functions.labels import is_clean
-
-MODELS = {
-    "base": f"SELECT * FROM log WHERE {is_clean('severity_level')}",
-    "deduped": "SELECT sample_id, model_name, min_by(predicted_class, seq) FILTER (WHERE predicted_class IS NOT NULL) AS predicted_class, min_by(confidence, seq) FILTER (WHERE confidence IS NOT NULL) AS confidence FROM base GROUP BY sample_id, model_name",
-    "complete": "SELECT sample_id, count(DISTINCT predicted_class) AS n_classes FROM deduped WHERE predicted_class IS NOT NULL GROUP BY sample_id HAVING count(DISTINCT model_name) = (SELECT count(DISTINCT model_name) FROM base)",
-    # Pairs of models a < b within a sample.
-    "pairs": """SELECT a.sample_id, a.model_name AS model_a, b.model_name AS model_b, a.predicted_class AS class_a, b.predicted_class AS class_b, a.confidence AS confidence_a, b.confidence AS confidence_b,
-        round(abs(a.confidence - b.confidence), 6) AS confidence_diff, a.predicted_class = b.predicted_class AS classes_agree
-      FROM deduped a JOIN deduped b ON a.sample_id = b.sample_id AND a.model_name < b.model_name
-      WHERE a.predicted_class IS NOT NULL AND b.predicted_class IS NOT NULL AND a.confidence IS NOT NULL AND b.confidence IS NOT NULL""",
-    "class_pairs": "SELECT a.model_name AS model_a, b.model_name AS model_b, a.predicted_class AS class_a, b.predicted_class AS class_b, count(*) AS n FROM deduped a JOIN deduped b ON a.sample_id = b.sample_id AND a.model_name < b.model_name WHERE a.predicted_class IS NOT NULL AND b.predicted_class IS NOT NULL GROUP BY a.model_name, b.model_name, a.predicted_class, b.predicted_class",
-    "a1_agreement_matrix": """SELECT model_a, model_b, round(100e0 * CAST(sum(CASE WHEN class_a = class_b THEN n ELSE 0 END) AS BIGINT) / CAST(sum(n) AS BIGINT), 6) AS agreement_pct, CAST(sum(n) AS BIGINT) AS n_common FROM class_pairs GROUP BY model_a, model_b
-      UNION ALL SELECT model_b, model_a, round(100e0 * CAST(sum(CASE WHEN class_a = class_b THEN n ELSE 0 END) AS BIGINT) / CAST(sum(n) AS BIGINT), 6), CAST(sum(n) AS BIGINT) FROM class_pairs GROUP BY model_a, model_b
-      UNION ALL SELECT model_name, model_name, 100e0, count(*) FROM deduped WHERE predicted_class IS NOT NULL GROUP BY model_name""",
-    "a2_disagreement_statistics": "SELECT count(*) AS total_samples, count(*) FILTER (WHERE n_classes = 1) AS agreement_count, count(*) FILTER (WHERE n_classes > 1) AS disagreement_count, round(count(*) FILTER (WHERE n_classes = 1) / CAST(count(*) AS DOUBLE), 6) AS agreement_rate, round(count(*) FILTER (WHERE n_classes > 1) / CAST(count(*) AS DOUBLE), 6) AS disagreement_rate, (SELECT count(DISTINCT model_name) FROM base) AS n_models FROM complete",
-    "a2_samples_by_model": "SELECT model_name, count(DISTINCT sample_id) AS samples FROM base GROUP BY model_name",
-    # All rows of the disagreement samples: a semi-join.
-    "a3_disagreements": "SELECT b.sample_id, b.model_name, b.predicted_class, b.confidence FROM base b WHERE b.sample_id IN (SELECT sample_id FROM complete WHERE n_classes > 1)",
-    "kappa_cells": "SELECT model_a, model_b, class_a, class_b, n, sum(n) OVER (PARTITION BY model_a, model_b) AS total, sum(n) OVER (PARTITION BY model_a, model_b, class_a) AS row_total FROM class_pairs",
-    "kappa_columns": "SELECT model_a, model_b, class_b, sum(n) AS column_total FROM class_pairs GROUP BY model_a, model_b, class_b",
-    "kappa_rows": "SELECT model_a, model_b, class_a, sum(n) AS row_total FROM class_pairs GROUP BY model_a, model_b, class_a",
-    "kappa_expected": "SELECT r.model_a, r.model_b, CAST(sum(r.row_total * c.column_total) AS DOUBLE) AS crossed FROM kappa_rows r JOIN kappa_columns c ON r.model_a = c.model_a AND r.model_b = c.model_b AND r.class_a = c.class_b GROUP BY r.model_a, r.model_b",
-    "kappa_observed": "SELECT model_a, model_b, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(CASE WHEN class_a = class_b THEN n ELSE 0 END) AS DOUBLE) AS same FROM class_pairs GROUP BY model_a, model_b",
-    "a4_cohen_kappa": "SELECT o.model_a, o.model_b, round(o.same / o.total, 6) AS observed, round(e.crossed / (o.total * o.total), 6) AS expected, round((o.same / o.total - e.crossed / (o.total * o.total)) / nullif(1e0 - e.crossed / (o.total * o.total), 0e0), 6) AS kappa FROM kappa_observed o JOIN kappa_expected e ON o.model_a = e.model_a AND o.model_b = e.model_b",
-    "fleiss_counts": "SELECT d.sample_id, d.predicted_class, count(*) AS n FROM deduped d JOIN complete c ON d.sample_id = c.sample_id GROUP BY d.sample_id, d.predicted_class",
-    "fleiss_samples": "SELECT sample_id, sum(n * n) AS squares, sum(n) AS raters FROM fleiss_counts GROUP BY sample_id",
-    "fleiss_observed": "SELECT avg((squares - raters) / CAST(raters * (raters - 1) AS DOUBLE)) AS observed FROM fleiss_samples",
-    "fleiss_classes": "SELECT predicted_class, CAST(sum(n) AS DOUBLE) AS n FROM fleiss_counts GROUP BY predicted_class",
-    "fleiss_expected": "SELECT sum(n * n) / (sum(n) * sum(n)) AS expected FROM fleiss_classes",
-    "a5_fleiss_kappa": "SELECT round(observed, 6) AS observed, round(expected, 6) AS expected, round((observed - expected) / nullif(1e0 - expected, 0e0), 6) AS kappa FROM fleiss_observed CROSS JOIN fleiss_expected",
-    "a6_confidence_gaps": "SELECT sample_id, round(min(confidence), 6) AS confidence_min, round(max(confidence), 6) AS confidence_max, round(avg(confidence), 6) AS confidence_mean, round(max(confidence) - min(confidence), 6) AS confidence_gap, count(DISTINCT model_name) AS n_models, count(DISTINCT predicted_class) = 1 AS all_agree FROM base GROUP BY sample_id HAVING count(*) >= 2 AND count(confidence) >= 1",
-    "a7_spread_summary": "SELECT round(avg(confidence_diff), 6) AS mean_diff, round(max(confidence_diff), 6) AS max_diff, round(median(confidence_diff), 6) AS median_diff, round(avg(CASE WHEN classes_agree THEN confidence_diff END), 6) AS mean_diff_agree, round(avg(CASE WHEN NOT classes_agree THEN confidence_diff END), 6) AS mean_diff_disagree, count(*) AS pairs, count(*) FILTER (WHERE classes_agree) AS agree_pairs, count(*) FILTER (WHERE NOT classes_agree) AS disagree_pairs FROM pairs",
-    "p9_scored_pairs": """SELECT *, round(least(1e0, greatest(0e0, CASE WHEN classes_agree THEN 0.3e0 ELSE 1e0 END * (CASE WHEN classes_agree THEN 0e0 ELSE 0.5e0 END + 0.5e0 * (0.6e0 * confidence_diff
-          + 0.4e0 * CASE WHEN classes_agree THEN 1e0 - (confidence_a + confidence_b) / 2e0 ELSE (confidence_a + confidence_b) / 2e0 END)))), 6) AS disagreement_score,
-        CASE WHEN classes_agree THEN 'low' WHEN confidence_a >= 0.8e0 AND confidence_b >= 0.8e0 THEN 'critical' WHEN confidence_a >= 0.5e0 AND confidence_b >= 0.5e0 THEN 'high' ELSE 'moderate' END AS severity
-      FROM pairs""",
-    "a8_score_summary": "SELECT round(avg(disagreement_score), 6) AS mean_score, max(disagreement_score) AS max_score, min(disagreement_score) AS min_score, round(median(disagreement_score), 6) AS median_score, count(*) AS pairs FROM p9_scored_pairs",
-    "a9_sample_severity": "SELECT sample_id, CASE max(CASE severity WHEN 'low' THEN 0 WHEN 'moderate' THEN 1 WHEN 'high' THEN 2 ELSE 3 END) WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' ELSE 'critical' END AS severity, count(*) FILTER (WHERE severity = 'low') AS low_pairs, count(*) FILTER (WHERE severity = 'moderate') AS moderate_pairs, count(*) FILTER (WHERE severity = 'high') AS high_pairs, count(*) FILTER (WHERE severity = 'critical') AS critical_pairs FROM p9_scored_pairs GROUP BY sample_id",
-    "a10_severity_summary": "SELECT severity, count(*) AS pairs, round(count(*) / CAST((SELECT count(*) FROM p9_scored_pairs) AS DOUBLE), 6) AS rate FROM p9_scored_pairs GROUP BY severity",
-    "a10_critical_samples": "SELECT DISTINCT sample_id, severity FROM p9_scored_pairs WHERE severity IN ('critical', 'high')",
-}
-del MODELS["kappa_cells"]
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import clip, nudged, over, share, six
+from plumbline.functions.labels import is_clean, rank
+from plumbline.operators.frames import Frames, relation
+
+SEVERITIES = ("low", "moderate", "high", "critical")
+
+
+@relation
+def rows(r: Frames) -> DataFrame:
+    log = r.log.select("sample_id", "model_name", "predicted_class", "confidence", "perturbation_type", "severity_level", "seq")
+    return log.withColumn("severity_rank", rank("severity_level")).repartition("sample_id").persist(StorageLevel.DISK_ONLY)
+
+
+@relation
+def base(r: Frames) -> DataFrame:
+    return r.rows.filter(is_clean())
+
+
+@relation
+def model_count(r: Frames) -> DataFrame:
+    """One row: the number of models with clean rows."""
+    return r.log.filter(is_clean()).agg(F.count_distinct("model_name").alias("all_models"))
+
+
+@relation
+def deduped(r: Frames) -> DataFrame:
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return r.base.groupBy("sample_id", "model_name").agg(first("predicted_class"), first("confidence"))
+
+
+@relation
+def complete(r: Frames) -> DataFrame:
+    """Samples that every model has classified, with their number of classes."""
+    by = r.deduped.filter("predicted_class IS NOT NULL").groupBy("sample_id")
+    counts = by.agg(F.count("*").alias("n_models"), F.size(F.collect_set("predicted_class")).alias("n_classes"))
+    return counts.crossJoin(F.broadcast(r.model_count)).filter("n_models = all_models").select("sample_id", "n_classes")
+
+
+@relation
+def agreed(r: Frames) -> DataFrame:
+    """Samples on which all models agree when clean."""
+    return r.complete.filter("n_classes = 1").select("sample_id")
+
+
+@relation
+def class_pairs(r: Frames) -> DataFrame:
+    """How often two models a < b say which classes on the samples that both have."""
+    one = r.deduped.filter("predicted_class IS NOT NULL")
+    a = one.select("sample_id", F.col("model_name").alias("model_a"), F.col("predicted_class").alias("class_a"))
+    b = one.select("sample_id", F.col("model_name").alias("model_b"), F.col("predicted_class").alias("class_b"))
+    return a.join(b, "sample_id").filter("model_a < model_b").groupBy("model_a", "model_b", "class_a", "class_b").agg(F.count("*").alias("n"))
+
+
+@relation
+def model_pairs_seen(r: Frames) -> DataFrame:
+    """Every pair of models with the samples that both have and on which they agree; without common samples 0."""
+    names = r.log.filter(is_clean()).select("model_name").distinct()
+    every = names.select(F.col("model_name").alias("model_a")).crossJoin(names.select(F.col("model_name").alias("model_b"))).filter("model_a < model_b")
+    seen = r.class_pairs.groupBy("model_a", "model_b").agg(F.sum("n").alias("n_common"), F.sum(F.when(F.col("class_a") == F.col("class_b"), F.col("n")).otherwise(0)).alias("same"))
+    return every.join(seen, ["model_a", "model_b"], "left").na.fill(0, ["n_common", "same"])
+
+
+@relation
+def a1_agreement_matrix(r: Frames) -> DataFrame:
+    percent = six(F.lit(100.0) * over(F.col("same").cast("double"), F.col("n_common").cast("double"))).alias("agreement_pct")
+    ways = [r.model_pairs_seen.select(F.col(x).alias("model_a"), F.col(y).alias("model_b"), percent, "n_common") for x, y in (("model_a", "model_b"), ("model_b", "model_a"))]
+    own = r.deduped.filter("predicted_class IS NOT NULL").groupBy("model_name").agg(F.count("*").alias("n_common"))
+    own = own.select(F.col("model_name").alias("model_a"), F.col("model_name").alias("model_b"), F.lit(100.0).alias("agreement_pct"), "n_common")
+    return ways[0].unionByName(ways[1]).unionByName(own)
+
+
+@relation
+def s9_agreement_pairs(r: Frames) -> DataFrame:
+    """The agreement matrix as long pairs with two digits."""
+    return r.a1_agreement_matrix.select("model_a", "model_b", F.round("agreement_pct", 2).alias("agreement_pct"))
+
+
+@relation
+def a2_disagreement_statistics(r: Frames) -> DataFrame:
+    same, differ = F.col("n_classes") == 1, F.col("n_classes") > 1
+    out = r.complete.agg(F.count("*").alias("total_samples"), F.count_if(same).alias("agreement_count"), F.count_if(differ).alias("disagreement_count"), six(share(same)).alias("agreement_rate"), six(share(differ)).alias("disagreement_rate"))
+    return out.crossJoin(F.broadcast(r.model_count)).withColumnRenamed("all_models", "n_models")
+
+
+@relation
+def a2_samples_by_model(r: Frames) -> DataFrame:
+    return r.log.filter(is_clean()).groupBy("model_name").agg(F.count_distinct("sample_id").alias("samples"))
+
+
+@relation
+def a3_disagreements(r: Frames) -> DataFrame:
+    """All clean rows of the samples on which models differ."""
+    found = r.complete.filter("n_classes > 1").select("sample_id")
+    return r.base.join(found, "sample_id", "left_semi").select("sample_id", "model_name", "predicted_class", "confidence")
+
+
+@relation
+def a4_cohen_kappa(r: Frames) -> DataFrame:
+    pair = ["model_a", "model_b"]
+    lines = r.class_pairs.groupBy(*pair, F.col("class_a").alias("k")).agg(F.sum("n").alias("in_a"))
+    columns = r.class_pairs.groupBy(*pair, F.col("class_b").alias("k")).agg(F.sum("n").alias("in_b"))
+    chance = lines.join(columns, [*pair, "k"]).groupBy(*pair).agg(F.sum(F.col("in_a") * F.col("in_b")).cast("double").alias("crossed"))
+    seen = r.model_pairs_seen.select(*pair, F.col("n_common").cast("double").alias("n"), F.col("same").cast("double").alias("same"))
+    observed, expected = F.col("same") / F.col("n"), F.col("crossed") / (F.col("n") * F.col("n"))
+    return seen.join(chance, pair).select(*pair, six(observed).alias("observed"), six(expected).alias("expected"), six(over(observed - expected, 1.0 - expected)).alias("kappa"))
+
+
+@relation
+def a5_fleiss_kappa(r: Frames) -> DataFrame:
+    votes = r.deduped.join(r.complete, "sample_id").groupBy("sample_id", "predicted_class").agg(F.count("*").alias("n"))
+    by = votes.groupBy("sample_id").agg(F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum("n").alias("raters"))
+    observed = by.agg(F.avg((F.col("squares") - F.col("raters")) / (F.col("raters") * (F.col("raters") - 1)).cast("double")).alias("observed"))
+    sizes = votes.groupBy("predicted_class").agg(F.sum("n").cast("double").alias("n"))
+    expected = sizes.agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("expected"))
+    kappa = over(F.col("observed") - F.col("expected"), 1.0 - F.col("expected"))
+    return observed.crossJoin(expected).select(six("observed").alias("observed"), six("expected").alias("expected"), six(kappa).alias("kappa"))
+
+
+@relation
+def gaps(r: Frames) -> DataFrame:
+    """Spread of the confidences of each sample's clean rows (not of its models), if there are two rows and one confidence."""
+    by = r.base.groupBy("sample_id").agg(
+        F.count("*").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.avg("confidence").alias("mean"),
+        F.size(F.collect_set("model_name")).cast("long").alias("n_models"), F.size(F.collect_set("predicted_class")).alias("classes"),
+    )
+    return by.filter("n >= 2 AND low IS NOT NULL")
+
+
+@relation
+def a6_confidence_gaps(r: Frames) -> DataFrame:
+    return r.gaps.select(
+        "sample_id", six("low").alias("confidence_min"), six("high").alias("confidence_max"), nudged("mean").alias("confidence_mean"),
+        six(F.col("high") - F.col("low")).alias("confidence_gap"), "n_models", (F.col("classes") == 1).alias("all_agree"),
+    )
+
+
+@relation
+def pairs(r: Frames) -> DataFrame:
+    """Pairs of models a < b within a sample, both with a class and a confidence."""
+    one = r.deduped.filter("predicted_class IS NOT NULL AND confidence IS NOT NULL")
+    side = lambda x: one.select("sample_id", F.col("model_name").alias(f"model_{x}"), F.col("predicted_class").alias(f"class_{x}"), F.col("confidence").alias(f"confidence_{x}"))
+    joined = side("a").join(side("b"), "sample_id").filter("model_a < model_b")
+    return joined.withColumns({"confidence_diff": six(F.abs(F.col("confidence_a") - F.col("confidence_b"))), "classes_agree": F.col("class_a") == F.col("class_b")})
+
+
+@relation
+def a7_spread_summary(r: Frames) -> DataFrame:
+    d, same = F.col("confidence_diff"), F.col("classes_agree")
+    return r.pairs.agg(
+        six(F.avg(d)).alias("mean_diff"), six(F.max(d)).alias("max_diff"), six(F.median(d)).alias("median_diff"), six(F.avg(F.when(same, d))).alias("mean_diff_agree"), six(F.avg(F.when(~same, d))).alias("mean_diff_disagree"),
+        F.count("*").alias("pairs"), F.count_if(same).alias("agree_pairs"), F.count_if(~same).alias("disagree_pairs"),
+    )
+
+
+def disagreement_score(agree: Column, diff: Column, mean: Column) -> Column:
+    """From 0 to 1: class conflict, distance and (un)certainty of two predictions; a missing confidence adds nothing."""
+    factor = F.coalesce(0.6 * diff + 0.4 * F.when(agree, 1.0 - mean).otherwise(mean), F.lit(0.0))
+    return clip(F.when(agree, 0.3).otherwise(1.0) * (F.when(agree, 0.0).otherwise(0.5) + 0.5 * factor))
+
+
+def pair_severity(agree: Column, a: Column, b: Column) -> Column:
+    both = lambda least: (a >= least) & (b >= least)
+    return F.when(agree, "low").when(a.isNull() | b.isNull(), "moderate").when(both(0.8), "critical").when(both(0.5), "high").otherwise("moderate")
+
+
+@relation
+def p9_scored_pairs(r: Frames) -> DataFrame:
+    a, b, agree = F.col("confidence_a"), F.col("confidence_b"), F.col("classes_agree")
+    return r.pairs.withColumns({"disagreement_score": six(disagreement_score(agree, F.col("confidence_diff"), (a + b) / 2.0)), "severity": pair_severity(agree, a, b)})
+
+
+@relation
+def a8_score_summary(r: Frames) -> DataFrame:
+    s = F.col("disagreement_score")
+    return r.p9_scored_pairs.agg(six(F.avg(s)).alias("mean_score"), F.max(s).alias("max_score"), F.min(s).alias("min_score"), six(F.median(s)).alias("median_score"), F.count("*").alias("pairs"))
+
+
+@relation
+def a9_sample_severity(r: Frames) -> DataFrame:
+    worst = F.max(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))).cast("int")
+    counts = [F.count_if(F.col("severity") == s).alias(f"{s}_pairs") for s in SEVERITIES]
+    return r.p9_scored_pairs.groupBy("sample_id").agg(F.element_at(F.array(*map(F.lit, SEVERITIES)), worst).alias("severity"), *counts)
+
+
+@relation
+def a10_severity_summary(r: Frames) -> DataFrame:
+    """Pairs and rate of every severity, also of those that do not occur."""
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    wide = r.p9_scored_pairs.agg(F.count("*").alias("total"), *counts)
+    long = wide.select("total", F.inline(F.array(*(F.struct(F.lit(s).alias("severity"), F.col(s).alias("pairs")) for s in SEVERITIES))))
+    return long.select("severity", "pairs", six(F.coalesce(over(F.col("pairs").cast("double"), F.col("total").cast("double")), F.lit(0.0))).alias("rate"))
+
+
+@relation
+def a10_critical_samples(r: Frames) -> DataFrame:
+    return r.p9_scored_pairs.filter(F.col("severity").isin("critical", "high")).select("sample_id", "severity").distinct()

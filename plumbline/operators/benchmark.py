@@ -2,34 +2,256 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import over, six
+from plumbline.functions.labels import BENCHMARK_LADDER, EFFECT, label, rank
+from plumbline.functions.significance import signed_rank_p_value, t_p_value, t_quantile
+from plumbline.operators.frames import Frames, relation
+
 METRICS = ("robustness", "instability", "uncertainty")
-_STATS = "count({m}) AS n, round(avg({m}), 6) AS mean, round(median({m}), 6) AS median, round(var_pop({m}), 6) AS variance, round(stddev_pop({m}), 6) AS std, min({m}) AS min, max({m}) AS max, round(max({m}) - min({m}), 6) AS spread"
-MODELS = {
-    "e1_scalar_statistics": " UNION ALL ".join(f"SELECT '{m}' AS metric, {_STATS.format(m=m)} FROM records" for m in METRICS),
-    "e2_group_statistics": "SELECT model_name, perturbation_type, count(*) AS record_count, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in METRICS) + " FROM records GROUP BY model_name, perturbation_type",
-    "e3_levels": "SELECT severity_level, CASE severity_level WHEN 'mild' THEN 0 WHEN 'moderate' THEN 1 WHEN 'severe' THEN 2 END AS severity_rank, round(avg(robustness), 6) AS mean_robustness, round(avg(instability), 6) AS mean_instability, round(avg(uncertainty), 6) AS mean_uncertainty, count(*) AS n FROM records WHERE severity_level IN ('mild', 'moderate', 'severe') GROUP BY severity_level",
-    "e4_correlations": " UNION ALL ".join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(coalesce(corr({a}, {b}), 0e0), 6) AS r FROM records" for i, a in enumerate(METRICS) for b in METRICS[i + 1 :]),
-    "model_means": "SELECT model_name, " + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + ", count(*) AS n FROM records GROUP BY model_name",
-    "normal_means": "SELECT model_name, n, robustness AS mean_robustness, " + ", ".join(f"CASE WHEN max({m}) OVER () = min({m}) OVER () THEN 1e0 ELSE {'1e0 - ' if m != 'robustness' else ''}({m} - min({m}) OVER ()) / (max({m}) OVER () - min({m}) OVER ()) END AS s_{m}" for m in METRICS) + " FROM model_means",
-    "e5_model_benchmark": "SELECT model_name, n, round(mean_robustness, 6) AS mean_robustness, round((s_robustness + s_instability + s_uncertainty) / 3e0, 6) AS benchmark_score FROM normal_means",
-    "e6_baseline": "SELECT avg(robustness) AS base_robustness, avg(instability) AS base_instability, avg(uncertainty) AS base_uncertainty FROM records WHERE perturbation_type IN ('clean', 'original', 'baseline')",
-    "e6_perturbation_benchmark": "SELECT r.perturbation_type, count(*) AS n, round(avg(r.robustness) - max(b.base_robustness), 6) AS delta_robustness, round(avg(r.instability) - max(b.base_instability), 6) AS delta_instability, round(avg(r.uncertainty) - max(b.base_uncertainty), 6) AS delta_uncertainty, round(max(b.base_robustness) - avg(r.robustness), 6) AS degradation_impact FROM records r CROSS JOIN e6_baseline b GROUP BY r.perturbation_type",
-    "seed_scores": "SELECT model_name, seed, avg(robustness) AS score FROM records GROUP BY model_name, seed",
-    "e7_seed_statistics": "SELECT model_name, count(*) AS seeds, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, round(median(score), 6) AS median FROM seed_scores GROUP BY model_name",
-    "best_model": "SELECT model_name FROM (SELECT model_name, row_number() OVER (ORDER BY avg(score) DESC, model_name) AS place FROM seed_scores GROUP BY model_name) o WHERE place = 1",
-    "best_scores": "SELECT s.seed, s.score FROM seed_scores s JOIN best_model b ON s.model_name = b.model_name",
-    "e8_against_best": "SELECT s.model_name, count(*) AS pairs, round((avg(b.score) - avg(s.score)) / nullif(sqrt((var_samp(b.score) + var_samp(s.score)) / 2e0), 0e0), 4) AS cohens_d, round(avg(b.score - s.score) / nullif(stddev_samp(b.score - s.score) / sqrt(CAST(count(*) AS DOUBLE)), 0e0), 4) AS t FROM seed_scores s JOIN best_scores b ON s.seed = b.seed WHERE s.model_name NOT IN (SELECT model_name FROM best_model) GROUP BY s.model_name",
-    "e10_stage_usage": "SELECT stage, count(*) AS runs, count(DISTINCT experiment) AS experiments FROM runs GROUP BY stage",
-    "e11_class_counts": "SELECT true_label, count(*) AS n, round(least(count(*) / 50e0, 1e0), 6) AS sufficiency, round(count(*) / CAST((SELECT count(*) FROM log) AS DOUBLE), 6) AS share FROM log GROUP BY true_label",
-    # Group split: whole plates of a class go to one split; a hash of the plate orders them.
-    "class_plates": "SELECT DISTINCT class_name, plate_name FROM plates WHERE lower(plate_name) NOT LIKE '%conkey%'",
-    "plate_order": "SELECT class_name, plate_name, row_number() OVER (PARTITION BY class_name ORDER BY md5(concat('42:', class_name, '/', plate_name)), plate_name) AS place, count(*) OVER (PARTITION BY class_name) AS n FROM class_plates",
-    "split_sizes": "SELECT *, CASE WHEN n = 1 THEN 1 WHEN n = 2 THEN 1 ELSE greatest(1, CAST(round(0.70e0 * n) AS BIGINT)) END AS n_train, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 1 ELSE greatest(1, CAST(round(0.15e0 * n) AS BIGINT)) END AS n_val FROM plate_order",
-    # With at least three plates the test split keeps one: the training split gives way.
-    "g1_splits": "SELECT class_name, plate_name, CASE WHEN place <= CASE WHEN n > 2 THEN least(n_train, n - n_val - 1) ELSE n_train END THEN 'train' WHEN place <= CASE WHEN n > 2 THEN least(n_train, n - n_val - 1) ELSE n_train END + n_val THEN 'val' ELSE 'test' END AS split FROM split_sizes",
-    "g2_images": "SELECT p.class_name, p.plate_name, s.split, count(*) AS images FROM plates p JOIN g1_splits s ON p.class_name = s.class_name AND p.plate_name = s.plate_name GROUP BY p.class_name, p.plate_name, s.split",
-    "g2_totals": "SELECT split, CAST(sum(images) AS BIGINT) AS images, count(*) AS plates FROM g2_images GROUP BY split",
-    "split_classes": "SELECT split, class_name, CAST(sum(images) AS BIGINT) AS images FROM g2_images GROUP BY split, class_name",
-    "g3_skew": "SELECT split, class_name, images, round(images / CAST(sum(images) OVER (PARTITION BY split) AS DOUBLE), 6) AS share, images / CAST(sum(images) OVER (PARTITION BY split) AS DOUBLE) > 0.8e0 AND split <> 'train' AS skewed FROM split_classes",
-    "g4_leaks": "SELECT class_name, count(*) AS plates, count(*) FILTER (WHERE splits > 1) AS leaking FROM (SELECT class_name, plate_name, count(DISTINCT split) AS splits FROM g1_splits GROUP BY class_name, plate_name) x GROUP BY class_name",
-}
+BENEFICIAL = ("robustness",)
+BASELINES = ("clean", "original", "baseline")
+# Shares of the training and validation splits, least share that is skewed, enough images of a class.
+TRAIN, VALIDATION, SKEWED, ENOUGH = 0.70, 0.15, 0.8, 50
+
+
+def statistics(m: str, prefix: str = "") -> list[Column]:
+    x = F.col(m)
+    return [six(F.avg(x)).alias(f"{prefix}mean"), six(F.median(x)).alias(f"{prefix}median"), six(F.stddev_pop(x)).alias(f"{prefix}std"), F.min(x).alias(f"{prefix}min"), F.max(x).alias(f"{prefix}max")]
+
+
+@relation
+def e1_scalar_statistics(r: Frames) -> DataFrame:
+    """All metrics in one aggregate, then as long rows."""
+    names = ("n", "mean", "median", "variance", "std", "min", "max", "spread")
+    of = lambda m: F.struct(F.lit(m).alias("metric"), F.count(m).alias("n"), *statistics(m), six(F.var_pop(m)).alias("variance"), six(F.max(m) - F.min(m)).alias("spread"))
+    return r.records.agg(F.array(*map(of, METRICS)).alias("x")).select(F.inline("x")).select("metric", *names)
+
+
+@relation
+def e2_group_statistics(r: Frames) -> DataFrame:
+    columns = [c for m in METRICS for c in (six(F.avg(m)).alias(f"{m}_mean"), six(F.stddev_pop(m)).alias(f"{m}_std"))]
+    return r.records.groupBy("model_name", "perturbation_type").agg(F.count("*").alias("record_count"), *columns)
+
+
+@relation
+def e3_levels(r: Frames) -> DataFrame:
+    known = r.records.withColumn("severity_rank", rank("severity_level", BENCHMARK_LADDER)).filter("severity_rank < 99")
+    columns = [c for m in METRICS for c in (six(F.avg(m)).alias(f"{m}_mean"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
+    return known.groupBy("severity_level", "severity_rank").agg(F.count("*").alias("n"), *columns)
+
+
+@relation
+def e3_escalation(r: Frames) -> DataFrame:
+    """Last level minus first, for each metric, the greatest first; the trend increases if any does."""
+    ends = r.e3_levels.agg(*(six(F.max_by(f"{m}_mean", "severity_rank") - F.min_by(f"{m}_mean", "severity_rank")).alias(m) for m in METRICS))
+    long = ends.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("escalation")) for m in METRICS))))
+    any_up = F.max("escalation").over(W.partitionBy()) > 0
+    return long.select("metric", "escalation", F.row_number().over(W.orderBy(F.desc("escalation"), "metric")).alias("escalation_rank"), F.when(any_up, "increasing").otherwise("stable").alias("trend"))
+
+
+@relation
+def e4_correlations(r: Frames) -> DataFrame:
+    """All pairs of metrics in one aggregate; the strongest first, with the mean strength."""
+    pairs = list(combinations(METRICS, 2))
+    one = r.records.agg(F.array(*(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"), six(F.coalesce(F.nanvl(F.corr(a, b), F.lit(0.0)), F.lit(0.0))).alias("r")) for a, b in pairs)).alias("x"))
+    long, strength = one.select(F.inline("x")), F.abs("r")
+    return long.select("*", F.row_number().over(W.orderBy(F.desc(strength), "metric_a", "metric_b")).alias("place"), six(F.avg(strength).over(W.partitionBy())).alias("mean_strength"))
+
+
+@relation
+def e5_statistics(r: Frames) -> DataFrame:
+    """Mean, median, deviation, least and greatest of every metric of each model."""
+    of = lambda m: F.struct(F.lit(m).alias("metric"), *statistics(m))
+    return r.records.groupBy("model_name").agg(F.array(*map(of, METRICS)).alias("x")).select("model_name", F.inline("x"))
+
+
+@relation
+def e5_model_benchmark(r: Frames) -> DataFrame:
+    """Each metric's mean between the least (0) and the best (1) of all models; constant metrics count as 1."""
+    means = r.records.groupBy("model_name").agg(F.count("*").alias("n"), *(six(F.avg(m)).alias(m) for m in METRICS))
+    every = W.partitionBy()
+
+    def part(m: str) -> Column:
+        low, high = F.min(m).over(every), F.max(m).over(every)
+        at = (F.col(m) - low) / F.nullif(high - low, F.lit(0.0))
+        return F.coalesce(at if m in BENEFICIAL else 1.0 - at, F.lit(1.0))
+
+    scored = means.withColumns({f"s_{m}": part(m) for m in METRICS})
+    score = six(sum((F.col(f"s_{m}") for m in METRICS[1:]), F.col(f"s_{METRICS[0]}")) / float(len(METRICS)))
+    return scored.select("model_name", "n", *(F.col(m).alias(f"mean_{m}") for m in METRICS), score.alias("benchmark_score"))
+
+
+@relation
+def e5_leaderboards(r: Frames) -> DataFrame:
+    """Places by the score and by each metric, the best first."""
+    boards = F.array(F.struct(F.lit("benchmark_score").alias("board"), F.col("benchmark_score").alias("value"), F.col("benchmark_score").alias("order")), *(F.struct(F.lit(m).alias("board"), F.col(f"mean_{m}").alias("value"), (F.col(f"mean_{m}") * (1 if m in BENEFICIAL else -1)).alias("order")) for m in METRICS))
+    long = r.e5_model_benchmark.select("model_name", F.inline(boards))
+    return long.select("board", "model_name", "value", F.row_number().over(W.partitionBy("board").orderBy(F.desc("order"), "model_name")).alias("place"))
+
+
+@relation
+def e6_perturbation_benchmark(r: Frames) -> DataFrame:
+    """Means of each type against the baseline types, or all records where there is none."""
+    by = r.records.groupBy("perturbation_type").agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in METRICS))
+    base = F.lower("perturbation_type").isin(*BASELINES)
+    some = F.count_if(base) > 0
+    baseline = r.records.agg(*(F.when(some, F.avg(F.when(base, F.col(m)))).otherwise(F.avg(m)).alias(f"base_{m}") for m in METRICS))
+    deltas = by.crossJoin(F.broadcast(baseline)).withColumns({f"delta_{m}": six(F.col(m) - F.col(f"base_{m}")) for m in METRICS})
+    pressure = (F.col("delta_instability") + F.col("delta_uncertainty")) / 2.0
+    return deltas.select("perturbation_type", "n", *(f"delta_{m}" for m in METRICS), (-F.col("delta_robustness")).alias("degradation_impact"), six(pressure).alias("collapse_pressure"))
+
+
+@relation
+def seed_scores(r: Frames) -> DataFrame:
+    return r.records.groupBy("model_name", "seed").agg(F.avg("robustness").alias("score"))
+
+
+@relation
+def seed_moments(r: Frames) -> DataFrame:
+    return r.seed_scores.groupBy("model_name").agg(F.count("*").alias("seeds"), F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("std"), F.median("score").alias("median"))
+
+
+@relation
+def e7_seed_statistics(r: Frames) -> DataFrame:
+    return r.seed_moments.select("model_name", "seeds", six("mean").alias("mean"), six("std").alias("std"), six("median").alias("median"))
+
+
+@relation
+def e7_intervals(r: Frames) -> DataFrame:
+    """The 95 % interval of each model's mean score, by Student's t."""
+    df = F.when(F.col("seeds") > 1, F.col("seeds") - 1).cast("double")
+    margin = F.coalesce(t_quantile(df) * F.col("std") / F.sqrt("seeds"), F.lit(0.0))
+    four = lambda c: F.round(c, 4)
+    return r.seed_moments.select("model_name", "seeds", four(F.col("mean")).alias("mean"), four(F.col("mean") - margin).alias("ci_lower"), four(F.col("mean") + margin).alias("ci_upper"))
+
+
+@relation
+def best_model(r: Frames) -> DataFrame:
+    """One row: the model of the highest mean score, the first by name on ties."""
+    return r.seed_moments.agg(F.min(F.struct((-F.col("mean")).alias("m"), "model_name"))["model_name"].alias("best_name"))
+
+
+@relation
+def paired(r: Frames) -> DataFrame:
+    """Scores of the best and of each other model by seed."""
+    named = r.seed_scores.crossJoin(F.broadcast(r.best_model))
+    best = named.filter("model_name = best_name").select("seed", F.col("score").alias("best_score"))
+    return named.filter("model_name <> best_name").join(best, "seed").select("model_name", "seed", "score", "best_score", (F.col("best_score") - F.col("score")).alias("d"))
+
+
+@relation
+def e8_against_best(r: Frames) -> DataFrame:
+    pooled = F.sqrt((F.var_samp("best_score") + F.var_samp("score")) / 2.0)
+    t = over(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("*").cast("double")))
+    return r.paired.groupBy("model_name").agg(F.count("*").alias("pairs"), F.round(over(F.avg("best_score") - F.avg("score"), pooled), 4).alias("cohens_d"), F.round(t, 4).alias("t"))
+
+
+@relation
+def e8_signed_ranks(r: Frames) -> DataFrame:
+    """Wilcoxon's statistic: the smaller sum of the ranks of positive and negative differences; equal sizes share their mean rank."""
+    w = W.partitionBy("model_name").orderBy("size")
+    ranked = r.paired.filter("d <> 0").withColumn("size", F.round(F.abs("d"), 12))
+    ranked = ranked.withColumn("rank", F.rank().over(w) + (F.count("*").over(W.partitionBy("model_name", "size")) - 1) / 2.0)
+    sums = ranked.groupBy("model_name").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"))
+    return sums.select("model_name", "n", F.least("up", "down").alias("wilcoxon"))
+
+
+@relation
+def e9_significance(r: Frames) -> DataFrame:
+    """Each model against the best: effect, both tests with p-values, stars of the t-test."""
+    joined = r.e8_against_best.join(r.e8_signed_ranks, "model_name", "left")
+    p = t_p_value(F.col("t"), (F.col("pairs") - 1).cast("double"))
+    rows = joined.withColumns({"p_t": F.round(p, 6), "p_wilcoxon": F.round(signed_rank_p_value(F.col("wilcoxon"), F.col("n").cast("double")), 6)})
+    stars = F.when(F.col("p_t") < 0.001, "***").when(F.col("p_t") < 0.01, "**").when(F.col("p_t") < 0.05, "*").otherwise("ns")
+    return rows.select("model_name", "cohens_d", label(F.abs("cohens_d"), EFFECT).alias("effect"), "t", "p_t", "wilcoxon", "p_wilcoxon", stars.alias("stars"))
+
+
+@relation
+def e10_stage_usage(r: Frames) -> DataFrame:
+    return r.runs.groupBy("stage").agg(F.count("*").alias("runs"), F.count_distinct("experiment").alias("experiments"))
+
+
+@relation
+def e10_execution(r: Frames) -> DataFrame:
+    status = F.col("status")
+    return r.runs.agg(F.count_distinct("experiment").alias("experiments"), *(F.count_if(status == s).alias(s) for s in ("completed", "failed", "skipped")), six(over(F.count_if(status == "completed").cast("double"), F.count("*").cast("double"))).alias("integrity"))
+
+
+@relation
+def e11_class_counts(r: Frames) -> DataFrame:
+    by = r.log.groupBy("true_label").agg(F.count("*").alias("n"))
+    return by.select("true_label", "n", six(F.least(F.col("n") / float(ENOUGH), F.lit(1.0))).alias("sufficiency"), six(F.col("n") / F.sum("n").over(W.partitionBy()).cast("double")).alias("share"))
+
+
+@relation
+def e11_readiness(r: Frames) -> DataFrame:
+    n = F.col("n")
+    return r.e11_class_counts.agg(F.count("*").alias("classes"), six(over(F.min(n).cast("double"), F.max(n).cast("double"))).alias("balance"), six(F.avg("sufficiency")).alias("mean_sufficiency"), F.count_if(n < ENOUGH).alias("small_classes"), (over(F.min(n).cast("double"), F.max(n).cast("double")) < 0.5).alias("unbalanced"))
+
+
+@relation
+def e12_consistency(r: Frames) -> DataFrame:
+    """Whether models whose confidence drops more are less robust; a correlation above -0.1 is a warning."""
+    joined = r.c2_stability.select("model_name", "confidence_drop").join(r.c4_robustness.select("model_name", "robustness_score"), "model_name")
+    r_ = F.nullif(F.corr("confidence_drop", "robustness_score"), F.lit(float("nan")))
+    return joined.agg(six(r_).alias("correlation"), (r_ > -0.1).alias("warning"))
+
+
+@relation
+def plate_order(r: Frames) -> DataFrame:
+    """Plates of each class in the order of a hash; plates of the dropped kind are left out."""
+    plates = r.plates.filter(~F.lower("plate_name").contains("conkey")).select("class_name", "plate_name").distinct()
+    order = F.md5(F.concat(F.lit("42:"), "class_name", F.lit("/"), "plate_name"))
+    return plates.select("class_name", "plate_name", F.row_number().over(W.partitionBy("class_name").orderBy(order, "plate_name")).alias("place"), F.count("*").over(W.partitionBy("class_name")).alias("n"))
+
+
+@relation
+def g1_splits(r: Frames) -> DataFrame:
+    """Whole plates go to one split: 70 % and 15 %, rounded half to even, one at least; what is too much goes from validation, then from training."""
+    n = F.col("n")
+    part = lambda share: F.greatest(F.lit(1), F.bround(n * share).cast("long"))
+    sized = r.plate_order.withColumns({"train": part(TRAIN), "val": part(VALIDATION)})
+    over_full = F.greatest(F.lit(0), F.col("train") + F.col("val") + F.greatest(F.lit(1), n - F.col("train") - F.col("val")) - n)
+    sized = sized.withColumn("excess", over_full).withColumn("from_val", F.least("excess", F.col("val") - 1))
+    train = F.when(n <= 2, 1).otherwise(F.col("train") - (F.col("excess") - F.col("from_val")))
+    val = F.when(n <= 2, n - 1).otherwise(F.col("val") - F.col("from_val"))
+    place = F.col("place")
+    return sized.select("class_name", "plate_name", F.when(place <= train, "train").when(place <= train + val, "val").otherwise("test").alias("split"))
+
+
+@relation
+def g2_images(r: Frames) -> DataFrame:
+    return r.plates.join(r.g1_splits, ["class_name", "plate_name"]).groupBy("class_name", "plate_name", "split").agg(F.count("*").alias("images"))
+
+
+@relation
+def g2_totals(r: Frames) -> DataFrame:
+    by = r.g2_images.groupBy("split").agg(F.sum("images").alias("images"), F.count("*").alias("plates"))
+    return by.withColumn("percent", six(100.0 * F.col("images") / F.sum("images").over(W.partitionBy())))
+
+
+@relation
+def g3_skew(r: Frames) -> DataFrame:
+    by = r.g2_images.groupBy("split", "class_name").agg(F.sum("images").alias("images"))
+    share = F.col("images") / F.sum("images").over(W.partitionBy("split")).cast("double")
+    return by.select("split", "class_name", "images", six(share).alias("share"), ((share > SKEWED) & (F.col("split") != "train")).alias("skewed"))
+
+
+@relation
+def g4_leaks(r: Frames) -> DataFrame:
+    by = r.g1_splits.groupBy("class_name", "plate_name").agg(F.count_distinct("split").alias("splits"))
+    return by.groupBy("class_name").agg(F.count("*").alias("plates"), F.count_if(F.col("splits") > 1).alias("leaking"))
+
+
+@relation
+def g4_class_sets(r: Frames) -> DataFrame:
+    """Classes that are in only one of training and validation."""
+    held = lambda s: r.g1_splits.filter(F.col("split") == s).select("class_name").distinct()
+    only = lambda a, b: held(a).exceptAll(held(b)).withColumn("only_in", F.lit(a))
+    return only("train", "val").unionByName(only("val", "train"))

@@ -2,33 +2,181 @@
 
 from __future__ import annotations
 
-from plumbline.functions.labels import TRUST, label
-
-MODELS = {
-    "survival": "SELECT sample_id, avg(CASE WHEN models_agree THEN 1e0 ELSE 0e0 END) AS survival FROM b3_stability GROUP BY sample_id",
-    "components": """SELECT c.sample_id, CASE WHEN c.n_classes = 1 THEN 1e0 ELSE 0e0 END AS agreement, CASE WHEN g.sample_id IS NULL THEN 0.5e0 ELSE 0.6e0 * (1e0 - g.confidence_gap) + 0.4e0 * g.confidence_mean END AS consistency, coalesce(s.survival, 0.5e0) AS stability,
-        CASE v.severity WHEN 'low' THEN 1e0 WHEN 'moderate' THEN 1e0 - 1e0 / 3 WHEN 'high' THEN 1e0 - 2e0 / 3 WHEN 'critical' THEN 0e0 ELSE CASE WHEN c.n_classes = 1 THEN 1e0 ELSE 0.5e0 END END AS severity, coalesce(1e0 - i.instability_score, 0.5e0) AS steadiness
-      FROM complete c LEFT JOIN a6_confidence_gaps g ON c.sample_id = g.sample_id LEFT JOIN survival s ON c.sample_id = s.sample_id LEFT JOIN a9_sample_severity v ON c.sample_id = v.sample_id LEFT JOIN b5_sample_instability i ON c.sample_id = i.sample_id""",
-    "d1_reliability": "SELECT sample_id, agreement AS agreement_strength, round(consistency, 6) AS confidence_consistency, round(stability, 6) AS perturbation_stability, round(severity, 6) AS severity_reliability, round(steadiness, 6) AS instability_reliability, round(least(1e0, greatest(0e0, 0.25e0 * agreement + 0.2e0 * consistency + 0.25e0 * stability + 0.15e0 * severity + 0.15e0 * steadiness)), 6) AS reliability FROM components",
-    "d2_reliability_summary": "SELECT count(*) AS samples, round(avg(reliability), 6) AS mean_reliability, min(reliability) AS min_reliability, max(reliability) AS max_reliability, round(median(reliability), 6) AS median_reliability, count(*) FILTER (WHERE reliability >= 0.7e0) AS reliable, count(*) FILTER (WHERE reliability < 0.3e0) AS unreliable, round(avg(agreement_strength), 6) AS mean_agreement, round(avg(confidence_consistency), 6) AS mean_consistency, round(avg(perturbation_stability), 6) AS mean_stability, round(avg(severity_reliability), 6) AS mean_severity, round(avg(instability_reliability), 6) AS mean_steadiness FROM d1_reliability",
-    "ladder_sizes": "SELECT sample_id, count(*) AS total_steps, count(*) FILTER (WHERE first_break IS NULL) AS steps_before, min(first_break) AS first_break FROM breaks GROUP BY sample_id",
-    "d3_breakdown": "SELECT l.sample_id, substr(l.first_break, 4) AS collapse_severity, l.steps_before AS consensus_duration, l.total_steps, round(1e0 / (l.steps_before + 1), 6) AS escalation_speed, i.instability_score FROM ladder_sizes l LEFT JOIN b5_sample_instability i ON l.sample_id = i.sample_id WHERE l.first_break IS NOT NULL",
-    "d4_agreement": "SELECT avg(CASE WHEN n_classes = 1 THEN 1e0 ELSE 0e0 END) AS persistence FROM complete",
-    "d4_gap": "SELECT 1e0 - avg(confidence_gap) AS stability FROM a6_confidence_gaps",
-    "d4_survival": "SELECT avg(CASE WHEN models_agree THEN 1e0 ELSE 0e0 END) AS survival FROM b3_stability",
-    "d4_models": "SELECT 1e0 - coalesce(stddev_samp(instability_score), 0e0) AS evenness FROM b4_model_instability",
-    "d4_consistency": "SELECT round(persistence, 6) AS agreement_persistence, round(stability, 6) AS confidence_stability, round(survival, 6) AS consensus_survival, round(evenness, 6) AS cross_model_consistency, round((persistence + stability + survival + evenness) / 4, 6) AS overall FROM d4_agreement CROSS JOIN d4_gap CROSS JOIN d4_survival CROSS JOIN d4_models",
-    "d5_model_trust": "SELECT model_name, round(1e0 - instability_score, 6) AS trust_contribution, row_number() OVER (ORDER BY instability_score, model_name) AS trust_rank, CASE WHEN 1e0 - instability_score >= 0.7e0 THEN 'stabilizer' WHEN 1e0 - instability_score < 0.3e0 THEN 'destabilizer' ELSE 'neutral' END AS trust_label FROM b4_model_instability",
-    "d6_fragile": "SELECT l.sample_id, substr(l.first_break, 4) AS collapse_severity, CAST(substr(l.first_break, 1, 3) AS INT) AS collapse_rank FROM ladder_sizes l WHERE l.first_break IS NOT NULL AND CAST(substr(l.first_break, 1, 3) AS INT) BETWEEN 1 AND 1 AND l.sample_id IN (SELECT sample_id FROM agreed)",
-    "d7_flags": "SELECT a.sample_id, CASE WHEN g.confidence_gap > 0.3e0 THEN 'high_confidence_gap' END AS f1, CASE WHEN g.confidence_mean < 0.5e0 THEN 'low_mean_confidence' END AS f2, CASE WHEN f.sample_id IS NOT NULL THEN 'fragile_under_perturbation' END AS f3, CASE WHEN i.instability_score > 0.5e0 THEN 'high_instability' END AS f4 FROM agreed a LEFT JOIN a6_confidence_gaps g ON a.sample_id = g.sample_id LEFT JOIN d6_fragile f ON a.sample_id = f.sample_id LEFT JOIN b5_sample_instability i ON a.sample_id = i.sample_id",
-    "d7_counted": "SELECT sample_id, concat_ws('|', f1, f2, f3, f4) AS flags, (CASE WHEN f1 IS NULL THEN 0 ELSE 1 END + CASE WHEN f2 IS NULL THEN 0 ELSE 1 END + CASE WHEN f3 IS NULL THEN 0 ELSE 1 END + CASE WHEN f4 IS NULL THEN 0 ELSE 1 END) AS flag_count FROM d7_flags",
-    "d7_false_consensus": "SELECT sample_id, flags, flag_count, CASE WHEN flag_count >= 3 THEN 'severe' WHEN flag_count = 2 THEN 'moderate' ELSE 'mild' END AS false_consensus_severity FROM d7_counted WHERE flag_count > 0",
-    "d8_changes": "SELECT sample_id, count(agreed_before) AS transitions, count(*) FILTER (WHERE agreed_before IS NOT NULL AND agreed_before <> models_agree) AS changes FROM breaks GROUP BY sample_id",
-    "d8_unstable": "SELECT sample_id, transitions, changes, round(changes / CAST(transitions AS DOUBLE), 6) AS oscillation_rate FROM d8_changes WHERE transitions > 0 AND changes / CAST(nullif(transitions, 0) AS DOUBLE) > 0.3e0",
-    "d9_ids": "SELECT sample_id FROM d7_false_consensus UNION SELECT sample_id FROM d6_fragile UNION SELECT sample_id FROM d8_unstable",
-    "d9_summary": "SELECT (SELECT count(*) FROM d7_false_consensus) AS false_consensus, (SELECT count(*) FROM d6_fragile) AS fragile, (SELECT count(*) FROM d8_unstable) AS unstable, count(*) AS affected_samples FROM d9_ids",
-    "trust_steps": f"SELECT r.sample_id, r.reliability, f.false_consensus_severity, {label('r.reliability', TRUST)} AS initial_label, CASE WHEN r.reliability >= 0.85e0 THEN 4 WHEN r.reliability >= 0.7e0 THEN 3 WHEN r.reliability >= 0.45e0 THEN 2 WHEN r.reliability >= 0.25e0 THEN 1 ELSE 0 END AS level, CASE f.false_consensus_severity WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END AS down FROM d1_reliability r LEFT JOIN d7_false_consensus f ON r.sample_id = f.sample_id",
-    "d10_trust": "SELECT sample_id, reliability, initial_label, CASE greatest(level - down, 0) WHEN 4 THEN 'very_high' WHEN 3 THEN 'high' WHEN 2 THEN 'moderate' WHEN 1 THEN 'low' ELSE 'critical' END AS trust_level, down > 0 AND level > 0 AS downgraded FROM trust_steps",
-    "trust_levels": "SELECT 'very_high' AS trust_level UNION ALL SELECT 'high' UNION ALL SELECT 'moderate' UNION ALL SELECT 'low' UNION ALL SELECT 'critical'",
-    "d11_trust_summary": "SELECT v.trust_level, count(t.sample_id) AS samples, round(count(t.sample_id) / CAST((SELECT count(*) FROM d10_trust) AS DOUBLE), 6) AS rate, count(*) FILTER (WHERE t.downgraded) AS downgraded, round(avg(t.reliability), 6) AS mean_reliability FROM trust_levels v LEFT JOIN d10_trust t ON v.trust_level = t.trust_level GROUP BY v.trust_level",
-}
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import clip, share, six
+from plumbline.functions.labels import STABILISER, TRUST, label
+from plumbline.operators.frames import Frames, relation
+
+# Weights of the reliability's parts, levels of trust from the lowest on.
+RELIABILITY = {"agreement": 0.25, "consistency": 0.20, "stability": 0.25, "severity": 0.15, "steadiness": 0.15}
+TRUST_LEVELS = ("critical", "low", "moderate", "high", "very_high")
+
+
+@relation
+def reliability_parts(r: Frames) -> DataFrame:
+    """The five parts of each complete sample's reliability; a missing one is one half."""
+    one = F.col("n_classes") == 1
+    gap = r.a6_confidence_gaps.select("sample_id", (0.6 * (1.0 - F.col("confidence_gap")) + 0.4 * F.col("confidence_mean")).alias("consistency"))
+    third = {"low": 0, "moderate": 1, "high": 2, "critical": 3}
+    severity = F.lit(None).cast("double")
+    for name, k in third.items():
+        severity = F.when(F.col("severity") == name, F.lit(1.0 - k / 3)).otherwise(severity)
+    joined = (
+        r.complete.join(gap, "sample_id", "left")
+        .join(r.ladder_sums.select("sample_id", "survival"), "sample_id", "left")
+        .join(r.a9_sample_severity.select("sample_id", "severity"), "sample_id", "left")
+        .join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
+    )
+    return joined.select(
+        "sample_id", F.when(one, 1.0).otherwise(0.0).alias("agreement"), F.coalesce("consistency", F.lit(0.5)).alias("consistency"), F.coalesce("survival", F.lit(0.5)).alias("stability"),
+        F.coalesce(severity, F.when(one, 1.0).otherwise(0.5)).alias("severity"), F.coalesce(1.0 - F.col("instability_score"), F.lit(0.5)).alias("steadiness"),
+    )
+
+
+@relation
+def d1_reliability(r: Frames) -> DataFrame:
+    total = sum((w * F.col(c) for c, w in list(RELIABILITY.items())[1:]), 0.25 * F.col("agreement"))
+    return r.reliability_parts.select(
+        "sample_id", F.col("agreement").alias("agreement_strength"), six("consistency").alias("confidence_consistency"), six("stability").alias("perturbation_stability"),
+        six("severity").alias("severity_reliability"), six("steadiness").alias("instability_reliability"), six(clip(total)).alias("reliability"),
+    )
+
+
+@relation
+def d2_reliability_summary(r: Frames) -> DataFrame:
+    x = F.col("reliability")
+    means = {"mean_agreement": "agreement_strength", "mean_consistency": "confidence_consistency", "mean_stability": "perturbation_stability", "mean_severity": "severity_reliability", "mean_steadiness": "instability_reliability"}
+    out = r.d1_reliability.agg(
+        F.count("*").alias("samples"), six(F.avg(x)).alias("mean_reliability"), F.min(x).alias("min_reliability"), F.max(x).alias("max_reliability"), six(F.median(x)).alias("median_reliability"),
+        F.count_if(x >= 0.7).alias("reliable"), F.count_if(x < 0.3).alias("unreliable"), *(six(F.avg(c)).alias(name) for name, c in means.items()))
+    parts = F.array_min(F.array(*(F.struct(F.col(name).alias("value"), F.lit(c).alias("part")) for name, c in means.items())))
+    return out.withColumn("weakest", F.when(F.col("samples") > 0, parts["part"]))
+
+
+@relation
+def d3_breakdown(r: Frames) -> DataFrame:
+    """Samples whose consensus breaks: where, after how many steps, how fast; an instability that is not known is 0."""
+    broken = r.ladder_sums.filter("first_break IS NOT NULL").join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
+    return broken.select(
+        "sample_id", F.lit("unknown").alias("collapse_trigger"), F.col("first_break.severity_level").alias("collapse_severity"), F.col("steps_before").alias("consensus_duration"), "total_steps",
+        six(1.0 / (F.col("steps_before") + 1)).alias("escalation_speed"), F.coalesce("instability_score", F.lit(0.0)).alias("instability_score"),
+    )
+
+
+@relation
+def d4_consistency(r: Frames) -> DataFrame:
+    persistence = r.complete.agg(share(F.col("n_classes") == 1).alias("persistence"))
+    stability = r.a6_confidence_gaps.agg((1.0 - F.avg("confidence_gap")).alias("stability"))
+    survival = r.levels.agg(share(F.col("models_agree")).alias("survival"))
+    evenness = r.b4_model_instability.agg((1.0 - F.coalesce(F.stddev_samp("instability_score"), F.lit(0.0))).alias("evenness"))
+    parts = {"persistence": "agreement_persistence", "stability": "confidence_stability", "survival": "consensus_survival", "evenness": "cross_model_consistency"}
+    whole = persistence.crossJoin(stability).crossJoin(survival).crossJoin(evenness)
+    return whole.select(*(six(c).alias(name) for c, name in parts.items()), six((F.col("persistence") + F.col("stability") + F.col("survival") + F.col("evenness")) / 4).alias("overall"))
+
+
+@relation
+def d5_model_trust(r: Frames) -> DataFrame:
+    trust = 1.0 - F.col("instability_score")
+    return r.b4_model_instability.select(
+        "model_name", six(trust).alias("trust_contribution"), F.row_number().over(W.orderBy("instability_score", "model_name")).alias("trust_rank"),
+        F.when(trust >= 0.7, "stabiliser").when(trust < 0.3, "destabiliser").otherwise("neutral").alias("trust_label"),
+    )
+
+
+@relation
+def d5_trust_summary(r: Frames) -> DataFrame:
+    trust = F.col("trust_contribution")
+    names = [name for _, name in STABILISER]
+    return r.d5_model_trust.agg(
+        F.count("*").alias("models"), six(F.avg(trust)).alias("mean_trust"), six(F.max(trust) - F.min(trust)).alias("trust_spread"),
+        F.min_by("model_name", "trust_rank").alias("most_trusted"), F.max_by("model_name", "trust_rank").alias("least_trusted"), *(F.count_if(F.col("trust_label") == n).alias(f"{n}s") for n in names))
+
+
+@relation
+def d6_fragile(r: Frames) -> DataFrame:
+    """Samples that agree when clean and break at the first rank."""
+    at = F.col("first_break.severity_rank")
+    return r.ladder_sums.filter(at == 1).join(r.agreed, "sample_id", "left_semi").select("sample_id", F.col("first_break.severity_level").alias("collapse_severity"), at.alias("collapse_rank"))
+
+
+@relation
+def d7_false_consensus(r: Frames) -> DataFrame:
+    """Samples that agree when clean although something speaks against it."""
+    joined = (
+        r.agreed.join(r.a6_confidence_gaps.select("sample_id", "confidence_gap", "confidence_mean"), "sample_id", "left")
+        .join(r.d6_fragile.select("sample_id", "collapse_rank"), "sample_id", "left")
+        .join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
+    )
+    tests = {"high_confidence_gap": F.col("confidence_gap") > 0.3, "low_mean_confidence": F.col("confidence_mean") < 0.5, "fragile_under_perturbation": F.col("collapse_rank").isNotNull(), "high_instability": F.col("instability_score") > 0.5}
+    flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
+    found = joined.select("sample_id", flags.alias("flag_list")).filter(F.size("flag_list") > 0)
+    n = F.size("flag_list")
+    return found.select("sample_id", F.array_join("flag_list", "|").alias("flags"), n.alias("flag_count"), F.when(n >= 3, "severe").when(n == 2, "moderate").otherwise("mild").alias("false_consensus_severity"))
+
+
+@relation
+def d8_unstable(r: Frames) -> DataFrame:
+    rate = F.col("changes") / F.col("transitions").cast("double")
+    return r.ladder_sums.filter("transitions > 0").filter(rate > 0.3).select("sample_id", "transitions", "changes", six(rate).alias("oscillation_rate"))
+
+
+@relation
+def affected(r: Frames) -> DataFrame:
+    """(sample_id, kind) of all samples with a false, fragile or unstable consensus."""
+    kinds = {"false_consensus": r.d7_false_consensus, "fragile": r.d6_fragile, "unstable": r.d8_unstable}
+    out = None
+    for kind, df in kinds.items():
+        one = df.select("sample_id", F.lit(kind).alias("kind"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@relation
+def d9_summary(r: Frames) -> DataFrame:
+    by = r.affected.groupBy("sample_id").agg(F.collect_set("kind").alias("kinds"))
+    return by.agg(*(F.count_if(F.array_contains("kinds", k)).alias(k) for k in ("false_consensus", "fragile", "unstable")), F.count("*").alias("affected_samples"))
+
+
+@relation
+def d9_affected_samples(r: Frames) -> DataFrame:
+    return r.affected.select("sample_id").distinct()
+
+
+@relation
+def d9_flag_counts(r: Frames) -> DataFrame:
+    flags = r.d7_false_consensus.select(F.lit("flag").alias("part"), F.explode(F.split("flags", r"\|")).alias("name"))
+    severities = r.d7_false_consensus.select(F.lit("severity").alias("part"), F.col("false_consensus_severity").alias("name"))
+    return flags.unionByName(severities).groupBy("part", "name").agg(F.count("*").alias("samples"))
+
+
+@relation
+def d10_trust(r: Frames) -> DataFrame:
+    """Trust of each sample, one or two levels down where its consensus is false."""
+    levels = F.array(*map(F.lit, TRUST_LEVELS))
+    severity = F.col("false_consensus_severity")
+    down = F.when(severity == "severe", 2).when(severity == "moderate", 1).otherwise(0)
+    joined = r.d1_reliability.select("sample_id", "reliability").join(r.d7_false_consensus.select("sample_id", "false_consensus_severity"), "sample_id", "left")
+    first = label(F.col("reliability"), TRUST)
+    at = F.array_position(levels, F.col("initial_label")).cast("int")
+    steps = joined.withColumn("initial_label", first).withColumns({"at": at, "down": down})
+    downgraded = (F.col("down") > 0) & (F.col("at") > 1)
+    reason = F.when(downgraded, F.concat(F.lit("false_consensus_"), severity))
+    return steps.select("sample_id", "reliability", "initial_label", F.element_at(levels, F.greatest(F.col("at") - F.col("down"), F.lit(1))).alias("trust_level"), downgraded.alias("downgraded"), reason.alias("downgrade_reason"))
+
+
+@relation
+def d11_trust_summary(r: Frames) -> DataFrame:
+    """Every level of trust, also those that no sample has."""
+    by = r.d10_trust.groupBy("trust_level").agg(F.count("*").alias("samples"), F.count_if("downgraded").alias("downgraded"), six(F.avg("reliability")).alias("mean_reliability"))
+    levels = r.d10_trust.sparkSession.createDataFrame([(x,) for x in TRUST_LEVELS], "trust_level string")
+    full = F.broadcast(levels).join(by, "trust_level", "left").na.fill(0, ["samples", "downgraded"])
+    total = F.sum("samples").over(W.partitionBy())
+    return full.select("trust_level", "samples", six(F.col("samples") / F.nullif(total, F.lit(0)).cast("double")).alias("rate"), "downgraded", "mean_reliability")
+
+
+@relation
+def d11_trust_ids(r: Frames) -> DataFrame:
+    return r.d10_trust.filter(F.col("trust_level").isin("critical", "very_high")).select("trust_level", "sample_id")

@@ -1,47 +1,303 @@
-"""Calibration and evaluation from logits (z0..z3) and labels; all roll-ups combine before the shuffle."""
+"""Calibration and evaluation from logits (an array of any length for each row) and labels; all roll-ups combine before the shuffle."""
 
 from __future__ import annotations
 
-CLASSES = range(4)
-_MAX = f"greatest({', '.join(f'z{k}' for k in CLASSES)})"
-
-
-def binned(column: str, n: int, closed: str) -> str:
-    """Number of the bin of equal width: (lo, hi] for right, [lo, hi) with a closed last bin for left; edges are literal."""
-    edges = [f"{k / n!r}e0" for k in range(n + 1)]
-    if closed == "right":
-        return "CASE " + " ".join(f"WHEN {column} > {lo} AND {column} <= {hi} THEN {k}" for k, (lo, hi) in enumerate(zip(edges, edges[1:]))) + " END"
-    return "CASE " + " ".join(f"WHEN {column} >= {lo} AND {column} < {hi} THEN {k}" for k, (lo, hi) in enumerate(zip(edges, edges[1:]))) + f" WHEN {column} = {edges[-1]} THEN {n - 1} END"
-
-
-MODELS = {
-    "exponents": f"SELECT *, {', '.join(f'exp(z{k} - {_MAX}) AS e{k}' for k in CLASSES)} FROM logits",
-    "p2_probabilities": f"SELECT sample_id, model_name, label, {', '.join(f'round(e{k} / (e0 + e1 + e2 + e3), 6) AS p{k}' for k in CLASSES)} FROM exponents",
-    "p4_predictions": f"SELECT sample_id, model_name, label, p0, p1, p2, p3, CASE greatest(p0, p1, p2, p3) {' '.join(f'WHEN p{k} THEN {k}' for k in CLASSES)} END AS predicted, greatest(p0, p1, p2, p3) AS confidence FROM p2_probabilities",
-    "binned15": f"SELECT model_name, {binned('confidence', 15, 'right')} AS bin, count(*) AS n, avg(confidence) AS mean_confidence, avg(CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END) AS accuracy FROM p4_predictions GROUP BY model_name, {binned('confidence', 15, 'right')}",
-    "totals": "SELECT model_name, count(*) AS total FROM p4_predictions GROUP BY model_name",
-    "c7_bins": "SELECT model_name, bin, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM binned15 WHERE bin IS NOT NULL",
-    "c7_ece": "SELECT b.model_name, round(sum(CASE WHEN bin IS NULL THEN 0e0 ELSE n * abs(accuracy - mean_confidence) END) / max(t.total), 6) AS ece, round(max(CASE WHEN bin IS NULL THEN 0e0 ELSE abs(accuracy - mean_confidence) END), 6) AS mce FROM binned15 b JOIN totals t ON b.model_name = t.model_name GROUP BY b.model_name",
-    "c8_overconfidence": "SELECT model_name, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN predicted = label THEN confidence END), 6) AS mean_correct, round(avg(CASE WHEN predicted <> label THEN confidence END), 6) AS mean_wrong, round(avg(CASE WHEN confidence >= 0.9e0 THEN 1e0 ELSE 0e0 END), 6) AS share_confident, round(avg(CASE WHEN confidence >= 0.9e0 AND predicted <> label THEN 1e0 ELSE 0e0 END), 6) AS share_confident_wrong FROM p4_predictions GROUP BY model_name",
-    "c9_curve": f"SELECT model_name, {binned('confidence', 10, 'left')} AS bin, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM p4_predictions GROUP BY model_name, {binned('confidence', 10, 'left')} HAVING count(*) >= 5",
-    "c10_calibration_summary": "SELECT c.model_name, round(a.accuracy, 6) AS accuracy, c.mean_confidence, e.ece, concat_ws('|', CASE WHEN c.mean_confidence - a.accuracy > 0.1e0 THEN 'overconfident' END, CASE WHEN e.ece > 0.05e0 THEN 'miscalibrated' END, CASE WHEN c.mean_confidence > 0.97e0 AND a.accuracy < 0.95e0 THEN 'saturated' END) AS flags FROM c8_overconfidence c JOIN c7_ece e ON c.model_name = e.model_name JOIN (SELECT model_name, avg(CASE WHEN predicted = label THEN 1e0 ELSE 0e0 END) AS accuracy FROM p4_predictions GROUP BY model_name) a ON c.model_name = a.model_name",
-    "names": "SELECT DISTINCT model_name FROM p4_predictions",
-    "class_numbers": "SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3",
-    "cells": "SELECT model_name, label, predicted, count(*) AS n FROM p4_predictions GROUP BY model_name, label, predicted",
-    "c13_confusion": "SELECT m.model_name, t.k AS true_class, p.k AS predicted_class, coalesce(c.n, 0) AS n, round(coalesce(coalesce(c.n, 0) / CAST(nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY m.model_name, t.k), 0) AS DOUBLE), 0e0), 6) AS row_share FROM names m CROSS JOIN class_numbers t CROSS JOIN class_numbers p LEFT JOIN cells c ON c.model_name = m.model_name AND c.label = t.k AND c.predicted = p.k",
-    "class_sums": "SELECT model_name, k, CAST(sum(CASE WHEN label = k AND predicted = k THEN n ELSE 0 END) AS DOUBLE) AS hits, CAST(sum(CASE WHEN predicted = k THEN n ELSE 0 END) AS DOUBLE) AS called, CAST(sum(CASE WHEN label = k THEN n ELSE 0 END) AS DOUBLE) AS support FROM cells CROSS JOIN class_numbers GROUP BY model_name, k",
-    "class_scores": "SELECT model_name, k, support, hits, coalesce(hits / nullif(called, 0e0), 0e0) AS class_precision, coalesce(hits / nullif(support, 0e0), 0e0) AS recall, coalesce(2e0 * hits / nullif(called + support, 0e0), 0e0) AS f1 FROM class_sums",
-    "c14_report": """SELECT model_name, concat('class', k) AS row_name, round(class_precision, 6) AS class_precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM class_scores
-      UNION ALL SELECT model_name, 'accuracy', NULL, NULL, round(sum(hits) / sum(support), 6), sum(support) FROM class_scores GROUP BY model_name
-      UNION ALL SELECT model_name, 'macro', round(avg(class_precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) FROM class_scores GROUP BY model_name
-      UNION ALL SELECT model_name, 'weighted', round(sum(class_precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support) FROM class_scores GROUP BY model_name""",
-    # One row for each distinct score of a class before anything is cumulated.
-    "score_counts": "SELECT model_name, k, score, count(*) FILTER (WHERE label = k) AS pos, count(*) FILTER (WHERE label <> k) AS neg FROM (" + " UNION ALL ".join(f"SELECT model_name, label, {k} AS k, p{k} AS score FROM p4_predictions" for k in CLASSES) + ") s GROUP BY model_name, k, score",
-    "cumulated": "SELECT *, sum(pos) OVER (PARTITION BY model_name, k ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY model_name, k ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY model_name, k) AS all_pos, sum(neg) OVER (PARTITION BY model_name, k) AS all_neg FROM score_counts",
-    "c15_roc_points": "SELECT model_name, k, score, round(fp / CAST(nullif(all_neg, 0) AS DOUBLE), 6) AS fpr, round(tp / CAST(nullif(all_pos, 0) AS DOUBLE), 6) AS tpr FROM cumulated",
-    "c15_auc": "SELECT model_name, k, round(sum(neg * (tp - pos / 2e0)) / CAST(nullif(max(all_pos) * max(all_neg), 0) AS DOUBLE), 6) AS auc FROM cumulated GROUP BY model_name, k",
-    "c16_average_precision": "SELECT model_name, k, round(sum(pos / CAST(nullif(all_pos, 0) AS DOUBLE) * (tp / CAST(tp + fp AS DOUBLE))), 6) AS average_precision FROM cumulated GROUP BY model_name, k",
-    "c17_by_class": "SELECT label, round(min(confidence), 6) AS min_confidence, round(median(confidence), 6) AS median_confidence, round(max(confidence), 6) AS max_confidence, count(*) AS n FROM p4_predictions GROUP BY label",
-    "c17_histogram": f"SELECT model_name, {binned('confidence', 20, 'left')} AS bin, count(*) AS n FROM p4_predictions GROUP BY model_name, {binned('confidence', 20, 'left')}",
-    "c19_inference_summary": "SELECT model_name, predicted, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM p4_predictions GROUP BY model_name, predicted",
-}
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import binned, let, over, share, six, total_of
+from plumbline.operators.frames import Frames, relation
+
+#: Temperatures of the fit: GRID between LOW and HIGH, evenly by ratio, then GRID between the neighbours of the best.
+LOW, HIGH, GRID = 0.05, 10.0, 64
+#: Ranges into which scores are cut before they are cumulated.
+RANGES = 256
+
+
+def softmax(z: Column, temperature: Column | None = None) -> Column:
+    """Probabilities of logits, divided by a temperature (one, or one for each class); a temperature of 0 or less is an error."""
+    if temperature is not None:
+        wrong = F.raise_error(F.lit("a temperature must be above 0"))
+        z = F.transform(z, lambda x: F.when(temperature > 0, x / temperature).otherwise(wrong.cast("double")))
+    return _normal(z)
+
+
+def softmax_by_class(z: Column, temperatures: Column) -> Column:
+    wrong = F.raise_error(F.lit("a temperature must be above 0"))
+    return _normal(F.zip_with(z, temperatures, lambda x, t: F.when(t > 0, x / t).otherwise(wrong.cast("double"))))
+
+
+def _normal(z: Column) -> Column:
+    e = let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+    return let(e, lambda e: let(total_of(e), lambda total: F.transform(e, lambda x: x / total)))
+
+
+def rescaled(p: Column, temperature: Column) -> Column:
+    """Probabilities at another temperature, from probabilities."""
+    return softmax(F.transform(p, lambda x: F.ln(F.least(F.lit(1.0), F.greatest(x, F.lit(1e-12))))), temperature)
+
+
+@relation
+def probabilities(r: Frames) -> DataFrame:
+    return r.logits.select("sample_id", "model_name", "label", "logits", softmax(F.col("logits")).alias("p"))
+
+
+@relation
+def p2_probabilities(r: Frames) -> DataFrame:
+    return r.probabilities.select("sample_id", "model_name", "label", F.posexplode("p").alias("k", "p")).select("sample_id", "model_name", "label", "k", six("p").alias("probability"))
+
+
+def best_class(p: Column) -> Column:
+    """The first of the most likely classes."""
+    return (F.array_position(p, F.array_max(p)) - 1).cast("int")
+
+
+@relation
+def predictions(r: Frames) -> DataFrame:
+    p = F.col("p")
+    return r.probabilities.select("sample_id", "model_name", "label", "p", best_class(p).alias("predicted"), F.array_max(p).alias("confidence"))
+
+
+@relation
+def p4_predictions(r: Frames) -> DataFrame:
+    """Class and confidence at the fitted temperature, the raw confidence of the same class, and the class's name."""
+    tempered = r.tempered.select("sample_id", "model_name", "label", "predicted", six("confidence").alias("confidence"), six(F.element_at("raw", F.col("predicted") + 1)).alias("raw_confidence"))
+    return tempered.withColumn("class_name", F.concat(F.lit("class"), F.col("predicted").cast("string")))
+
+
+@relation
+def tempered(r: Frames) -> DataFrame:
+    joined = r.probabilities.join(F.broadcast(r.temperatures), "model_name")
+    rows = joined.select("sample_id", "model_name", "label", F.col("p").alias("raw"), softmax(F.col("logits"), F.col("temperature")).alias("p"))
+    return rows.select("sample_id", "model_name", "label", "raw", "p", best_class(F.col("p")).alias("predicted"), F.array_max("p").alias("confidence"))
+
+
+@relation
+def p3_rescaled(r: Frames) -> DataFrame:
+    """Probabilities taken to the fitted temperature; equal to those of the tempered logits."""
+    joined = r.probabilities.join(F.broadcast(r.temperatures), "model_name")
+    rows = joined.select("sample_id", "model_name", F.posexplode(rescaled(F.col("p"), F.col("temperature"))).alias("k", "p"))
+    return rows.select("sample_id", "model_name", "k", six("p").alias("probability"))
+
+
+def fitted(logits: DataFrame) -> DataFrame:
+    """(model_name, temperature, loss): the temperature of least mean negative log-likelihood.
+
+    Two aggregates over the logits, each with GRID losses for each model; no logits are collected.
+    """
+    steps = F.sequence(F.lit(0), F.lit(GRID - 1))
+
+    def best(rows: DataFrame, temperatures: Column) -> DataFrame:
+        z = F.col("logits")
+        at = F.element_at(z, F.col("label") + 1)
+        loss = lambda top, t: F.ln(total_of(z, lambda x: F.exp((x - top) / t))) - (at - top) / t
+        losses = let(F.array_max(z), lambda top: F.transform(temperatures, lambda t: F.struct(t.alias("t"), loss(top, t).alias("loss"))))
+        long = rows.select("model_name", F.posexplode(losses).alias("i", "x"))
+        by = long.groupBy("model_name", "i").agg(F.first("x.t").alias("t"), F.avg("x.loss").alias("loss"))
+        return by.groupBy("model_name").agg(F.min(F.struct("loss", "t")).alias("b")).select("model_name", F.col("b.t").alias("temperature"), F.col("b.loss").alias("loss"))
+
+    ratio = (HIGH / LOW) ** (1 / (GRID - 1))
+    first = best(logits, F.transform(steps, lambda i: F.lit(LOW) * F.pow(F.lit(ratio), i)))
+    near = first.select("model_name", (F.col("temperature") / ratio).alias("low"), F.least(F.col("temperature") * ratio, F.lit(HIGH)).alias("high"))
+    rows = logits.join(F.broadcast(near), "model_name")
+    return best(rows, F.transform(steps, lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / float(GRID - 1)))
+
+
+@relation
+def temperatures(r: Frames) -> DataFrame:
+    """One temperature for each model; give them as a relation of this name to use others."""
+    return fitted(r.logits).select("model_name", "temperature")
+
+
+@relation
+def c12_temperature(r: Frames) -> DataFrame:
+    fit = fitted(r.logits)
+    return fit.select("model_name", F.round("temperature", 4).alias("temperature"), six("loss").alias("loss"))
+
+
+def bins_of(rows: DataFrame, n: int, closed: str, *more: Column) -> DataFrame:
+    right = F.col("predicted") == F.col("label")
+    return rows.groupBy("model_name", binned(F.col("confidence"), n, closed).alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), share(right).alias("accuracy"), *more)
+
+
+def errors_of(bins: DataFrame) -> DataFrame:
+    """(model_name, ece, mce): mean and greatest distance of confidence and accuracy; rows outside all bins count in the total only."""
+    off = F.when(F.col("bin").isNull(), 0.0).otherwise(F.abs(F.col("accuracy") - F.col("mean_confidence")))
+    return bins.groupBy("model_name").agg((F.sum(F.col("n") * off) / F.sum("n")).alias("ece"), F.max(off).alias("mce"))
+
+
+@relation
+def c7_bins(r: Frames) -> DataFrame:
+    return bins_of(r.predictions, 15, "right").filter("bin IS NOT NULL").select("model_name", "bin", "n", six("mean_confidence").alias("mean_confidence"), six("accuracy").alias("accuracy"))
+
+
+@relation
+def c7_ece(r: Frames) -> DataFrame:
+    return errors_of(bins_of(r.predictions, 15, "right")).select("model_name", six("ece").alias("ece"), six("mce").alias("mce"))
+
+
+@relation
+def c8_overconfidence(r: Frames) -> DataFrame:
+    c, right = F.col("confidence"), F.col("predicted") == F.col("label")
+    return r.predictions.groupBy("model_name").agg(
+        F.count("*").alias("n"), six(F.avg(c)).alias("mean_confidence"), six(F.avg(F.when(right, c))).alias("mean_correct"), six(F.avg(F.when(~right, c))).alias("mean_wrong"),
+        six(share(c >= 0.9)).alias("share_confident"), six(share((c >= 0.9) & ~right)).alias("share_confident_wrong"), F.count_if(c >= 0.9).alias("confident"), F.count_if((c >= 0.9) & ~right).alias("confident_wrong"))
+
+
+@relation
+def c9_curve(r: Frames) -> DataFrame:
+    return bins_of(r.predictions, 10, "left").filter("n >= 5").select("model_name", "bin", "n", six("mean_confidence").alias("mean_confidence"), six("accuracy").alias("accuracy"))
+
+
+@relation
+def c9_reliability_rows(r: Frames) -> DataFrame:
+    """Ten bins closed on the right, all of them, with the gap between confidence and accuracy."""
+    bins = bins_of(r.predictions, 10, "right").filter("bin IS NOT NULL")
+    grid = r.predictions.select("model_name").distinct().crossJoin(r.predictions.sparkSession.range(10).select(F.col("id").cast("int").alias("bin")))
+    full = grid.join(bins, ["model_name", "bin"], "left").na.fill(0, ["n"]).na.fill(0.0, ["mean_confidence", "accuracy"])
+    return full.select("model_name", "bin", "n", six("mean_confidence").alias("mean_confidence"), six("accuracy").alias("accuracy"), six(F.col("mean_confidence") - F.col("accuracy")).alias("gap"))
+
+
+@relation
+def c10_calibration_summary(r: Frames) -> DataFrame:
+    """Accuracy, confidence, error before and after the fitted temperature, and what is wrong."""
+    by = r.predictions.groupBy("model_name").agg(share(F.col("predicted") == F.col("label")).alias("accuracy"), F.avg("confidence").alias("mean_confidence"))
+    after = errors_of(bins_of(r.tempered, 15, "right")).select("model_name", F.col("ece").alias("after"))
+    joined = by.join(errors_of(bins_of(r.predictions, 15, "right")), "model_name").join(after, "model_name")
+    accuracy, mean, ece = F.col("accuracy"), F.col("mean_confidence"), F.col("ece")
+    flags = F.array(F.when(mean - accuracy > 0.1, "overconfident"), F.when(ece > 0.05, "miscalibrated"), F.when((mean > 0.97) & (accuracy < 0.95), "saturated"))
+    return joined.select("model_name", six(accuracy).alias("accuracy"), six(mean).alias("mean_confidence"), six(ece).alias("ece"), six("after").alias("ece_after"), six(ece - F.col("after")).alias("improvement"), F.array_join(F.array_compact(flags), "|").alias("flags"))
+
+
+@relation
+def c11_frame(r: Frames) -> DataFrame:
+    """By model: rows, accuracy and confidence of the log, and the error of ten bins closed on the right."""
+    right = F.col("predicted_class") == F.col("true_label")
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    bins = r.log.groupBy("model_name", binned(confidence, 10, "right").alias("bin")).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean_confidence"), share(right).alias("accuracy"))
+    by = r.log.groupBy("model_name").agg(F.count("*").alias("n"), six(share(right)).alias("accuracy"), six(F.avg(confidence)).alias("mean_confidence"), six(F.stddev_pop(confidence)).alias("std_confidence"))
+    return by.join(errors_of(bins).select("model_name", six("ece").alias("ece")), "model_name")
+
+
+@relation
+def c11_summary(r: Frames) -> DataFrame:
+    return r.c11_frame.agg(F.count("*").alias("models"), six(F.avg("ece")).alias("mean_ece"), F.min_by("model_name", "ece").alias("best_calibrated"), F.max_by("model_name", "ece").alias("worst_calibrated"), six(F.avg("mean_confidence")).alias("mean_confidence"))
+
+
+@relation
+def classes(r: Frames) -> DataFrame:
+    """The class numbers, from the longest logits."""
+    return r.logits.agg(F.max(F.size("logits")).alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+
+
+@relation
+def cells(r: Frames) -> DataFrame:
+    return r.predictions.groupBy("model_name", "label", "predicted").agg(F.count("*").alias("n"))
+
+
+@relation
+def c13_confusion(r: Frames) -> DataFrame:
+    grid = r.cells.select("model_name").distinct().crossJoin(r.classes.withColumnRenamed("k", "true_class")).crossJoin(r.classes.withColumnRenamed("k", "predicted_class"))
+    held = r.cells.withColumnsRenamed({"label": "true_class", "predicted": "predicted_class"})
+    full = grid.join(held, ["model_name", "true_class", "predicted_class"], "left").na.fill(0, ["n"])
+    total = F.sum("n").over(W.partitionBy("model_name", "true_class"))
+    return full.select("model_name", "true_class", "predicted_class", "n", six(F.coalesce(over(F.col("n").cast("double"), total.cast("double")), F.lit(0.0))).alias("row_share"))
+
+
+@relation
+def c13_errors(r: Frames) -> DataFrame:
+    return r.c13_confusion.filter("true_class <> predicted_class AND n > 0")
+
+
+@relation
+def class_scores(r: Frames) -> DataFrame:
+    k, n = F.col("k"), F.col("n").cast("double")
+    sums = r.cells.crossJoin(F.broadcast(r.classes)).groupBy("model_name", "k").agg(
+        F.sum(F.when((F.col("label") == k) & (F.col("predicted") == k), n).otherwise(0.0)).alias("hits"), F.sum(F.when(F.col("predicted") == k, n).otherwise(0.0)).alias("called"), F.sum(F.when(F.col("label") == k, n).otherwise(0.0)).alias("support"))
+    ratio = lambda a, b: F.coalesce(over(a, b), F.lit(0.0))
+    return sums.select("model_name", "k", "support", "hits", ratio(F.col("hits"), F.col("called")).alias("class_precision"), ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(2.0 * F.col("hits"), F.col("called") + F.col("support")).alias("f1"))
+
+
+@relation
+def c14_report(r: Frames) -> DataFrame:
+    names, s = ("class_precision", "recall", "f1"), r.class_scores
+    lines = s.select("model_name", F.concat(F.lit("class"), F.col("k").cast("string")).alias("row_name"), *(six(c).alias(c) for c in names), "support")
+    none = F.lit(None).cast("double")
+    total = F.sum("support").alias("support")
+    by = s.groupBy("model_name")
+    accuracy = by.agg(six(F.sum("hits") / F.sum("support")).alias("f1"), total).select("model_name", F.lit("accuracy").alias("row_name"), none.alias("class_precision"), none.alias("recall"), "f1", "support")
+    macro = by.agg(*(six(F.avg(c)).alias(c) for c in names), total).select("model_name", F.lit("macro").alias("row_name"), *names, "support")
+    weighted = by.agg(*(six(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in names), total).select("model_name", F.lit("weighted").alias("row_name"), *names, "support")
+    return lines.unionByName(accuracy).unionByName(macro).unionByName(weighted)
+
+
+@relation
+def cumulated(r: Frames) -> DataFrame:
+    """For each distinct score of a class (of one model against the rest): rows at or above it.
+
+    Scores are cut into RANGES; sums of the ranges above come from a small table, and only within a range are rows cumulated,
+    so that a model with a third of all rows is spread over as many tasks.
+    """
+    long = r.predictions.select("model_name", "label", F.posexplode("p").alias("k", "p")).withColumn("score", six("p"))
+    hit = F.col("label") == F.col("k")
+    counts = long.groupBy("model_name", "k", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")).withColumn("part", F.floor(F.col("score") * RANGES))
+    sums = counts.groupBy("model_name", "k", "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    w = W.partitionBy("model_name", "k")
+    above = w.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    base = sums.select("model_name", "k", "part", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("pos_above"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("neg_above"), F.sum("p").over(w).alias("all_pos"), F.sum("n").over(w).alias("all_neg"))
+    inside = W.partitionBy("model_name", "k", "part").orderBy(F.desc("score"))
+    rows = counts.join(base, ["model_name", "k", "part"])
+    return rows.withColumns({"tp": F.col("pos_above") + F.sum("pos").over(inside), "fp": F.col("neg_above") + F.sum("neg").over(inside)})
+
+
+@relation
+def c15_roc_points(r: Frames) -> DataFrame:
+    part = lambda a, b: six(over(F.col(a).cast("double"), F.col(b).cast("double")))
+    return r.cumulated.select("model_name", "k", "score", part("fp", "all_neg").alias("fpr"), part("tp", "all_pos").alias("tpr"))
+
+
+@relation
+def c15_auc(r: Frames) -> DataFrame:
+    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
+    return r.cumulated.groupBy("model_name", "k").agg(six(over(area, (F.max("all_pos") * F.max("all_neg")).cast("double"))).alias("auc"))
+
+
+@relation
+def c16_pr_points(r: Frames) -> DataFrame:
+    return r.cumulated.select("model_name", "k", "score", six(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("class_precision"), six(over(F.col("tp").cast("double"), F.col("all_pos").cast("double"))).alias("recall"))
+
+
+@relation
+def c16_average_precision(r: Frames) -> DataFrame:
+    gained = over(F.col("pos").cast("double"), F.col("all_pos").cast("double"))
+    return r.cumulated.groupBy("model_name", "k").agg(six(F.sum(gained * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
+
+
+@relation
+def c17_by_class(r: Frames) -> DataFrame:
+    c = F.col("confidence")
+    return r.predictions.groupBy("label").agg(six(F.min(c)).alias("min_confidence"), six(F.median(c)).alias("median_confidence"), six(F.max(c)).alias("max_confidence"), F.count("*").alias("n"))
+
+
+@relation
+def c17_density(r: Frames) -> DataFrame:
+    """Twenty bins over the range of each true class's own confidences: counts, and density so that the area is 1."""
+    limits = r.predictions.groupBy("label").agg(F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.count("*").alias("total"))
+    rows = r.predictions.join(F.broadcast(limits), "label").filter("high > low")
+    wide = (F.col("high") - F.col("low")) / 20
+    at = F.least(F.floor((F.col("confidence") - F.col("low")) / wide), F.lit(19)).cast("int")
+    by = rows.groupBy("label", at.alias("bin")).agg(F.count("*").alias("n"), F.first(wide).alias("wide"), F.first("total").alias("total"))
+    return by.select("label", "bin", "n", six(F.col("n") / (F.col("total") * F.col("wide"))).alias("density"))
+
+
+@relation
+def c17_histogram(r: Frames) -> DataFrame:
+    return r.predictions.groupBy("model_name", binned(F.col("confidence"), 20, "left").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@relation
+def c19_inference_summary(r: Frames) -> DataFrame:
+    """By model and predicted class at the fitted temperature: rows, confidence, and the raw confidence of the same class."""
+    raw = F.element_at("raw", F.col("predicted") + 1)
+    return r.tempered.groupBy("model_name", "predicted").agg(F.count("*").alias("n"), six(F.avg("confidence")).alias("mean_confidence"), six(F.avg(raw)).alias("mean_raw_confidence"))

@@ -2,40 +2,220 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import share, six
 from plumbline.functions.labels import is_clean, rank
+from plumbline.operators.frames import Frames, relation
+
+SAMPLE_KEY = ["sample_id", "perturbation_type", "severity_level"]
+#: Canonical order of corruptions in tables; others follow by name.
+CORRUPTIONS = ("original", "clean", "brightness", "contrast", "noise", "gaussian_noise", "blur", "gaussian_blur", "defocus", "hue")
+
+
+def classes_seen(*extra: Column) -> list[Column]:
+    """Numbers of distinct models and classes of a group, both bounded by the catalogue."""
+    return [F.size(F.collect_set("model_name")).alias("n_models"), F.size(F.collect_set("predicted_class")).alias("n_classes"), *extra]
+
+
+@relation
+def observations(r: Frames) -> DataFrame:
+    seen = r.rows.filter(~is_clean()).groupBy(*SAMPLE_KEY).agg(*classes_seen(F.min("severity_rank").alias("severity_rank")))
+    return seen.filter("n_models >= 2")
+
+
+@relation
+def levels(r: Frames) -> DataFrame:
+    """Samples by severity, all types together."""
+    seen = r.rows.groupBy("sample_id", "severity_level").agg(*classes_seen(F.min("severity_rank").alias("severity_rank")))
+    return seen.filter("n_models >= 2").select("sample_id", "severity_level", "severity_rank", (F.col("n_classes") == 1).alias("models_agree"), F.col("n_classes").alias("n_unique_classes"))
+
+
+@relation
+def top_rank(r: Frames) -> DataFrame:
+    """One row: the greatest rank of the perturbed rows."""
+    return r.log.filter(~is_clean()).agg(F.max(rank("severity_level")).alias("top_rank"))
+
+
+@relation
+def j4_induced_disagreements(r: Frames) -> DataFrame:
+    """Perturbed rows of the observations that disagree although the sample's clean classes agree."""
+    found = r.observations.filter("n_classes > 1").join(r.agreed, "sample_id", "left_semi").select(*SAMPLE_KEY)
+    rows = r.rows.filter(~is_clean()).join(found, SAMPLE_KEY, "left_semi")
+    return rows.select("sample_id", "model_name", "perturbation_type", "severity_level", "predicted_class", "confidence", F.lit(True).alias("perturbation_induced"))
+
+
+@relation
+def b1_sensitivity(r: Frames) -> DataFrame:
+    differ = F.col("n_classes") > 1
+    return r.observations.groupBy("perturbation_type").agg(F.count("*").alias("observations"), F.count_if(differ).alias("disagreements"), six(share(differ)).alias("disagreement_rate"))
+
+
+@relation
+def b2_severity_rates(r: Frames) -> DataFrame:
+    differ = ~F.col("models_agree")
+    return r.levels.groupBy("severity_level").agg(F.min("severity_rank").alias("severity_rank"), F.count("*").alias("observations"), F.count_if(differ).alias("disagreements"), six(share(differ)).alias("disagreement_rate"))
+
+
+@relation
+def ladders(r: Frames) -> DataFrame:
+    """The ladder of each sample: its first break so far (rank and label), its place, and the state one step before."""
+    ladder = W.partitionBy("sample_id").orderBy("severity_rank", "severity_level")
+    broken = F.when(~F.col("models_agree"), F.struct("severity_rank", "severity_level"))
+    return r.levels.withColumns({
+        "first_break": F.min(broken).over(ladder.rowsBetween(W.unboundedPreceding, 0)),
+        "agreed_before": F.lag("models_agree").over(ladder),
+    })
+
+
+@relation
+def b3_stability(r: Frames) -> DataFrame:
+    here = F.col("first_break") == F.struct("severity_rank", "severity_level")
+    return r.ladders.select(
+        "sample_id", "severity_level", "severity_rank", "models_agree", "n_unique_classes",
+        F.coalesce(here, F.lit(False)).alias("stability_breakpoint"), F.col("first_break.severity_level").alias("collapse_severity"),
+    )
+
+
+@relation
+def ladder_sums(r: Frames) -> DataFrame:
+    """One row for each sample's ladder: steps, steps before the break, changes of state, the break, the greatest rank."""
+    before = F.col("agreed_before")
+    return r.ladders.groupBy("sample_id").agg(
+        F.count("*").alias("total_steps"), F.count_if(F.col("first_break").isNull()).alias("steps_before"), F.min("first_break").alias("first_break"),
+        F.max("severity_rank").alias("last_rank"), share(F.col("models_agree")).alias("survival"),
+        F.count(before).alias("transitions"), F.count_if(before.isNotNull() & (before != F.col("models_agree"))).alias("changes"),
+    )
+
+
+@relation
+def clean_last(r: Frames) -> DataFrame:
+    """The last clean row of each sample and model."""
+    last = F.max_by(F.struct("predicted_class", "confidence"), "seq").alias("last")
+    by = r.log.filter(is_clean()).groupBy("sample_id", "model_name").agg(last)
+    return by.select("sample_id", "model_name", F.col("last.predicted_class").alias("clean_class"), F.col("last.confidence").alias("clean_confidence"))
+
+
+@relation
+def j2_against_clean(r: Frames) -> DataFrame:
+    """Perturbed rows beside their own clean row; without one the class counts as changed and the confidence as kept."""
+    perturbed = r.log.filter(~is_clean()).select("sample_id", "model_name", "perturbation_type", "severity_level", rank("severity_level").alias("severity_rank"), "predicted_class", "confidence", "true_label", "seq")
+    joined = perturbed.join(r.clean_last, ["sample_id", "model_name"], "left")
+    return joined.select(
+        "sample_id", "model_name", "perturbation_type", "severity_level", "severity_rank", "predicted_class", "confidence", "true_label", "clean_class", "clean_confidence",
+        F.coalesce(F.col("predicted_class") != F.col("clean_class"), F.lit(True)).alias("prediction_changed"),
+        F.coalesce(F.col("clean_confidence") - F.col("confidence"), F.lit(0.0)).alias("confidence_drop"),
+    )
+
+
+@relation
+def model_instability(r: Frames) -> DataFrame:
+    changed = F.col("prediction_changed")
+    by = r.j2_against_clean.filter("clean_class IS NOT NULL").groupBy("model_name").agg(
+        F.count("*").alias("perturbed"), F.count_if(changed).alias("flips"), share(changed).alias("flip_rate"), F.round(F.avg(F.when(changed, F.col("severity_rank"))), 4).alias("mean_flip_rank"))
+    rate = F.col("flip_rate")
+    early = 1.0 - F.col("mean_flip_rank") / (F.col("top_rank") + 1)
+    score = F.when(F.col("flips") == 0, 0.0).otherwise(0.4 * rate + 0.35 * early * rate + 0.25 * rate)
+    return by.crossJoin(F.broadcast(r.top_rank)).withColumn("instability_score", six(score)).drop("top_rank")
+
+
+@relation
+def b4_model_instability(r: Frames) -> DataFrame:
+    return r.model_instability.withColumn("flip_rate", six("flip_rate"))
+
+
+@relation
+def b5_sample_instability(r: Frames) -> DataFrame:
+    differ = F.col("n_classes") > 1
+    by = r.observations.groupBy("sample_id").agg(
+        F.count("*").alias("observations"), F.count_if(differ).alias("breaks"), share(differ).alias("rate"), F.min(F.when(differ, F.col("severity_rank"))).alias("first_rank"),
+        (F.size(F.collect_set(F.when(differ, F.col("perturbation_type")))) / F.size(F.collect_set("perturbation_type"))).alias("breadth"))
+    early = 1.0 - F.col("first_rank").cast("double") / (F.col("top_rank") + 1)
+    score = F.when(F.col("breaks") == 0, 0.0).otherwise(0.4 * F.col("rate") + 0.35 * early * F.col("rate") + 0.25 * F.col("breadth"))
+    scored = by.crossJoin(F.broadcast(r.top_rank))
+    return scored.select("sample_id", "observations", "breaks", six("rate").alias("disagreement_rate"), "first_rank", six("breadth").alias("breadth"), six(score).alias("instability_score"))
+
+
+@relation
+def b6_instability_summary(r: Frames) -> DataFrame:
+    score = F.col("instability_score")
+    models = r.b4_model_instability.agg(six(F.avg(score)).alias("mean_model_instability"), F.max(score).alias("max_model_instability"), F.max_by("model_name", score).alias("worst_model"))
+    samples = r.b5_sample_instability.agg(six(F.avg(score)).alias("mean_sample_instability"), F.max(score).alias("max_sample_instability"), F.count("*").alias("samples"))
+    both = models.crossJoin(samples)
+    return both.withColumn("overall_instability", six((F.col("mean_model_instability") + F.col("mean_sample_instability")) / 2.0))
+
+
+@relation
+def b6_top_samples(r: Frames) -> DataFrame:
+    return r.b5_sample_instability.select("sample_id", "instability_score").orderBy(F.desc("instability_score"), "sample_id").limit(5)
+
+
+def trend(curve: DataFrame, value: str, label: str) -> DataFrame:
+    """One row over a small curve (a value for each severity_rank and label): delta, direction, peak, its label, monotonic."""
+    point = F.struct("severity_rank", label, F.col(value).alias("value"))
+    one = curve.agg(F.array_sort(F.collect_list(point)).alias("curve"))  # one row for each severity
+    values = F.transform("curve", lambda x: x["value"])
+    delta = F.element_at(values, -1) - F.element_at(values, 1)
+    later = F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+    rises = F.forall(F.zip_with(F.slice(values, 1, F.size(later)), later, lambda a, b: b >= a), lambda ok: ok)
+    peak = F.array_max(values)
+    peaks = F.transform(F.filter("curve", lambda x: x["value"] == peak), lambda x: x[label])
+    direction = F.when(delta > 0.02, "increasing").when(delta < -0.02, "decreasing").otherwise("stable")
+    return one.filter(F.size("curve") > 0).select(six(delta).alias("delta"), direction.alias("direction"), peak.alias("peak_rate"), F.array_min(peaks).alias("peak_severity"), rises.alias("monotonic"))
+
+
+@relation
+def b7_escalation(r: Frames) -> DataFrame:
+    return trend(r.b2_severity_rates, "disagreement_rate", "severity_level")
+
+
+def placed(df: DataFrame, key: str, value: str) -> DataFrame:
+    """A small table ranked by value, with the spread of all."""
+    every = W.partitionBy()
+    return df.select(key, value, F.row_number().over(W.orderBy(F.desc(value), key)).alias("place"), six(F.max(value).over(every) - F.min(value).over(every)).alias("spread"))
+
+
+@relation
+def b7_models(r: Frames) -> DataFrame:
+    return placed(r.b4_model_instability, "model_name", "instability_score")
+
+
+@relation
+def b7_perturbations(r: Frames) -> DataFrame:
+    return placed(r.b1_sensitivity, "perturbation_type", "disagreement_rate")
+
+
+@relation
+def b8_flip_rates(r: Frames) -> DataFrame:
+    """Flip rate and confidence drop of every type and model, 0 where a model has none, with the canonical order of the types."""
+    seen = r.j2_against_clean.groupBy("perturbation_type", "model_name").agg(six(share(F.col("prediction_changed"))).alias("flip_rate"), six(F.avg("confidence_drop")).alias("mean_drop"))
+    grid = seen.select("perturbation_type").distinct().crossJoin(seen.select("model_name").distinct())
+    full = grid.join(seen, ["perturbation_type", "model_name"], "left").na.fill(0.0, ["flip_rate", "mean_drop"])
+    return full.withColumn("type_order", canonical_order("perturbation_type"))
+
+
+def canonical_order(column: str) -> Column:
+    """Place of a corruption in tables; all that are not in the list share the last place and follow by name."""
+    at = F.array_position(F.array(*map(F.lit, CORRUPTIONS)), F.col(column)).cast("int")
+    return F.when(at > 0, at).otherwise(len(CORRUPTIONS) + 1)
+
+
+@relation
+def b9_instability_metrics(r: Frames) -> DataFrame:
+    drop = F.col("confidence_drop")
+    return r.j2_against_clean.groupBy("model_name").agg(
+        six(share(F.col("prediction_changed"))).alias("flip_rate"), six(F.avg(drop)).alias("mean_drop"), six(F.max(drop)).alias("max_drop"),
+        six(F.coalesce(F.stddev_samp("confidence"), F.lit(0.0))).alias("confidence_std"), F.count("*").alias("observations"))
+
+
+@relation
+def b10_accuracy(r: Frames) -> DataFrame:
+    right = F.col("predicted_class") == F.col("true_label")
+    return r.log.groupBy("model_name", "perturbation_type").agg(six(100.0 * share(right)).alias("accuracy_pct"), six(F.avg("confidence")).alias("mean_confidence"), F.count("*").alias("n"))
+
 
-CLEAN = is_clean("severity_level")
-MODELS = {
-    "ranked": f"SELECT *, {rank('severity_level')} AS severity_rank FROM log",
-    "observations": f"SELECT sample_id, perturbation_type, severity_level, min(severity_rank) AS severity_rank, count(DISTINCT model_name) AS n_models, count(DISTINCT predicted_class) AS n_classes FROM ranked WHERE NOT ({CLEAN}) GROUP BY sample_id, perturbation_type, severity_level HAVING count(DISTINCT model_name) >= 2",
-    # Samples on which all models agree when clean; their perturbed observations that disagree.
-    "agreed": "SELECT sample_id FROM complete WHERE n_classes = 1",
-    "induced_keys": "SELECT o.sample_id, o.perturbation_type, o.severity_level FROM observations o WHERE o.n_classes > 1 AND o.sample_id IN (SELECT sample_id FROM agreed)",
-    "j4_induced_disagreements": f"SELECT l.sample_id, l.model_name, l.perturbation_type, l.severity_level, l.predicted_class, l.confidence, true AS perturbation_induced FROM log l JOIN induced_keys k ON l.sample_id = k.sample_id AND l.perturbation_type = k.perturbation_type AND l.severity_level = k.severity_level WHERE NOT ({is_clean('l.severity_level')})",
-    "typed": f"SELECT sample_id, severity_level, perturbation_type, count(DISTINCT model_name) AS n_models, count(DISTINCT predicted_class) AS n_classes FROM log WHERE NOT ({CLEAN}) GROUP BY sample_id, severity_level, perturbation_type",
-    "b1_sensitivity": "SELECT perturbation_type, count(*) AS observations, count(*) FILTER (WHERE n_classes > 1) AS disagreements, round(count(*) FILTER (WHERE n_classes > 1) / CAST(count(*) AS DOUBLE), 6) AS disagreement_rate FROM typed WHERE n_models >= 2 GROUP BY perturbation_type",
-    "b2_severity_rates": "SELECT severity_level, min(severity_rank) AS severity_rank, count(*) AS observations, count(*) FILTER (WHERE NOT models_agree) AS disagreements, round(count(*) FILTER (WHERE NOT models_agree) / CAST(count(*) AS DOUBLE), 6) AS disagreement_rate FROM levels GROUP BY severity_level",
-    "levels": "SELECT sample_id, severity_level, min(severity_rank) AS severity_rank, count(DISTINCT predicted_class) = 1 AS models_agree, count(DISTINCT predicted_class) AS n_unique_classes FROM ranked GROUP BY sample_id, severity_level HAVING count(DISTINCT model_name) >= 2",
-    # The ladder of each sample: its first break, and the state from it on.
-    "breaks": "SELECT *, min(CASE WHEN NOT models_agree THEN concat(lpad(CAST(severity_rank AS STRING), 3, '0'), severity_level) END) OVER (PARTITION BY sample_id ORDER BY severity_rank, severity_level ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first_break, row_number() OVER (PARTITION BY sample_id ORDER BY severity_rank, severity_level) AS step, lag(models_agree) OVER (PARTITION BY sample_id ORDER BY severity_rank, severity_level) AS agreed_before FROM levels",
-    "b3_stability": "SELECT sample_id, severity_level, severity_rank, models_agree, n_unique_classes, coalesce(first_break = concat(lpad(CAST(severity_rank AS STRING), 3, '0'), severity_level), false) AS stability_breakpoint, substr(first_break, 4) AS collapse_severity FROM breaks",
-    "clean_last": f"SELECT sample_id, model_name, max_by(predicted_class, seq) AS clean_class, max_by(confidence, seq) AS clean_confidence FROM log WHERE {CLEAN} GROUP BY sample_id, model_name",
-    "j2_against_clean": f"SELECT r.sample_id, r.model_name, r.perturbation_type, r.severity_level, r.severity_rank, r.predicted_class, r.confidence, r.true_label, c.clean_class, c.clean_confidence, coalesce(r.predicted_class <> c.clean_class, true) AS prediction_changed, coalesce(c.clean_confidence - r.confidence, 0e0) AS confidence_drop FROM ranked r LEFT JOIN clean_last c ON r.sample_id = c.sample_id AND r.model_name = c.model_name WHERE NOT ({CLEAN})",
-    "top_rank": f"SELECT max(severity_rank) AS top_rank FROM ranked WHERE NOT ({CLEAN})",
-    "flips": "SELECT model_name, count(*) AS perturbed, count(*) FILTER (WHERE prediction_changed) AS flips, count(*) FILTER (WHERE prediction_changed) / CAST(count(*) AS DOUBLE) AS flip_rate, round(avg(CASE WHEN prediction_changed THEN severity_rank END), 4) AS mean_flip_rank FROM j2_against_clean WHERE clean_class IS NOT NULL GROUP BY model_name",
-    "b4_model_instability": "SELECT model_name, perturbed, flips, round(flip_rate, 6) AS flip_rate, mean_flip_rank, round(CASE WHEN flips = 0 THEN 0e0 ELSE 0.4e0 * flip_rate + 0.35e0 * (1e0 - mean_flip_rank / (top_rank + 1)) * flip_rate + 0.25e0 * flip_rate END, 6) AS instability_score FROM flips CROSS JOIN top_rank",
-    "sample_breaks": "SELECT sample_id, count(*) AS observations, count(*) FILTER (WHERE n_classes > 1) AS breaks, count(*) FILTER (WHERE n_classes > 1) / CAST(count(*) AS DOUBLE) AS rate, min(CASE WHEN n_classes > 1 THEN severity_rank END) AS first_rank, count(DISTINCT CASE WHEN n_classes > 1 THEN perturbation_type END) / CAST(count(DISTINCT perturbation_type) AS DOUBLE) AS breadth FROM observations GROUP BY sample_id",
-    "b5_sample_instability": "SELECT sample_id, observations, breaks, round(rate, 6) AS disagreement_rate, first_rank, round(breadth, 6) AS breadth, round(CASE WHEN breaks = 0 THEN 0e0 ELSE 0.4e0 * rate + 0.35e0 * (1e0 - CAST(first_rank AS DOUBLE) / (top_rank + 1)) * rate + 0.25e0 * breadth END, 6) AS instability_score FROM sample_breaks CROSS JOIN top_rank",
-    "b6_model_part": "SELECT round(avg(instability_score), 6) AS mean_model_instability, max(instability_score) AS max_model_instability, max_by(model_name, instability_score) AS worst_model FROM b4_model_instability",
-    "b6_sample_part": "SELECT round(avg(instability_score), 6) AS mean_sample_instability, max(instability_score) AS max_sample_instability, count(*) AS samples FROM b5_sample_instability",
-    "b6_instability_summary": "SELECT *, round((mean_model_instability + mean_sample_instability) / 2e0, 6) AS overall_instability FROM b6_model_part CROSS JOIN b6_sample_part",
-    "b6_top_samples": "SELECT sample_id, instability_score FROM b5_sample_instability ORDER BY instability_score DESC, sample_id LIMIT 5",
-    "b7_steps": "SELECT *, first_value(disagreement_rate) OVER w AS first_rate, last_value(disagreement_rate) OVER w AS last_rate, max(disagreement_rate) OVER w AS peak_rate, lag(disagreement_rate) OVER (ORDER BY severity_rank, severity_level) AS rate_before FROM b2_severity_rates WINDOW w AS (ORDER BY severity_rank, severity_level ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
-    "b7_escalation": "SELECT round(max(last_rate) - max(first_rate), 6) AS delta, CASE WHEN max(last_rate) - max(first_rate) > 0.02e0 THEN 'increasing' WHEN max(last_rate) - max(first_rate) < -0.02e0 THEN 'decreasing' ELSE 'stable' END AS direction, max(peak_rate) AS peak_rate, min(CASE WHEN disagreement_rate = peak_rate THEN severity_level END) AS peak_severity, bool_and(coalesce(disagreement_rate >= rate_before, true)) AS monotonic FROM b7_steps",
-    "b7_models": "SELECT model_name, instability_score, row_number() OVER (ORDER BY instability_score DESC, model_name) AS place, round(max(instability_score) OVER () - min(instability_score) OVER (), 6) AS spread FROM b4_model_instability",
-    "b7_perturbations": "SELECT perturbation_type, disagreement_rate, row_number() OVER (ORDER BY disagreement_rate DESC, perturbation_type) AS place, round(max(disagreement_rate) OVER () - min(disagreement_rate) OVER (), 6) AS spread FROM b1_sensitivity",
-    "b8_flip_rates": "SELECT perturbation_type, model_name, round(avg(CASE WHEN prediction_changed THEN 1e0 ELSE 0e0 END), 6) AS flip_rate, round(avg(confidence_drop), 6) AS mean_drop FROM j2_against_clean GROUP BY perturbation_type, model_name",
-    "b9_instability_metrics": "SELECT model_name, round(avg(CASE WHEN prediction_changed THEN 1e0 ELSE 0e0 END), 6) AS flip_rate, round(avg(confidence_drop), 6) AS mean_drop, round(max(confidence_drop), 6) AS max_drop, round(coalesce(stddev_samp(confidence), 0e0), 6) AS confidence_std, count(*) AS observations FROM j2_against_clean GROUP BY model_name",
-    "b10_accuracy": "SELECT model_name, perturbation_type, round(100 * avg(CASE WHEN predicted_class = true_label THEN 1e0 ELSE 0e0 END), 6) AS accuracy_pct, round(avg(confidence), 6) AS mean_confidence, count(*) AS n FROM log GROUP BY model_name, perturbation_type",
-    "b10_by_class": "SELECT predicted_class, perturbation_type, round(avg(confidence), 6) AS mean_confidence, count(*) AS n FROM log GROUP BY predicted_class, perturbation_type",
-}
+@relation
+def b10_by_class(r: Frames) -> DataFrame:
+    return r.log.groupBy("predicted_class", "perturbation_type").agg(six(F.avg("confidence")).alias("mean_confidence"), F.count("*").alias("n"))

@@ -1,50 +1,203 @@
-"""Reliability risk of samples and models: components by sample, renormalised weights, levels and summaries."""
+"""Reliability risk of samples and models: components by sample, renormalised weights, levels, trends and summaries."""
 
 from __future__ import annotations
 
-from plumbline.functions.labels import RISK, label
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-# The weights of the sample and model components, in order of rank.
+from plumbline.functions.columns import clip, nudged, over, six
+from plumbline.functions.labels import RISK, RISK_TREND_LADDER, label, rank
+from plumbline.operators.perturbation import placed, trend
+from plumbline.operators.frames import Frames, relation
+
+# The weights of the sample and model components, in order of rank; risk of a false consensus.
 SAMPLE_WEIGHTS = {"disagreement": 0.22, "confidence": 0.20, "consensus": 0.20, "instability": 0.16, "fragility": 0.12, "escalation": 0.10}
 MODEL_WEIGHTS = {"pair_risk": 0.40, "instability": 0.40, "trust_deficit": 0.20}
+FALSE_CONSENSUS = {"mild": 0.5, "moderate": 0.7, "severe": 0.9}
+LEVELS = tuple(name for _, name in RISK)
+
+
+def weighted(weights: dict[str, float]) -> Column:
+    """The weighted mean over the components that are present; one half if none is."""
+    top = sum((F.coalesce(w * clip(F.col(c)), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
+    low = sum((F.when(F.col(c).isNull(), 0.0).otherwise(w) for c, w in weights.items()), F.lit(0.0))
+    present = F.coalesce(*(F.col(c) for c in weights)).isNotNull()
+    return F.when(present, top / low).otherwise(0.5)
+
+
+def ranked_factors(weights: dict[str, float]) -> Column:
+    """Names of the present components, the largest first, in the given order on ties."""
+    held = F.array(*(F.when(F.col(c).isNotNull(), F.struct((-clip(F.col(c))).alias("v"), F.lit(i).alias("i"), F.lit(c).alias("c"))) for i, c in enumerate(weights)))
+    return F.transform(F.array_sort(F.array_compact(held)), lambda x: x["c"])
+
+
+@relation
+def r1_disagreement(r: Frames) -> DataFrame:
+    s = F.col("disagreement_score")
+    return r.p9_scored_pairs.groupBy("sample_id").agg((0.6 * F.max(s) + 0.4 * F.avg(s)).alias("disagreement"))
+
+
+@relation
+def r2_confidence(r: Frames) -> DataFrame:
+    """Gap and lack of confidence; with one of them missing, the other."""
+    gap, lack = F.col("confidence_gap"), 1.0 - F.col("confidence_mean")
+    return r.a6_confidence_gaps.select("sample_id", F.coalesce(0.65 * gap + 0.35 * lack, gap, lack).alias("confidence"))
+
+
+@relation
+def r3_consensus(r: Frames) -> DataFrame:
+    return r.d1_reliability.groupBy("sample_id").agg((1.0 - F.avg("reliability")).alias("consensus"))
+
+
+def unrest(r: Frames) -> DataFrame:
+    """(sample_id, unrest): changes of state, and how early on the sample's own ladder the models break apart."""
+    swing = F.col("changes") / F.greatest("transitions", F.lit(1)).cast("double")
+    early = clip(1.0 - (F.col("first_break.severity_rank") - 1.0) / F.greatest("last_rank", F.lit(1)))
+    return r.ladder_sums.select("sample_id", clip(0.6 * swing + 0.4 * F.coalesce(early, F.lit(0.0))).alias("unrest"))
+
+
+@relation
+def r4_fragility(r: Frames) -> DataFrame:
+    """The greatest of four signals of a sample."""
+    severity = F.lit(None).cast("double")
+    for name, value in FALSE_CONSENSUS.items():
+        severity = F.when(F.col("false_consensus_severity") == name, F.lit(value)).otherwise(severity)
+    bonus = F.least(F.lit(0.15), 0.05 * (F.col("flag_count") - 1))
+    signals = (
+        r.d6_fragile.select("sample_id", (1.0 - F.least("collapse_rank", F.lit(5)) / 5.0).alias("fragility"))
+        .unionByName(r.d7_false_consensus.select("sample_id", clip(severity + bonus).alias("fragility")))
+        .unionByName(r.d3_breakdown.select("sample_id", F.col("escalation_speed").alias("fragility")))
+        .unionByName(unrest(r).withColumnRenamed("unrest", "fragility"))
+    )
+    return signals.groupBy("sample_id").agg(F.max("fragility").alias("fragility"))
+
+
+@relation
+def r5_escalation(r: Frames) -> DataFrame:
+    """From the breakdowns; if no sample at all breaks down, from the ladders."""
+    found = r.d3_breakdown.select("sample_id", ((F.col("escalation_speed") + 1.0 / F.greatest("consensus_duration", F.lit(1))) / 2.0).alias("escalation"))
+    none = F.broadcast(r.d3_breakdown.agg(F.count("*").alias("n")).filter("n = 0"))
+    return found.unionByName(unrest(r).crossJoin(none).select("sample_id", F.col("unrest").alias("escalation")))
+
+
+@relation
+def risk_parts(r: Frames) -> DataFrame:
+    """All components of each sample: long rows, one for each component, that one aggregate puts side by side."""
+    parts = {"disagreement": r.r1_disagreement, "confidence": r.r2_confidence, "consensus": r.r3_consensus, "instability": r.b5_sample_instability.select("sample_id", F.col("instability_score").alias("instability")), "fragility": r.r4_fragility, "escalation": r.r5_escalation}
+    ids = None
+    for df in parts.values():
+        one = df.select("sample_id")
+        ids = one if ids is None else ids.unionByName(one)
+    out = ids.distinct()
+    for df in parts.values():
+        out = out.join(df, "sample_id", "left")
+    return out
+
+
+@relation
+def r6_sample_risk(r: Frames) -> DataFrame:
+    named = r.risk_parts.withColumns({"risk_score": six(clip(weighted(SAMPLE_WEIGHTS))), "factors": ranked_factors(SAMPLE_WEIGHTS)})
+    return named.select(
+        "sample_id", *((F.col(c) if c == "instability" else nudged(c)).alias(c) for c in SAMPLE_WEIGHTS), "risk_score", F.get("factors", F.lit(0)).alias("dominant_factor"),
+        F.array_join(F.slice("factors", 2, 2), "|").alias("secondary_factors"), F.size("factors").alias("components"), label(F.col("risk_score"), RISK).alias("risk_level"),
+    )
+
+
+@relation
+def r6_top_risks(r: Frames) -> DataFrame:
+    return r.r6_sample_risk.select("sample_id", "risk_score", "risk_level").orderBy(F.desc("risk_score"), "sample_id").limit(5)
+
+
+@relation
+def model_parts(r: Frames) -> DataFrame:
+    s = F.col("disagreement_score")
+    sides = r.p9_scored_pairs.select(F.explode(F.array("model_a", "model_b")).alias("model_name"), s)
+    by = sides.groupBy("model_name").agg((0.6 * F.max(s) + 0.4 * F.avg(s)).alias("pair_risk"), F.avg(s).alias("mean_score"), F.max(s).alias("peak_score"))
+    models = r.b4_model_instability.select("model_name", F.col("instability_score").alias("instability"))
+    trust = r.d5_model_trust.select("model_name", (1.0 - F.col("trust_contribution")).alias("trust_deficit"))
+    return models.join(by, "model_name", "left").join(trust, "model_name", "left")
+
+
+@relation
+def r7_model_risk(r: Frames) -> DataFrame:
+    return r.model_parts.select("model_name", six("mean_score").alias("mean_score"), "peak_score", "instability", six("trust_deficit").alias("trust_deficit"), six(weighted(MODEL_WEIGHTS)).alias("risk_score"))
+
+
+@relation
+def r8_risk_summary(r: Frames) -> DataFrame:
+    s = F.col("risk_score")
+    return r.r6_sample_risk.agg(
+        F.count("*").alias("samples"), six(F.avg(s)).alias("mean_risk"), F.max(s).alias("max_risk"), F.min(s).alias("min_risk"), six(F.median(s)).alias("median_risk"),
+        F.count_if(s >= 0.6).alias("high_risk"), F.count_if(s >= 0.8).alias("critical_risk"), *(six(F.avg(c)).alias(f"mean_{c}") for c in SAMPLE_WEIGHTS))
+
+
+@relation
+def r8_levels(r: Frames) -> DataFrame:
+    """Every level of risk, also those that no sample has; most_common marks the one with most samples."""
+    counts = r.r6_sample_risk.agg(F.count("*").alias("total"), *(F.count_if(F.col("risk_level") == x).alias(x) for x in LEVELS))
+    long = counts.select("total", F.inline(F.array(*(F.struct(F.lit(x).alias("risk_level"), F.col(x).alias("samples")) for x in LEVELS))))
+    first = F.row_number().over(W.orderBy(F.desc("samples"), "risk_level")) == 1
+    return long.select("risk_level", "samples", six(over(F.col("samples").cast("double"), F.col("total").cast("double"))).alias("rate"), (first & (F.col("samples") > 0)).alias("most_common"))
+
+
+@relation
+def r9_contributors(r: Frames) -> DataFrame:
+    """How many samples a factor dominates, and for how many it is one of the next two."""
+    first = r.r6_sample_risk.filter("dominant_factor IS NOT NULL").select(F.col("dominant_factor").alias("factor"), F.lit(1).alias("d"), F.lit(0).alias("s"))
+    next_ = r.r6_sample_risk.filter("secondary_factors <> ''").select(F.explode(F.split("secondary_factors", r"\|")).alias("factor"), F.lit(0).alias("d"), F.lit(1).alias("s"))
+    return first.unionByName(next_).groupBy("factor").agg(F.sum("d").alias("dominant"), F.sum("s").alias("secondary"))
+
+
+@relation
+def risk_by_part(r: Frames) -> DataFrame:
+    """Risk by perturbation type and by severity, over the samples that were seen under each."""
+    s = F.col("risk_score")
+    parts = F.array(*(F.struct(F.lit(c).alias("part"), F.col(c).alias("name")) for c in ("perturbation_type", "severity_level")))
+    seen = r.rows.select("sample_id", F.inline(parts)).distinct().join(r.r6_sample_risk.select("sample_id", "risk_score"), "sample_id")
+    return seen.groupBy("part", "name").agg(six(F.avg(s)).alias("mean_risk"), F.max(s).alias("max_risk"), F.min(s).alias("min_risk"), six(F.max(s) - F.min(s)).alias("delta"), F.count("*").alias("samples"))
+
+
+@relation
+def r10_fragility(r: Frames) -> DataFrame:
+    """Risk by perturbation type and by severity, ranked within each."""
+    return r.risk_by_part.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(F.desc("mean_risk"), "name")))
+
+
+@relation
+def r10_from_rates(r: Frames) -> DataFrame:
+    """The same ranking from disagreement rates, where the risks have no types and severities."""
+    kinds = r.b1_sensitivity.select(F.lit("perturbation_type").alias("part"), F.col("perturbation_type").alias("name"), "disagreement_rate")
+    steps = r.b2_severity_rates.select(F.lit("severity_level").alias("part"), F.col("severity_level").alias("name"), "disagreement_rate")
+    return kinds.unionByName(steps).withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(F.desc("disagreement_rate"), "name")))
+
+
+@relation
+def r11_model_risk_summary(r: Frames) -> DataFrame:
+    s = F.col("risk_score")
+    high = F.array_sort(F.collect_list(F.when(s >= 0.6, F.col("model_name"))))  # one name for each model
+    return r.r7_model_risk.agg(
+        F.max_by("model_name", s).alias("highest_risk"), F.min_by("model_name", s).alias("most_stable"), six(F.max(s) - F.min(s)).alias("spread"), F.count_if(s >= 0.6).alias("high_risk_models"),
+        F.max_by("model_name", "instability").alias("fastest_destabilising"), F.max_by("model_name", "mean_score").alias("top_contributor"), F.array_join(high, "|").alias("high_risk_names"))
+
+
+@relation
+def severity_risk(r: Frames) -> DataFrame:
+    steps = r.risk_by_part.filter("part = 'severity_level'").select(F.col("name").alias("severity_level"), "mean_risk")
+    return steps.withColumn("severity_rank", rank("severity_level", RISK_TREND_LADDER))
+
+
+@relation
+def r12_severity_trend(r: Frames) -> DataFrame:
+    return trend(r.severity_risk, "mean_risk", "severity_level")
+
+
+@relation
+def r12_perturbations(r: Frames) -> DataFrame:
+    kinds = r.risk_by_part.filter("part = 'perturbation_type'").select(F.col("name").alias("perturbation_type"), "mean_risk")
+    return placed(kinds, "perturbation_type", "mean_risk")
 
 
-def weighted(weights: dict[str, float]) -> str:
-    """The weighted mean over the components that are present; 0.5 if none is."""
-    top = " + ".join(f"coalesce({w}e0 * {c}, 0e0)" for c, w in weights.items())
-    low = " + ".join(f"CASE WHEN {c} IS NULL THEN 0e0 ELSE {w}e0 END" for c, w in weights.items())
-    return f"coalesce(({top}) / nullif({low}, 0e0), 0.5e0)"
-
-
-def dominant(weights: dict[str, float]) -> str:
-    """The present component with the largest value, the first in order on ties."""
-    top = f"greatest({', '.join(f'coalesce({c}, -1e0)' for c in weights)})"
-    return "CASE " + " ".join(f"WHEN {c} = {top} THEN '{c}'" for c in weights) + " END"
-
-
-# A nudge of 1e-9 decides ties at the sixth digit alike in every engine.
-MODELS = {
-    "r1_disagreement": "SELECT sample_id, 0.6e0 * max(disagreement_score) + 0.4e0 * avg(disagreement_score) AS disagreement FROM p9_scored_pairs GROUP BY sample_id",
-    "r2_confidence": "SELECT sample_id, 0.65e0 * confidence_gap + 0.35e0 * (1e0 - confidence_mean) AS confidence FROM a6_confidence_gaps",
-    "r3_consensus": "SELECT sample_id, 1e0 - avg(reliability) AS consensus FROM d1_reliability GROUP BY sample_id",
-    "r4_signals": """SELECT sample_id, (1e0 - least(collapse_rank, 5) / 5e0) AS fragility FROM d6_fragile
-      UNION ALL SELECT sample_id, least(1e0, CASE false_consensus_severity WHEN 'mild' THEN 0.5e0 WHEN 'moderate' THEN 0.7e0 ELSE 0.9e0 END + least(0.15e0, 0.05e0 * (flag_count - 1))) FROM d7_false_consensus
-      UNION ALL SELECT sample_id, escalation_speed FROM d3_breakdown
-      UNION ALL SELECT d.sample_id, 0.6e0 * coalesce(d.changes / CAST(nullif(d.transitions, 0) AS DOUBLE), 0e0) + 0.4e0 * CASE WHEN l.first_break IS NULL THEN 0e0 ELSE 1e0 END FROM d8_changes d JOIN ladder_sizes l ON d.sample_id = l.sample_id""",
-    "r4_fragility": "SELECT sample_id, max(fragility) AS fragility FROM r4_signals GROUP BY sample_id",
-    "r5_escalation": "SELECT sample_id, (escalation_speed + 1e0 / greatest(consensus_duration, 1)) / 2e0 AS escalation FROM d3_breakdown",
-    "risk_ids": "SELECT sample_id FROM r1_disagreement UNION SELECT sample_id FROM r2_confidence UNION SELECT sample_id FROM r3_consensus UNION SELECT sample_id FROM b5_sample_instability UNION SELECT sample_id FROM r4_fragility UNION SELECT sample_id FROM r5_escalation",
-    "risk_parts": "SELECT u.sample_id, a.disagreement, b.confidence, c.consensus, i.instability_score AS instability, f.fragility, e.escalation FROM risk_ids u LEFT JOIN r1_disagreement a ON u.sample_id = a.sample_id LEFT JOIN r2_confidence b ON u.sample_id = b.sample_id LEFT JOIN r3_consensus c ON u.sample_id = c.sample_id LEFT JOIN b5_sample_instability i ON u.sample_id = i.sample_id LEFT JOIN r4_fragility f ON u.sample_id = f.sample_id LEFT JOIN r5_escalation e ON u.sample_id = e.sample_id",
-    "risk_scores": f"SELECT *, round(least(1e0, greatest(0e0, {weighted(SAMPLE_WEIGHTS)})), 6) AS risk_score, {dominant(SAMPLE_WEIGHTS)} AS dominant_factor FROM risk_parts",
-    "r6_sample_risk": f"SELECT sample_id, round(disagreement + 1e-9, 6) AS disagreement, round(confidence + 1e-9, 6) AS confidence, round(consensus + 1e-9, 6) AS consensus, instability, round(fragility + 1e-9, 6) AS fragility, round(escalation + 1e-9, 6) AS escalation, risk_score, dominant_factor, {label('risk_score', RISK)} AS risk_level FROM risk_scores",
-    "r6_top_risks": "SELECT sample_id, risk_score, risk_level FROM r6_sample_risk ORDER BY risk_score DESC, sample_id LIMIT 5",
-    "pair_sides": "SELECT model_a AS model_name, disagreement_score FROM p9_scored_pairs UNION ALL SELECT model_b, disagreement_score FROM p9_scored_pairs",
-    "model_pairs": "SELECT model_name, 0.6e0 * max(disagreement_score) + 0.4e0 * avg(disagreement_score) AS pair_risk, avg(disagreement_score) AS mean_score, max(disagreement_score) AS peak_score FROM pair_sides GROUP BY model_name",
-    "model_parts": "SELECT i.model_name, p.pair_risk, p.mean_score, p.peak_score, i.instability_score AS instability, 1e0 - t.trust_contribution AS trust_deficit FROM b4_model_instability i LEFT JOIN model_pairs p ON i.model_name = p.model_name LEFT JOIN d5_model_trust t ON i.model_name = t.model_name",
-    "r7_model_risk": f"SELECT model_name, round(mean_score, 6) AS mean_score, peak_score, instability, round(trust_deficit, 6) AS trust_deficit, round({weighted(MODEL_WEIGHTS)}, 6) AS risk_score FROM model_parts",
-    "r8_risk_summary": "SELECT count(*) AS samples, round(avg(risk_score), 6) AS mean_risk, max(risk_score) AS max_risk, min(risk_score) AS min_risk, round(median(risk_score), 6) AS median_risk, count(*) FILTER (WHERE risk_score >= 0.6e0) AS high_risk, count(*) FILTER (WHERE risk_score >= 0.8e0) AS critical_risk, round(avg(disagreement), 6) AS mean_disagreement, round(avg(confidence), 6) AS mean_confidence, round(avg(consensus), 6) AS mean_consensus, round(avg(instability), 6) AS mean_instability, round(avg(fragility), 6) AS mean_fragility, round(avg(escalation), 6) AS mean_escalation FROM r6_sample_risk",
-    "risk_levels": "SELECT 'critical' AS risk_level UNION ALL SELECT 'high' UNION ALL SELECT 'moderate' UNION ALL SELECT 'low' UNION ALL SELECT 'minimal'",
-    "r8_levels": "SELECT v.risk_level, count(r.sample_id) AS samples, round(count(r.sample_id) / CAST((SELECT count(*) FROM r6_sample_risk) AS DOUBLE), 6) AS rate FROM risk_levels v LEFT JOIN r6_sample_risk r ON v.risk_level = r.risk_level GROUP BY v.risk_level",
-    "r9_contributors": "SELECT dominant_factor, count(*) AS samples FROM r6_sample_risk GROUP BY dominant_factor",
-    "r11_model_risk_summary": "SELECT max_by(model_name, risk_score) AS highest_risk, min_by(model_name, risk_score) AS most_stable, round(max(risk_score) - min(risk_score), 6) AS spread, count(*) FILTER (WHERE risk_score >= 0.6e0) AS high_risk_models FROM r7_model_risk",
-}
+@relation
+def r12_models(r: Frames) -> DataFrame:
+    return placed(r.r7_model_risk, "model_name", "risk_score")

@@ -1,16 +1,228 @@
-"""Entropy and dispersion of probability vectors (p0..p3), and their roll-ups."""
+"""Entropy and dispersion of probability vectors of any length, confidence collapse, conflicts and trends."""
 
 from __future__ import annotations
 
-_H = " + ".join(f"-greatest(p{k}, 1e-12) * ln(greatest(p{k}, 1e-12))" for k in range(4))
-_SECOND = "greatest(" + ", ".join(f"least(p{a}, p{b})" for a in range(4) for b in range(a + 1, 4)) + ")"
-# A nudge of 1e-9 decides ties at the sixth digit alike in every engine.
-MODELS = {
-    "p7_entropy": f"SELECT sample_id, model_name, label, predicted, round({_H}, 6) AS entropy, round(({_H}) / ln(4e0), 6) AS uncertainty_score, confidence AS peak, round(confidence - least(p0, p1, p2, p3), 6) AS spread FROM p4_predictions",
-    "p8_dispersion": f"SELECT sample_id, model_name, confidence AS concentration, round(1e0 - confidence, 6) AS flatness, round(confidence - {_SECOND}, 6) AS top2_gap, CASE WHEN confidence >= 0.75e0 THEN 'peaked' WHEN confidence >= 0.5e0 THEN 'balanced' ELSE 'flat' END AS shape FROM p4_predictions",
-    "u1_entropy_summary": "SELECT count(*) AS n, round(avg(entropy), 6) AS mean_entropy, round(avg(uncertainty_score), 6) AS mean_uncertainty, max(uncertainty_score) AS max_uncertainty, count(*) FILTER (WHERE uncertainty_score >= 0.6e0) AS high, count(*) FILTER (WHERE uncertainty_score >= 0.8e0) AS critical FROM p7_entropy",
-    "u2_sample_uncertainty": "SELECT sample_id, round(avg(uncertainty_score) + 1e-9, 6) AS mean_uncertainty, max(uncertainty_score) AS max_uncertainty, min(uncertainty_score) AS min_uncertainty, round(avg(entropy) + 1e-9, 6) AS mean_entropy, round(avg(peak) + 1e-9, 6) AS mean_confidence, count(*) AS observations FROM p7_entropy GROUP BY sample_id",
-    "u7_dispersion_by_model": "SELECT model_name, round(avg(concentration), 6) AS mean_concentration, round(avg(top2_gap), 6) AS mean_gap, count(*) FILTER (WHERE shape = 'flat') AS flat, count(*) FILTER (WHERE shape = 'peaked') AS peaked FROM p8_dispersion GROUP BY model_name",
-    "u8_top_samples": "SELECT sample_id, mean_uncertainty FROM u2_sample_uncertainty ORDER BY mean_uncertainty DESC, sample_id LIMIT 5",
-    "u11_model_profiles": "SELECT model_name, round(avg(uncertainty_score), 6) AS mean_uncertainty, max(uncertainty_score) AS max_uncertainty, min(uncertainty_score) AS min_uncertainty, round(stddev_pop(uncertainty_score), 6) AS std_uncertainty, count(*) AS n FROM p7_entropy GROUP BY model_name",
-}
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from plumbline.functions.columns import clip, let, nudged, six, total_of
+from plumbline.functions.labels import RISK, SHAPE, UNCERTAINTY_LADDER, is_clean, label, rank
+from plumbline.operators.perturbation import placed, trend
+from plumbline.operators.frames import Frames, relation
+
+#: Size of a vector that is filled from a confidence.
+FILLED = 4
+
+
+def normalised(p: Column, confidence: Column, size: int = 2) -> Column:
+    """struct(status, p): the vector without what is no number and without negatives, made to add up to 1; without one, the
+    confidence and the rest; without that, even shares."""
+    finite = F.filter(p, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    held = F.transform(finite, lambda x: F.greatest(x, F.lit(0.0)))
+    total = total_of(held)
+    c = clip(confidence)
+    made = lambda status, v: F.struct(F.lit(status).alias("status"), v.alias("p"))
+    even = F.array_repeat(F.lit(1.0 / size), size)
+    scaled = let(total, lambda t: F.transform(held, lambda x: x / t))
+    given = F.when(F.abs(total - 1.0) <= 1e-6, made("valid", held)).otherwise(made("normalized", scaled))
+    return F.when((F.size(held) > 0) & (total > 0), given).when(confidence.isNotNull() & ~F.isnan(confidence), made("confidence_proxy", F.array(c, 1.0 - c))).otherwise(made("uniform_fallback", even))
+
+
+def filled(p: Column, index: Column, confidence: Column, size: int = FILLED) -> Column:
+    """The vector, or where it is missing the confidence at the predicted class and even shares of the rest."""
+    c = clip(F.coalesce(confidence, F.lit(0.5)))
+    made = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == F.pmod(index, F.lit(size)), c).otherwise((1.0 - c) / (size - 1)))
+    return F.coalesce(p, made)
+
+
+@relation
+def vectors(r: Frames) -> DataFrame:
+    """The log with probability vectors, filled where there is none; a class's index is the number at the end of its name."""
+    index = F.regexp_extract("predicted_class", r"(\d+)$", 1).try_cast("int")
+    held = F.col("probabilities") if "probabilities" in r.log.columns else F.lit(None).cast("array<double>")
+    return r.log.select("sample_id", "model_name", "perturbation_type", "severity_level", "seq", "confidence", filled(held, F.coalesce(index, F.lit(0)), F.col("confidence")).alias("probabilities"))
+
+
+@relation
+def p6_filled(r: Frames) -> DataFrame:
+    long = r.vectors.select("model_name", "severity_level", F.posexplode("probabilities").alias("k", "p"))
+    return long.groupBy("model_name", "severity_level", "k").agg(F.count("*").alias("n"), six(F.avg("p")).alias("mean_probability"))
+
+
+@relation
+def entropies(r: Frames) -> DataFrame:
+    """Metrics of each row's vector, rounded to six digits before anything is averaged."""
+    made = r.vectors.select("*", normalised(F.col("probabilities"), F.col("confidence")).alias("v"))
+    p, n = F.col("v.p"), F.size("v.p")
+    safe = lambda x: F.least(F.lit(1.0), F.greatest(x, F.lit(1e-12)))
+    entropy = total_of(p, lambda x: -safe(x) * F.ln(safe(x)))
+    variance = let(total_of(p) / n, lambda mean: total_of(p, lambda x: (x - mean) * (x - mean))) / n
+    score = F.when(n > 1, clip(entropy / F.ln(n))).otherwise(0.0)
+    top = F.array_max(p)
+    second = F.when(n > 1, F.element_at(F.sort_array(p, asc=False), 2)).otherwise(0.0)
+    return made.select(
+        "sample_id", "model_name", "perturbation_type", "severity_level", "seq", "confidence", F.col("v.status").alias("status"), six(entropy).alias("entropy"), six(score).alias("uncertainty_score"), six(top).alias("peak"),
+        six(variance).alias("variance"), six(F.sqrt(variance)).alias("std"), six(top - F.array_min(p)).alias("spread"), n.alias("size"), six(total_of(p)).alias("total"),
+        (F.col("v.status") == "confidence_proxy").alias("proxy"), six(1.0 - top).alias("flatness"), six(top - second).alias("top2_gap"), label(top, SHAPE).alias("shape"),
+    )
+
+
+@relation
+def p5_status(r: Frames) -> DataFrame:
+    return r.entropies.groupBy("status").agg(F.count("*").alias("n"), six(F.avg("total")).alias("mean_total"), F.max("size").alias("most_classes"))
+
+
+@relation
+def p7_entropy(r: Frames) -> DataFrame:
+    names = ["entropy", "uncertainty_score", "peak", "variance", "std", "spread", "total"]
+    return r.entropies.groupBy("sample_id", "model_name").agg(F.count("*").alias("n"), *(nudged(F.avg(c)).alias(c) for c in names), F.count_if("proxy").alias("proxies"))
+
+
+@relation
+def p8_dispersion(r: Frames) -> DataFrame:
+    names = {"peak": "concentration", "flatness": "flatness", "top2_gap": "top2_gap", "variance": "variance", "spread": "spread"}
+    return r.entropies.groupBy("sample_id", "model_name").agg(*(nudged(F.avg(c)).alias(name) for c, name in names.items()), *(F.count_if(F.col("shape") == s).alias(s) for _, s in SHAPE))
+
+
+U = "uncertainty_score"
+
+
+@relation
+def u1_entropy_summary(r: Frames) -> DataFrame:
+    u = F.col(U)
+    return r.entropies.agg(F.count("*").alias("n"), six(F.avg("entropy")).alias("mean_entropy"), six(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.count_if(u >= 0.6).alias("high"), F.count_if(u >= 0.8).alias("critical"))
+
+
+@relation
+def u2_sample_uncertainty(r: Frames) -> DataFrame:
+    u = F.col(U)
+    return r.entropies.groupBy("sample_id").agg(nudged(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.min(u).alias("min_uncertainty"), nudged(F.avg("entropy")).alias("mean_entropy"), nudged(F.avg("confidence")).alias("mean_confidence"), F.count("*").alias("observations"))
+
+
+def curve(rows: DataFrame, key: str) -> DataFrame:
+    u = F.col(U)
+    return rows.groupBy(key).agg(F.count("*").alias("observations"), six(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.min(u).alias("min_uncertainty"))
+
+
+@relation
+def u3_severity_curve(r: Frames) -> DataFrame:
+    return curve(r.entropies, "severity_level").withColumn("severity_rank", rank("severity_level", UNCERTAINTY_LADDER))
+
+
+@relation
+def u4_perturbations(r: Frames) -> DataFrame:
+    return curve(r.entropies, "perturbation_type").withColumns({"spread": six(F.col("max_uncertainty") - F.col("min_uncertainty")), "place": F.row_number().over(W.orderBy(F.desc("mean_uncertainty"), "perturbation_type"))})
+
+
+@relation
+def u5_collapses(r: Frames) -> DataFrame:
+    """For each sample and model the first row, in order of severity, whose entropy rises by 0.25 or whose confidence falls by 0.20
+    against the first clean row (without one, the first row)."""
+    step = F.struct("severity_rank", "severity_level", "seq")
+    rows = r.entropies.withColumn("severity_rank", rank("severity_level", UNCERTAINTY_LADDER)).withColumn("step", step)
+    key = ["sample_id", "model_name"]
+    held = F.struct(U, F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    baseline = rows.groupBy(*key).agg(F.coalesce(F.min_by(held, F.when(is_clean("severity_level", UNCERTAINTY_LADDER), F.col("step"))), F.min_by(held, "step")).alias("base"))
+    joined = rows.join(baseline, key)
+    rise = F.col(U) - F.col(f"base.{U}")
+    fall = F.col("base.confidence") - F.coalesce("confidence", "base.confidence")
+    reason = F.array_join(F.array_compact(F.array(F.when(rise >= 0.25, "entropy_spike"), F.when(fall >= 0.2, "confidence_degradation"))), "|")
+    found = joined.withColumns({"rise": rise, "fall": fall, "reason": reason}).filter("reason <> ''")
+    first = found.groupBy(*key).agg(F.min_by(F.struct("perturbation_type", "severity_level", "severity_rank", "base", U, "confidence", "rise", "fall", "reason"), "step").alias("x"))
+    return first.select(
+        *key, F.col("x.perturbation_type").alias("collapse_trigger"), F.col("x.severity_level").alias("collapse_severity"), F.col("x.severity_rank").alias("collapse_rank"), F.col(f"x.base.{U}").alias("baseline_entropy"), F.col(f"x.{U}").alias("collapse_entropy"),
+        six("x.rise").alias("entropy_shift"), six("x.fall").alias("confidence_drop"), F.col("x.reason").alias("collapse_reason"),
+    )
+
+
+@relation
+def u6_collapse_summary(r: Frames) -> DataFrame:
+    return r.u5_collapses.agg(
+        F.count("*").alias("collapses"), F.count_distinct("sample_id").alias("samples"), F.count_distinct("model_name").alias("models"), six(F.coalesce(F.avg("entropy_shift"), F.lit(0.0))).alias("mean_shift"), six(F.coalesce(F.avg("confidence_drop"), F.lit(0.0))).alias("mean_drop"))
+
+
+@relation
+def u6_collapse_counts(r: Frames) -> DataFrame:
+    long = r.u5_collapses.select(F.inline(F.array(F.struct(F.lit("trigger").alias("part"), F.col("collapse_trigger").alias("name")), F.struct(F.lit("severity").alias("part"), F.col("collapse_severity").alias("name")))))
+    return long.groupBy("part", "name").agg(F.count("*").alias("n"))
+
+
+def dispersion(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(six(F.avg("peak")).alias("mean_concentration"), six(F.avg("top2_gap")).alias("mean_gap"), six(F.avg("std")).alias("mean_std"), F.count_if(F.col("shape") == "flat").alias("flat"), F.count_if(F.col("shape") == "peaked").alias("peaked"))
+
+
+@relation
+def u7_dispersion_by_model(r: Frames) -> DataFrame:
+    return dispersion(r.entropies, "model_name")
+
+
+@relation
+def u7_dispersion_by_sample(r: Frames) -> DataFrame:
+    return dispersion(r.entropies, "sample_id").withColumns({c: nudged(c) for c in ("mean_concentration", "mean_gap", "mean_std")})
+
+
+@relation
+def u8_top_samples(r: Frames) -> DataFrame:
+    return r.u2_sample_uncertainty.select("sample_id", "mean_uncertainty").orderBy(F.desc("mean_uncertainty"), "sample_id").limit(5)
+
+
+@relation
+def u8_levels(r: Frames) -> DataFrame:
+    return r.u2_sample_uncertainty.groupBy(label(F.coalesce("mean_uncertainty", F.lit(0.5)), RISK).alias("uncertainty_level")).agg(F.count("*").alias("samples"))
+
+
+@relation
+def signals(r: Frames) -> DataFrame:
+    """Uncertainty, mean disagreement of pairs and instability of each sample."""
+    disagreement = r.p9_scored_pairs.groupBy("sample_id").agg(F.avg("disagreement_score").alias("disagreement"))
+    instability = r.b5_sample_instability.select("sample_id", F.col("instability_score").alias("instability"))
+    return r.u2_sample_uncertainty.select("sample_id", F.col("mean_uncertainty").alias("uncertainty")).join(disagreement, "sample_id", "left").join(instability, "sample_id", "left")
+
+
+@relation
+def u9_conflicts(r: Frames) -> DataFrame:
+    """Samples on which two signals are 0.6 or more, or one is and their mean is 0.65 or more."""
+    names = ("disagreement", "instability", "uncertainty")
+    reasons = F.array_compact(F.array(*(F.when(F.col(c) >= 0.6, F.lit(c)) for c in names)))
+    present = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), clip(F.col(c))) for c in names)))
+    score = total_of(present) / F.size(present)
+    found = r.signals.withColumns({"reasons": reasons, "conflict_score": clip(score)})
+    found = found.filter((F.size("reasons") >= 2) | ((F.size("reasons") == 1) & (F.col("conflict_score") >= 0.65)))
+    return found.select("sample_id", nudged("uncertainty").alias("uncertainty"), nudged("disagreement").alias("disagreement"), nudged("instability").alias("instability"), nudged("conflict_score").alias("conflict_score"), F.array_join("reasons", "|").alias("conflict_reason"))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over the rows that have both; 0 where it is not defined."""
+    r = F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
+    return F.coalesce(F.nanvl(r, F.lit(0.0)), F.lit(0.0))
+
+
+@relation
+def u10_relationship(r: Frames) -> DataFrame:
+    out = {"uncertainty_vs_disagreement": ("uncertainty", "disagreement"), "uncertainty_vs_instability": ("uncertainty", "instability"), "disagreement_vs_instability": ("disagreement", "instability")}
+    one = r.signals.agg(*(six(correlation(*pair)).alias(name) for name, pair in out.items()))
+    return one.crossJoin(r.u9_conflicts.agg(F.count("*").alias("conflicts"), six(F.coalesce(F.avg("conflict_score"), F.lit(0.0))).alias("mean_conflict_score")))
+
+
+@relation
+def u11_model_profiles(r: Frames) -> DataFrame:
+    u, clean = F.col(U), is_clean("severity_level", UNCERTAINTY_LADDER)
+    by = r.entropies.groupBy("model_name").agg(
+        F.count("*").alias("n"), F.avg(u).alias("mean"), F.max(u).alias("high"), F.min(u).alias("low"), F.stddev_pop(u).alias("std"), F.avg(F.when(clean, u)).alias("clean"), F.avg(F.when(~clean, u)).alias("perturbed"), F.avg("peak").alias("peak"), F.avg("flatness").alias("flat"))
+    falls = r.u5_collapses.groupBy("model_name").agg(F.count("*").alias("collapses"), F.avg("entropy_shift").alias("shift"))
+    delta = F.coalesce(F.col("perturbed") - F.col("clean"), F.lit(0.0))
+    sensitivity = 0.7 * F.greatest(delta, F.lit(0.0)) + 0.3 * (F.col("high") - F.col("low"))
+    return by.join(falls, "model_name", "left").select(
+        "model_name", "n", six("mean").alias("mean_uncertainty"), F.col("high").alias("max_uncertainty"), F.col("low").alias("min_uncertainty"), six("std").alias("std_uncertainty"), six("clean").alias("clean_uncertainty"), six("perturbed").alias("perturbed_uncertainty"),
+        six(delta).alias("uncertainty_delta"), six("peak").alias("mean_concentration"), six("flat").alias("mean_flatness"), F.coalesce("collapses", F.lit(0)).alias("collapses"), six(F.coalesce("shift", F.lit(0.0))).alias("mean_collapse_shift"), six(sensitivity).alias("sensitivity"))
+
+
+@relation
+def u12_trend(r: Frames) -> DataFrame:
+    return trend(r.u3_severity_curve, "mean_uncertainty", "severity_level")
+
+
+@relation
+def u12_perturbations(r: Frames) -> DataFrame:
+    return placed(r.u4_perturbations, "perturbation_type", "mean_uncertainty")

@@ -1,38 +1,15 @@
-"""Named relations over prediction logs, each one SELECT, put together by name."""
+"""Relations by name over given frames."""
 
 from __future__ import annotations
 
-import re
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from plumbline.operators import RELATIONS
+from plumbline.operators.frames import Frames
 
-from plumbline.operators import MODELS
 
-
-def statement(name: str, given: dict[str, str] | tuple[str, ...] = ()) -> str:
-    """The statement of a relation: WITH every relation that it needs, down to the given ones (names, or names with their SQL)."""
-    texts = dict(given) if isinstance(given, dict) else {}
-    order: list[str] = []
-
-    def visit(n: str) -> None:
-        if n in order or (n in given and n not in texts):
-            return
-        text = texts.get(n) or MODELS[n]
-        for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN)\s+([a-z]\w*)", text)):
-            if word != n and (word in MODELS or word in texts):
-                visit(word)
-        order.append(n)
-
-    visit(name)
-    return "WITH " + ",\n".join(f"{n} AS ({texts.get(n) or MODELS[n]})" for n in order) + f"\nSELECT * FROM {name}"
-
-
-def relation(spark: SparkSession, name: str, **frames: DataFrame) -> DataFrame:
-    """A relation over the given frames, such as relation(spark, "risk", log=predictions)."""
-    sql = statement(name, tuple(frames))
-    for key, frame in frames.items():
-        view = f"{key}_{uuid.uuid4().hex[:12]}"
-        frame.createOrReplaceTempView(view)
-        sql = re.sub(rf"\b(FROM|JOIN)\s+{key}\b", rf"\1 {view}", sql)
-    return spark.sql(sql)
+def relation(name: str, **given: DataFrame) -> DataFrame:
+    """A relation over the given frames, such as relation("r6_sample_risk", log=predictions)."""
+    if name not in RELATIONS:
+        raise ValueError(f"no relation {name}")
+    return getattr(Frames(**given), name)

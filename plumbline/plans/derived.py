@@ -1,39 +1,74 @@
-"""Prediction logs, logits, plates, runs and benchmark records derived from the given tables, in SQL of both dialects."""
+"""Prediction logs, logits, attention maps, plates, runs and benchmark records derived from the given tables."""
 
 from __future__ import annotations
 
-#: Relations over the tables of the driver; see the operators for their columns.
-DERIVED = {
-    "log": """
-      SELECT sample_id, model_name, concat('c', CASE WHEN shifted THEN (t + 1) % 4 ELSE t END) AS predicted_class, confidence,
-        CASE WHEN r = 0 THEN 'clean' WHEN k = 0 THEN 'blur' WHEN k = 1 THEN 'contrast' ELSE 'noise' END AS perturbation_type,
-        CASE r WHEN 0 THEN 'clean' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'severe' END AS severity_level, concat('c', t) AS true_label, seq
-      FROM (
-        SELECT concat('s', l_partkey) AS sample_id, concat('m', l_suppkey % 4) AS model_name, l_partkey % 4 AS t, l_linenumber % 4 AS r, l_orderkey % 3 AS k,
-          round(0.3e0 + l_quantity / 80.0e0, 4) AS confidence,
-          round(100 * l_discount) >= 10 - greatest(l_linenumber % 4 - 1, 0) AND (l_linenumber % 4 > 0 OR CAST(l_quantity AS INT) % 4 = 0) AS shifted,
-          concat(lpad(CAST(l_orderkey AS STRING), 14, '0'), lpad(CAST(l_linenumber AS STRING), 4, '0'), lpad(CAST(l_suppkey AS STRING), 12, '0'), lpad(CAST(CAST(l_quantity AS INT) AS STRING), 6, '0'), lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), 14, '0')) AS seq
-        FROM lineitem) d""",
-    "logits": """
-      SELECT vec_id AS sample_id, concat('m', m.model) AS model_name, label % 4 AS label,
-        8e0 * embedding[16 * m.model + {0}] + CASE WHEN label % 4 = 0 THEN 1.5e0 ELSE 0e0 END AS z0, 8e0 * embedding[16 * m.model + {1}] + CASE WHEN label % 4 = 1 THEN 1.5e0 ELSE 0e0 END AS z1,
-        8e0 * embedding[16 * m.model + {2}] + CASE WHEN label % 4 = 2 THEN 1.5e0 ELSE 0e0 END AS z2, 8e0 * embedding[16 * m.model + {3}] + CASE WHEN label % 4 = 3 THEN 1.5e0 ELSE 0e0 END AS z3
-      FROM embeddings CROSS JOIN (SELECT 0 AS model UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) m""",
-    "plates": "SELECT c_mktsegment AS class_name, concat('Plate', c_nationkey) AS plate_name, c_custkey AS image_id FROM customer",
-    "runs": "SELECT user_id AS experiment, event_type AS stage FROM events",
-    "records": """
-      SELECT o_orderpriority AS model_name, CASE o_custkey % 5 WHEN 0 THEN 'clean' WHEN 1 THEN 'blur' WHEN 2 THEN 'contrast' WHEN 3 THEN 'noise' ELSE 'hue' END AS perturbation_type,
-        CASE o_orderkey % 3 WHEN 0 THEN 'mild' WHEN 1 THEN 'moderate' ELSE 'severe' END AS severity_level, o_orderkey % 5 AS seed,
-        (CAST(round(o_totalprice) AS BIGINT) % 1000) / 1000e0 AS robustness, (o_orderkey % 97) / 97e0 AS instability, (CAST(round(o_totalprice) AS BIGINT) % 89) / 89e0 AS uncertainty
-      FROM orders""",
-}
-
-
-def spark_sql() -> dict[str, str]:
-    """Arrays count from 0 in Spark."""
-    return DERIVED | {"logits": DERIVED["logits"].format(0, 1, 2, 3)}
-
-
-def duckdb_sql() -> dict[str, str]:
-    """Lists count from 1 in DuckDB."""
-    return DERIVED | {"logits": DERIVED["logits"].format(1, 2, 3, 4)}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators.frames import Frames
+
+
+def log_of(lineitem: DataFrame) -> DataFrame:
+    """A prediction log: parts are samples, suppliers models, line numbers severities; seq orders the rows."""
+    t, r = F.col("l_partkey") % 4, F.col("l_linenumber") % 4
+    confidence = F.round(0.3 + F.col("l_quantity") / 80.0, 4)
+    harder = F.round(100 * F.col("l_discount")) >= 10 - F.greatest(r - 1, F.lit(0))
+    shifted = harder & ((r > 0) | (F.col("l_quantity").cast("int") % 4 == 0))
+    kinds = F.element_at(F.array(*map(F.lit, ("blur", "contrast", "noise"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    severities = F.element_at(F.array(*map(F.lit, ("clean", "mild", "moderate", "severe"))), (r + 1).cast("int"))
+    # Vectors as they come from many sources: missing, not normalised, with what is no number, without mass, whole.
+    odd = F.col("l_orderkey") % 7
+    vector = (
+        F.when(odd == 1, F.array(confidence, F.lit(0.5)))
+        .when(odd == 2, F.array(F.lit(-0.1), confidence, F.lit(float("nan")), F.lit(0.25)))
+        .when(odd == 3, F.array(F.lit(0.0), F.lit(0.0)))
+        .when(odd == 4, F.array(F.lit(0.1), F.lit(0.2), F.lit(0.3), F.lit(0.4)))
+    )
+    return lineitem.select(
+        F.concat(F.lit("s"), F.col("l_partkey").cast("string")).alias("sample_id"),
+        F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string")).alias("model_name"),
+        F.concat(F.lit("c"), F.when(shifted, (t + 1) % 4).otherwise(t).cast("string")).alias("predicted_class"),
+        confidence.alias("confidence"),
+        F.when(r == 0, "clean").otherwise(kinds).alias("perturbation_type"),
+        severities.alias("severity_level"),
+        F.concat(F.lit("c"), t.cast("string")).alias("true_label"),
+        vector.alias("probabilities"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("seq"),
+    )
+
+
+def logits_of(embeddings: DataFrame) -> DataFrame:
+    """Four models' logits for four classes: sixteenths of the embedding, with a bonus for the label."""
+    models = embeddings.select("vec_id", (F.col("label") % 4).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e"), F.explode(F.array(*map(F.lit, range(4)))).alias("m"))
+    z = F.transform(F.slice("e", 16 * F.col("m") + 1, 4), lambda x, i: 8.0 * x + F.when(F.col("label") == i, 1.5).otherwise(0.0))
+    return models.select(F.col("vec_id").alias("sample_id"), F.concat(F.lit("m"), F.col("m").cast("string")).alias("model_name"), F.col("label").cast("int").alias("label"), z.alias("logits"))
+
+
+def attention_of(embeddings: DataFrame) -> DataFrame:
+    """Maps from embeddings: 8 x 8 cells, or 4 x 8 for some; eight for each sample, of two models under four severities."""
+    at = F.col("vec_id") % 8
+    rows = F.transform(F.sequence(F.lit(0), F.when(F.col("vec_id") % 5 == 0, 3).otherwise(7)), lambda i: F.transform(F.slice("embedding", 8 * i + 1, 8), lambda x: x.cast("double")))
+    severity = F.element_at(F.array(*map(F.lit, ("clean", "low", "moderate", "high"))), (F.floor(at / 2) + 1).cast("int"))
+    return embeddings.select(
+        F.concat(F.lit("s"), F.floor(F.col("vec_id") / 8).cast("string")).alias("sample_id"), F.concat(F.lit("m"), (at % 2).cast("string")).alias("model_name"), severity.alias("severity_level"),
+        F.when(F.floor(at / 2) == 0, "clean").otherwise("blur").alias("perturbation_type"), F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("predicted_class"), rows.alias("attention_map"))
+
+
+def records_of(orders: DataFrame) -> DataFrame:
+    types = F.element_at(F.array(*map(F.lit, ("clean", "blur", "contrast", "noise", "hue"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    severities = F.element_at(F.array(*map(F.lit, ("mild", "moderate", "severe"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    price = F.round("o_totalprice").cast("long")
+    return orders.select(
+        F.col("o_orderpriority").alias("model_name"), types.alias("perturbation_type"), severities.alias("severity_level"), (F.col("o_orderkey") % 5).alias("seed"),
+        (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty"))
+
+
+def frames(spark: SparkSession, sf_dir: str) -> Frames:
+    """All derived inputs; none is read before a relation asks for it."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    status = F.element_at(F.array(*map(F.lit, ("failed", "skipped", "completed", "completed", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return Frames(
+        log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), records=records_of(read("orders")),
+        plates=read("customer").select(F.col("c_mktsegment").alias("class_name"), F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string")).alias("plate_name"), F.col("c_custkey").alias("image_id")),
+        runs=read("events").select(F.col("user_id").alias("experiment"), F.col("event_type").alias("stage"), status.alias("status")),
+    )

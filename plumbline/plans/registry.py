@@ -1,34 +1,48 @@
-"""The registered queries of the audit operators: every relation whose name starts with an operator's id."""
+"""The registered queries of the audit operators: every relation whose name starts with an operator's id, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.operators import MODELS
-from plumbline.plans import statement
-from plumbline.plans.derived import duckdb_sql, spark_sql
+from plumbline.operators import RELATIONS
+from plumbline.plans.derived import frames
 
-NAMES = [n for n in MODELS if re.match(r"[a-z]\d+_", n) and not n.startswith(("d4_agreement", "d4_gap", "d4_survival", "d4_models", "d7_flags", "d7_counted", "d8_changes", "d9_ids", "b7_steps", "b6_model_part", "b6_sample_part", "e6_baseline", "r4_signals", "c3_types"))]
-TABLES = ("lineitem", "embeddings", "customer", "orders", "events")
+NAMES = [n for n in RELATIONS if re.match(r"[a-z]\d+_", n)]
 
 
 def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = statement(name, spark_sql())
-        for table in TABLES:
-            if re.search(rf"\bFROM\s+{table}\b", sql):
-                view = f"{table}_{uuid.uuid4().hex[:12]}"
-                spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(view)
-                sql = re.sub(rf"\bFROM\s+{table}\b", f"FROM {view}", sql)
-        return spark.sql(sql)
+        return getattr(frames(spark, sf_dir), name)
 
     run.__name__ = name
     return run
 
 
+def sections(path: Path = Path(__file__).with_name("oracle.sql")) -> dict[str, str]:
+    """The parts of the SQL file by name."""
+    parts = re.split(r"^-- name: (\w+)\n", path.read_text(), flags=re.M)[1:]
+    return {name: text.strip() for name, text in zip(parts[::2], parts[1::2])}
+
+
+def statement(name: str, held: dict[str, str]) -> str:
+    """One statement: WITH all parts that a part needs, each once."""
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        for word in dict.fromkeys(re.findall(r"\b(?:FROM|JOIN|,)\s+([a-z]\w*)", held[n])):
+            if word != n and word in held and word not in order:
+                visit(word)
+        if n not in order:
+            order.append(n)
+
+    visit(name)
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED (\n{held[n]}\n)" for n in order) + f"\nSELECT * FROM {name}"
+
+
 QUERIES = {n: query(n) for n in NAMES}
-ORACLE = {n: statement(n, duckdb_sql()) for n in NAMES}
+_HELD = sections()
+ORACLE = {n: statement(n, _HELD) for n in NAMES if n in _HELD}
