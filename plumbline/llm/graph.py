@@ -13,7 +13,7 @@ def _print(edges: DataFrame) -> tuple:
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of the edges (u, v) can reach.
+    """(node, component): the smallest node that each node of the edges (u, v) can reach, for all nodes that are not it.
 
     Alternating large-star and small-star steps: each node's larger neighbours move to its smallest
     neighbour, then its smaller ones do. The edges never grow beyond their first number, and each round is

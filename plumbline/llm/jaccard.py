@@ -1,4 +1,4 @@
-"""Sets of word shingles, and the exact check of their similarity for pairs that a search has found."""
+"""Sets of word shingles, for the exact check of similarities that a search has found."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, small_batches, text_bytes
 
@@ -30,24 +29,17 @@ def node_of(held: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(held.tobytes(), SEED)).view(np.int64))
 
 
-def similar(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int = WORDS) -> DataFrame:
-    """Those of the pairs (u, v) of nodes whose sets are similar: their intersection is LEAST / OF of their union or more.
-
-    texts has (key, text), nodes the key of one text of each node. Sets are made again for the nodes of the pairs only.
-    """
+def held_sets(texts: DataFrame, nodes: DataFrame, n: int = WORDS) -> DataFrame:
+    """The rows of nodes (node, key, ...) with the sets of their texts (key, text), in place of the key; written once."""
     spark = texts.sparkSession
     small_batches(spark)
+    rest = [c for c in nodes.columns if c != "key"]
+    kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [shingles(t.as_buffer().to_pybytes(), n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in held], pa.list_(pa.int64()))], ["node", "held"])
-
-    pairs = cut(spark, pairs)
-    used = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    used = nodes.select("node", "key").join(used, "node")
-    chosen = texts.select("key", text_bytes().alias("text")).join(used, "key").dropDuplicates(["node"])
-    held = cut(spark, chosen.select("node", "text").mapInArrow(run, "node long, held array<bigint>"))
-    both = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("held").alias("b")), "v")
-    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    return cut(spark, both.filter(OF * shared >= LEAST * (total - shared)).select("u", "v"))
+            held = [shingles(t.as_buffer().to_pybytes(), n).view(np.int64) for t in b.column(len(rest))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(held, pa.list_(pa.int64()))], [*rest, "held"])
+
+    chosen = texts.select("key", text_bytes().alias("text")).join(nodes, "key").dropDuplicates(["node"])
+    return cut(spark, chosen.select(*rest, "text").mapInArrow(run, f"{kinds}, held array<bigint>"))

@@ -16,10 +16,10 @@ Texts with a Jaccard similarity of 0.8 or more of five-word shingles (`similar_g
 fingerprints differ in 15 % of the bits or less, on average over hashes, which 4 of 64 bits would mostly miss. So
 these fingerprints have WIDE words of 64 bits, over the set of shingles; each of BLOCKS_WIDE blocks of 23 bits has
 anchors as above, with replicas within one bit more than the covering radius. A pair at 0.8 meets in a block with a
-chance of 0.39, so 16 blocks lose 0.03 % of such pairs, and fewer of closer ones. Pairs that meet and differ in at
-most FAR of 192 bits (4 standard deviations above the mean at 0.8) are candidates; each link is decided by the exact
-similarity. First each text is compared with its nearest and its first candidate of each anchor, and what is similar
-is put together; then, of the texts that have a candidate at all, all candidate pairs that are still apart are compared.
+chance of 0.39, so 16 blocks lose 0.03 % of such pairs, and fewer of closer ones. Texts that meet and differ in at
+most FAR of 192 bits (4 standard deviations above the mean at 0.8) belong to one candidate group; the anchors give
+spanning edges of these groups, never pairs. Within a group the exact similarities decide: its sets are compared in
+blocks of SETS by SETS, each block a cell of its own, which again gives spanning edges of what is similar.
 
 Equal fingerprints (or sets) are one node, so copies cost nothing after the first aggregate. An anchor with many
 nodes is cut into a grid of cells of bounded size: homes by row, visitors by column, each cell a group of its own.
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, small_batches, text_bytes
 from plumbline.llm.graph import components
 from plumbline.llm.jaccard import WORDS as WORDS_WIDE
-from plumbline.llm.jaccard import node_of, shingles, similar
+from plumbline.llm.jaccard import LEAST, OF, held_sets, node_of, shingles
 
 SEED, WORDS, DISTANCE = 42, 4, 4
 #: Generator of the binary Golay code (x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1) and its length; first bits and widths of the blocks.
@@ -55,6 +55,8 @@ RADIUS = 3
 CELL, PRODUCT_FROM = 4096, 2_000_000
 #: Wide fingerprints: words of 64 bits, blocks that have anchors, words that are compared, most bits in which candidates differ there.
 WIDE, BLOCKS_WIDE, COMPARED, FAR = 6, 16, 3, 50
+#: Most sets of a block within a candidate group, and distinct shingles that a block compares at once.
+SETS, COLUMNS = 256, 1 << 15
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, WIDE), np.uint64)
 _XOR, _TIMES = _RANDOM[0], _RANDOM[1] | np.uint64(1)
 _LANES = np.uint64(0x0101010101010101)
@@ -196,7 +198,12 @@ def by_cell(rows: DataFrame, cell: int, find, schema: str, wide: DataFrame | Non
     own, every = F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
     placed = placed.withColumn("r", F.explode(F.when(F.col("home"), F.array(own)).otherwise(every)))
     placed = placed.withColumn("c", F.explode(F.when(F.col("home"), every).otherwise(F.array(own))))
-    placed = placed.select("anchor", "r", "c", "home", *names)
+    return in_cells(placed.select("anchor", "r", "c", "home", *names), find, schema)
+
+
+def in_cells(placed: DataFrame, find, schema: str) -> DataFrame:
+    """find(columns of one cell) over the cells (anchor, r, c) of placed rows; one cell at a time is held."""
+    names = [c for c in placed.columns if c not in ("anchor", "r", "c")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -204,7 +211,7 @@ def by_cell(rows: DataFrame, cell: int, find, schema: str, wide: DataFrame | Non
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
             a, r, c = (t.column(k).to_numpy() for k in ("anchor", "r", "c"))
             at = np.flatnonzero((a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (c[1:] != c[:-1])) + 1
-            held = {k: t.column(k).to_numpy() for k in ("home", *names)}
+            held = {k: t.column(k).to_numpy() for k in names}
             for i, j in zip([0, *at.tolist()], [*at.tolist(), len(a)]):
                 yield from find({k: v[i:j] for k, v in held.items()})
 
@@ -291,77 +298,100 @@ def signatures(docs: DataFrame, n: int = WORDS_WIDE) -> DataFrame:
 
 
 def anchored_wide(nodes: DataFrame) -> DataFrame:
-    """(anchor, node, f0.., root, home) of each node (node, fp, root) at each anchor of each block."""
+    """(anchor, node, f0.., home) of each node (node, fp) at each anchor of each block."""
     names = [f"f{k}" for k in range(COMPARED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(RADIUS + 1)
         for b in batches:
-            node, root = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            node = b.column(0).to_numpy(zero_copy_only=False)
             words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
             points = bits[:, : BLOCKS_WIDE * LENGTH].reshape(len(node), BLOCKS_WIDE, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
             for block in range(BLOCKS_WIDE):
                 row, anchor, off = code.replicas(points[:, block])
-                columns = [anchor * BLOCKS_WIDE + block, off <= RADIUS, node[row], root[row], *(words[row, k] for k in range(COMPARED))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["anchor", "home", "node", "root", *names])
+                columns = [anchor * BLOCKS_WIDE + block, off <= RADIUS, node[row], *(words[row, k] for k in range(COMPARED))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["anchor", "home", "node", *names])
+
+    return nodes.select("node", "fp").mapInArrow(run, "anchor long, home boolean, node long, " + ", ".join(f"{k} long" for k in names))
+
 
-    return nodes.select("node", "fp", "root").mapInArrow(run, "anchor long, home boolean, node long, root long, " + ", ".join(f"{k} long" for k in names))
+def _spanning(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(i, least of its component) of those of n numbers that pairs link to a smaller one."""
+    label, moved = np.arange(n), bool(pairs)
+    while moved:
+        was = label.copy()
+        for a, b in pairs:
+            np.minimum.at(label, a, label[b])
+            np.minimum.at(label, b, label[a])
+        label = label[label]
+        moved = bool((label != was).any())
+    far = np.flatnonzero(label != np.arange(n))
+    return far, label[far]
 
 
-def _candidates(t: dict[str, np.ndarray], every: bool, far: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs u < v of a cell with different roots: all, or each home's nearest and least visitor and each visitor's nearest home."""
+def _near(t: dict[str, np.ndarray], far: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that span what is near among a cell's homes and visitors."""
     home = t["home"]
     if not home.any() or home.all():
-        return
-    node, root = t["node"], t["root"]
+        return []
+    nodes, back = np.unique(t["node"], return_inverse=True)
     words = np.stack([t[f"f{k}"] for k in range(COMPARED)], axis=1).view(np.uint64)
-    h, v = np.flatnonzero(home), np.flatnonzero(~home)
-    v = v[np.argsort(node[v])]
-    least, of = np.full(len(v), far + 1, np.int16), np.zeros(len(v), np.int64)
+    h, v, pairs = np.flatnonzero(home), np.flatnonzero(~home), []
     for i in range(0, len(h), 512):
         rows = h[i : i + 512]
         off = sum(np.bitwise_count(words[rows, k][:, None] ^ words[v, k][None, :]).astype(np.int16) for k in range(COMPARED))
-        ok = (off <= far) & (root[rows][:, None] != root[v][None, :])
-        if every:
-            a, b = np.nonzero(ok)
-        else:
-            a = np.flatnonzero(ok.any(axis=1))
-            off = np.where(ok, off, np.int16(far + 1))
-            nearest, home_of = off[a].argmin(axis=1), off.argmin(axis=0)
-            a, b = np.concatenate([a, a]), np.concatenate([nearest, ok[a].argmax(axis=1)])
-            closer = off[home_of, np.arange(len(v))] < least
-            least[closer], of[closer] = off[home_of[closer], closer], rows[home_of[closer]]
-        if len(a):
-            x, y = node[rows[a]], node[v[b]]
-            yield np.minimum(x, y), np.maximum(x, y)
-    if (least <= far).any() and not every:
-        x, y = node[of[least <= far]], node[v[least <= far]]
-        yield np.minimum(x, y), np.maximum(x, y)
-
-
-def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> DataFrame:
+        a, b = np.nonzero(off <= far)
+        a, b = back[rows[a]], back[v[b]]
+        # One pair of nodes may meet twice, as home and visitor of each other; a node meets itself.
+        pairs.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1))
+    u, w = _spanning(len(nodes), [(p[0], p[1]) for p in pairs if p.shape[1]])
+    return [(nodes[u], nodes[w])] if len(u) else []
+
+
+def _alike(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges that span what is similar between the sets of a block (home) and those of another, or among those of one."""
+    node, home, sets = t["node"], t["home"], t["held"]
+    h = np.flatnonzero(home)
+    v = h if home.all() else np.flatnonzero(~home)
+    if len(sets) < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    of, column, shared = of[order], column[order], np.zeros((len(h), len(v)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (low, low + COLUMNS))
+        has = np.zeros((len(sets), int(column[j - 1]) - low + 1), np.float32)
+        has[of[i:j], column[i:j] - low] = 1
+        shared += has[h] @ has[v].T
+    total = sizes[h][:, None] + sizes[v][None, :]
+    a, b = np.nonzero((OF * shared >= LEAST * (total - shared)) & (shared > 0))
+    a, b = h[a], v[b]
+    u, w = _spanning(len(node), [(a[a != b], b[a != b])])
+    return [(node[u], node[w])] if len(u) else []
+
+
+def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE, sets: int = SETS) -> DataFrame:
     """(doc_id, key, node, root): root is common to the documents of a group that similar texts link."""
     spark = docs.sparkSession
     signed = cut(spark, signatures(docs, n))
-    nodes = cut(spark, signed.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp"), F.col("node").alias("root")))
-    texts = docs.select(row_key().alias("key"), "text")
-    links = None
-    for every in (False, True):
-        if every:  # each node that has a candidate has been in a pair
-            used = tried.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-            rows = anchored_wide(cut(spark, nodes.join(used, "node", "left_semi")))
-        else:
-            rows = anchored_wide(nodes)
-        found = by_cell(rows, cell, lambda t, every=every: _candidates(t, every, FAR), "u long, v long", rows).distinct()
-        if links is not None:
-            found = found.join(tried, ["u", "v"], "left_anti")
-        tried = cut(spark, found)
-        true = similar(texts, nodes, tried, n)
-        links = true if links is None else links.unionByName(true)
-        of = components(spark, links)
-        nodes = cut(spark, nodes.drop("root").join(of.select("node", F.col("component").alias("root")), "node", "left").select("node", "key", "fp", F.coalesce("root", "node").alias("root")))
-    return signed.select("doc_id", "key", "node").join(nodes.select("node", "root"), "node").select("doc_id", "key", "node", "root")
+    nodes = cut(spark, signed.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp")))
+    rows = anchored_wide(nodes)
+    near = by_cell(rows, cell, lambda t: _near(t, FAR), "u long, v long", rows).distinct()
+    of = components(spark, near)  # of all but the least node of each group
+    groups = of.select("node", F.col("component").alias("anchor")).unionByName(of.select(F.col("component").alias("node"), F.col("component").alias("anchor")).distinct())
+    groups = cut(spark, groups)
+    held = held_sets(docs.select(row_key().alias("key"), "text"), nodes.select("node", "key").join(groups, "node"), n)
+    # Each set goes to the block of its own and once to every other block of its group.
+    parts = groups.groupBy("anchor").agg(F.ceil(F.count("*") / sets).cast("int").alias("parts"))
+    placed = held.join(parts, "anchor").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("anchor", F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"), (F.col("own") <= F.col("other")).alias("home"), "node", "held")
+    of = components(spark, in_cells(placed, _alike, "u long, v long").distinct())
+    named = nodes.join(of.select("node", F.col("component").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return signed.select("doc_id", "key", "node").join(cut(spark, named), "node").select("doc_id", "key", "node", "root")
 
 
 def keep_one(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE) -> DataFrame:
