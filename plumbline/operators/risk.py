@@ -85,14 +85,11 @@ def r5_escalation(r: Frames) -> DataFrame:
 def risk_parts(r: Frames) -> DataFrame:
     """All components of each sample: long rows, one for each component, that one aggregate puts side by side."""
     parts = {"disagreement": r.r1_disagreement, "confidence": r.r2_confidence, "consensus": r.r3_consensus, "instability": r.b5_sample_instability.select("sample_id", F.col("instability_score").alias("instability")), "fragility": r.r4_fragility, "escalation": r.r5_escalation}
-    ids = None
-    for df in parts.values():
-        one = df.select("sample_id")
-        ids = one if ids is None else ids.unionByName(one)
-    out = ids.distinct()
-    for df in parts.values():
-        out = out.join(df, "sample_id", "left")
-    return out
+    out = None
+    for name, df in parts.items():
+        one = df.select("sample_id", *((F.col(c) if c == name else F.lit(None).cast("double")).alias(c) for c in parts))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("sample_id").agg(*(F.max(c).alias(c) for c in parts))
 
 
 @relation
