@@ -18,7 +18,9 @@ these fingerprints have WIDE words of 64 bits, over the set of shingles; each of
 anchors as above, with replicas within one bit more than the covering radius. A pair at 0.8 meets in a block with a
 chance of 0.39, so 16 blocks lose 0.03 % of such pairs, and fewer of closer ones. Texts that meet and differ in at
 most FAR of 192 bits (4 standard deviations above the mean at 0.8) belong to one candidate group; the anchors give
-spanning edges of these groups, never pairs. Within a group the exact similarities decide: its sets are compared in
+spanning edges of these groups, never pairs. A text of a large group meets that group at most of its anchors, and each
+would give its edge again; so the texts that meet at the homes of the first HOMES blocks are joined before, and all
+anchors only give edges between what these have left apart. Within a group the exact similarities decide: its sets are compared in
 blocks of SETS by SETS, each block a cell of its own, which again gives spanning edges of what is similar.
 
 Equal fingerprints (or sets) are one node, so copies cost nothing after the first aggregate. An anchor with many
@@ -55,6 +57,8 @@ RADIUS = 3
 CELL, PRODUCT_FROM = 4096, 2_000_000
 #: Wide fingerprints: words of 64 bits, blocks that have anchors, words that are compared, most bits in which candidates differ there.
 WIDE, BLOCKS_WIDE, COMPARED, FAR = 6, 16, 3, 50
+#: Blocks whose homes join texts before the search over all anchors.
+HOMES = 4
 #: Most sets of a block within a candidate group, and distinct shingles that a block compares at once.
 SETS, COLUMNS = 256, 1 << 15
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, WIDE), np.uint64)
@@ -297,18 +301,18 @@ def signatures(docs: DataFrame, n: int = WORDS_WIDE) -> DataFrame:
     return docs.select("doc_id", row_key().alias("key"), text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, node long, fp array<bigint>")
 
 
-def anchored_wide(nodes: DataFrame) -> DataFrame:
-    """(anchor, node, f0.., home) of each node (node, fp) at each anchor of each block."""
+def anchored_wide(nodes: DataFrame, blocks: int = BLOCKS_WIDE, radius: int = RADIUS + 1) -> DataFrame:
+    """(anchor, node, f0.., home) of each node (node, fp) at the anchors within the radius, of the first blocks."""
     names = [f"f{k}" for k in range(COMPARED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(RADIUS + 1)
+        code = Code(radius)
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False)
             words = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDE)
             bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")
-            points = bits[:, : BLOCKS_WIDE * LENGTH].reshape(len(node), BLOCKS_WIDE, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
-            for block in range(BLOCKS_WIDE):
+            points = bits[:, : blocks * LENGTH].reshape(len(node), blocks, LENGTH).astype(np.int64) @ (1 << np.arange(LENGTH))
+            for block in range(blocks):
                 row, anchor, off = code.replicas(points[:, block])
                 columns = [anchor * BLOCKS_WIDE + block, off <= RADIUS, node[row], *(words[row, k] for k in range(COMPARED))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["anchor", "home", "node", *names])
@@ -378,8 +382,12 @@ def similar_groups(docs: DataFrame, cell: int = CELL, n: int = WORDS_WIDE, sets:
     spark = docs.sparkSession
     signed = cut(spark, signatures(docs, n))
     nodes = cut(spark, signed.groupBy("node").agg(F.min("key").alias("key"), F.first("fp").alias("fp")))
-    rows = anchored_wide(nodes)
+    homes = anchored_wide(nodes, HOMES, RADIUS)
+    joined = components(spark, by_cell(homes, cell, lambda t: _near(t, FAR), "u long, v long", homes).distinct())
+    labelled = cut(spark, nodes.join(joined, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("label")))
+    rows = anchored_wide(labelled.select(F.col("label").alias("node"), "fp"))
     near = by_cell(rows, cell, lambda t: _near(t, FAR), "u long, v long", rows).distinct()
+    near = near.unionByName(labelled.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")))
     of = components(spark, near)  # of all but the least node of each group
     groups = of.select("node", F.col("component").alias("anchor")).unionByName(of.select(F.col("component").alias("node"), F.col("component").alias("anchor")).distinct())
     groups = cut(spark, groups)
