@@ -15,7 +15,8 @@ their measured size allows.
 
 Null and empty texts have no words and fail the base rules. A null language or source is a group of its own.
 Documents that fail the base rules do not take part in the estimates. A group with fewer than LEAST others is judged by the
-estimate of its language, a language with fewer than LEAST by that of all documents, whatever their number. A ridge (the
+estimate of its language, a language with fewer than LEAST by that of all documents, whatever their number; the three
+levels are estimated in the same passes. A ridge (the
 square of VECTOR's numbers) is added to each variance, so ties and constant columns are no error. Repeated
 rows count as often as they occur. Extra columns are ignored. An empty table gives an empty result.
 """
@@ -37,6 +38,7 @@ VECTOR = {"v0": 0.5, "v1": 0.15, "v2": 0.35, "v3": 0.6}
 #: Median of the chi-square distribution with 4 degrees of freedom. The limit is tuned: the quantile at 1 - 1e-8, raised from
 #: that at 1 - 1e-6 (33.4), with which 3 of 3,409 documents labelled as good were rejected at sf0.1.
 MEDIAN, CUT = 3.3567, 43.1
+KEYS = ("lang", "source")
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 FEWEST, MOST_REPEATED = 20, 30
 
@@ -98,22 +100,28 @@ def distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(names))), F.col("y0") * F.col("y0"))).drop(*(f"y{i}" for i in range(len(names))))
 
 
-def _with(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    e = estimate.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    return rows.join(e, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equal keys of rows and of what joins them, nulls too; the latter have a low line before their names."""
+    same = F.col(keys[0]).eqNullSafe(F.col(f"_{keys[0]}"))
+    for k in keys[1:]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return same
+
+
+def _with(rows: DataFrame, estimate: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return rows.join(estimate.withColumnsRenamed({k: f"_{k}" for k in keys}), _same(keys), "left").drop(*(f"_{k}" for k in keys))
 
 
 def _bin() -> Column:
     return F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("int")
 
 
-def limits(rows: DataFrame, shares: dict[str, float], *more: str) -> DataFrame:
-    """(lang, source, more, n, and for each name the least bin up to which the share of a group's rows lies)."""
-    keys = ["lang", "source", *more]
+def limits(rows: DataFrame, keys: tuple[str, ...], share: float) -> DataFrame:
+    """(keys, most: the least bin up to which the share of the rows of a key lies)."""
     w = W.partitionBy(*keys)
     bins = rows.filter("d2 IS NOT NULL").groupBy(*keys, _bin().alias("bin")).agg(F.count("*").alias("c"))
     bins = bins.withColumns({"upto": F.sum("c").over(w.orderBy("bin")), "n": F.sum("c").over(w)})
-    return bins.groupBy(*keys).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("bin"))).alias(name) for name, share in shares.items()))
+    return bins.groupBy(*keys).agg(F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * share), F.col("bin"))).alias("most"))
 
 
 def moments(rows: DataFrame, *keys: str) -> DataFrame:
@@ -122,11 +130,11 @@ def moments(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*(F.avg(a).alias(f"m_{a}") for a in names), *(F.covar_pop(a, b).alias(f"s_{a}_{b}") for i, a in enumerate(names) for b in names[i:]))
 
 
-def starts(vectors: DataFrame, fewest: int) -> DataFrame:
-    """(lang, source, start, m_*, s_*_*): the first estimates of each group with at least fewest vectors."""
-    names, keys = list(VECTOR), ["lang", "source"]
+def starts(vectors: DataFrame, keys: tuple[str, ...], fewest: Column) -> DataFrame:
+    """(keys, start, m_*, s_*_*): the first estimates of each group with at least fewest vectors."""
+    names = list(VECTOR)
     first = vectors.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 1000).alias(f"m_{a}") for a in names)).filter(F.col("n") >= fewest).drop("n")
-    known = _with(vectors, first).filter("m_v0 IS NOT NULL")
+    known = _with(vectors, first, keys).filter("m_v0 IS NOT NULL")
     spread = known.groupBy(*keys).agg(*(F.first(f"m_{a}").alias(f"m_{a}") for a in names), *(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{a}")), 0.5, 1000).alias(f"d_{a}") for a in names))
     zero = {f"s_{a}_{b}": F.lit(0.0) for i, a in enumerate(names) for b in names[i + 1 :]}
     robust = spread.withColumns({f"s_{a}_{a}": F.pow(F.col(f"d_{a}") * 1.4826, 2) for a in names} | zero).withColumn("start", F.lit(0))
@@ -137,26 +145,34 @@ def starts(vectors: DataFrame, fewest: int) -> DataFrame:
     return robust.select(*others.columns).unionByName(others)
 
 
-def estimates(vectors: DataFrame, fewest: int = LEAST) -> DataFrame:
-    """(lang, source, m_*, l_*_*, scale) of each group with at least fewest vectors (lang, source, v*)."""
+def estimates(vectors: DataFrame, keys: tuple[str, ...] = KEYS, fewest: Column | None = None) -> DataFrame:
+    """(keys, m_*, l_*_*, scale) of each group with at least fewest (LEAST) vectors (keys, v*)."""
     spark, names = vectors.sparkSession, list(VECTOR)
     keep = [*(f"m_{a}" for a in names), *(f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1))]
-    now = cut(spark, factor(starts(vectors, fewest)).select("lang", "source", "start", *keep))
+    each = (*keys, "start")
+    now = cut(spark, factor(starts(vectors, keys, F.lit(LEAST) if fewest is None else fewest)).select(*each, *keep))
     for _ in range(STEPS):
-        at = distance(_with(vectors, now))
-        limit = limits(at, {"most": SUBSET}, "start").withColumnsRenamed({"lang": "_lang", "source": "_source", "start": "_start"})
-        near = at.join(limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("start") == F.col("_start"))).filter(_bin() <= F.col("most"))
-        now = cut(spark, factor(moments(near, "lang", "source", "start")).select("lang", "source", "start", *keep))
+        at = distance(_with(vectors, now, keys))
+        limit = limits(at, each, SUBSET).withColumnsRenamed({k: f"_{k}" for k in each})
+        near = at.join(limit, _same(each)).filter(_bin() <= F.col("most")).drop(*(f"_{k}" for k in each))
+        now = cut(spark, factor(moments(near, *each)).select(*each, *keep))
     # The least determinant of each group; the root of a determinant is the product of the factor's diagonal.
     root = F.ln(F.col("l_0_0"))
     for i in range(1, len(names)):
         root = root + F.ln(F.col(f"l_{i}_{i}"))
-    best = now.groupBy("lang", "source").agg(F.min(F.struct(F.round(root, 9).alias("root"), "start", *keep)).alias("e")).select("lang", "source", *(f"e.{c}" for c in keep))
+    best = now.groupBy(*keys).agg(F.min(F.struct(F.round(root, 9).alias("root"), "start", *keep)).alias("e")).select(*keys, *(f"e.{c}" for c in keep))
     now = cut(spark, best)
     # The subset's scatter is too small; the median distance of all sets its scale.
-    middle = limits(distance(_with(vectors, now)), {"middle": 0.5})
-    scaled = middle.select("lang", "source", F.greatest(F.exp((F.col("middle") + 1) / F.lit(float(BINS))) / MEDIAN, F.lit(1.0)).alias("scale"))
-    return cut(spark, _with(now, scaled.drop("n")))
+    middle = limits(distance(_with(vectors, now, keys)), keys, 0.5)
+    scaled = middle.select(*keys, F.greatest(F.exp((F.col("most") + 1) / F.lit(float(BINS))) / MEDIAN, F.lit(1.0)).alias("scale"))
+    return cut(spark, _with(now, scaled, keys))
+
+
+def levels(vectors: DataFrame) -> DataFrame:
+    """Each vector three times: in its group (level 0), its language (1) and all documents (2)."""
+    none = F.lit(None).cast("string")
+    keys = [F.struct(F.lit(i).alias("level"), lang.alias("lang"), source.alias("source")) for i, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])]
+    return vectors.select(F.explode(F.array(*keys)).alias("k"), *VECTOR).select("k.*", *VECTOR)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -165,17 +181,13 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = cut(spark, statistics(docs))
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed).withColumns(vector())
-    good = rows.filter("NOT base_failed").select("lang", "source", *VECTOR)
-    found = estimates(good)
-    # The same estimates on coarser keys, for groups that are too small.
-    of_lang = estimates(good.withColumn("source", F.lit(None).cast("string"))).drop("source")
-    of_all = estimates(good.withColumns({k: F.lit(None).cast("string") for k in ("lang", "source")}), 1).drop("lang", "source")
-    names = of_all.columns
-    groups = rows.select("lang", "source").distinct()
-    l, a = of_lang.withColumnsRenamed({c: f"l_{c}" for c in of_lang.columns}), of_all.withColumnsRenamed({c: f"a_{c}" for c in names})
-    whole = _with(groups, found).join(l, F.col("lang").eqNullSafe(F.col("l_lang")), "left").join(a, F.lit(True), "left")
-    # All columns of one estimate, the finest there is.
-    estimate = F.when(F.col("scale").isNotNull(), F.struct(*names)).when(F.col("l_scale").isNotNull(), F.struct(*(F.col(f"l_{c}").alias(c) for c in names))).otherwise(F.struct(*(F.col(f"a_{c}").alias(c) for c in names)))
-    whole = cut(spark, whole.select("lang", "source", estimate.alias("e")).select("lang", "source", "e.*"))
+    # All three levels in the same passes; the estimate of all documents has no least number.
+    found = estimates(levels(rows.filter("NOT base_failed")), ("level", *KEYS), F.when(F.col("level") == 2, 1).otherwise(LEAST))
+    names = [c for c in found.columns if c not in ("level", *KEYS)]
+    at = lambda level, *keys: found.filter(F.col("level") == level).select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*names).alias(f"e{level}"))
+    groups = rows.select(*KEYS).distinct().join(at(0, *KEYS), _same(KEYS), "left").drop("_lang", "_source")
+    groups = groups.join(at(1, "lang"), _same(("lang",)), "left").join(at(2), F.lit(True), "left")
+    # All numbers of one estimate, the finest there is.
+    whole = cut(spark, groups.select(*KEYS, F.coalesce("e0", "e1", "e2").alias("e")).select(*KEYS, "e.*"))
     out = distance(_with(rows, whole)).withColumn("distance", F.col("d2") / F.col("scale"))
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True)))
