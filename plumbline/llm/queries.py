@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import imatch, language_id, language_model, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter
+from plumbline.llm import divergence, imatch, language_id, language_model, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter
 from plumbline.llm.common import read, remainder
 
 
@@ -57,4 +57,8 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op5_quality, op6_language_model, op7_simhash, op8_packing, op9_url_filter, op10_imatch)}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op5_quality, op6_language_model, op7_simhash, op8_packing, op9_url_filter, op10_imatch, op13_divergence)}

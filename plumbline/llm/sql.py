@@ -49,4 +49,34 @@ SELECT c.page_id, c.host, c.day, m.domain IS NOT NULL AS listed, m.domain, m.sin
 FROM c LEFT JOIN m ON m.host = c.host AND m.day = c.day AND m.r = 1
 """
 
-ORACLE = {"op3_mixing": OP3, "op9_url_filter": OP9}
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), t AS (
+  SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+gs AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ls AS (SELECT lang, sum(total) AS total FROM gs GROUP BY ALL),
+p AS (
+  SELECT gs.lang, gs.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000 * (coalesce(c.n, 0) + 2) // (gs.total + 2 * v.v) AS HUGEINT) AS p
+  FROM gs JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gs.lang AND c.source = gs.source AND c.term = k.term
+), q AS (
+  SELECT c.lang, c.term, CAST(1 + 1000000000 * (sum(n) + 2) // (any_value(ls.total) + 2 * any_value(v.v)) AS HUGEINT) AS q FROM c JOIN ls USING (lang) JOIN v USING (lang) GROUP BY c.lang, c.term
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), o AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), x AS (
+  SELECT p.lang, p.source, p.term AS item, CAST((p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS BIGINT) AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q
+)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM o WINDOW w AS (PARTITION BY lang, source ORDER BY value DESC, item)
+UNION ALL
+SELECT lang, source, 'term', item, value, CAST(row_number() OVER w AS INTEGER) FROM x WINDOW w AS (PARTITION BY lang, source ORDER BY value DESC, item) QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLE = {"op3_mixing": OP3, "op9_url_filter": OP9, "op13_divergence": OP13}
