@@ -73,11 +73,11 @@ class Encoder:
     that does not work so (`folds_and_parts`) gets whole texts, and nothing is remembered.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED, end: int = END):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has one task for each core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.word, self.remembered = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered
+        self.whole, self.word, self.remembered, self.end = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered, end
         self.by_chunk = folds_and_parts(self.whole)
         self.word.normalizer, self.word.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
@@ -111,7 +111,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, the end id last."""
         if not self.by_chunk:
-            return [np.array([*self.whole.encode(t, add_special_tokens=False).ids, END], np.uint32) for t in texts]
+            return [np.array([*self.whole.encode(t, add_special_tokens=False).ids, self.end], np.uint32) for t in texts]
         if len(self.chunks) > self.remembered or self.chunks.characters > CHARACTERS:
             self.forget()
         number = self.chunks.__getitem__
@@ -127,7 +127,7 @@ class Encoder:
         n = self.sizes[units]
         ends = np.cumsum(n)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first[units] - ends + n, n)]
-        return [np.append(x, np.uint32(END)) for x in np.split(ids, ends[2 * np.cumsum([len(r) for r in rows]) - 1][:-1])]
+        return [np.append(x, np.uint32(self.end)) for x in np.split(ids, ends[2 * np.cumsum([len(r) for r in rows]) - 1][:-1])]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE) -> DataFrame:
