@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import divergence, imatch, language_id, language_model, mixing, packing, quality, simhash, suffix_dedup, token_store, toxicity, url_filter
+from plumbline.llm import divergence, hard_negatives, imatch, language_id, language_model, mixing, packing, quality, simhash, suffix_dedup, token_store, toxicity, url_filter
 from plumbline.llm.common import read, remainder
 
 
@@ -57,6 +57,12 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.report(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives.mine(rows)
+
+
 def op12_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_store.written_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -66,4 +72,4 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op5_quality, op6_language_model, op7_simhash, op8_packing, op9_url_filter, op10_imatch, op12_token_store, op13_divergence)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_language_id, op3_mixing, op4_toxicity, op5_quality, op6_language_model, op7_simhash, op8_packing, op9_url_filter, op10_imatch, op11_hard_negatives, op12_token_store, op13_divergence)}
