@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import WORD, cut
 
 #: Words of a window; the subset's share, concentration steps, least documents of a group, bins for each e-fold of squared distance.
 WINDOW, SUBSET, STEPS, LEAST, BINS = 8, 0.75, 3, 20, 16
@@ -39,7 +39,8 @@ VECTOR = {"v0": 0.5, "v1": 0.15, "v2": 0.35, "v3": 0.6}
 #: that at 1 - 1e-6 (33.4), with which 3 of 3,409 documents labelled as good were rejected at sf0.1.
 MEDIAN, CUT = 3.3567, 43.1
 KEYS = ("lang", "source")
-SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines")
+SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "[#*$%&|<>]"
 FEWEST, MOST_REPEATED = 20, 30
 
 
@@ -47,13 +48,18 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each document."""
     keys = [F.col(c) for c in ("doc_id", "lang", "source")]
     rows = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
-    flat = F.translate("text", "\t\n\x0b\x0c\r", "     ")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    rows = rows.select(*keys, F.filter(F.split(flat, " "), lambda w: w != "").alias("words"), lines.alias("lines"), F.length(F.translate("text", SPACE, "")).alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).alias("n_symbols"))
+    words, lines = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.filter(F.split("text", "\n"), lambda x: F.ltrim(x, F.lit(SPACE)) != "")
+    rows = rows.select(*keys, words.alias("words"), lines.alias("lines"), F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"))
+    rows = rows.select("*", F.length(F.array_join("words", "")).alias("word_chars"))
     counts = [F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long"), F.col("n_symbols").cast("long"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines")]
-    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # A hash of each word, then of each 2, 4 and 8 words: a window's hash is made of those of its halves.
+    windows = F.transform("words", lambda w: F.xxhash64(w))
+    for half in (1, 2, 4):
+        rows = rows.select(*keys, *counts, windows.alias("of")) if half == 1 else rows.select(*keys, *(F.col(c) for c in COUNTS), windows.alias("of"))
+        n = F.greatest(F.size("of") - half, F.lit(0))
+        windows = F.zip_with(F.slice("of", 1, n), F.slice("of", half + 1, n), lambda a, b: F.xxhash64(a, b))
+    counts = [F.col(c) for c in COUNTS]
     rows = rows.select(*keys, *counts, windows.alias("windows"))
-    counts = [F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")]
     # Only texts with an equal pair of windows sort them, with their places.
     doubled = F.size(F.array_distinct("windows")) < F.size("windows")
     rows = rows.select(*keys, *counts, F.when(doubled, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"))
