@@ -20,9 +20,11 @@ UNKNOWN_RANK = 99
 TRUST = ((0.85, "very_high"), (0.70, "high"), (0.45, "moderate"), (0.25, "low"), (None, "critical"))
 RISK = ((0.80, "critical"), (0.60, "high"), (0.35, "moderate"), (0.15, "low"), (None, "minimal"))
 SHAPE = ((0.75, "peaked"), (0.5, "balanced"), (None, "flat"))
-ROBUSTNESS = ((90, "excellent"), (80, "good"), (70, "moderate"), (60, "fair"), (None, "poor"))
+ROBUSTNESS = ((90, "Excellent robustness"), (80, "Good robustness"), (70, "Moderate robustness"), (60, "Fair robustness"), (None, "Poor robustness"))
+CALIBRATION_ERROR = ((0.10, "Severe overconfidence — model predictions are unreliable"), (0.05, "Moderate overconfidence — consider temperature scaling"), (0.02, "Acceptable calibration"), (None, "Well-calibrated"))
 STABILISER = ((0.7, "stabiliser"), (0.3, "neutral"), (None, "destabiliser"))
-EFFECT = ((0.8, "large"), (0.5, "medium"), (0.2, "small"), (None, "negligible"))
+EFFECT = ((0.8, "Large"), (0.5, "Medium"), (0.2, "Small"), (None, "Negligible"))
+FEW = "Insufficient data"
 
 
 def rank(column: str | Column, ladder: dict[int, tuple[str, ...]] = DISAGREEMENT_LADDER) -> Column:

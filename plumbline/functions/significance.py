@@ -39,11 +39,14 @@ def _quantile(df: float, p: float = 0.05) -> float:
     return low
 
 
-def _signed_rank(w: float, n: int) -> float:
-    """P-value of the smaller rank sum: exact without ties up to 50 pairs, else by the normal curve."""
-    if n > 50:
-        mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24
-        return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2))
+def _signed_rank(w: float, n: int, uneven: float = 0, ties: float = 0) -> float:
+    """P-value of the smaller rank sum of n differences: exact for up to 50 whose ranks are those from 1 to n, else by the normal curve.
+
+    uneven is above 0 if there are ties or pairs without a difference; ties (the sum of t^3 - t) takes from the variance.
+    """
+    if n > 50 or uneven > 0:
+        mean, var = n * (n + 1) / 4, (n * (n + 1) * (2 * n + 1) - ties / 2) / 24
+        return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2)) if var > 0 else 1.0
     ways = [1]  # ways to reach each sum of ranks
     for k in range(1, n + 1):
         ways = [(ways[i] if i < len(ways) else 0) + (ways[i - k] if 0 <= i - k < len(ways) else 0) for i in range(len(ways) + k)]
@@ -66,5 +69,5 @@ def t_quantile(df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def signed_rank_p_value(w: pd.Series, n: pd.Series) -> pd.Series:
-    return _apply(lambda x, k: _signed_rank(x, int(k)), w, n)
+def signed_rank_p_value(w: pd.Series, n: pd.Series, uneven: pd.Series, ties: pd.Series) -> pd.Series:
+    return _apply(lambda x, k, u, t: _signed_rank(x, int(k), u, t), w, n, uneven, ties)

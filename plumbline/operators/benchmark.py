@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import over, six
-from plumbline.functions.labels import BENCHMARK_LADDER, EFFECT, label, rank
+from plumbline.functions.labels import BENCHMARK_LADDER, EFFECT, FEW, label, rank
 from plumbline.functions.significance import signed_rank_p_value, t_p_value, t_quantile
 from plumbline.operators.frames import Frames, relation
 
@@ -146,30 +146,51 @@ def paired(r: Frames) -> DataFrame:
 
 
 @relation
-def e8_against_best(r: Frames) -> DataFrame:
+def paired_tests(r: Frames) -> DataFrame:
+    """(model_name, pairs, cohens_d, t), not rounded: 0 for fewer than two pairs or equal scores; t is infinite where all differ by the same."""
     pooled = F.sqrt((F.var_samp("best_score") + F.var_samp("score")) / 2.0)
-    t = over(F.avg("d"), F.stddev_samp("d") / F.sqrt(F.count("*").cast("double")))
-    return r.paired.groupBy("model_name").agg(F.count("*").alias("pairs"), F.round(over(F.avg("best_score") - F.avg("score"), pooled), 4).alias("cohens_d"), F.round(t, 4).alias("t"))
+    mean, deviation, pairs = F.avg("d"), F.stddev_samp("d"), F.count("*")
+    by = r.paired.groupBy("model_name").agg(pairs.alias("pairs"), over(F.avg("best_score") - F.avg("score"), pooled).alias("d"), mean.alias("mean"), deviation.alias("deviation"))
+    same = F.when(F.col("mean") == 0, 0.0).otherwise(F.signum("mean") * float("inf"))
+    t = F.when(F.col("deviation") > 0, F.col("mean") / (F.col("deviation") / F.sqrt(F.col("pairs").cast("double")))).when(F.col("pairs") > 1, same).otherwise(0.0)
+    return by.select("model_name", "pairs", F.coalesce("d", F.lit(0.0)).alias("cohens_d"), t.alias("t"))
 
 
 @relation
-def e8_signed_ranks(r: Frames) -> DataFrame:
-    """Wilcoxon's statistic: the smaller sum of the ranks of positive and negative differences; equal sizes share their mean rank."""
+def e8_against_best(r: Frames) -> DataFrame:
+    return r.paired_tests.select("model_name", "pairs", F.round("cohens_d", 4).alias("cohens_d"), F.round("t", 4).alias("t"))
+
+
+@relation
+def signed_ranks(r: Frames) -> DataFrame:
+    """(model_name, n, wilcoxon, zeros, ties): the smaller sum of the ranks of positive and negative differences. Equal sizes share their mean
+    rank; ties is the sum of t^3 - t over groups of t equal sizes, zeros the pairs that are left out for being equal."""
+    sized = r.paired.withColumn("size", F.round(F.abs("d"), 12))
     w = W.partitionBy("model_name").orderBy("size")
-    ranked = r.paired.filter("d <> 0").withColumn("size", F.round(F.abs("d"), 12))
-    ranked = ranked.withColumn("rank", F.rank().over(w) + (F.count("*").over(W.partitionBy("model_name", "size")) - 1) / 2.0)
-    sums = ranked.groupBy("model_name").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"))
-    return sums.select("model_name", "n", F.least("up", "down").alias("wilcoxon"))
+    alike = F.count("*").over(W.partitionBy("model_name", "size"))
+    ranked = sized.filter("size > 0").withColumns({"alike": alike, "rank": F.rank().over(w) + (alike - 1) / 2.0})
+    sums = ranked.groupBy("model_name").agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"), F.sum(F.col("alike") * F.col("alike") - 1.0).alias("ties"))
+    zeros = sized.groupBy("model_name").agg(F.count_if(F.col("size") == 0).alias("zeros"))
+    return sums.join(zeros, "model_name").select("model_name", "n", F.least("up", "down").alias("wilcoxon"), "zeros", "ties")
+
+
+@relation
+def e8_signed_ranks(r: Frames) -> DataFrame:
+    return r.signed_ranks.select("model_name", "n", "wilcoxon")
 
 
 @relation
 def e9_significance(r: Frames) -> DataFrame:
-    """Each model against the best: effect, both tests with p-values, stars of the t-test."""
-    joined = r.e8_against_best.join(r.e8_signed_ranks, "model_name", "left")
-    p = t_p_value(F.col("t"), (F.col("pairs") - 1).cast("double"))
-    rows = joined.withColumns({"p_t": F.round(p, 6), "p_wilcoxon": F.round(signed_rank_p_value(F.col("wilcoxon"), F.col("n").cast("double")), 6)})
-    stars = F.when(F.col("p_t") < 0.001, "***").when(F.col("p_t") < 0.01, "**").when(F.col("p_t") < 0.05, "*").otherwise("ns")
-    return rows.select("model_name", "cohens_d", label(F.abs("cohens_d"), EFFECT).alias("effect"), "t", "p_t", "wilcoxon", "p_wilcoxon", stars.alias("stars"))
+    """Each model against the best: effect, both tests with p-values, stars of the t-test. Tests without enough pairs (two, or three for the
+    ranks) or without a difference have statistic 0 and p 1."""
+    joined = r.paired_tests.join(r.signed_ranks, "model_name", "left")
+    p = F.coalesce(t_p_value(F.when(F.col("pairs") > 1, F.col("t")), (F.col("pairs") - 1).cast("double")), F.lit(1.0))
+    ranked = F.when(F.col("pairs") >= 3, F.col("wilcoxon"))
+    p_ranks = signed_rank_p_value(ranked, F.col("n").cast("double"), F.col("ties") + F.col("zeros"), F.col("ties"))
+    rows = joined.withColumns({"p": p, "w": ranked, "p_w": F.coalesce(p_ranks, F.lit(1.0))})
+    stars = F.when(F.col("p") < 0.001, "***").when(F.col("p") < 0.01, "**").when(F.col("p") < 0.05, "*").otherwise("ns")
+    effect = F.when(F.col("pairs") < 2, FEW).otherwise(label(F.abs("cohens_d"), EFFECT))
+    return rows.select("model_name", F.round("cohens_d", 4).alias("cohens_d"), effect.alias("effect"), F.round("t", 4).alias("t"), F.round("p", 6).alias("p_t"), F.coalesce("w", F.lit(0.0)).alias("wilcoxon"), F.round("p_w", 6).alias("p_wilcoxon"), stars.alias("stars"))
 
 
 @relation

@@ -11,8 +11,8 @@ from plumbline.functions.labels import is_clean, rank
 from plumbline.operators.frames import Frames, relation
 
 SAMPLE_KEY = ["sample_id", "perturbation_type", "severity_level"]
-#: Canonical order of corruptions in tables; others follow by name.
-CORRUPTIONS = ("original", "clean", "brightness", "contrast", "noise", "gaussian_noise", "blur", "gaussian_blur", "defocus", "hue")
+# The canonical order of corruptions in tables; others follow by name.
+CORRUPTIONS = ("original", "bright", "dark", "high_contrast", "low_contrast", "gaussian_noise", "gaussian_blur", "stain_shift", "defocus_blur", "jpeg_compression")
 
 
 def classes_seen(*extra: Column) -> list[Column]:

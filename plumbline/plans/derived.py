@@ -14,7 +14,7 @@ def log_of(lineitem: DataFrame) -> DataFrame:
     confidence = F.round(0.3 + F.col("l_quantity") / 80.0, 4)
     harder = F.round(100 * F.col("l_discount")) >= 10 - F.greatest(r - 1, F.lit(0))
     shifted = harder & ((r > 0) | (F.col("l_quantity").cast("int") % 4 == 0))
-    kinds = F.element_at(F.array(*map(F.lit, ("blur", "contrast", "noise"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ("gaussian_blur", "high_contrast", "gaussian_noise"))), (F.col("l_orderkey") % 3 + 1).cast("int"))
     severities = F.element_at(F.array(*map(F.lit, ("clean", "mild", "moderate", "severe"))), (r + 1).cast("int"))
     # Vectors as they come from many sources: missing, not normalised, with what is no number, without mass, whole.
     odd = F.col("l_orderkey") % 7

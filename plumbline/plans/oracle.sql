@@ -3,7 +3,7 @@
 
 -- name: log
 SELECT sample_id, model_name, concat('c', CASE WHEN shifted THEN (t + 1) % 4 ELSE t END) AS predicted_class, confidence,
-  CASE WHEN r = 0 THEN 'clean' WHEN k = 0 THEN 'blur' WHEN k = 1 THEN 'contrast' ELSE 'noise' END AS perturbation_type,
+  CASE WHEN r = 0 THEN 'clean' WHEN k = 0 THEN 'gaussian_blur' WHEN k = 1 THEN 'high_contrast' ELSE 'gaussian_noise' END AS perturbation_type,
   CASE r WHEN 0 THEN 'clean' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'severe' END AS severity_level, concat('c', t) AS true_label, seq,
   CASE odd WHEN 1 THEN [confidence, 0.5e0] WHEN 2 THEN [-0.1e0, confidence, 'nan'::DOUBLE, 0.25e0] WHEN 3 THEN [0e0, 0e0] WHEN 4 THEN [0.1e0, 0.2e0, 0.3e0, 0.4e0] END AS probabilities
 FROM (
@@ -349,7 +349,7 @@ FROM b1_sensitivity
 -- name: b8_flip_rates
 WITH f AS (SELECT perturbation_type, model_name, avg(prediction_changed::INT) AS flip_rate, avg(confidence_drop) AS mean_drop FROM j2_against_clean GROUP BY ALL)
 SELECT t.perturbation_type, m.model_name, round(coalesce(f.flip_rate, 0), 6) AS flip_rate, round(coalesce(f.mean_drop, 0), 6) AS mean_drop,
-  coalesce(nullif(list_position(['original', 'clean', 'brightness', 'contrast', 'noise', 'gaussian_noise', 'blur', 'gaussian_blur', 'defocus', 'hue'], t.perturbation_type), 0), 11)::INT AS type_order
+  coalesce(nullif(list_position(['original', 'bright', 'dark', 'high_contrast', 'low_contrast', 'gaussian_noise', 'gaussian_blur', 'stain_shift', 'defocus_blur', 'jpeg_compression'], t.perturbation_type), 0), 11)::INT AS type_order
 FROM (SELECT DISTINCT perturbation_type FROM f) t CROSS JOIN (SELECT DISTINCT model_name FROM f) m LEFT JOIN f USING (perturbation_type, model_name)
 
 -- name: b9_instability_metrics
@@ -607,6 +607,23 @@ SELECT model_name, count(*) AS seeds, round(avg(score), 6) AS mean, round(stddev
 FROM seed_scores
 GROUP BY model_name
 
+-- name: student_quantiles
+WITH RECURSIVE d AS (SELECT DISTINCT (SELECT count(*) FROM seed_scores x WHERE x.model_name = m.model_name) - 1 AS df FROM seed_scores m),
+b AS (
+  SELECT df, 0e0 AS lo, 1000e0 AS hi, 0 AS i FROM d WHERE df > 0
+  UNION ALL
+  SELECT df, CASE WHEN tail > 0.05e0 THEN mid ELSE lo END, CASE WHEN tail > 0.05e0 THEN hi ELSE mid END, i + 1 FROM (
+    SELECT *, CASE WHEN df % 2 = 0
+      THEN 1 - sin(th) * list_sum(list_transform(range(df // 2), lambda k: coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: (2e0 * j - 1) / (2e0 * j)), 'product'), 1e0) * pow(cos(th), 2 * k)))
+      ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range((df - 1) // 2), lambda k: coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: 2e0 * j / (2e0 * j + 1)), 'product'), 1e0) * pow(cos(th), 2 * k + 1))), 0)) END AS tail
+    FROM (SELECT df, lo, hi, i, (lo + hi) / 2 AS mid, atan((lo + hi) / 2 / sqrt(df::DOUBLE)) AS th FROM b WHERE i < 80) x) y)
+SELECT df, (lo + hi) / 2 AS q FROM b WHERE i = 80
+
+-- name: e7_intervals
+WITH m AS (SELECT model_name, count(*) AS seeds, avg(score) AS mean, coalesce(stddev_samp(score), 0) AS std FROM seed_scores GROUP BY model_name)
+SELECT model_name, seeds, round(mean, 4) AS mean, round(mean - coalesce(q * std / sqrt(seeds::DOUBLE), 0), 4) AS ci_lower, round(mean + coalesce(q * std / sqrt(seeds::DOUBLE), 0), 4) AS ci_upper
+FROM m LEFT JOIN student_quantiles ON df = seeds - 1
+
 -- name: best_model
 SELECT model_name
 FROM (SELECT model_name, row_number() OVER (ORDER BY avg(score) DESC, model_name) AS place
@@ -618,19 +635,40 @@ WHERE place = 1
 SELECT s.seed, s.score
 FROM seed_scores s JOIN best_model b ON s.model_name = b.model_name
 
+-- name: paired_tests
+WITH d AS (SELECT s.model_name, s.score, b.score AS best, b.score - s.score AS d FROM seed_scores s JOIN best_scores b ON s.seed = b.seed WHERE s.model_name NOT IN (SELECT model_name FROM best_model)),
+g AS (SELECT model_name, count(*) AS pairs, avg(d) AS m, stddev_samp(d) AS sd, avg(best) - avg(score) AS gap, sqrt((var_samp(best) + var_samp(score)) / 2e0) AS pooled FROM d GROUP BY model_name)
+SELECT model_name, pairs, CASE WHEN pairs < 2 OR pooled = 0 THEN 0e0 ELSE gap / pooled END AS cohens_d,
+  CASE WHEN pairs < 2 OR (sd = 0 AND m = 0) THEN 0e0 WHEN sd = 0 THEN sign(m) * 'inf'::DOUBLE ELSE m / (sd / sqrt(pairs::DOUBLE)) END AS t FROM g
+
 -- name: e8_against_best
-SELECT s.model_name, count(*) AS pairs, round((avg(b.score) - avg(s.score)) / nullif(sqrt((var_samp(b.score) + var_samp(s.score))
-  / 2e0), 0e0), 4) AS cohens_d, round(avg(b.score - s.score) / nullif(stddev_samp(b.score - s.score) / sqrt(CAST(count(*) AS
-  DOUBLE)), 0e0), 4) AS t
-FROM seed_scores s JOIN best_scores b ON s.seed = b.seed
-WHERE s.model_name NOT IN (SELECT model_name
-FROM best_model)
-GROUP BY s.model_name
+SELECT model_name, pairs, round(cohens_d, 4) AS cohens_d, round(t, 4) AS t FROM paired_tests
+
+-- name: ranked_differences
+WITH d AS (SELECT s.model_name, b.score - s.score AS d, round(abs(b.score - s.score), 12) AS a FROM seed_scores s JOIN best_scores b ON s.seed = b.seed WHERE s.model_name NOT IN (SELECT model_name FROM best_model))
+SELECT x.model_name, x.d, x.a, count(*) FILTER (WHERE y.a < x.a) + (count(*) FILTER (WHERE y.a = x.a) + 1) / 2.0e0 AS rank FROM d x JOIN d y ON x.model_name = y.model_name AND y.a <= x.a WHERE x.a > 0 AND y.a > 0 GROUP BY ALL
 
 -- name: e8_signed_ranks
-WITH d AS (SELECT s.model_name, b.score - s.score AS d, round(abs(b.score - s.score), 12) AS a FROM seed_scores s JOIN best_scores b ON s.seed = b.seed WHERE s.model_name NOT IN (SELECT model_name FROM best_model)),
-r AS (SELECT x.model_name, x.d, x.a, count(*) FILTER (WHERE y.a < x.a) + (count(*) FILTER (WHERE y.a = x.a) + 1) / 2.0e0 AS rank FROM d x JOIN d y ON x.model_name = y.model_name AND y.a <= x.a WHERE x.a > 0 AND y.a > 0 GROUP BY ALL)
-SELECT model_name, count(*) AS n, least(coalesce(sum(rank) FILTER (WHERE d > 0), 0), coalesce(sum(rank) FILTER (WHERE d < 0), 0)) AS wilcoxon FROM r GROUP BY model_name
+SELECT model_name, count(*) AS n, least(coalesce(sum(rank) FILTER (WHERE d > 0), 0), coalesce(sum(rank) FILTER (WHERE d < 0), 0)) AS wilcoxon FROM ranked_differences GROUP BY model_name
+
+-- name: student_tails
+WITH a AS (SELECT model_name, pairs - 1 AS df, atan(abs(t) / sqrt(greatest(pairs - 1, 1)::DOUBLE)) AS th FROM paired_tests),
+s AS (SELECT model_name, df, th,
+  list_sum(list_transform(range(greatest(df // 2, 0)), lambda k: coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: (2e0 * j - 1) / (2e0 * j)), 'product'), 1e0) * pow(cos(th), 2 * k))) AS even,
+  list_sum(list_transform(range(greatest((df - 1) // 2, 0)), lambda k: coalesce(list_aggregate(list_transform(range(1, k + 1), lambda j: 2e0 * j / (2e0 * j + 1)), 'product'), 1e0) * pow(cos(th), 2 * k + 1))) AS odd FROM a)
+SELECT model_name, CASE WHEN df < 1 THEN 1e0 WHEN df % 2 = 0 THEN 1 - sin(th) * even ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(odd, 0)) END AS p FROM s
+
+-- name: rank_tails
+WITH l AS (SELECT model_name, list(rank ORDER BY rank) AS ranks FROM ranked_differences GROUP BY model_name)
+SELECT w.model_name, least(1e0, 2e0 * len(list_filter(range(1 << w.n), lambda x: coalesce(list_sum(list_transform(range(w.n), lambda i: CASE WHEN (x >> i) % 2 = 1 THEN l.ranks[i + 1] ELSE 0 END)), 0) <= w.wilcoxon)) / (1 << w.n)) AS p
+FROM e8_signed_ranks w JOIN l USING (model_name)
+
+-- name: e9_significance
+SELECT t.model_name, round(t.cohens_d, 4) AS cohens_d,
+  CASE WHEN pairs < 2 THEN 'Insufficient data' WHEN abs(t.cohens_d) < 0.2e0 THEN 'Negligible' WHEN abs(t.cohens_d) < 0.5e0 THEN 'Small' WHEN abs(t.cohens_d) < 0.8e0 THEN 'Medium' ELSE 'Large' END AS effect,
+  round(t.t, 4) AS t, round(s.p, 6) AS p_t, CASE WHEN pairs >= 3 THEN coalesce(w.wilcoxon, 0e0) ELSE 0e0 END AS wilcoxon, CASE WHEN pairs >= 3 THEN round(coalesce(r.p, 1e0), 6) ELSE 1e0 END AS p_wilcoxon,
+  CASE WHEN s.p < 0.001e0 THEN '***' WHEN s.p < 0.01e0 THEN '**' WHEN s.p < 0.05e0 THEN '*' ELSE 'ns' END AS stars
+FROM paired_tests t JOIN student_tails s USING (model_name) LEFT JOIN e8_signed_ranks w USING (model_name) LEFT JOIN rank_tails r USING (model_name)
 
 -- name: runs
 SELECT user_id AS experiment, event_type AS stage, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'completed' END AS status FROM events
@@ -684,7 +722,7 @@ FROM spread_of_models s JOIN error_of_models e USING (model_name)
 -- name: c4_robustness
 WITH t AS (SELECT *, round(0.3e0 * consistency + 0.3e0 * stability + 0.2e0 * resistance + 0.2e0 * calibration, 6) AS robustness_score FROM scores_of_models)
 SELECT model_name, round(consistency, 6) AS consistency, round(stability, 6) AS stability, round(resistance, 6) AS resistance, round(calibration, 6) AS calibration, robustness_score,
-  ['poor', 'fair', 'moderate', 'good', 'excellent'][1 + (robustness_score >= 60)::INT + (robustness_score >= 70)::INT + (robustness_score >= 80)::INT + (robustness_score >= 90)::INT] AS interpretation
+  ['Poor robustness', 'Fair robustness', 'Moderate robustness', 'Good robustness', 'Excellent robustness'][1 + (robustness_score >= 60)::INT + (robustness_score >= 70)::INT + (robustness_score >= 80)::INT + (robustness_score >= 90)::INT] AS interpretation
 FROM t
 
 -- name: e12_consistency

@@ -2,30 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Other names of the canonical columns.
+# The names under which the canonical columns are found, in the order in which they are tried.
 ALIASES = {
-    "sample_id": ("sample_id", "sample", "id", "image_id", "image", "filename"),
-    "model_name": ("model_name", "model"),
-    "predicted_class": ("predicted_class", "prediction", "predicted", "class", "label"),
-    "confidence": ("confidence", "score", "probability", "prob"),
-    "perturbation_type": ("perturbation_type", "perturbation", "corruption"),
-    "severity_level": ("severity_level", "severity", "level"),
+    "sample_id": ("sample_id", "id", "image_id", "filename", "sample"),
+    "model_name": ("model_name", "model", "classifier"),
+    "predicted_class": ("predicted_class", "prediction", "pred", "label", "class"),
+    "confidence": ("confidence", "conf", "score", "probability", "prob"),
+}
+PERTURBATION_ALIASES = {
+    "perturbation_type": ("perturbation_type", "perturbation", "pert_type", "type", "augmentation", "transform"),
+    "severity_level": ("severity_level", "severity", "level", "pert_severity", "perturbation_severity", "intensity"),
 }
 REQUIRED = ("sample_id", "model_name", "predicted_class")
 
 
+def renamed(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """The first of a canonical column's names that the frame has becomes it; case and outer spaces don't count. Chosen at plan time.
+
+    Of several columns that differ in case or spaces only, the last counts. Other columns stay, but one that bears the canonical
+    name in another spelling gives way to it.
+    """
+    held = {c.strip().lower(): c for c in df.columns}
+    found = {new: next((held[a] for a in names if a in held), None) for new, names in aliases.items()}
+    back = {old: new for new, old in found.items() if old}
+    return df.select(*(F.col(f"`{c}`").alias(back.get(c, c)) for c in df.columns if c in back or c not in aliases))
+
+
 def canonical(df: DataFrame) -> DataFrame:
-    """The log with canonical names, chosen from the columns at plan time; raises on a missing required column."""
-    lower = {c.lower(): c for c in reversed(df.columns)}
-    names = {new: next((lower[a] for a in aliases if a in lower), None) for new, aliases in ALIASES.items()}
-    missing = [c for c in REQUIRED if names[c] is None]
+    """The log with canonical names; raises on a missing required column."""
+    out = renamed(df, ALIASES)
+    missing = [c for c in REQUIRED if c not in out.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    taken = {old for old in names.values() if old}
-    return df.select(*(F.col(old).alias(new) for new, old in names.items() if old), *(F.col(c) for c in df.columns if c not in taken))
+    return out
+
+
+def read_log(spark: SparkSession, path: str, perturbed: bool = False) -> DataFrame:
+    """A prediction log (or one with perturbations) from CSV with a header, JSON lines or Parquet, by the path's ending.
+
+    CSV cells stay text, so that ids such as 007 keep their zeros; confidences are cast where they are numbers.
+    """
+    read = spark.read.option("header", True)
+    ending = path.rstrip("/*").rsplit(".", 1)[-1].lower()
+    raw = read.csv(path) if ending in ("csv", "gz") else read.json(path) if ending in ("json", "jsonl") else read.parquet(path)
+    return perturbation_log(raw) if perturbed else prediction_log(raw)
 
 
 def prediction_log(df: DataFrame) -> DataFrame:
@@ -38,7 +61,7 @@ def prediction_log(df: DataFrame) -> DataFrame:
 
 def perturbation_log(df: DataFrame) -> DataFrame:
     """A prediction log with perturbation and severity, trimmed and lowered, unknown where missing."""
-    out = prediction_log(df)
+    out = renamed(prediction_log(df), PERTURBATION_ALIASES)
     clean = {c: F.coalesce(F.nullif(F.lower(F.trim(F.col(c).cast("string"))), F.lit("")), F.lit("unknown")) if c in out.columns else F.lit("unknown") for c in ("perturbation_type", "severity_level")}
     return out.withColumns(clean)
 
