@@ -63,12 +63,20 @@ def records_of(orders: DataFrame) -> DataFrame:
         (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty"))
 
 
+def images_of(embeddings: DataFrame) -> DataFrame:
+    """RGB images of 8 x 8 from embeddings: the three channels are the components from the 1st, the 22nd and the 43rd on, around the middle level."""
+    level = lambda i: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 256 * F.element_at("embedding", (i % 64 + 1).cast("int")).cast("double")))).cast("int")
+    levels = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: level(F.floor(i / 3) + (i % 3) * 21))
+    data = F.unhex(F.array_join(F.transform(levels, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    return embeddings.select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("true_label"), F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("pixels"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> Frames:
     """All derived inputs; none is read before a relation asks for it."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     status = F.element_at(F.array(*map(F.lit, ("failed", "skipped", "completed", "completed", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
     return Frames(
-        log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), records=records_of(read("orders")),
+        log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), images=images_of(read("embeddings")), records=records_of(read("orders")),
         plates=read("customer").select(F.col("c_mktsegment").alias("class_name"), F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string")).alias("plate_name"), F.col("c_custkey").alias("image_id")),
         runs=read("events").select(F.col("user_id").alias("experiment"), F.col("event_type").alias("stage"), status.alias("status")),
     )
