@@ -99,7 +99,7 @@ def fitted(logits: DataFrame) -> DataFrame:
 
     ratio = (HIGH / LOW) ** (1 / (GRID - 1))
     first = best(logits, F.transform(steps, lambda i: F.lit(LOW) * F.pow(F.lit(ratio), i)))
-    near = first.select("model_name", (F.col("temperature") / ratio).alias("low"), F.least(F.col("temperature") * ratio, F.lit(HIGH)).alias("high"))
+    near = first.select("model_name", F.greatest(F.col("temperature") / ratio, F.lit(LOW)).alias("low"), F.least(F.col("temperature") * ratio, F.lit(HIGH)).alias("high"))
     rows = logits.join(F.broadcast(near), "model_name")
     return best(rows, F.transform(steps, lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / float(GRID - 1)))
 

@@ -968,7 +968,7 @@ n AS (SELECT model_name, t, avg(ln(list_sum(list_transform(z, lambda x: exp((x -
 SELECT model_name, arg_min(t, loss) AS t FROM n GROUP BY model_name
 
 -- name: best_temperature
-WITH g AS (SELECT model_name, t / pow(200e0, 1e0 / 63) AS low, least(t * pow(200e0, 1e0 / 63), 10e0) AS high FROM coarse),
+WITH g AS (SELECT model_name, greatest(t / pow(200e0, 1e0 / 63), 0.05e0) AS low, least(t * pow(200e0, 1e0 / 63), 10e0) AS high FROM coarse),
 s AS (SELECT model_name, low + (high - low) * i / 63e0 AS t FROM g, range(64) r(i)),
 n AS (SELECT model_name, t, avg(ln(list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t)))) - (z[label + 1] - list_max(z)) / t) AS loss FROM exact JOIN s USING (model_name) GROUP BY model_name, t)
 SELECT model_name, arg_min(t, loss) AS temperature, min(loss) AS loss FROM n GROUP BY model_name
@@ -986,6 +986,34 @@ SELECT sample_id, model_name, k::INT AS k, round(p[k + 1], 6) AS probability FRO
 -- name: c12_temperature
 SELECT model_name, round(temperature, 4) AS temperature, round(loss, 6) AS loss FROM best_temperature
 
+-- name: class_scales
+WITH RECURSIVE d AS (
+  SELECT model_name, i, 1 / temperature AS b0, 1 / temperature AS b1, 1 / temperature AS b2, 1 / temperature AS b3 FROM best_temperature, (SELECT 0 AS i)
+  UNION ALL
+  SELECT model_name, any_value(i) + 1,
+    least(20e0, greatest(0.1e0, any_value(b0) - avg(z[1] * (p0 - (label = 0)::INT)) / avg(abs(z[1]) * p0 * (m - 2 * abs(z[1]) * p0 + abs(z[1]))))),
+    least(20e0, greatest(0.1e0, any_value(b1) - avg(z[2] * (p1 - (label = 1)::INT)) / avg(abs(z[2]) * p1 * (m - 2 * abs(z[2]) * p1 + abs(z[2]))))),
+    least(20e0, greatest(0.1e0, any_value(b2) - avg(z[3] * (p2 - (label = 2)::INT)) / avg(abs(z[3]) * p2 * (m - 2 * abs(z[3]) * p2 + abs(z[3]))))),
+    least(20e0, greatest(0.1e0, any_value(b3) - avg(z[4] * (p3 - (label = 3)::INT)) / avg(abs(z[4]) * p3 * (m - 2 * abs(z[4]) * p3 + abs(z[4])))))
+  FROM (
+    SELECT *, abs(z[1]) * p0 + abs(z[2]) * p1 + abs(z[3]) * p2 + abs(z[4]) * p3 AS m FROM (
+      SELECT model_name, i, b0, b1, b2, b3, label, z, e0 / s AS p0, e1 / s AS p1, e2 / s AS p2, e3 / s AS p3 FROM (
+        SELECT *, e0 + e1 + e2 + e3 AS s FROM (
+          SELECT d.*, e.label, e.z, exp(b0 * z[1]) AS e0, exp(b1 * z[2]) AS e1, exp(b2 * z[3]) AS e2, exp(b3 * z[4]) AS e3 FROM d JOIN exact e USING (model_name) WHERE d.i < 400) a) c) f) g
+  GROUP BY model_name)
+SELECT * FROM d WHERE i = 400
+
+-- name: class_losses
+SELECT s.model_name, [1 / b0, 1 / b1, 1 / b2, 1 / b3] AS t, avg(ln(exp(b0 * z[1]) + exp(b1 * z[2]) + exp(b2 * z[3]) + exp(b3 * z[4])) - [b0, b1, b2, b3][label + 1] * z[label + 1]) AS loss
+FROM class_scales s JOIN exact e USING (model_name) GROUP BY ALL
+
+-- name: c12_class_temperatures
+SELECT model_name, k::INT AS k, round(t[k + 1], 3) AS temperature, round(loss, 6) AS loss FROM class_losses, range(4) r(k)
+
+-- name: p2_by_class
+WITH x AS (SELECT e.sample_id, e.model_name, e.label, list_transform([1, 2, 3, 4], lambda i: e.z[i] / l.t[i]) AS z FROM exact e JOIN class_losses l USING (model_name))
+SELECT sample_id, model_name, label::INT AS label, list_position(z, list_max(z))::INT - 1 AS predicted, round(1 / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))), 4) AS confidence FROM x
+
 -- name: bins15
 SELECT model_name, len(list_filter(range(15), lambda i: i / 15e0 < confidence)) - 1 AS bin, count(*) AS n, avg(confidence) AS mean_confidence, avg((predicted = label)::INT) AS accuracy FROM exact GROUP BY ALL
 
