@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.frames import Frames
@@ -54,13 +54,30 @@ def attention_of(embeddings: DataFrame) -> DataFrame:
         F.when(F.floor(at / 2) == 0, "clean").otherwise("blur").alias("perturbation_type"), F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("predicted_class"), rows.alias("attention_map"))
 
 
-def records_of(orders: DataFrame) -> DataFrame:
+def record_columns() -> list[Column]:
     types = F.element_at(F.array(*map(F.lit, ("clean", "blur", "contrast", "noise", "hue"))), (F.col("o_custkey") % 5 + 1).cast("int"))
     severities = F.element_at(F.array(*map(F.lit, ("mild", "moderate", "severe"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
     price = F.round("o_totalprice").cast("long")
-    return orders.select(
+    return [
         F.col("o_orderpriority").alias("model_name"), types.alias("perturbation_type"), severities.alias("severity_level"), (F.col("o_orderkey") % 5).alias("seed"),
-        (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty"))
+        (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty")]
+
+
+def records_of(orders: DataFrame) -> DataFrame:
+    return orders.select(*record_columns())
+
+
+def summaries_of(orders: DataFrame) -> DataFrame:
+    """Summaries as JSON text: one for each customer, whose orders' records they hold in one of five shapes, or cut off."""
+    rows = orders.select("o_custkey", F.struct("o_orderkey", F.struct(*(c for k, c in enumerate(record_columns()) if k != 3)).alias("r")).alias("x"))
+    r = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"])  # the orders of one customer
+    by = rows.groupBy("o_custkey").agg(r.alias("r")).withColumn("shape", F.col("o_custkey") % 6)
+    wrapped = {1: {"benchmark_records": F.col("r")}, 2: {"records": F.col("r"), "note": F.lit("x")}, 3: {"model_rankings": F.col("r"), "perturbation_rankings": F.slice("r", 1, 1)}, 4: {"stage_summaries": F.struct(F.element_at("r", 1).alias("first"), F.element_at("r", -1).alias("last"))}}
+    text = F.to_json("r")
+    for k, parts in wrapped.items():
+        text = F.when(F.col("shape") == k, F.to_json(F.struct(*(c.alias(n) for n, c in parts.items())))).otherwise(text)
+    text = F.when(F.col("shape") == 5, F.substring(F.to_json("r"), F.lit(1), F.length(F.to_json("r")) - 1)).otherwise(text)
+    return by.select(F.concat(F.lit("experiment_"), F.col("o_custkey").cast("string")).alias("path"), text.alias("text"))
 
 
 def images_of(embeddings: DataFrame) -> DataFrame:
@@ -76,7 +93,7 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     status = F.element_at(F.array(*map(F.lit, ("failed", "skipped", "completed", "completed", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
     return Frames(
-        log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), images=images_of(read("embeddings")), records=records_of(read("orders")),
+        log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), images=images_of(read("embeddings")), records=records_of(read("orders")), summaries=summaries_of(read("orders")),
         plates=read("customer").select(F.col("c_mktsegment").alias("class_name"), F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string")).alias("plate_name"), F.col("c_custkey").alias("image_id")),
         runs=read("events").select(F.col("user_id").alias("experiment"), F.col("event_type").alias("stage"), status.alias("status")),
     )

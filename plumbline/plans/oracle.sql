@@ -551,6 +551,32 @@ SELECT o_orderpriority AS model_name, CASE o_custkey % 5 WHEN 0 THEN 'clean' WHE
   (CAST(round(o_totalprice) AS BIGINT) % 89) / 89e0 AS uncertainty
 FROM orders
 
+-- name: customer_records
+WITH r AS (
+  SELECT o_custkey, o_custkey % 6 AS shape, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nth, count(*) OVER (PARTITION BY o_custkey) AS n, o_orderpriority AS model_name,
+    ['clean', 'blur', 'contrast', 'noise', 'hue'][o_custkey % 5 + 1] AS perturbation_type, ['mild', 'moderate', 'severe'][o_orderkey % 3 + 1] AS severity_level,
+    (CAST(round(o_totalprice) AS BIGINT) % 1000) / 1000e0 AS robustness, (o_orderkey % 97) / 97e0 AS instability, (CAST(round(o_totalprice) AS BIGINT) % 89) / 89e0 AS uncertainty
+  FROM orders)
+SELECT *, NULL AS scope FROM r WHERE shape < 3
+UNION ALL SELECT *, 'model' FROM r WHERE shape = 3
+UNION ALL SELECT o_custkey, shape, n, n, model_name, perturbation_type, severity_level, robustness, instability, uncertainty, 'perturbation' FROM r WHERE shape = 3 AND nth = 0
+UNION ALL SELECT o_custkey, shape, 0, n, model_name, perturbation_type, severity_level, robustness, instability, uncertainty, 'first' FROM r WHERE shape = 4 AND nth = 0
+UNION ALL SELECT o_custkey, shape, 1, n, model_name, perturbation_type, severity_level, robustness, instability, uncertainty, 'last' FROM r WHERE shape = 4 AND nth = n - 1
+
+-- name: s4_gathered
+SELECT concat('experiment_', o_custkey) AS path, nth::INT AS position, scope AS benchmark_scope, model_name, perturbation_type, severity_level, robustness, instability, uncertainty, NULL::VARCHAR AS error FROM customer_records
+UNION ALL SELECT DISTINCT concat('experiment_', o_custkey), -1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no JSON' FROM orders WHERE o_custkey % 6 = 5
+
+-- name: s4_scopes
+SELECT benchmark_scope, error, count(*) AS records, count(DISTINCT path) AS summaries FROM s4_gathered GROUP BY ALL
+
+-- name: s8_disagreements
+SELECT sample_id AS key, count(*) AS n, '[' || string_agg(to_json(struct_pack(model_name := model_name, predicted_class := predicted_class, confidence := confidence))::VARCHAR, ',' ORDER BY model_name, predicted_class, confidence) || ']' AS records
+FROM a3_disagreements GROUP BY sample_id
+
+-- name: s8_trust
+SELECT trust_level AS key, count(*) AS n, min(sample_id) AS first, max(sample_id) AS last FROM d10_trust GROUP BY trust_level
+
 -- name: long_metrics
 SELECT model_name, perturbation_type, severity_level, unnest(['robustness', 'instability', 'uncertainty']) AS metric, unnest([robustness, instability, uncertainty]) AS x FROM records
 

@@ -94,7 +94,6 @@ def test_sources_and_sinks(spark):
     assert [tuple(r)[:4] for r in logs.flatten(nested).collect()] == [("sample_0000", "m", "blur", "a")]
     flat = sinks.flat_rows(spark.createDataFrame([(1.5, ["a", "b"])], "x double, y array<string>")).first()
     assert tuple(flat) == ("1.500000", "a|b")
-    assert sinks.by_key(spark.createDataFrame([("k", 1), ("k", 2)], "k string, v int"), "k").count() == 1
     assert sinks.long_metrics(spark.createDataFrame([("m", 1.0, 2.0)], "model string, a double, b double"), "s", ["model"], ["a", "b"]).count() == 2
 
 
