@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import over, six
 from plumbline.functions.labels import BENCHMARK_LADDER, EFFECT, FEW, label, rank
+from plumbline.functions.quantiles import medians, with_median
 from plumbline.functions.significance import signed_rank_p_value, t_p_value, t_quantile
 from plumbline.operators.frames import Frames, relation
 
@@ -20,17 +21,22 @@ BASELINES = ("clean", "original", "baseline")
 TRAIN, VALIDATION, SKEWED, ENOUGH = 0.70, 0.15, 0.8, 50
 
 
-def statistics(m: str, prefix: str = "") -> list[Column]:
+def long_metrics(r: Frames) -> DataFrame:
+    return r.records.select("model_name", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS))))
+
+
+def statistics(m: str) -> list[Column]:
     x = F.col(m)
-    return [six(F.avg(x)).alias(f"{prefix}mean"), six(F.median(x)).alias(f"{prefix}median"), six(F.stddev_pop(x)).alias(f"{prefix}std"), F.min(x).alias(f"{prefix}min"), F.max(x).alias(f"{prefix}max")]
+    return [six(F.avg(x)).alias("mean"), six(F.stddev_pop(x)).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
 
 
 @relation
 def e1_scalar_statistics(r: Frames) -> DataFrame:
-    """All metrics in one aggregate, then as long rows."""
+    """All metrics in one aggregate, then as long rows; medians by bins."""
     names = ("n", "mean", "median", "variance", "std", "min", "max", "spread")
     of = lambda m: F.struct(F.lit(m).alias("metric"), F.count(m).alias("n"), *statistics(m), six(F.var_pop(m)).alias("variance"), six(F.max(m) - F.min(m)).alias("spread"))
-    return r.records.agg(F.array(*map(of, METRICS)).alias("x")).select(F.inline("x")).select("metric", *names)
+    long = r.records.agg(F.array(*map(of, METRICS)).alias("x")).select(F.inline("x"))
+    return with_median(long, medians(long_metrics(r), ["metric"], "x"), ["metric"], "median").select("metric", *names)
 
 
 @relation
@@ -68,7 +74,9 @@ def e4_correlations(r: Frames) -> DataFrame:
 def e5_statistics(r: Frames) -> DataFrame:
     """Mean, median, deviation, least and greatest of every metric of each model."""
     of = lambda m: F.struct(F.lit(m).alias("metric"), *statistics(m))
-    return r.records.groupBy("model_name").agg(F.array(*map(of, METRICS)).alias("x")).select("model_name", F.inline("x"))
+    long = r.records.groupBy("model_name").agg(F.array(*map(of, METRICS)).alias("x")).select("model_name", F.inline("x"))
+    keys = ["model_name", "metric"]
+    return with_median(long, medians(long_metrics(r), keys, "x"), keys, "median").select(*keys, "mean", "median", "std", "min", "max")
 
 
 @relation

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import binned, let, over, share, six, total_of
+from plumbline.functions.quantiles import medians, with_median
 from plumbline.operators.frames import Frames, relation
 
 #: Temperatures of the fit: GRID between LOW and HIGH, evenly by ratio, then GRID between the neighbours of the best.
@@ -277,7 +278,8 @@ def c16_average_precision(r: Frames) -> DataFrame:
 @relation
 def c17_by_class(r: Frames) -> DataFrame:
     c = F.col("confidence")
-    return r.predictions.groupBy("label").agg(six(F.min(c)).alias("min_confidence"), six(F.median(c)).alias("median_confidence"), six(F.max(c)).alias("max_confidence"), F.count("*").alias("n"))
+    by = r.predictions.groupBy("label").agg(six(F.min(c)).alias("min_confidence"), six(F.max(c)).alias("max_confidence"), F.count("*").alias("n"))
+    return with_median(by, medians(r.predictions, ["label"], c), ["label"], "median_confidence")
 
 
 @relation
