@@ -181,6 +181,12 @@ def x7_drift_summary(r: Frames) -> DataFrame:
     return whole.crossJoin(worst("model_name")).crossJoin(worst("perturbation_type"))
 
 
+@relation
+def x7_high_drift(r: Frames) -> DataFrame:
+    """The samples with a drift of 0.65 or more, and how often."""
+    return r.x1_drift.filter("drift >= 0.65").groupBy("sample_id").agg(F.count("*").alias("rows"), F.max("drift").alias("max_drift"))
+
+
 @relation
 def x7_relationship(r: Frames) -> DataFrame:
     """Correlation of each sample's mean drift with its uncertainty, disagreement and instability."""

@@ -15,7 +15,10 @@ from plumbline.functions.significance import signed_rank_p_value, t_p_value, t_q
 from plumbline.operators.frames import Frames, relation
 
 METRICS = ("robustness", "instability", "uncertainty")
-BENEFICIAL = ("robustness",)
+BENEFICIAL = ("robustness", "attention_stability", "consensus_reliability")
+#: Boards and their metrics; the metrics that are held against the baseline.
+BOARDS = {"robustness": "robustness", "stability": "attention_stability", "reliability": "consensus_reliability", "risk": "risk", "uncertainty": "uncertainty", "instability": "instability", "attention_drift": "attention_drift"}
+DELTAS = ("robustness", "instability", "uncertainty", "attention_drift", "consensus_reliability", "risk", "disagreement_rate")
 BASELINES = ("clean", "original", "baseline")
 # Shares of the training and validation splits, least share that is skewed, enough images of a class.
 TRAIN, VALIDATION, SKEWED, ENOUGH = 0.70, 0.15, 0.8, 50
@@ -79,40 +82,72 @@ def e5_statistics(r: Frames) -> DataFrame:
     return with_median(long, medians(long_metrics(r), keys, "x"), keys, "median").select(*keys, "mean", "median", "std", "min", "max")
 
 
+def known(r: Frames, metrics: tuple[str, ...]) -> DataFrame:
+    """The records with all of these metrics; one that they do not have is 0 throughout."""
+    return r.records.select("*", *(F.lit(0.0).alias(m) for m in metrics if m not in r.records.columns))
+
+
 @relation
 def e5_model_benchmark(r: Frames) -> DataFrame:
-    """Each metric's mean between the least (0) and the best (1) of all models; constant metrics count as 1."""
-    means = r.records.groupBy("model_name").agg(F.count("*").alias("n"), *(six(F.avg(m)).alias(m) for m in METRICS))
+    """Each metric's mean between the least (0) and the best (1) of all models; constant metrics count as 1, so absent ones too."""
+    metrics = tuple(BOARDS.values())
+    means = known(r, metrics).groupBy("model_name").agg(F.count("*").alias("n"), *(six(F.avg(m)).alias(m) for m in metrics))
     every = W.partitionBy()
 
     def part(m: str) -> Column:
-        low, high = F.min(m).over(every), F.max(m).over(every)
-        at = (F.col(m) - low) / F.nullif(high - low, F.lit(0.0))
+        value = F.coalesce(F.col(m), F.lit(0.0))
+        low, high = F.min(value).over(every), F.max(value).over(every)
+        at = (value - low) / F.nullif(high - low, F.lit(0.0))
         return F.coalesce(at if m in BENEFICIAL else 1.0 - at, F.lit(1.0))
 
-    scored = means.withColumns({f"s_{m}": part(m) for m in METRICS})
-    score = six(sum((F.col(f"s_{m}") for m in METRICS[1:]), F.col(f"s_{METRICS[0]}")) / float(len(METRICS)))
-    return scored.select("model_name", "n", *(F.col(m).alias(f"mean_{m}") for m in METRICS), score.alias("benchmark_score"))
+    scored = means.withColumns({f"s_{m}": part(m) for m in metrics})
+    score = six(sum((F.col(f"s_{m}") for m in metrics[1:]), F.col(f"s_{metrics[0]}")) / float(len(metrics)))
+    return scored.select("model_name", "n", *(F.col(m).alias(f"mean_{m}") for m in metrics), score.alias("benchmark_score"))
 
 
 @relation
 def e5_leaderboards(r: Frames) -> DataFrame:
-    """Places by the score and by each metric, the best first."""
-    boards = F.array(F.struct(F.lit("benchmark_score").alias("board"), F.col("benchmark_score").alias("value"), F.col("benchmark_score").alias("order")), *(F.struct(F.lit(m).alias("board"), F.col(f"mean_{m}").alias("value"), (F.col(f"mean_{m}") * (1 if m in BENEFICIAL else -1)).alias("order")) for m in METRICS))
+    """Places by the score and on each of seven boards, the best first."""
+    rows = {"benchmark_score": ("benchmark_score", 1), **{board: (f"mean_{m}", 1 if m in BENEFICIAL else -1) for board, m in BOARDS.items()}}
+    boards = F.array(*(F.struct(F.lit(board).alias("board"), F.col(c).alias("value"), (F.col(c) * sign).alias("order")) for board, (c, sign) in rows.items()))
     long = r.e5_model_benchmark.select("model_name", F.inline(boards))
     return long.select("board", "model_name", "value", F.row_number().over(W.partitionBy("board").orderBy(F.desc("order"), "model_name")).alias("place"))
 
 
+@relation
+def e5_summary(r: Frames) -> DataFrame:
+    """The leader of each kind; the best model is that of the highest score (of the greater robustness on ties)."""
+    first = lambda *order: F.min(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(order)), "model_name"))["model_name"]
+    most = lambda m: first(-F.col(f"mean_{m}"))
+    least = lambda m: first(F.col(f"mean_{m}"))
+    return r.e5_model_benchmark.agg(
+        F.count("*").alias("total_models"), first(-F.col("benchmark_score"), -F.col("mean_robustness")).alias("best_robustness_model"), least("instability").alias("most_stable_model"), least("risk").alias("lowest_risk_model"),
+        most("attention_stability").alias("best_attention_stability_model"), most("robustness").alias("strongest_perturbation_resilience"), most("consensus_reliability").alias("reliability_leader"))
+
+
 @relation
 def e6_perturbation_benchmark(r: Frames) -> DataFrame:
-    """Means of each type against the baseline types, or all records where there is none."""
-    by = r.records.groupBy("perturbation_type").agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in METRICS))
+    """Means of each type against the baseline types, or all records where there is none, and the places of the types."""
+    rows = known(r, DELTAS)
+    by = rows.groupBy("perturbation_type").agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in DELTAS))
     base = F.lower("perturbation_type").isin(*BASELINES)
     some = F.count_if(base) > 0
-    baseline = r.records.agg(*(F.when(some, F.avg(F.when(base, F.col(m)))).otherwise(F.avg(m)).alias(f"base_{m}") for m in METRICS))
-    deltas = by.crossJoin(F.broadcast(baseline)).withColumns({f"delta_{m}": six(F.col(m) - F.col(f"base_{m}")) for m in METRICS})
-    pressure = (F.col("delta_instability") + F.col("delta_uncertainty")) / 2.0
-    return deltas.select("perturbation_type", "n", *(f"delta_{m}" for m in METRICS), (-F.col("delta_robustness")).alias("degradation_impact"), six(pressure).alias("collapse_pressure"))
+    baseline = rows.agg(*(F.when(some, F.avg(F.when(base, F.col(m)))).otherwise(F.avg(m)).alias(f"base_{m}") for m in DELTAS))
+    deltas = by.crossJoin(F.broadcast(baseline)).withColumns({f"delta_{m}": six(F.col(m) - F.col(f"base_{m}")) for m in DELTAS})
+    delta = lambda m: F.coalesce(F.col(f"delta_{m}"), F.lit(0.0))
+    pressure = six((delta("disagreement_rate") + delta("uncertainty") + delta("attention_drift")) / 3.0)
+    out = deltas.select("perturbation_type", "n", *(F.col(f"delta_{m}") for m in DELTAS), (-delta("robustness")).alias("degradation_impact"), pressure.alias("collapse_pressure"))
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("collapse_pressure"), F.desc("degradation_impact"), "perturbation_type")))
+
+
+@relation
+def e6_summary(r: Frames) -> DataFrame:
+    rows = r.e6_perturbation_benchmark
+    most = lambda c: F.min(F.struct((-F.col(c)).alias("v"), "perturbation_type"))["perturbation_type"]
+    mean = lambda c, name: six(F.avg(F.coalesce(F.col(c), F.lit(0.0)))).alias(name)
+    return rows.agg(
+        F.count("*").alias("total_perturbations"), F.min_by("perturbation_type", "place").alias("most_disruptive"), most("delta_uncertainty").alias("most_uncertain"), most("degradation_impact").alias("most_fragile"),
+        mean("degradation_impact", "mean_degradation_impact"), mean("delta_disagreement_rate", "mean_disagreement_escalation"), mean("delta_uncertainty", "mean_uncertainty_escalation"), mean("delta_attention_drift", "mean_attention_drift_impact"))
 
 
 @relation
@@ -206,6 +241,19 @@ def e10_stage_usage(r: Frames) -> DataFrame:
     return r.runs.groupBy("stage").agg(F.count("*").alias("runs"), F.count_distinct("experiment").alias("experiments"))
 
 
+@relation
+def e10_registry(r: Frames) -> DataFrame:
+    """How many registered experiments use each stage and each model."""
+    named = lambda kind, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
+    uses = r.registry.select(F.inline(F.concat(named("stage", F.col("enabled_stages")), named("model", F.col("models")))))
+    return uses.groupBy("kind", "name").agg(F.count("*").alias("experiments"))
+
+
+@relation
+def e10_totals(r: Frames) -> DataFrame:
+    return r.registry.agg(F.count("*").alias("total_experiments"), F.count_distinct("experiment_id").alias("experiment_ids"))
+
+
 @relation
 def e10_execution(r: Frames) -> DataFrame:
     status = F.col("status")
@@ -220,8 +268,22 @@ def e11_class_counts(r: Frames) -> DataFrame:
 
 @relation
 def e11_readiness(r: Frames) -> DataFrame:
+    """Balance of the classes, coverage, sufficiency, their mean in percent, and what to mend (names joined by |)."""
     n = F.col("n")
-    return r.e11_class_counts.agg(F.count("*").alias("classes"), six(over(F.min(n).cast("double"), F.max(n).cast("double"))).alias("balance"), six(F.avg("sufficiency")).alias("mean_sufficiency"), F.count_if(n < ENOUGH).alias("small_classes"), (over(F.min(n).cast("double"), F.max(n).cast("double")) < 0.5).alias("unbalanced"))
+    classes = r.e11_class_counts.filter("true_label IS NOT NULL").agg(
+        F.count("*").alias("classes"), F.sum("n").alias("rows"), F.coalesce(over(F.min(n).cast("double"), F.max(n).cast("double")), F.lit(0.0)).alias("balance"), six(F.avg("sufficiency")).alias("mean_sufficiency"), F.count_if(n < ENOUGH).alias("small_classes"))
+    graded = rank("severity_level", BENCHMARK_LADDER) < 99
+    clean = F.col("severity_level").isin("clean", "none", "original")
+    covered = r.log.agg(F.count_distinct(F.when(~clean, F.col("perturbation_type"))).alias("profiles"), F.count_distinct(F.when(graded, F.col("severity_level"))).alias("levels"))
+    calibrated = r.c11_frame.agg(F.count("*").alias("calibrated"))
+    ratio = lambda a, b: F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1))
+    rows = classes.crossJoin(covered).crossJoin(calibrated).select(
+        "*", F.when(F.col("classes") > 0, 1.0).otherwise(0.0).alias("validation_coverage"), six(ratio("profiles", "levels")).alias("perturbation_coverage"),
+        six(F.least(F.coalesce("rows", F.lit(0)) / float(ENOUGH), F.lit(1.0))).alias("sample_sufficiency"), six(F.least(ratio("calibrated", "classes"), F.lit(1.0))).alias("calibration_sufficiency"))
+    parts = ("balance", "validation_coverage", "perturbation_coverage", "sample_sufficiency", "calibration_sufficiency")
+    score = six(100.0 * sum((F.col(c) for c in parts[1:]), F.col(parts[0])) / float(len(parts)))
+    warnings = F.array(F.when((F.col("balance") < 0.5) & (F.col("classes") > 0), "class_balance"), F.when(F.col("perturbation_coverage") < 1.0, "perturbation_coverage"), F.when(F.col("sample_sufficiency") < 0.6, "sample_sufficiency"), F.when(F.col("calibration_sufficiency") < 0.5, "calibration_sufficiency"))
+    return rows.select("classes", six("balance").alias("balance"), "mean_sufficiency", "small_classes", (F.col("balance") < 0.5).alias("unbalanced"), *parts[1:], F.when((F.col("classes") > 0), score).otherwise(0.0).alias("readiness_score"), F.array_join(F.array_compact(warnings), "|").alias("warnings"))
 
 
 @relation

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clip, share, six
-from plumbline.functions.labels import STABILISER, TRUST, label
+from plumbline.functions.labels import STABILISER, TRUST, is_clean, label
 from plumbline.operators.frames import Frames, relation
 
 # Weights of the reliability's parts, levels of trust from the lowest on.
@@ -58,10 +58,15 @@ def d2_reliability_summary(r: Frames) -> DataFrame:
 
 @relation
 def d3_breakdown(r: Frames) -> DataFrame:
-    """Samples whose consensus breaks: where, after how many steps, how fast; an instability that is not known is 0."""
-    broken = r.ladder_sums.filter("first_break IS NOT NULL").join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
+    """Samples whose consensus breaks: where, by what, after how many steps, how fast; an instability that is not known is 0. The trigger is the
+    first type by name on which models differ at that severity, clean for a break without perturbation, unknown if they differ on none alone."""
+    broken = r.ladder_sums.filter("first_break IS NOT NULL")
+    split = r.observations.filter("n_classes > 1").select("sample_id", F.col("severity_level").alias("_level"), "perturbation_type")
+    at = split.join(broken.select("sample_id", F.col("first_break.severity_level").alias("level")), "sample_id").filter("_level = level")
+    triggers = at.groupBy("sample_id").agg(F.min("perturbation_type").alias("trigger"))
+    broken = broken.join(triggers, "sample_id", "left").join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
     return broken.select(
-        "sample_id", F.lit("unknown").alias("collapse_trigger"), F.col("first_break.severity_level").alias("collapse_severity"), F.col("steps_before").alias("consensus_duration"), "total_steps",
+        "sample_id", F.when(is_clean("first_break.severity_level"), "clean").otherwise(F.coalesce("trigger", F.lit("unknown"))).alias("collapse_trigger"), F.col("first_break.severity_level").alias("collapse_severity"), F.col("steps_before").alias("consensus_duration"), "total_steps",
         six(1.0 / (F.col("steps_before") + 1)).alias("escalation_speed"), F.coalesce("instability_score", F.lit(0.0)).alias("instability_score"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import binned, let, over, share, six, total_of
+from plumbline.functions.labels import CALIBRATION_ERROR, is_clean, label
 from plumbline.functions.quantiles import medians, with_median
 from plumbline.operators.frames import Frames, relation
 
@@ -135,7 +136,7 @@ def c7_bins(r: Frames) -> DataFrame:
 
 @relation
 def c7_ece(r: Frames) -> DataFrame:
-    return errors_of(bins_of(r.predictions, 15, "right")).select("model_name", six("ece").alias("ece"), six("mce").alias("mce"))
+    return errors_of(bins_of(r.predictions, 15, "right")).select("model_name", six("ece").alias("ece"), six("mce").alias("mce"), label(F.col("ece"), CALIBRATION_ERROR).alias("interpretation"))
 
 
 @relation
@@ -171,19 +172,75 @@ def c10_calibration_summary(r: Frames) -> DataFrame:
     return joined.select("model_name", six(accuracy).alias("accuracy"), six(mean).alias("mean_confidence"), six(ece).alias("ece"), six("after").alias("ece_after"), six(ece - F.col("after")).alias("improvement"), F.array_join(F.array_compact(flags), "|").alias("flags"))
 
 
+def with_correctness(df: DataFrame, original: DataFrame | None = None, prediction: str = "predicted_class") -> DataFrame:
+    """Adds correct (boolean) by the first rule that the columns allow: correct itself; not prediction_changed; true_label equal to the
+    prediction; the prediction equal to the model's last original one. Raises where none applies."""
+    if "correct" in df.columns:
+        return df.withColumn("correct", F.col("correct").cast("boolean"))
+    if "prediction_changed" in df.columns:
+        return df.withColumn("correct", ~F.col("prediction_changed").cast("boolean"))
+    if "true_label" in df.columns:
+        return df.withColumn("correct", F.coalesce(F.col("true_label") == F.col(prediction), F.lit(False)))
+    if original is None and {"severity_level", "seq"} <= set(df.columns):
+        original = df.filter(is_clean()).groupBy("model_name").agg(F.max_by(prediction, "seq").alias("own"))
+    if original is None:
+        raise ValueError("nothing tells which predictions are correct")
+    joined = df.join(original.select(F.col("model_name").alias("_model"), "own"), F.col("model_name") == F.col("_model"), "left")
+    return joined.withColumn("correct", F.coalesce(F.col(prediction) == F.col("own"), F.lit(False))).drop("_model", "own")
+
+
+@relation
+def p12_correctness(r: Frames) -> DataFrame:
+    """How many rows each rule calls correct."""
+    parts = {"true_label": r.log, "prediction_changed": r.j2_against_clean, "original": r.log.drop("true_label")}
+    made = [with_correctness(df).groupBy("model_name").agg(F.count("*").alias("n"), F.count_if("correct").alias("correct")).withColumn("rule", F.lit(rule)) for rule, df in parts.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def judged(r: Frames, proxy: bool) -> DataFrame:
+    """(model_name, confidence, correct, mode): against true labels where a model has any, else against its first original prediction."""
+    first = r.log.filter(is_clean()).groupBy("model_name").agg(F.min_by("predicted_class", "seq").alias("own"))
+    held = r.log.groupBy("model_name").agg(F.min_by("predicted_class", "seq").alias("any"), (F.lit(not proxy) & (F.count("true_label") > 0)).alias("labelled")) if "true_label" in r.log.columns else r.log.groupBy("model_name").agg(F.min_by("predicted_class", "seq").alias("any"), F.lit(False).alias("labelled"))
+    about = held.join(first, "model_name", "left").select("model_name", "labelled", F.coalesce("own", "any").alias("own"))
+    truth = F.col("true_label") if "true_label" in r.log.columns else F.lit(None).cast("string")
+    right = F.coalesce(F.when(F.col("labelled"), truth == F.col("predicted_class")).otherwise(F.col("own") == F.col("predicted_class")), F.lit(False))
+    return r.log.join(F.broadcast(about), "model_name").select("model_name", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), right.alias("correct"), F.when(F.col("labelled"), "true_label").otherwise("proxy").alias("mode"))
+
+
+def calibration_bins(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("model_name", binned(F.col("confidence"), 10, "right").alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"), share(F.col("correct")).alias("accuracy"))
+
+
+def calibration_frame(rows: DataFrame) -> DataFrame:
+    by = rows.groupBy("model_name").agg(F.count("*").alias("n"), six(share(F.col("correct"))).alias("accuracy"), six(F.avg("confidence")).alias("mean_confidence"), six(F.stddev_pop("confidence")).alias("std_confidence"), F.first("mode").alias("calibration_mode"))
+    return by.join(errors_of(calibration_bins(rows)).select("model_name", six("ece").alias("ece")), "model_name")
+
+
 @relation
 def c11_frame(r: Frames) -> DataFrame:
-    """By model: rows, accuracy and confidence of the log, and the error of ten bins closed on the right."""
-    right = F.col("predicted_class") == F.col("true_label")
-    confidence = F.coalesce("confidence", F.lit(0.0))
-    bins = r.log.groupBy("model_name", binned(confidence, 10, "right").alias("bin")).agg(F.count("*").alias("n"), F.avg(confidence).alias("mean_confidence"), share(right).alias("accuracy"))
-    by = r.log.groupBy("model_name").agg(F.count("*").alias("n"), six(share(right)).alias("accuracy"), six(F.avg(confidence)).alias("mean_confidence"), six(F.stddev_pop(confidence)).alias("std_confidence"))
-    return by.join(errors_of(bins).select("model_name", six("ece").alias("ece")), "model_name")
+    """By model: rows, accuracy and confidence of the log, and the error of ten bins closed on the right; a row outside the bins counts in the total."""
+    return calibration_frame(judged(r, False))
+
+
+@relation
+def c11_proxy(r: Frames) -> DataFrame:
+    """The same without true labels."""
+    return calibration_frame(judged(r, True))
+
+
+@relation
+def c11_bins(r: Frames) -> DataFrame:
+    """The bins of each model, from 1."""
+    bins = calibration_bins(judged(r, False)).filter("bin IS NOT NULL")
+    return bins.select("model_name", (F.col("bin") + 1).alias("bin"), six("mean_confidence").alias("bin_confidence"), six("accuracy").alias("bin_accuracy"), F.col("n").alias("bin_count"))
 
 
 @relation
 def c11_summary(r: Frames) -> DataFrame:
-    return r.c11_frame.agg(F.count("*").alias("models"), six(F.avg("ece")).alias("mean_ece"), F.min_by("model_name", "ece").alias("best_calibrated"), F.max_by("model_name", "ece").alias("worst_calibrated"), six(F.avg("mean_confidence")).alias("mean_confidence"))
+    mode = F.col("calibration_mode")
+    return r.c11_frame.agg(
+        F.count("*").alias("models"), six(F.avg("ece")).alias("mean_ece"), F.max("ece").alias("max_ece"), six(F.avg("accuracy")).alias("mean_consistency"), F.count_if(mode == "true_label").alias("by_true_label"), F.count_if(mode == "proxy").alias("by_proxy"),
+        F.min_by("model_name", "ece").alias("best_calibrated"), F.max_by("model_name", "ece").alias("worst_calibrated"), six(F.avg("mean_confidence")).alias("mean_confidence"))
 
 
 @relation

@@ -47,7 +47,26 @@ def r2_confidence(r: Frames) -> DataFrame:
 
 @relation
 def r3_consensus(r: Frames) -> DataFrame:
-    return r.d1_reliability.groupBy("sample_id").agg((1.0 - F.avg("reliability")).alias("consensus"))
+    """From reliabilities; where those are given as a relation that has only trust levels, from these."""
+    held = r.d1_reliability
+    if "reliability" not in held.columns:
+        return risk_of_trust(held)
+    return held.groupBy("sample_id").agg((1.0 - F.avg("reliability")).alias("consensus"))
+
+
+# The consensus risk of a trust level, for samples that have a level but no reliability.
+TRUST_RISK = {"very_high": 0.10, "high": 0.25, "moderate": 0.50, "low": 0.75, "critical": 0.95}
+
+
+def risk_of_trust(trust: DataFrame, column: str = "trust_level") -> DataFrame:
+    """(sample_id, consensus) from trust levels alone; other names count as moderate."""
+    known = F.create_map(*(F.lit(x) for pair in TRUST_RISK.items() for x in pair))
+    return trust.groupBy("sample_id").agg(F.avg(F.coalesce(F.try_element_at(known, F.lower(column)), F.lit(0.50))).alias("consensus"))
+
+
+@relation
+def r3_from_labels(r: Frames) -> DataFrame:
+    return risk_of_trust(r.d10_trust)
 
 
 def unrest(r: Frames) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clip, let, nudged, six, total_of
 from plumbline.functions.labels import RISK, SHAPE, UNCERTAINTY_LADDER, is_clean, label, rank
+from plumbline.functions.quantiles import medians, with_median
 from plumbline.operators.perturbation import placed, trend
 from plumbline.operators.frames import Frames, relation
 
@@ -54,20 +55,31 @@ def p6_filled(r: Frames) -> DataFrame:
 def entropies(r: Frames) -> DataFrame:
     """Metrics of each row's vector, rounded to six digits before anything is averaged."""
     made = r.vectors.select("*", normalised(F.col("probabilities"), F.col("confidence")).alias("v"))
-    p, n = F.col("v.p"), F.size("v.p")
-    safe = lambda x: F.least(F.lit(1.0), F.greatest(x, F.lit(1e-12)))
-    entropy = total_of(p, lambda x: -safe(x) * F.ln(safe(x)))
-    variance = let(total_of(p) / n, lambda mean: total_of(p, lambda x: (x - mean) * (x - mean))) / n
+    rows = made.select("*", F.col("v.status").alias("status"), F.size("v.p").alias("size"), sums_of(F.col("v.p")).alias("m"))
+    n, top, entropy = F.col("size"), F.col("m.top"), F.col("m.entropy")
+    mean = F.col("m.total") / n
+    variance = F.greatest(F.lit(0.0), F.col("m.squares") / n - mean * mean)
     score = F.when(n > 1, clip(entropy / F.ln(n))).otherwise(0.0)
-    top = F.array_max(p)
-    second = F.when(n > 1, F.element_at(F.sort_array(p, asc=False), 2)).otherwise(0.0)
-    return made.select(
-        "sample_id", "model_name", "perturbation_type", "severity_level", "seq", "confidence", F.col("v.status").alias("status"), six(entropy).alias("entropy"), six(score).alias("uncertainty_score"), six(top).alias("peak"),
-        six(variance).alias("variance"), six(F.sqrt(variance)).alias("std"), six(top - F.array_min(p)).alias("spread"), n.alias("size"), six(total_of(p)).alias("total"),
-        (F.col("v.status") == "confidence_proxy").alias("proxy"), six(1.0 - top).alias("flatness"), six(top - second).alias("top2_gap"), label(top, SHAPE).alias("shape"),
+    return rows.select(
+        "sample_id", "model_name", "perturbation_type", "severity_level", "seq", "confidence", "status", six(entropy).alias("entropy"), six(score).alias("uncertainty_score"), six(top).alias("peak"),
+        six(variance).alias("variance"), six(F.sqrt(variance)).alias("std"), six(top - F.col("m.least")).alias("spread"), "size", six("m.total").alias("total"),
+        (F.col("status") == "confidence_proxy").alias("proxy"), six(1.0 - top).alias("flatness"), six(top - F.col("m.second")).alias("top2_gap"), label(top, SHAPE).alias("shape"),
     )
 
 
+def sums_of(p: Column) -> Column:
+    """total, squares, entropy, top, second and least of a vector, in one pass over it."""
+    zero = F.struct(*(F.lit(x).alias(n) for n, x in (("total", 0.0), ("squares", 0.0), ("entropy", 0.0), ("top", 0.0), ("second", 0.0), ("least", float("inf")))))
+
+    def add(s: Column, x: Column) -> Column:
+        safe = F.least(F.lit(1.0), F.greatest(x, F.lit(1e-12)))
+        return F.struct(
+            (s["total"] + x).alias("total"), (s["squares"] + x * x).alias("squares"), (s["entropy"] - safe * F.ln(safe)).alias("entropy"), F.greatest(s["top"], x).alias("top"),
+            F.greatest(s["second"], F.least(s["top"], x)).alias("second"), F.least(s["least"], x).alias("least"))
+
+    return F.aggregate(p, zero, add)
+
+
 @relation
 def p5_status(r: Frames) -> DataFrame:
     return r.entropies.groupBy("status").agg(F.count("*").alias("n"), six(F.avg("total")).alias("mean_total"), F.max("size").alias("most_classes"))
@@ -172,6 +184,17 @@ def u8_levels(r: Frames) -> DataFrame:
     return r.u2_sample_uncertainty.groupBy(label(F.coalesce("mean_uncertainty", F.lit(0.5)), RISK).alias("uncertainty_level")).agg(F.count("*").alias("samples"))
 
 
+@relation
+def u8_summary(r: Frames) -> DataFrame:
+    """Uncertainty of all observations: statistics, levels, and the five most uncertain samples."""
+    u = F.col(U)
+    least = {name: low for low, name in RISK}
+    level = label(u, RISK)
+    whole = r.entropies.agg(F.count("*").alias("observations"), six(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.min(u).alias("min_uncertainty"), *(F.count_if(level == name).alias(name) for name in least))
+    top = r.u8_top_samples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean_uncertainty")).alias("m"), "sample_id"))), lambda x: x["sample_id"]), "|").alias("most_uncertain"))  # five rows
+    return with_median(whole, medians(r.entropies, [], u), [], "median_uncertainty").crossJoin(top)
+
+
 @relation
 def signals(r: Frames) -> DataFrame:
     """Uncertainty, mean disagreement of pairs and instability of each sample."""
@@ -207,15 +230,29 @@ def u10_relationship(r: Frames) -> DataFrame:
 
 @relation
 def u11_model_profiles(r: Frames) -> DataFrame:
+    """Uncertainty of each model, clean against perturbed (or all, without clean rows), dispersion, collapses, sensitivity and its label."""
     u, clean = F.col(U), is_clean("severity_level", UNCERTAINTY_LADDER)
     by = r.entropies.groupBy("model_name").agg(
-        F.count("*").alias("n"), F.avg(u).alias("mean"), F.max(u).alias("high"), F.min(u).alias("low"), F.stddev_pop(u).alias("std"), F.avg(F.when(clean, u)).alias("clean"), F.avg(F.when(~clean, u)).alias("perturbed"), F.avg("peak").alias("peak"), F.avg("flatness").alias("flat"))
-    falls = r.u5_collapses.groupBy("model_name").agg(F.count("*").alias("collapses"), F.avg("entropy_shift").alias("shift"))
-    delta = F.coalesce(F.col("perturbed") - F.col("clean"), F.lit(0.0))
-    sensitivity = 0.7 * F.greatest(delta, F.lit(0.0)) + 0.3 * (F.col("high") - F.col("low"))
-    return by.join(falls, "model_name", "left").select(
+        F.count("*").alias("n"), F.avg(u).alias("mean"), F.max(u).alias("high"), F.min(u).alias("low"), F.stddev_pop(u).alias("std"), F.avg(F.when(clean, u)).alias("clean"), F.avg(F.when(~clean, u)).alias("perturbed"),
+        F.avg("variance").alias("variance"), F.avg("std").alias("deviation"), F.avg("spread").alias("spread"), F.avg("peak").alias("peak"))
+    falls = r.u5_collapses.groupBy("model_name").agg(F.count("*").alias("collapses"), six(F.avg("entropy_shift")).alias("shift"))
+    joined = by.join(falls, "model_name", "left").withColumns({"delta": F.coalesce(F.col("perturbed") - F.coalesce("clean", "mean"), F.lit(0.0)), "falls": F.coalesce("collapses", F.lit(0))})
+    mean, delta = F.col("mean"), F.col("delta")
+    name = F.when((mean >= 0.80) | (delta >= 0.30) | (F.col("falls") > 0), "highly_sensitive").when((mean >= 0.60) | (delta >= 0.15), "sensitive").when((mean >= 0.35) | (delta >= 0.08), "moderate").when(mean >= 0.15, "stable").otherwise("very_stable")
+    return joined.select(
         "model_name", "n", six("mean").alias("mean_uncertainty"), F.col("high").alias("max_uncertainty"), F.col("low").alias("min_uncertainty"), six("std").alias("std_uncertainty"), six("clean").alias("clean_uncertainty"), six("perturbed").alias("perturbed_uncertainty"),
-        six(delta).alias("uncertainty_delta"), six("peak").alias("mean_concentration"), six("flat").alias("mean_flatness"), F.coalesce("collapses", F.lit(0)).alias("collapses"), six(F.coalesce("shift", F.lit(0.0))).alias("mean_collapse_shift"), six(sensitivity).alias("sensitivity"))
+        six(delta).alias("uncertainty_delta"), six("variance").alias("mean_variance"), six("deviation").alias("mean_std"), six("spread").alias("mean_spread"), six("peak").alias("mean_concentration"), F.col("falls").alias("collapses"), F.coalesce("shift", F.lit(0.0)).alias("mean_collapse_shift"),
+        six(clip(0.7 * F.greatest(delta, F.lit(0.0)) + 0.3 * F.col("spread"))).alias("sensitivity"), name.alias("stability_label"))
+
+
+@relation
+def u11_summary(r: Frames) -> DataFrame:
+    """The most and the least certain model, the one that loses most under perturbation, and those that are sensitive."""
+    mean, delta = F.col("mean_uncertainty"), F.col("uncertainty_delta")
+    first = lambda a, b: F.min(F.struct(a.alias("a"), b.alias("b"), "model_name"))["model_name"]
+    least = F.max(F.struct((-mean).alias("a"), (-delta).alias("b"), "model_name"))["model_name"]
+    sensitive = F.sort_array(F.collect_list(F.when(F.col("stability_label").isin("sensitive", "highly_sensitive"), F.col("model_name"))))  # models are a catalogue
+    return r.u11_model_profiles.agg(F.count("*").alias("total_models"), six(F.avg(mean)).alias("mean_uncertainty"), least.alias("most_stable_model"), first(-mean, -delta).alias("highest_uncertainty_contributor"), first(-delta, -mean).alias("fastest_deteriorating_model"), F.array_join(sensitive, "|").alias("sensitive_models"))
 
 
 @relation

@@ -60,7 +60,9 @@ def record_columns() -> list[Column]:
     price = F.round("o_totalprice").cast("long")
     return [
         F.col("o_orderpriority").alias("model_name"), types.alias("perturbation_type"), severities.alias("severity_level"), (F.col("o_orderkey") % 5).alias("seed"),
-        (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty")]
+        (price % 1000 / 1000.0).alias("robustness"), (F.col("o_orderkey") % 97 / 97.0).alias("instability"), (price % 89 / 89.0).alias("uncertainty"),
+        (price % 71 / 71.0).alias("attention_stability"), (F.col("o_custkey") % 83 / 83.0).alias("consensus_reliability"), ((F.col("o_orderkey") + F.col("o_custkey")) % 61 / 61.0).alias("risk"),
+        (price % 53 / 53.0).alias("attention_drift"), (F.col("o_custkey") % 47 / 47.0).alias("disagreement_rate")]
 
 
 def records_of(orders: DataFrame) -> DataFrame:
@@ -88,6 +90,12 @@ def images_of(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(F.col("vec_id").cast("string").alias("sample_id"), F.concat(F.lit("c"), (F.col("label") % 4).cast("string")).alias("true_label"), F.lit(8).alias("height"), F.lit(8).alias("width"), data.alias("pixels"))
 
 
+def registry_of(events: DataFrame) -> DataFrame:
+    """Registered experiments: some of a user's events, their types are the stages, four models are used in turn."""
+    model = F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string"))
+    return events.groupBy(F.concat(F.lit("exp"), F.col("user_id").cast("string"), F.lit("_"), (F.col("event_id") % 37).cast("string")).alias("experiment_id")).agg(F.sort_array(F.collect_set("event_type")).alias("enabled_stages"), F.sort_array(F.collect_set(model)).alias("models"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> Frames:
     """All derived inputs; none is read before a relation asks for it."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -95,5 +103,6 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     return Frames(
         log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), images=images_of(read("embeddings")), records=records_of(read("orders")), summaries=summaries_of(read("orders")),
         plates=read("customer").select(F.col("c_mktsegment").alias("class_name"), F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string")).alias("plate_name"), F.col("c_custkey").alias("image_id")),
+        registry=registry_of(read("events")),
         runs=read("events").select(F.col("user_id").alias("experiment"), F.col("event_type").alias("stage"), status.alias("status")),
     )

@@ -437,6 +437,11 @@ SELECT sample_id, mean_uncertainty FROM u2_sample_uncertainty ORDER BY mean_unce
 -- name: u8_levels
 SELECT CASE WHEN mean_uncertainty >= 0.8 THEN 'critical' WHEN mean_uncertainty >= 0.6 THEN 'high' WHEN mean_uncertainty >= 0.35 THEN 'moderate' WHEN mean_uncertainty >= 0.15 THEN 'low' ELSE 'minimal' END AS uncertainty_level, count(*) AS samples FROM u2_sample_uncertainty GROUP BY 1
 
+-- name: u8_summary
+SELECT count(*) AS observations, round(avg(u), 6) AS mean_uncertainty, max(u) AS max_uncertainty, min(u) AS min_uncertainty, round(median(u), 6) AS median_uncertainty,
+  count(*) FILTER (WHERE u >= 0.8) AS critical, count(*) FILTER (WHERE u >= 0.6 AND u < 0.8) AS high, count(*) FILTER (WHERE u >= 0.35 AND u < 0.6) AS moderate, count(*) FILTER (WHERE u >= 0.15 AND u < 0.35) AS low, count(*) FILTER (WHERE u < 0.15) AS minimal,
+  (SELECT string_agg(sample_id, '|' ORDER BY mean_uncertainty DESC, sample_id) FROM u8_top_samples) AS most_uncertain FROM measures
+
 -- name: three_signals
 SELECT s.sample_id, s.mean_uncertainty AS a, (SELECT avg(disagreement_score) FROM p9_scored_pairs p WHERE p.sample_id = s.sample_id) AS b, i.instability_score AS c FROM u2_sample_uncertainty s LEFT JOIN b5_sample_instability i USING (sample_id)
 
@@ -449,11 +454,18 @@ SELECT round(coalesce(corr(a, b), 0), 6) AS uncertainty_vs_disagreement, round(c
   (SELECT count(*) FROM u9_conflicts) AS conflicts, (SELECT round(coalesce(avg(conflict_score), 0), 6) FROM u9_conflicts) AS mean_conflict_score FROM three_signals
 
 -- name: u11_model_profiles
-SELECT m.model_name, count(*) AS n, round(avg(u), 6) AS mean_uncertainty, max(u) AS max_uncertainty, min(u) AS min_uncertainty, round(stddev_pop(u), 6) AS std_uncertainty, round(avg(u) FILTER (WHERE clean), 6) AS clean_uncertainty, round(avg(u) FILTER (WHERE NOT clean), 6) AS perturbed_uncertainty,
-  round(coalesce(avg(u) FILTER (WHERE NOT clean) - avg(u) FILTER (WHERE clean), 0), 6) AS uncertainty_delta, round(avg(peak), 6) AS mean_concentration, round(avg(flatness), 6) AS mean_flatness,
-  (SELECT count(*) FROM u5_collapses c WHERE c.model_name = m.model_name) AS collapses, round(coalesce((SELECT avg(entropy_shift) FROM u5_collapses c WHERE c.model_name = m.model_name), 0), 6) AS mean_collapse_shift,
-  round(0.7e0 * greatest(coalesce(avg(u) FILTER (WHERE NOT clean) - avg(u) FILTER (WHERE clean), 0), 0) + 0.3e0 * (max(u) - min(u)), 6) AS sensitivity
-FROM measures m GROUP BY m.model_name
+WITH g AS (SELECT model_name, count(*) AS n, avg(u) AS mean, max(u) AS high, min(u) AS low, stddev_pop(u) AS std, avg(u) FILTER (WHERE clean) AS c, avg(u) FILTER (WHERE NOT clean) AS p, avg(variance) AS v, avg(measures.std) AS s, avg(spread) AS w, avg(peak) AS peak FROM measures GROUP BY model_name),
+f AS (SELECT model_name, count(*) AS collapses, round(avg(entropy_shift), 6) AS shift FROM u5_collapses GROUP BY model_name),
+d AS (SELECT *, coalesce(p - coalesce(c, mean), 0) AS delta FROM g LEFT JOIN f USING (model_name))
+SELECT model_name, n, round(mean, 6) AS mean_uncertainty, high AS max_uncertainty, low AS min_uncertainty, round(std, 6) AS std_uncertainty, round(c, 6) AS clean_uncertainty, round(p, 6) AS perturbed_uncertainty, round(delta, 6) AS uncertainty_delta,
+  round(v, 6) AS mean_variance, round(s, 6) AS mean_std, round(w, 6) AS mean_spread, round(peak, 6) AS mean_concentration, coalesce(collapses, 0) AS collapses, coalesce(shift, 0) AS mean_collapse_shift,
+  round(least(1, greatest(0, 0.7e0 * greatest(delta, 0) + 0.3e0 * w)), 6) AS sensitivity,
+  CASE WHEN mean >= 0.8 OR delta >= 0.3 OR coalesce(collapses, 0) > 0 THEN 'highly_sensitive' WHEN mean >= 0.6 OR delta >= 0.15 THEN 'sensitive' WHEN mean >= 0.35 OR delta >= 0.08 THEN 'moderate' WHEN mean >= 0.15 THEN 'stable' ELSE 'very_stable' END AS stability_label FROM d
+
+-- name: u11_summary
+SELECT count(*) AS total_models, round(avg(mean_uncertainty), 6) AS mean_uncertainty, (SELECT model_name FROM u11_model_profiles ORDER BY mean_uncertainty, uncertainty_delta, model_name DESC LIMIT 1) AS most_stable_model,
+  (SELECT model_name FROM u11_model_profiles ORDER BY mean_uncertainty DESC, uncertainty_delta DESC, model_name LIMIT 1) AS highest_uncertainty_contributor, (SELECT model_name FROM u11_model_profiles ORDER BY uncertainty_delta DESC, mean_uncertainty DESC, model_name LIMIT 1) AS fastest_deteriorating_model,
+  coalesce(string_agg(model_name, '|' ORDER BY model_name) FILTER (WHERE stability_label IN ('sensitive', 'highly_sensitive')), '') AS sensitive_models FROM u11_model_profiles
 
 -- name: u12_trend
 WITH o AS (SELECT list(mean_uncertainty ORDER BY severity_rank, severity_level) AS v, max(mean_uncertainty) AS top FROM u3_severity_curve)
@@ -539,6 +551,9 @@ SELECT count(*) AS pairs, round(avg(similarity), 6) AS mean_similarity, round(av
 SELECT count(*) AS n, round(avg(drift), 6) AS mean_drift, max(drift) AS max_drift, count(*) FILTER (WHERE collapsed) AS collapses, count(*) FILTER (WHERE drift >= 0.65) AS high_drift,
   (SELECT model_name FROM x1_drift GROUP BY model_name ORDER BY round(avg(drift), 6) DESC, model_name LIMIT 1) AS most_sensitive_model_name, (SELECT perturbation_type FROM x1_drift GROUP BY perturbation_type ORDER BY round(avg(drift), 6) DESC, perturbation_type LIMIT 1) AS most_sensitive_perturbation_type FROM x1_drift
 
+-- name: x7_high_drift
+SELECT sample_id, count(*) AS rows, max(drift) AS max_drift FROM x1_drift WHERE drift >= 0.65 GROUP BY sample_id
+
 -- name: x7_relationship
 WITH d AS (SELECT sample_id, avg(drift) AS d FROM x1_drift GROUP BY sample_id)
 SELECT count(*) AS samples, round(coalesce(corr(d, a), 0), 6) AS drift_vs_uncertainty, round(coalesce(corr(d, b), 0), 6) AS drift_vs_disagreement, round(coalesce(corr(d, c), 0), 6) AS drift_vs_instability FROM d LEFT JOIN three_signals USING (sample_id)
@@ -548,7 +563,8 @@ SELECT o_orderpriority AS model_name, CASE o_custkey % 5 WHEN 0 THEN 'clean' WHE
   THEN 'noise' ELSE 'hue' END AS perturbation_type,
   CASE o_orderkey % 3 WHEN 0 THEN 'mild' WHEN 1 THEN 'moderate' ELSE 'severe' END AS severity_level, o_orderkey % 5 AS seed,
   (CAST(round(o_totalprice) AS BIGINT) % 1000) / 1000e0 AS robustness, (o_orderkey % 97) / 97e0 AS instability,
-  (CAST(round(o_totalprice) AS BIGINT) % 89) / 89e0 AS uncertainty
+  (CAST(round(o_totalprice) AS BIGINT) % 89) / 89e0 AS uncertainty, (CAST(round(o_totalprice) AS BIGINT) % 71) / 71e0 AS attention_stability,
+  (o_custkey % 83) / 83e0 AS consensus_reliability, ((o_orderkey + o_custkey) % 61) / 61e0 AS risk, (CAST(round(o_totalprice) AS BIGINT) % 53) / 53e0 AS attention_drift, (o_custkey % 47) / 47e0 AS disagreement_rate
 FROM orders
 
 -- name: customer_records
@@ -607,20 +623,35 @@ SELECT *, row_number() OVER (ORDER BY abs(r) DESC, metric_a, metric_b) AS place,
 SELECT model_name, metric, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_pop(x), 6) AS std, min(x) AS min, max(x) AS max FROM long_metrics GROUP BY model_name, metric
 
 -- name: e5_model_benchmark
-WITH m AS (SELECT model_name, count(*) AS n, round(avg(robustness), 6) AS a, round(avg(instability), 6) AS b, round(avg(uncertainty), 6) AS c FROM records GROUP BY model_name),
-l AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(c) AS c0, max(c) AS c1 FROM m)
-SELECT model_name, n, a AS mean_robustness, b AS mean_instability, c AS mean_uncertainty, round((coalesce((a - a0) / nullif(a1 - a0, 0), 1) + coalesce(1 - (b - b0) / nullif(b1 - b0, 0), 1) + coalesce(1 - (c - c0) / nullif(c1 - c0, 0), 1)) / 3, 6) AS benchmark_score FROM m, l
+WITH m AS (SELECT model_name, count(*) AS n, round(avg(robustness), 6) AS robustness, round(avg(attention_stability), 6) AS attention_stability, round(avg(consensus_reliability), 6) AS consensus_reliability, round(avg(risk), 6) AS risk, round(avg(uncertainty), 6) AS uncertainty, round(avg(instability), 6) AS instability, round(avg(attention_drift), 6) AS attention_drift FROM records GROUP BY model_name)
+SELECT model_name, n, robustness AS mean_robustness, attention_stability AS mean_attention_stability, consensus_reliability AS mean_consensus_reliability, risk AS mean_risk, uncertainty AS mean_uncertainty, instability AS mean_instability, attention_drift AS mean_attention_drift,
+  round((coalesce((robustness - min(robustness) OVER ()) / nullif(max(robustness) OVER () - min(robustness) OVER (), 0), 1) + coalesce((attention_stability - min(attention_stability) OVER ()) / nullif(max(attention_stability) OVER () - min(attention_stability) OVER (), 0), 1) + coalesce((consensus_reliability - min(consensus_reliability) OVER ()) / nullif(max(consensus_reliability) OVER () - min(consensus_reliability) OVER (), 0), 1) + coalesce(1 - (risk - min(risk) OVER ()) / nullif(max(risk) OVER () - min(risk) OVER (), 0), 1) + coalesce(1 - (uncertainty - min(uncertainty) OVER ()) / nullif(max(uncertainty) OVER () - min(uncertainty) OVER (), 0), 1) + coalesce(1 - (instability - min(instability) OVER ()) / nullif(max(instability) OVER () - min(instability) OVER (), 0), 1) + coalesce(1 - (attention_drift - min(attention_drift) OVER ()) / nullif(max(attention_drift) OVER () - min(attention_drift) OVER (), 0), 1)) / 7, 6) AS benchmark_score FROM m
 
 -- name: e5_leaderboards
 SELECT 'benchmark_score' AS board, model_name, benchmark_score AS value, row_number() OVER (ORDER BY benchmark_score DESC, model_name) AS place FROM e5_model_benchmark
 UNION ALL SELECT 'robustness', model_name, mean_robustness, row_number() OVER (ORDER BY mean_robustness DESC, model_name) FROM e5_model_benchmark
-UNION ALL SELECT 'instability', model_name, mean_instability, row_number() OVER (ORDER BY mean_instability, model_name) FROM e5_model_benchmark
+UNION ALL SELECT 'stability', model_name, mean_attention_stability, row_number() OVER (ORDER BY mean_attention_stability DESC, model_name) FROM e5_model_benchmark
+UNION ALL SELECT 'reliability', model_name, mean_consensus_reliability, row_number() OVER (ORDER BY mean_consensus_reliability DESC, model_name) FROM e5_model_benchmark
+UNION ALL SELECT 'risk', model_name, mean_risk, row_number() OVER (ORDER BY mean_risk, model_name) FROM e5_model_benchmark
 UNION ALL SELECT 'uncertainty', model_name, mean_uncertainty, row_number() OVER (ORDER BY mean_uncertainty, model_name) FROM e5_model_benchmark
+UNION ALL SELECT 'instability', model_name, mean_instability, row_number() OVER (ORDER BY mean_instability, model_name) FROM e5_model_benchmark
+UNION ALL SELECT 'attention_drift', model_name, mean_attention_drift, row_number() OVER (ORDER BY mean_attention_drift, model_name) FROM e5_model_benchmark
+
+-- name: e5_summary
+SELECT count(*) AS total_models, (SELECT model_name FROM e5_model_benchmark ORDER BY benchmark_score DESC, mean_robustness DESC, model_name LIMIT 1) AS best_robustness_model, (SELECT model_name FROM e5_model_benchmark ORDER BY mean_instability, model_name LIMIT 1) AS most_stable_model, (SELECT model_name FROM e5_model_benchmark ORDER BY mean_risk, model_name LIMIT 1) AS lowest_risk_model,
+  (SELECT model_name FROM e5_model_benchmark ORDER BY mean_attention_stability DESC, model_name LIMIT 1) AS best_attention_stability_model, (SELECT model_name FROM e5_model_benchmark ORDER BY mean_robustness DESC, model_name LIMIT 1) AS strongest_perturbation_resilience, (SELECT model_name FROM e5_model_benchmark ORDER BY mean_consensus_reliability DESC, model_name LIMIT 1) AS reliability_leader
+FROM e5_model_benchmark
 
 -- name: e6_perturbation_benchmark
-WITH b AS (SELECT avg(robustness) AS r, avg(instability) AS i, avg(uncertainty) AS u FROM records WHERE lower(perturbation_type) IN ('clean', 'original', 'baseline')),
-d AS (SELECT perturbation_type, count(*) AS n, round(avg(robustness) - (SELECT r FROM b), 6) AS dr, round(avg(instability) - (SELECT i FROM b), 6) AS di, round(avg(uncertainty) - (SELECT u FROM b), 6) AS du FROM records GROUP BY perturbation_type)
-SELECT perturbation_type, n, dr AS delta_robustness, di AS delta_instability, du AS delta_uncertainty, -dr AS degradation_impact, round((di + du) / 2, 6) AS collapse_pressure FROM d
+WITH b AS (SELECT avg(robustness) AS robustness, avg(instability) AS instability, avg(uncertainty) AS uncertainty, avg(attention_drift) AS attention_drift, avg(consensus_reliability) AS consensus_reliability, avg(risk) AS risk, avg(disagreement_rate) AS disagreement_rate FROM records WHERE lower(perturbation_type) IN ('clean', 'original', 'baseline')),
+d AS (SELECT perturbation_type, count(*) AS n, round(avg(robustness) - (SELECT robustness FROM b), 6) AS delta_robustness, round(avg(instability) - (SELECT instability FROM b), 6) AS delta_instability, round(avg(uncertainty) - (SELECT uncertainty FROM b), 6) AS delta_uncertainty, round(avg(attention_drift) - (SELECT attention_drift FROM b), 6) AS delta_attention_drift, round(avg(consensus_reliability) - (SELECT consensus_reliability FROM b), 6) AS delta_consensus_reliability, round(avg(risk) - (SELECT risk FROM b), 6) AS delta_risk, round(avg(disagreement_rate) - (SELECT disagreement_rate FROM b), 6) AS delta_disagreement_rate FROM records GROUP BY perturbation_type),
+p AS (SELECT *, -delta_robustness AS degradation_impact, round((delta_disagreement_rate + delta_uncertainty + delta_attention_drift) / 3, 6) AS collapse_pressure FROM d)
+SELECT *, row_number() OVER (ORDER BY collapse_pressure DESC, degradation_impact DESC, perturbation_type) AS place FROM p
+
+-- name: e6_summary
+SELECT count(*) AS total_perturbations, arg_min(perturbation_type, place) AS most_disruptive, (SELECT perturbation_type FROM e6_perturbation_benchmark ORDER BY delta_uncertainty DESC, perturbation_type LIMIT 1) AS most_uncertain,
+  (SELECT perturbation_type FROM e6_perturbation_benchmark ORDER BY degradation_impact DESC, perturbation_type LIMIT 1) AS most_fragile, round(avg(degradation_impact), 6) AS mean_degradation_impact, round(avg(delta_disagreement_rate), 6) AS mean_disagreement_escalation,
+  round(avg(delta_uncertainty), 6) AS mean_uncertainty_escalation, round(avg(delta_attention_drift), 6) AS mean_attention_drift_impact FROM e6_perturbation_benchmark
 
 -- name: seed_scores
 SELECT model_name, seed, avg(robustness) AS score
@@ -704,6 +735,13 @@ SELECT stage, count(*) AS runs, count(DISTINCT experiment) AS experiments
 FROM runs
 GROUP BY stage
 
+-- name: e10_registry
+SELECT 'stage' AS kind, event_type AS name, count(DISTINCT (user_id, event_id % 37)) AS experiments FROM events GROUP BY event_type
+UNION ALL SELECT 'model', concat('m', event_id % 4), count(DISTINCT (user_id, event_id % 37)) FROM events GROUP BY 2
+
+-- name: e10_totals
+SELECT count(DISTINCT (user_id, event_id % 37)) AS total_experiments, count(DISTINCT (user_id, event_id % 37)) AS experiment_ids FROM events
+
 -- name: e10_execution
 SELECT count(DISTINCT experiment) AS experiments, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, round(avg((status = 'completed')::INT), 6) AS integrity FROM runs
 
@@ -714,7 +752,12 @@ FROM log
 GROUP BY true_label
 
 -- name: e11_readiness
-SELECT count(*) AS classes, round(min(n) / max(n)::DOUBLE, 6) AS balance, round(avg(sufficiency), 6) AS mean_sufficiency, count(*) FILTER (WHERE n < 50) AS small_classes, min(n) / max(n)::DOUBLE < 0.5 AS unbalanced FROM e11_class_counts
+WITH c AS (SELECT count(*) AS classes, sum(n) AS rows_, min(n) / max(n)::DOUBLE AS balance, round(avg(sufficiency), 6) AS mean_sufficiency, count(*) FILTER (WHERE n < 50) AS small_classes FROM e11_class_counts),
+l AS (SELECT count(DISTINCT perturbation_type) FILTER (WHERE severity_level <> 'clean') AS profiles, count(DISTINCT severity_level) FILTER (WHERE severity_level IN ('mild', 'moderate', 'severe')) AS levels, count(DISTINCT model_name) AS models FROM log),
+x AS (SELECT *, 1e0 AS validation_coverage, round(profiles / levels::DOUBLE, 6) AS perturbation_coverage, round(least(rows_ / 50e0, 1), 6) AS sample_sufficiency, round(least(models / classes::DOUBLE, 1), 6) AS calibration_sufficiency FROM c, l)
+SELECT classes, round(balance, 6) AS balance, mean_sufficiency, small_classes, balance < 0.5 AS unbalanced, validation_coverage, perturbation_coverage, sample_sufficiency, calibration_sufficiency,
+  round(100 * (balance + validation_coverage + perturbation_coverage + sample_sufficiency + calibration_sufficiency) / 5, 6) AS readiness_score,
+  concat_ws('|', CASE WHEN balance < 0.5 THEN 'class_balance' END, CASE WHEN perturbation_coverage < 1 THEN 'perturbation_coverage' END, CASE WHEN sample_sufficiency < 0.6 THEN 'sample_sufficiency' END, CASE WHEN calibration_sufficiency < 0.5 THEN 'calibration_sufficiency' END) AS warnings FROM x
 
 -- name: spread_of_models
 SELECT model_name, avg(confidence) AS mean, stddev_pop(confidence) AS std, min(confidence) AS low, max(confidence) AS high, arg_min(confidence, seq) FILTER (WHERE severity_level IN ('clean', 'none', 'original')) AS original
@@ -842,8 +885,9 @@ FROM breaks
 GROUP BY sample_id
 
 -- name: d3_breakdown
-SELECT l.sample_id, 'unknown' AS collapse_trigger, substr(l.first_break, 4) AS collapse_severity, l.steps_before AS consensus_duration, l.total_steps, round(1e0 / (l.steps_before + 1), 6) AS escalation_speed, coalesce(i.instability_score, 0) AS instability_score
-FROM ladder_sizes l LEFT JOIN b5_sample_instability i ON l.sample_id = i.sample_id WHERE l.first_break IS NOT NULL
+WITH t AS (SELECT l.sample_id, min(o.perturbation_type) AS trigger FROM ladder_sizes l JOIN observations o ON o.sample_id = l.sample_id AND o.severity_level = substr(l.first_break, 4) AND o.n_classes > 1 GROUP BY l.sample_id)
+SELECT l.sample_id, CASE WHEN substr(l.first_break, 4) IN ('clean', 'none', 'original') THEN 'clean' ELSE coalesce(t.trigger, 'unknown') END AS collapse_trigger, substr(l.first_break, 4) AS collapse_severity, l.steps_before AS consensus_duration, l.total_steps, round(1e0 / (l.steps_before + 1), 6) AS escalation_speed, coalesce(i.instability_score, 0) AS instability_score
+FROM ladder_sizes l LEFT JOIN t ON t.sample_id = l.sample_id LEFT JOIN b5_sample_instability i ON l.sample_id = i.sample_id WHERE l.first_break IS NOT NULL
 
 -- name: d4_agreement
 SELECT avg(CASE WHEN n_classes = 1 THEN 1e0 ELSE 0e0 END) AS persistence
@@ -1047,7 +1091,8 @@ SELECT model_name, len(list_filter(range(15), lambda i: i / 15e0 < confidence))
 SELECT model_name, bin::INT AS bin, n, round(mean_confidence, 6) AS mean_confidence, round(accuracy, 6) AS accuracy FROM bins15 WHERE bin >= 0
 
 -- name: c7_ece
-SELECT model_name, round(sum(n * abs(accuracy - mean_confidence)) / sum(n), 6) AS ece, round(max(abs(accuracy - mean_confidence)), 6) AS mce FROM bins15 GROUP BY model_name
+WITH e AS (SELECT model_name, sum(n * abs(accuracy - mean_confidence)) / sum(n) AS e, max(abs(accuracy - mean_confidence)) AS m FROM bins15 GROUP BY model_name)
+SELECT model_name, round(e, 6) AS ece, round(m, 6) AS mce, CASE WHEN e < 0.02 THEN 'Well-calibrated' WHEN e < 0.05 THEN 'Acceptable calibration' WHEN e < 0.1 THEN 'Moderate overconfidence — consider temperature scaling' ELSE 'Severe overconfidence — model predictions are unreliable' END AS interpretation FROM e
 
 -- name: c8_overconfidence
 SELECT model_name, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(avg(confidence) FILTER (WHERE predicted = label), 6) AS mean_correct, round(avg(confidence) FILTER (WHERE predicted <> label), 6) AS mean_wrong,
@@ -1071,14 +1116,33 @@ SELECT model_name, round(a, 6) AS accuracy, round(c, 6) AS mean_confidence, roun
   concat_ws('|', CASE WHEN c - a > 0.1e0 THEN 'overconfident' END, CASE WHEN ece > 0.05e0 THEN 'miscalibrated' END, CASE WHEN c > 0.97e0 AND a < 0.95e0 THEN 'saturated' END) AS flags
 FROM e JOIN t USING (model_name)
 
+-- name: exact_bins
+WITH x AS (SELECT model_name, coalesce(confidence, 0) AS c, (predicted_class = true_label)::INT AS hit FROM log)
+SELECT model_name, len(list_filter(range(10), lambda i: i / 10e0 < c)) AS bin, count(*) AS n, avg(c) AS bin_confidence, avg(hit) AS bin_accuracy FROM x WHERE c > 0 AND c <= 1 GROUP BY ALL
+
+-- name: p12_correctness
+SELECT model_name, 'true_label' AS rule, count(*) AS n, count(*) FILTER (WHERE predicted_class = true_label) AS correct FROM log GROUP BY model_name
+UNION ALL SELECT model_name, 'prediction_changed', count(*), count(*) FILTER (WHERE NOT prediction_changed) FROM j2_against_clean GROUP BY model_name
+UNION ALL SELECT model_name, 'original', count(*), count(*) FILTER (WHERE predicted_class = own) FROM log JOIN (SELECT model_name, arg_max(predicted_class, seq) AS own FROM base GROUP BY model_name) o USING (model_name) GROUP BY model_name
+
+-- name: c11_bins
+SELECT model_name, bin::INT AS bin, round(bin_confidence, 6) AS bin_confidence, round(bin_accuracy, 6) AS bin_accuracy, n AS bin_count FROM exact_bins
+
+-- name: c11_proxy
+WITH o AS (SELECT model_name, arg_min(predicted_class, seq) AS own FROM base GROUP BY model_name),
+x AS (SELECT l.model_name, coalesce(confidence, 0) AS c, (predicted_class = own)::INT AS hit FROM log l JOIN o USING (model_name)),
+b AS (SELECT model_name, count(*) AS n, abs(avg(c) - avg(hit)) AS off FROM x WHERE c > 0 AND c <= 1 GROUP BY model_name, len(list_filter(range(10), lambda i: i / 10e0 < c)))
+SELECT model_name, count(*) AS n, round(avg(hit), 6) AS accuracy, round(avg(c), 6) AS mean_confidence, round(stddev_pop(c), 6) AS std_confidence, round((SELECT sum(n * off) FROM b WHERE b.model_name = x.model_name) / count(*), 6) AS ece, 'proxy' AS calibration_mode
+FROM x GROUP BY model_name
+
 -- name: c11_frame
-WITH x AS (SELECT model_name, coalesce(confidence, 0) AS c, (predicted_class = true_label)::INT AS hit FROM log),
-b AS (SELECT model_name, len(list_filter(range(10), lambda i: i / 10e0 < c)) AS bin, count(*) AS n, abs(avg(c) - avg(hit)) AS off FROM x WHERE c > 0 AND c <= 1 GROUP BY ALL)
-SELECT model_name, count(*) AS n, round(avg(hit), 6) AS accuracy, round(avg(c), 6) AS mean_confidence, round(stddev_pop(c), 6) AS std_confidence, round((SELECT sum(n * off) FROM b WHERE b.model_name = x.model_name) / count(*), 6) AS ece
+WITH x AS (SELECT model_name, coalesce(confidence, 0) AS c, (predicted_class = true_label)::INT AS hit FROM log)
+SELECT model_name, count(*) AS n, round(avg(hit), 6) AS accuracy, round(avg(c), 6) AS mean_confidence, round(stddev_pop(c), 6) AS std_confidence, round((SELECT sum(n * abs(bin_confidence - bin_accuracy)) FROM exact_bins b WHERE b.model_name = x.model_name) / count(*), 6) AS ece, 'true_label' AS calibration_mode
 FROM x GROUP BY model_name
 
 -- name: c11_summary
-SELECT count(*) AS models, round(avg(ece), 6) AS mean_ece, arg_min(model_name, ece) AS best_calibrated, arg_max(model_name, ece) AS worst_calibrated, round(avg(mean_confidence), 6) AS mean_confidence FROM c11_frame
+SELECT count(*) AS models, round(avg(ece), 6) AS mean_ece, max(ece) AS max_ece, round(avg(accuracy), 6) AS mean_consistency, count(*) FILTER (WHERE calibration_mode = 'true_label') AS by_true_label, count(*) FILTER (WHERE calibration_mode = 'proxy') AS by_proxy,
+  arg_min(model_name, ece) AS best_calibrated, arg_max(model_name, ece) AS worst_calibrated, round(avg(mean_confidence), 6) AS mean_confidence FROM c11_frame
 
 -- name: names
 SELECT DISTINCT model_name FROM exact
@@ -1189,6 +1253,9 @@ SELECT sample_id, 1e0 - avg(reliability) AS consensus
 FROM d1_reliability
 GROUP BY sample_id
 
+-- name: r3_from_labels
+SELECT sample_id, avg(CASE trust_level WHEN 'very_high' THEN 0.1e0 WHEN 'high' THEN 0.25e0 WHEN 'moderate' THEN 0.5e0 WHEN 'low' THEN 0.75e0 WHEN 'critical' THEN 0.95e0 ELSE 0.5e0 END) AS consensus FROM d10_trust GROUP BY sample_id
+
 -- name: turmoil
 WITH o AS (SELECT sample_id, list(models_agree ORDER BY severity_rank, severity_level) AS states, list(severity_rank ORDER BY severity_rank, severity_level) AS ranks FROM b3_stability GROUP BY sample_id)
 SELECT sample_id, least(1, greatest(0, 0.6e0 * len(list_filter(range(1, len(states)), lambda i: states[i] <> states[i + 1])) / greatest(len(states) - 1, 1)
