@@ -18,6 +18,12 @@ from plumbline.operators.frames import Frames, relation
 SEVERITIES = ("low", "moderate", "high", "critical")
 
 
+def one_value(c: str) -> Column:
+    """Whether all values of a group are the same, null if it has none; by 64-bit hashes, which aggregate without objects."""
+    h = F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    return F.min(h) == F.max(h)
+
+
 @relation
 def rows(r: Frames) -> DataFrame:
     log = r.log.select("sample_id", "model_name", "predicted_class", "confidence", "perturbation_type", "severity_level", "seq")
@@ -26,7 +32,9 @@ def rows(r: Frames) -> DataFrame:
 
 @relation
 def base(r: Frames) -> DataFrame:
-    return r.rows.filter(is_clean())
+    """The clean rows, as they lie: what follows combines them by sample and model before it deals them out."""
+    log = r.log.select("sample_id", "model_name", "predicted_class", "confidence", "perturbation_type", "severity_level", "seq")
+    return log.withColumn("severity_rank", rank("severity_level")).filter(is_clean())
 
 
 @relation
@@ -55,13 +63,25 @@ def agreed(r: Frames) -> DataFrame:
     return r.complete.filter("n_classes = 1").select("sample_id")
 
 
+def pairs_of(held: Column) -> Column:
+    """The pairs (a, b) of the elements of an array, a before b."""
+    after = lambda i: F.slice(held, i + 2, F.size(held))
+    return F.flatten(F.transform(held, lambda x, i: F.transform(after(i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+
+
+@relation
+def both_models(r: Frames) -> DataFrame:
+    """Pairs of models a < b within a sample that both have a class for it: made within the array of a sample's models, without a join."""
+    by = r.deduped.filter("predicted_class IS NOT NULL").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("model_name", "predicted_class", "confidence"))).alias("held"))
+    both = by.select("sample_id", F.explode(pairs_of(F.col("held"))).alias("p"))
+    side = lambda x: [F.col(f"p.{x}.{c}").alias(f"{n}_{x}") for c, n in (("model_name", "model"), ("predicted_class", "class"), ("confidence", "confidence"))]
+    return both.select("sample_id", *side("a"), *side("b"))
+
+
 @relation
 def class_pairs(r: Frames) -> DataFrame:
     """How often two models a < b say which classes on the samples that both have."""
-    one = r.deduped.filter("predicted_class IS NOT NULL")
-    a = one.select("sample_id", F.col("model_name").alias("model_a"), F.col("predicted_class").alias("class_a"))
-    b = one.select("sample_id", F.col("model_name").alias("model_b"), F.col("predicted_class").alias("class_b"))
-    return a.join(b, "sample_id").filter("model_a < model_b").groupBy("model_a", "model_b", "class_a", "class_b").agg(F.count("*").alias("n"))
+    return r.both_models.groupBy("model_a", "model_b", "class_a", "class_b").agg(F.count("*").alias("n"))
 
 
 @relation
@@ -134,7 +154,7 @@ def gaps(r: Frames) -> DataFrame:
     """Spread of the confidences of each sample's clean rows (not of its models), if there are two rows and one confidence."""
     by = r.base.groupBy("sample_id").agg(
         F.count("*").alias("n"), F.min("confidence").alias("low"), F.max("confidence").alias("high"), F.avg("confidence").alias("mean"),
-        F.size(F.collect_set("model_name")).cast("long").alias("n_models"), F.size(F.collect_set("predicted_class")).alias("classes"),
+        F.size(F.collect_set("model_name")).cast("long").alias("n_models"), one_value("predicted_class").alias("all_agree"),
     )
     return by.filter("n >= 2 AND low IS NOT NULL")
 
@@ -143,17 +163,14 @@ def gaps(r: Frames) -> DataFrame:
 def a6_confidence_gaps(r: Frames) -> DataFrame:
     return r.gaps.select(
         "sample_id", six("low").alias("confidence_min"), six("high").alias("confidence_max"), nudged("mean").alias("confidence_mean"),
-        six(F.col("high") - F.col("low")).alias("confidence_gap"), "n_models", (F.col("classes") == 1).alias("all_agree"),
+        six(F.col("high") - F.col("low")).alias("confidence_gap"), "n_models", F.coalesce("all_agree", F.lit(False)).alias("all_agree"),
     )
 
 
 @relation
 def pairs(r: Frames) -> DataFrame:
     """Pairs of models a < b within a sample, both with a class and a confidence."""
-    one = r.deduped.filter("predicted_class IS NOT NULL AND confidence IS NOT NULL")
-    side = lambda x: one.select("sample_id", F.col("model_name").alias(f"model_{x}"), F.col("predicted_class").alias(f"class_{x}"), F.col("confidence").alias(f"confidence_{x}"))
-    joined = side("a").join(side("b"), "sample_id").filter("model_a < model_b")
-    return joined.withColumns({"confidence_diff": six(F.abs(F.col("confidence_a") - F.col("confidence_b"))), "classes_agree": F.col("class_a") == F.col("class_b")})
+    return r.both_models.filter("confidence_a IS NOT NULL AND confidence_b IS NOT NULL").withColumns({"confidence_diff": six(F.abs(F.col("confidence_a") - F.col("confidence_b"))), "classes_agree": F.col("class_a") == F.col("class_b")})
 
 
 @relation

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import clip, let, nudged, six, total_of
 from plumbline.functions.labels import UNCERTAINTY_LADDER, is_clean, rank
 from plumbline.operators.uncertainty import correlation
+from plumbline.operators.agreement import pairs_of
 from plumbline.operators.frames import Frames, relation
 
 #: A cell belongs to the focus of a map from this share of its peak on.
@@ -117,8 +118,10 @@ def x1_drift(r: Frames) -> DataFrame:
 def x2_similarity(r: Frames) -> DataFrame:
     """Pairs of models' maps of one sample, severity and type."""
     key = ["sample_id", "severity_level", "perturbation_type"]
-    side = lambda s: r.maps.filter("ok").select(*key, F.col("model_name").alias(f"model_{s}"), F.col("predicted_class").alias(f"class_{s}"), F.col("m").alias(f"map_{s}"))
-    rows = side("a").join(side("b"), key).filter("model_a < model_b")
+    by = r.maps.filter("ok").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("model_name", "predicted_class", "m"))).alias("held"))  # the maps of a sample's models
+    both = by.select(*key, F.explode(pairs_of(F.col("held"))).alias("p"))
+    side = lambda s: [F.col(f"p.{s}.{c}").alias(f"{n}_{s}") for c, n in (("model_name", "model"), ("predicted_class", "class"), ("m", "map"))]
+    rows = both.select(*key, *side("a"), *side("b")).filter("model_a < model_b")
     rows = at_one_size(rows, "map_a", "map_b")
     a, b, n = F.col("map_a"), F.col("map_b"), F.size("map_a")
     dot = total_of(F.zip_with(a, b, lambda p, q: p * q))

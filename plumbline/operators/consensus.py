@@ -61,7 +61,7 @@ def d3_breakdown(r: Frames) -> DataFrame:
     """Samples whose consensus breaks: where, by what, after how many steps, how fast; an instability that is not known is 0. The trigger is the
     first type by name on which models differ at that severity, clean for a break without perturbation, unknown if they differ on none alone."""
     broken = r.ladder_sums.filter("first_break IS NOT NULL")
-    split = r.observations.filter("n_classes > 1").select("sample_id", F.col("severity_level").alias("_level"), "perturbation_type")
+    split = r.observations.filter("differ").select("sample_id", F.col("severity_level").alias("_level"), "perturbation_type")
     at = split.join(broken.select("sample_id", F.col("first_break.severity_level").alias("level")), "sample_id").filter("_level = level")
     triggers = at.groupBy("sample_id").agg(F.min("perturbation_type").alias("trigger"))
     broken = broken.join(triggers, "sample_id", "left").join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")

@@ -13,8 +13,8 @@ from plumbline.operators.frames import Frames, relation
 
 #: Temperatures of the fit: GRID between LOW and HIGH, evenly by ratio, then GRID between the neighbours of the best.
 LOW, HIGH, GRID = 0.05, 10.0, 64
-#: Ranges into which scores are cut before they are cumulated.
-RANGES = 256
+#: Ranges of scores for each unit of log-odds.
+RANGES = 16
 
 
 def softmax(z: Column, temperature: Column | None = None) -> Column:
@@ -294,12 +294,14 @@ def c14_report(r: Frames) -> DataFrame:
 def cumulated(r: Frames) -> DataFrame:
     """For each distinct score of a class (of one model against the rest): rows at or above it.
 
-    Scores are cut into RANGES; sums of the ranges above come from a small table, and only within a range are rows cumulated,
-    so that a model with a third of all rows is spread over as many tasks.
+    Scores count as they are, not rounded. They are cut into ranges of equal width in their log-odds, of which there are some RANGES for each
+    unit, for softmax crowds scores at 0 and 1; sums of the ranges above come from a small table, and only within a range are
+    rows cumulated, so that a model with a third of all rows is spread over many tasks.
     """
-    long = r.predictions.select("model_name", "label", F.posexplode("p").alias("k", "p")).withColumn("score", six("p"))
+    long = r.predictions.select("model_name", "label", F.posexplode("p").alias("k", "score"))
+    odds = F.ln(F.greatest("score", F.lit(1e-300))) - F.ln(F.greatest(1.0 - F.col("score"), F.lit(1e-17)))
     hit = F.col("label") == F.col("k")
-    counts = long.groupBy("model_name", "k", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")).withColumn("part", F.floor(F.col("score") * RANGES))
+    counts = long.groupBy("model_name", "k", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg")).withColumn("part", F.floor(odds * RANGES))
     sums = counts.groupBy("model_name", "k", "part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     w = W.partitionBy("model_name", "k")
     above = w.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
@@ -312,7 +314,7 @@ def cumulated(r: Frames) -> DataFrame:
 @relation
 def c15_roc_points(r: Frames) -> DataFrame:
     part = lambda a, b: six(over(F.col(a).cast("double"), F.col(b).cast("double")))
-    return r.cumulated.select("model_name", "k", "score", part("fp", "all_neg").alias("fpr"), part("tp", "all_pos").alias("tpr"))
+    return r.cumulated.select("model_name", "k", six("score").alias("score"), part("fp", "all_neg").alias("fpr"), part("tp", "all_pos").alias("tpr"))
 
 
 @relation
@@ -323,7 +325,7 @@ def c15_auc(r: Frames) -> DataFrame:
 
 @relation
 def c16_pr_points(r: Frames) -> DataFrame:
-    return r.cumulated.select("model_name", "k", "score", six(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("class_precision"), six(over(F.col("tp").cast("double"), F.col("all_pos").cast("double"))).alias("recall"))
+    return r.cumulated.select("model_name", "k", six("score").alias("score"), six(F.col("tp") / (F.col("tp") + F.col("fp"))).alias("class_precision"), six(over(F.col("tp").cast("double"), F.col("all_pos").cast("double"))).alias("recall"))
 
 
 @relation

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import share, six
 from plumbline.functions.labels import is_clean, rank
+from plumbline.operators.agreement import one_value
 from plumbline.operators.frames import Frames, relation
 
 SAMPLE_KEY = ["sample_id", "perturbation_type", "severity_level"]
@@ -22,8 +23,9 @@ def classes_seen(*extra: Column) -> list[Column]:
 
 @relation
 def observations(r: Frames) -> DataFrame:
-    seen = r.rows.filter(~is_clean()).groupBy(*SAMPLE_KEY).agg(*classes_seen(F.min("severity_rank").alias("severity_rank")))
-    return seen.filter("n_models >= 2")
+    """A sample under a type and a severity, seen by two models or more; whether they differ."""
+    seen = r.rows.filter(~is_clean()).groupBy(*SAMPLE_KEY).agg(F.min("severity_rank").alias("severity_rank"), one_value("model_name").alias("one_model"), (~one_value("predicted_class")).alias("differ"))
+    return seen.filter("NOT one_model").drop("one_model")
 
 
 @relation
@@ -42,14 +44,14 @@ def top_rank(r: Frames) -> DataFrame:
 @relation
 def j4_induced_disagreements(r: Frames) -> DataFrame:
     """Perturbed rows of the observations that disagree although the sample's clean classes agree."""
-    found = r.observations.filter("n_classes > 1").join(r.agreed, "sample_id", "left_semi").select(*SAMPLE_KEY)
+    found = r.observations.filter("differ").join(r.agreed, "sample_id", "left_semi").select(*SAMPLE_KEY)
     rows = r.rows.filter(~is_clean()).join(found, SAMPLE_KEY, "left_semi")
     return rows.select("sample_id", "model_name", "perturbation_type", "severity_level", "predicted_class", "confidence", F.lit(True).alias("perturbation_induced"))
 
 
 @relation
 def b1_sensitivity(r: Frames) -> DataFrame:
-    differ = F.col("n_classes") > 1
+    differ = F.coalesce("differ", F.lit(False))
     return r.observations.groupBy("perturbation_type").agg(F.count("*").alias("observations"), F.count_if(differ).alias("disagreements"), six(share(differ)).alias("disagreement_rate"))
 
 
@@ -128,7 +130,7 @@ def b4_model_instability(r: Frames) -> DataFrame:
 
 @relation
 def b5_sample_instability(r: Frames) -> DataFrame:
-    differ = F.col("n_classes") > 1
+    differ = F.coalesce("differ", F.lit(False))
     by = r.observations.groupBy("sample_id").agg(
         F.count("*").alias("observations"), F.count_if(differ).alias("breaks"), share(differ).alias("rate"), F.min(F.when(differ, F.col("severity_rank"))).alias("first_rank"),
         (F.size(F.collect_set(F.when(differ, F.col("perturbation_type")))) / F.size(F.collect_set("perturbation_type"))).alias("breadth"))

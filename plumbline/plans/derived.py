@@ -100,9 +100,10 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     """All derived inputs; none is read before a relation asks for it."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     status = F.element_at(F.array(*map(F.lit, ("failed", "skipped", "completed", "completed", "completed"))), (F.col("event_id") % 5 + 1).cast("int"))
+    rare = F.col("c_custkey") % 97 == 0  # classes of one plate
     return Frames(
         log=log_of(read("lineitem")), logits=logits_of(read("embeddings")), attention=attention_of(read("embeddings")), images=images_of(read("embeddings")), records=records_of(read("orders")), summaries=summaries_of(read("orders")),
-        plates=read("customer").select(F.col("c_mktsegment").alias("class_name"), F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string")).alias("plate_name"), F.col("c_custkey").alias("image_id")),
+        plates=read("customer").select(F.when(rare, F.concat(F.lit("RARE"), (F.col("c_custkey") % 5).cast("string"))).otherwise(F.col("c_mktsegment")).alias("class_name"), F.when(rare, "Plate").otherwise(F.concat(F.lit("Plate"), F.col("c_nationkey").cast("string"))).alias("plate_name"), F.col("c_custkey").alias("image_id")),
         registry=registry_of(read("events")),
         runs=read("events").select(F.col("user_id").alias("experiment"), F.col("event_type").alias("stage"), status.alias("status")),
     )

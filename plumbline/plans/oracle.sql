@@ -798,7 +798,7 @@ FROM t
 SELECT round(corr(s.confidence_drop, c.robustness_score), 6) AS correlation, corr(s.confidence_drop, c.robustness_score) > -0.1 AS warning FROM c2_stability s JOIN c4_robustness c USING (model_name)
 
 -- name: plates
-SELECT c_mktsegment AS class_name, concat('Plate', c_nationkey) AS plate_name, c_custkey AS image_id
+SELECT CASE WHEN c_custkey % 97 = 0 THEN concat('RARE', c_custkey % 5) ELSE c_mktsegment END AS class_name, CASE WHEN c_custkey % 97 = 0 THEN 'Plate' ELSE concat('Plate', c_nationkey) END AS plate_name, c_custkey AS image_id
 FROM customer
 
 -- name: class_plates
@@ -1196,7 +1196,7 @@ FROM class_scores
 GROUP BY model_name
 
 -- name: long_scores
-SELECT model_name, label, k, round([p0, p1, p2, p3][k + 1], 6) AS score FROM exact, range(4) r(k)
+SELECT model_name, label, k, [p0, p1, p2, p3][k + 1] AS score FROM exact, range(4) r(k)
 
 -- name: score_counts
 SELECT model_name, k::INT AS k, score, count(*) FILTER (WHERE label = k) AS pos, count(*) FILTER (WHERE label <> k) AS neg FROM long_scores GROUP BY model_name, k, score
@@ -1208,7 +1208,7 @@ SELECT *, sum(pos) OVER (PARTITION BY model_name, k ORDER BY score DESC) AS tp,
 FROM score_counts
 
 -- name: c15_roc_points
-SELECT model_name, k, score, round(fp / CAST(nullif(all_neg, 0) AS DOUBLE), 6) AS fpr, round(tp / CAST(nullif(all_pos,
+SELECT model_name, k, round(score, 6) AS score, round(fp / CAST(nullif(all_neg, 0) AS DOUBLE), 6) AS fpr, round(tp / CAST(nullif(all_pos,
   0) AS DOUBLE), 6) AS tpr
 FROM cumulated
 
@@ -1218,7 +1218,7 @@ FROM cumulated
 GROUP BY model_name, k
 
 -- name: c16_pr_points
-SELECT model_name, k, score, round(tp / (tp + fp), 6) AS class_precision, round(tp / nullif(all_pos, 0)::DOUBLE, 6) AS recall FROM cumulated
+SELECT model_name, k, round(score, 6) AS score, round(tp / (tp + fp), 6) AS class_precision, round(tp / nullif(all_pos, 0)::DOUBLE, 6) AS recall FROM cumulated
 
 -- name: c16_average_precision
 SELECT model_name, k, round(sum(pos / CAST(nullif(all_pos, 0) AS DOUBLE) * (tp / CAST(tp + fp AS DOUBLE))),
