@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clip, share, six
 from plumbline.functions.labels import STABILISER, TRUST, is_clean, label
+from plumbline.operators.agreement import SEVERITIES
 from plumbline.operators.frames import Frames, relation
 
 # Weights of the reliability's parts, levels of trust from the lowest on.
@@ -15,23 +17,33 @@ RELIABILITY = {"agreement": 0.25, "consistency": 0.20, "stability": 0.25, "sever
 TRUST_LEVELS = ("critical", "low", "moderate", "high", "very_high")
 
 
+@relation
+def sample_signals(r: Frames) -> DataFrame:
+    """What the judgements of a sample are made of, one row for each: agreement and confidences when clean, its pairs, its ladder, its instability.
+
+    Written once to the executors' disks (made again if lost): reliability, breakdown, false consensus, trust and risk are then projections
+    of this narrow table, in place of joins of their own.
+    """
+    s = F.col("disagreement_score")
+    worst = F.max(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))).cast("int")
+    paired = r.p9_scored_pairs.groupBy("sample_id").agg(worst.alias("worst_severity"), F.max(s).alias("most_disagreement"), F.avg(s).alias("mean_disagreement"))
+    ladder = r.ladder_sums.withColumns({"break_rank": F.col("first_break.severity_rank"), "break_level": F.col("first_break.severity_level")}).drop("first_break")
+    parts = (
+        r.a6_confidence_gaps.select("sample_id", "confidence_gap", "confidence_mean"), ladder, paired, r.b5_sample_instability.select("sample_id", "instability_score"))
+    out = r.complete
+    for part in parts:
+        out = out.join(part, "sample_id", "full")
+    return out.persist(StorageLevel.DISK_ONLY)
+
+
 @relation
 def reliability_parts(r: Frames) -> DataFrame:
     """The five parts of each complete sample's reliability; a missing one is one half."""
     one = F.col("n_classes") == 1
-    gap = r.a6_confidence_gaps.select("sample_id", (0.6 * (1.0 - F.col("confidence_gap")) + 0.4 * F.col("confidence_mean")).alias("consistency"))
-    third = {"low": 0, "moderate": 1, "high": 2, "critical": 3}
-    severity = F.lit(None).cast("double")
-    for name, k in third.items():
-        severity = F.when(F.col("severity") == name, F.lit(1.0 - k / 3)).otherwise(severity)
-    joined = (
-        r.complete.join(gap, "sample_id", "left")
-        .join(r.ladder_sums.select("sample_id", "survival"), "sample_id", "left")
-        .join(r.a9_sample_severity.select("sample_id", "severity"), "sample_id", "left")
-        .join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
-    )
-    return joined.select(
-        "sample_id", F.when(one, 1.0).otherwise(0.0).alias("agreement"), F.coalesce("consistency", F.lit(0.5)).alias("consistency"), F.coalesce("survival", F.lit(0.5)).alias("stability"),
+    consistency = 0.6 * (1.0 - F.col("confidence_gap")) + 0.4 * F.col("confidence_mean")
+    severity = F.element_at(F.array(*(F.lit(1.0 - k / 3) for k in range(len(SEVERITIES)))), F.col("worst_severity"))
+    return r.sample_signals.filter("n_classes IS NOT NULL").select(
+        "sample_id", F.when(one, 1.0).otherwise(0.0).alias("agreement"), F.coalesce(consistency, F.lit(0.5)).alias("consistency"), F.coalesce("survival", F.lit(0.5)).alias("stability"),
         F.coalesce(severity, F.when(one, 1.0).otherwise(0.5)).alias("severity"), F.coalesce(1.0 - F.col("instability_score"), F.lit(0.5)).alias("steadiness"),
     )
 
@@ -56,18 +68,24 @@ def d2_reliability_summary(r: Frames) -> DataFrame:
     return out.withColumn("weakest", F.when(F.col("samples") > 0, parts["part"]))
 
 
+@relation
+def breakdowns(r: Frames) -> DataFrame:
+    """Samples whose consensus breaks, without what triggers it."""
+    broken = r.sample_signals.filter("break_rank IS NOT NULL")
+    return broken.select("sample_id", F.col("break_level").alias("collapse_severity"), F.col("steps_before").alias("consensus_duration"), "total_steps", six(1.0 / (F.col("steps_before") + 1)).alias("escalation_speed"), F.coalesce("instability_score", F.lit(0.0)).alias("instability_score"))
+
+
 @relation
 def d3_breakdown(r: Frames) -> DataFrame:
     """Samples whose consensus breaks: where, by what, after how many steps, how fast; an instability that is not known is 0. The trigger is the
     first type by name on which models differ at that severity, clean for a break without perturbation, unknown if they differ on none alone."""
-    broken = r.ladder_sums.filter("first_break IS NOT NULL")
+    broken = r.breakdowns
     split = r.observations.filter("differ").select("sample_id", F.col("severity_level").alias("_level"), "perturbation_type")
-    at = split.join(broken.select("sample_id", F.col("first_break.severity_level").alias("level")), "sample_id").filter("_level = level")
+    at = split.join(broken.select("sample_id", F.col("collapse_severity").alias("level")), "sample_id").filter("_level = level")
     triggers = at.groupBy("sample_id").agg(F.min("perturbation_type").alias("trigger"))
-    broken = broken.join(triggers, "sample_id", "left").join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
+    broken = broken.join(triggers, "sample_id", "left")
     return broken.select(
-        "sample_id", F.when(is_clean("first_break.severity_level"), "clean").otherwise(F.coalesce("trigger", F.lit("unknown"))).alias("collapse_trigger"), F.col("first_break.severity_level").alias("collapse_severity"), F.col("steps_before").alias("consensus_duration"), "total_steps",
-        six(1.0 / (F.col("steps_before") + 1)).alias("escalation_speed"), F.coalesce("instability_score", F.lit(0.0)).alias("instability_score"),
+        "sample_id", F.when(is_clean("collapse_severity"), "clean").otherwise(F.coalesce("trigger", F.lit("unknown"))).alias("collapse_trigger"), "collapse_severity", "consensus_duration", "total_steps", "escalation_speed", "instability_score",
     )
 
 
@@ -103,19 +121,15 @@ def d5_trust_summary(r: Frames) -> DataFrame:
 @relation
 def d6_fragile(r: Frames) -> DataFrame:
     """Samples that agree when clean and break at the first rank."""
-    at = F.col("first_break.severity_rank")
-    return r.ladder_sums.filter(at == 1).join(r.agreed, "sample_id", "left_semi").select("sample_id", F.col("first_break.severity_level").alias("collapse_severity"), at.alias("collapse_rank"))
+    found = r.sample_signals.filter("break_rank = 1 AND n_classes = 1")
+    return found.select("sample_id", F.col("break_level").alias("collapse_severity"), F.col("break_rank").alias("collapse_rank"))
 
 
 @relation
 def d7_false_consensus(r: Frames) -> DataFrame:
     """Samples that agree when clean although something speaks against it."""
-    joined = (
-        r.agreed.join(r.a6_confidence_gaps.select("sample_id", "confidence_gap", "confidence_mean"), "sample_id", "left")
-        .join(r.d6_fragile.select("sample_id", "collapse_rank"), "sample_id", "left")
-        .join(r.b5_sample_instability.select("sample_id", "instability_score"), "sample_id", "left")
-    )
-    tests = {"high_confidence_gap": F.col("confidence_gap") > 0.3, "low_mean_confidence": F.col("confidence_mean") < 0.5, "fragile_under_perturbation": F.col("collapse_rank").isNotNull(), "high_instability": F.col("instability_score") > 0.5}
+    joined = r.sample_signals.filter("n_classes = 1")
+    tests = {"high_confidence_gap": F.col("confidence_gap") > 0.3, "low_mean_confidence": F.col("confidence_mean") < 0.5, "fragile_under_perturbation": F.col("break_rank") == 1, "high_instability": F.col("instability_score") > 0.5}
     flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
     found = joined.select("sample_id", flags.alias("flag_list")).filter(F.size("flag_list") > 0)
     n = F.size("flag_list")
@@ -125,7 +139,7 @@ def d7_false_consensus(r: Frames) -> DataFrame:
 @relation
 def d8_unstable(r: Frames) -> DataFrame:
     rate = F.col("changes") / F.col("transitions").cast("double")
-    return r.ladder_sums.filter("transitions > 0").filter(rate > 0.3).select("sample_id", "transitions", "changes", six(rate).alias("oscillation_rate"))
+    return r.sample_signals.filter("transitions > 0").filter(rate > 0.3).select("sample_id", "transitions", "changes", six(rate).alias("oscillation_rate"))
 
 
 @relation

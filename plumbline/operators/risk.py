@@ -34,15 +34,16 @@ def ranked_factors(weights: dict[str, float]) -> Column:
 
 @relation
 def r1_disagreement(r: Frames) -> DataFrame:
-    s = F.col("disagreement_score")
-    return r.p9_scored_pairs.groupBy("sample_id").agg((0.6 * F.max(s) + 0.4 * F.avg(s)).alias("disagreement"))
+    found = r.sample_signals.filter("mean_disagreement IS NOT NULL")
+    return found.select("sample_id", (0.6 * F.col("most_disagreement") + 0.4 * F.col("mean_disagreement")).alias("disagreement"))
 
 
 @relation
 def r2_confidence(r: Frames) -> DataFrame:
     """Gap and lack of confidence; with one of them missing, the other."""
     gap, lack = F.col("confidence_gap"), 1.0 - F.col("confidence_mean")
-    return r.a6_confidence_gaps.select("sample_id", F.coalesce(0.65 * gap + 0.35 * lack, gap, lack).alias("confidence"))
+    found = r.sample_signals.filter("confidence_gap IS NOT NULL OR confidence_mean IS NOT NULL")
+    return found.select("sample_id", F.coalesce(0.65 * gap + 0.35 * lack, gap, lack).alias("confidence"))
 
 
 @relation
@@ -72,8 +73,8 @@ def r3_from_labels(r: Frames) -> DataFrame:
 def unrest(r: Frames) -> DataFrame:
     """(sample_id, unrest): changes of state, and how early on the sample's own ladder the models break apart."""
     swing = F.col("changes") / F.greatest("transitions", F.lit(1)).cast("double")
-    early = clip(1.0 - (F.col("first_break.severity_rank") - 1.0) / F.greatest("last_rank", F.lit(1)))
-    return r.ladder_sums.select("sample_id", clip(0.6 * swing + 0.4 * F.coalesce(early, F.lit(0.0))).alias("unrest"))
+    early = clip(1.0 - (F.col("break_rank") - 1.0) / F.greatest("last_rank", F.lit(1)))
+    return r.sample_signals.filter("total_steps IS NOT NULL").select("sample_id", clip(0.6 * swing + 0.4 * F.coalesce(early, F.lit(0.0))).alias("unrest"))
 
 
 @relation
@@ -86,7 +87,7 @@ def r4_fragility(r: Frames) -> DataFrame:
     signals = (
         r.d6_fragile.select("sample_id", (1.0 - F.least("collapse_rank", F.lit(5)) / 5.0).alias("fragility"))
         .unionByName(r.d7_false_consensus.select("sample_id", clip(severity + bonus).alias("fragility")))
-        .unionByName(r.d3_breakdown.select("sample_id", F.col("escalation_speed").alias("fragility")))
+        .unionByName(r.breakdowns.select("sample_id", F.col("escalation_speed").alias("fragility")))
         .unionByName(unrest(r).withColumnRenamed("unrest", "fragility"))
     )
     return signals.groupBy("sample_id").agg(F.max("fragility").alias("fragility"))
@@ -95,15 +96,15 @@ def r4_fragility(r: Frames) -> DataFrame:
 @relation
 def r5_escalation(r: Frames) -> DataFrame:
     """From the breakdowns; if no sample at all breaks down, from the ladders."""
-    found = r.d3_breakdown.select("sample_id", ((F.col("escalation_speed") + 1.0 / F.greatest("consensus_duration", F.lit(1))) / 2.0).alias("escalation"))
-    none = F.broadcast(r.d3_breakdown.agg(F.count("*").alias("n")).filter("n = 0"))
+    found = r.breakdowns.select("sample_id", ((F.col("escalation_speed") + 1.0 / F.greatest("consensus_duration", F.lit(1))) / 2.0).alias("escalation"))
+    none = F.broadcast(r.breakdowns.agg(F.count("*").alias("n")).filter("n = 0"))
     return found.unionByName(unrest(r).crossJoin(none).select("sample_id", F.col("unrest").alias("escalation")))
 
 
 @relation
 def risk_parts(r: Frames) -> DataFrame:
     """All components of each sample: long rows, one for each component, that one aggregate puts side by side."""
-    parts = {"disagreement": r.r1_disagreement, "confidence": r.r2_confidence, "consensus": r.r3_consensus, "instability": r.b5_sample_instability.select("sample_id", F.col("instability_score").alias("instability")), "fragility": r.r4_fragility, "escalation": r.r5_escalation}
+    parts = {"disagreement": r.r1_disagreement, "confidence": r.r2_confidence, "consensus": r.r3_consensus, "instability": r.sample_signals.filter("instability_score IS NOT NULL").select("sample_id", F.col("instability_score").alias("instability")), "fragility": r.r4_fragility, "escalation": r.r5_escalation}
     out = None
     for name, df in parts.items():
         one = df.select("sample_id", *((F.col(c) if c == name else F.lit(None).cast("double")).alias(c) for c in parts))

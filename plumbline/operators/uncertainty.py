@@ -16,18 +16,18 @@ from plumbline.operators.frames import Frames, relation
 FILLED = 4
 
 
-def normalised(p: Column, confidence: Column, size: int = 2) -> Column:
-    """struct(status, p): the vector without what is no number and without negatives, made to add up to 1; without one, the
-    confidence and the rest; without that, even shares."""
+def normalised(rows: DataFrame, p: str, confidence: str, size: int = 2) -> DataFrame:
+    """Adds status and p: the vector without what is no number and without negatives, made to add up to 1; without one, the
+    confidence and the rest; without that, even shares. Each step is a column, so that none is computed twice."""
     finite = F.filter(p, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    held = F.transform(finite, lambda x: F.greatest(x, F.lit(0.0)))
-    total = total_of(held)
-    c = clip(confidence)
-    made = lambda status, v: F.struct(F.lit(status).alias("status"), v.alias("p"))
-    even = F.array_repeat(F.lit(1.0 / size), size)
-    scaled = let(total, lambda t: F.transform(held, lambda x: x / t))
-    given = F.when(F.abs(total - 1.0) <= 1e-6, made("valid", held)).otherwise(made("normalized", scaled))
-    return F.when((F.size(held) > 0) & (total > 0), given).when(confidence.isNotNull() & ~F.isnan(confidence), made("confidence_proxy", F.array(c, 1.0 - c))).otherwise(made("uniform_fallback", even))
+    held = rows.withColumn("_held", F.transform(finite, lambda x: F.greatest(x, F.lit(0.0))))
+    held = held.withColumn("_total", total_of(F.col("_held")))
+    sound, known = (F.size("_held") > 0) & (F.col("_total") > 0), F.col(confidence).isNotNull() & ~F.isnan(confidence)
+    near = F.abs(F.col("_total") - 1.0) <= 1e-6
+    status = F.when(sound, F.when(near, "valid").otherwise("normalized")).when(known, "confidence_proxy").otherwise("uniform_fallback")
+    c = clip(F.col(confidence))
+    v = F.when(sound, F.when(near, F.col("_held")).otherwise(F.transform("_held", lambda x: x / F.col("_total")))).when(known, F.array(c, 1.0 - c)).otherwise(F.array_repeat(F.lit(1.0 / size), size))
+    return held.withColumns({"status": status, "p": v}).drop("_held", "_total")
 
 
 def filled(p: Column, index: Column, confidence: Column, size: int = FILLED) -> Column:
@@ -54,8 +54,7 @@ def p6_filled(r: Frames) -> DataFrame:
 @relation
 def entropies(r: Frames) -> DataFrame:
     """Metrics of each row's vector, rounded to six digits before anything is averaged."""
-    made = r.vectors.select("*", normalised(F.col("probabilities"), F.col("confidence")).alias("v"))
-    rows = made.select("*", F.col("v.status").alias("status"), F.size("v.p").alias("size"), sums_of(F.col("v.p")).alias("m"))
+    rows = normalised(r.vectors, "probabilities", "confidence").withColumns({"size": F.size("p"), "m": sums_of(F.col("p"))})
     n, top, entropy = F.col("size"), F.col("m.top"), F.col("m.entropy")
     mean = F.col("m.total") / n
     variance = F.greatest(F.lit(0.0), F.col("m.squares") / n - mean * mean)
@@ -198,9 +197,8 @@ def u8_summary(r: Frames) -> DataFrame:
 @relation
 def signals(r: Frames) -> DataFrame:
     """Uncertainty, mean disagreement of pairs and instability of each sample."""
-    disagreement = r.p9_scored_pairs.groupBy("sample_id").agg(F.avg("disagreement_score").alias("disagreement"))
-    instability = r.b5_sample_instability.select("sample_id", F.col("instability_score").alias("instability"))
-    return r.u2_sample_uncertainty.select("sample_id", F.col("mean_uncertainty").alias("uncertainty")).join(disagreement, "sample_id", "left").join(instability, "sample_id", "left")
+    others = r.sample_signals.select("sample_id", F.col("mean_disagreement").alias("disagreement"), F.col("instability_score").alias("instability"))
+    return r.u2_sample_uncertainty.select("sample_id", F.col("mean_uncertainty").alias("uncertainty")).join(others, "sample_id", "left")
 
 
 @relation
