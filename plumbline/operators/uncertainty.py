@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.columns import clip, let, nudged, six, total_of
 from plumbline.functions.labels import RISK, SHAPE, UNCERTAINTY_LADDER, is_clean, label, rank
-from plumbline.functions.quantiles import medians, with_median
 from plumbline.operators.perturbation import placed, trend
 from plumbline.operators.frames import Frames, relation
 
@@ -185,13 +184,14 @@ def u8_levels(r: Frames) -> DataFrame:
 
 @relation
 def u8_summary(r: Frames) -> DataFrame:
-    """Uncertainty of all observations: statistics, levels, and the five most uncertain samples."""
+    """Uncertainty of all observations: statistics, levels, and the five most uncertain samples. Scores have six digits, so the median's map has a million
+    entries at most."""
     u = F.col(U)
     least = {name: low for low, name in RISK}
     level = label(u, RISK)
-    whole = r.entropies.agg(F.count("*").alias("observations"), six(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.min(u).alias("min_uncertainty"), *(F.count_if(level == name).alias(name) for name in least))
+    whole = r.entropies.agg(F.count("*").alias("observations"), six(F.avg(u)).alias("mean_uncertainty"), F.max(u).alias("max_uncertainty"), F.min(u).alias("min_uncertainty"), six(F.median(u)).alias("median_uncertainty"), *(F.count_if(level == name).alias(name) for name in least))
     top = r.u8_top_samples.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mean_uncertainty")).alias("m"), "sample_id"))), lambda x: x["sample_id"]), "|").alias("most_uncertain"))  # five rows
-    return with_median(whole, medians(r.entropies, [], u), [], "median_uncertainty").crossJoin(top)
+    return whole.crossJoin(top)
 
 
 @relation
