@@ -270,9 +270,13 @@ def c13_errors(r: Frames) -> DataFrame:
 
 @relation
 def class_scores(r: Frames) -> DataFrame:
-    k, n = F.col("k"), F.col("n").cast("double")
-    sums = r.cells.crossJoin(F.broadcast(r.classes)).groupBy("model_name", "k").agg(
-        F.sum(F.when((F.col("label") == k) & (F.col("predicted") == k), n).otherwise(0.0)).alias("hits"), F.sum(F.when(F.col("predicted") == k, n).otherwise(0.0)).alias("called"), F.sum(F.when(F.col("label") == k, n).otherwise(0.0)).alias("support"))
+    """Each cell counts for its true class and for its predicted one; classes that a model never meets have 0."""
+    n, none = F.col("n").cast("double"), F.lit(0.0)
+    side = lambda k, support, hits, called: F.struct(F.col(k).cast("int").alias("k"), support.alias("support"), hits.alias("hits"), called.alias("called"))
+    both = F.array(side("label", n, F.when(F.col("label") == F.col("predicted"), n).otherwise(none), none), side("predicted", none, none, n))
+    met = r.cells.select("model_name", F.inline(both)).groupBy("model_name", "k").agg(*(F.sum(c).alias(c) for c in ("support", "hits", "called")))
+    every = r.cells.select("model_name").distinct().crossJoin(F.broadcast(r.classes))
+    sums = every.join(met, ["model_name", "k"], "left").na.fill(0.0, ["support", "hits", "called"])
     ratio = lambda a, b: F.coalesce(over(a, b), F.lit(0.0))
     return sums.select("model_name", "k", "support", "hits", ratio(F.col("hits"), F.col("called")).alias("class_precision"), ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(2.0 * F.col("hits"), F.col("called") + F.col("support")).alias("f1"))
 
