@@ -18,10 +18,13 @@ from plumbline.operators.frames import Frames, relation
 SEVERITIES = ("low", "moderate", "high", "critical")
 
 
+def hashed(c: str) -> Column:
+    return F.when(F.col(c).isNotNull(), F.xxhash64(c))
+
+
 def one_value(c: str) -> Column:
     """Whether all values of a group are the same, null if it has none; by 64-bit hashes, which aggregate without objects."""
-    h = F.when(F.col(c).isNotNull(), F.xxhash64(c))
-    return F.min(h) == F.max(h)
+    return F.min(hashed(c)) == F.max(hashed(c))
 
 
 @relation
@@ -173,6 +176,28 @@ def pairs(r: Frames) -> DataFrame:
     return r.both_models.filter("confidence_a IS NOT NULL AND confidence_b IS NOT NULL").withColumns({"confidence_diff": six(F.abs(F.col("confidence_a") - F.col("confidence_b"))), "classes_agree": F.col("class_a") == F.col("class_b")})
 
 
+@relation
+def clean_samples(r: Frames) -> DataFrame:
+    """What the clean rows say of each sample, from one dealing of them: classes if all models have one, gap and mean of the confidences, its pairs' scores."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    c = F.col("confidence")
+    dealt = r.base.select("sample_id", "model_name", "predicted_class", "confidence", "seq").repartition("sample_id")
+    by = dealt.groupBy("sample_id", "model_name").agg(first("predicted_class"), first("confidence"), F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.sum(c).alias("total"), F.count(c).alias("known"))
+    held = F.collect_list(F.when(F.col("predicted_class").isNotNull(), F.struct("model_name", "predicted_class", "confidence")))  # a row for each model
+    by = by.groupBy("sample_id").agg(F.array_sort(held).alias("held"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), (F.sum("total") / F.nullif(F.sum("known"), F.lit(0))).alias("mean"))
+    whole, gap = F.size("held") == F.col("all_models"), (F.col("n") >= 2) & F.col("low").isNotNull()
+    wide = by.crossJoin(F.broadcast(r.model_count)).select(
+        "sample_id", F.when(whole & (F.size("held") > 0), F.size(F.array_distinct(F.transform("held", lambda x: x["predicted_class"])))).alias("n_classes"),
+        F.when(gap, six(F.col("high") - F.col("low"))).alias("confidence_gap"), F.when(gap, nudged("mean")).alias("confidence_mean"), F.explode_outer(pairs_of(F.col("held"))).alias("p"))
+    a, b, agree = F.col("p.a.confidence"), F.col("p.b.confidence"), F.col("p.a.predicted_class") == F.col("p.b.predicted_class")
+    both = a.isNotNull() & b.isNotNull()
+    score = F.when(both, six(disagreement_score(agree, six(F.abs(a - b)), (a + b) / 2.0)))
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), pair_severity(agree, a, b)).cast("int")
+    rows = wide.withColumns({"score": score, "place": F.when(both, place)})
+    told = [F.max(c).alias(c) for c in ("n_classes", "confidence_gap", "confidence_mean")]  # alike in all of a sample's rows
+    return rows.groupBy("sample_id").agg(*told, F.max("place").alias("worst_severity"), F.max("score").alias("most_disagreement"), F.avg("score").alias("mean_disagreement"))
+
+
 @relation
 def a7_spread_summary(r: Frames) -> DataFrame:
     d, same = F.col("confidence_diff"), F.col("classes_agree")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,38 +22,38 @@ def sample_signals(r: Frames) -> DataFrame:
     """What the judgements of a sample are made of, one row for each: agreement and confidences when clean, its pairs, its ladder, its instability.
 
     Written once to the executors' disks (made again if lost): reliability, breakdown, false consensus, trust and risk are then projections
-    of this narrow table, in place of joins of their own.
+    this narrow table, in place of joins of their own. Both sides are dealt by sample, so that the join has no shuffle.
     """
-    s = F.col("disagreement_score")
-    worst = F.max(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))).cast("int")
-    paired = r.p9_scored_pairs.groupBy("sample_id").agg(worst.alias("worst_severity"), F.max(s).alias("most_disagreement"), F.avg(s).alias("mean_disagreement"))
-    ladder = r.ladder_sums.withColumns({"break_rank": F.col("first_break.severity_rank"), "break_level": F.col("first_break.severity_level")}).drop("first_break")
-    parts = (
-        r.a6_confidence_gaps.select("sample_id", "confidence_gap", "confidence_mean"), ladder, paired, r.b5_sample_instability.select("sample_id", "instability_score"))
-    out = r.complete
-    for part in parts:
-        out = out.join(part, "sample_id", "full")
-    return out.persist(StorageLevel.DISK_ONLY)
+    ladder = r.walks.drop("observations", "breaks", "first_rank", "breadth", "rate")
+    return r.clean_samples.join(ladder, "sample_id", "full").persist(StorageLevel.DISK_ONLY)
 
 
 @relation
 def reliability_parts(r: Frames) -> DataFrame:
     """The five parts of each complete sample's reliability; a missing one is one half."""
+    return r.sample_signals.filter("n_classes IS NOT NULL").select("sample_id", *(c.alias(name) for name, c in reliability_columns().items()))
+
+
+def reliability_columns() -> dict[str, Column]:
+    """The parts of the reliability, from the columns of `sample_signals`."""
     one = F.col("n_classes") == 1
     consistency = 0.6 * (1.0 - F.col("confidence_gap")) + 0.4 * F.col("confidence_mean")
     severity = F.element_at(F.array(*(F.lit(1.0 - k / 3) for k in range(len(SEVERITIES)))), F.col("worst_severity"))
-    return r.sample_signals.filter("n_classes IS NOT NULL").select(
-        "sample_id", F.when(one, 1.0).otherwise(0.0).alias("agreement"), F.coalesce(consistency, F.lit(0.5)).alias("consistency"), F.coalesce("survival", F.lit(0.5)).alias("stability"),
-        F.coalesce(severity, F.when(one, 1.0).otherwise(0.5)).alias("severity"), F.coalesce(1.0 - F.col("instability_score"), F.lit(0.5)).alias("steadiness"),
-    )
+    return {
+        "agreement": F.when(one, 1.0).otherwise(0.0), "consistency": F.coalesce(consistency, F.lit(0.5)), "stability": F.coalesce("survival", F.lit(0.5)),
+        "severity": F.coalesce(severity, F.when(one, 1.0).otherwise(0.5)), "steadiness": F.coalesce(1.0 - F.col("instability_score"), F.lit(0.5)),
+    }
+
+
+def reliability_of(parts: dict[str, Column]) -> Column:
+    return six(clip(sum((w * parts[c] for c, w in list(RELIABILITY.items())[1:]), 0.25 * parts["agreement"])))
 
 
 @relation
 def d1_reliability(r: Frames) -> DataFrame:
-    total = sum((w * F.col(c) for c, w in list(RELIABILITY.items())[1:]), 0.25 * F.col("agreement"))
     return r.reliability_parts.select(
         "sample_id", F.col("agreement").alias("agreement_strength"), six("consistency").alias("confidence_consistency"), six("stability").alias("perturbation_stability"),
-        six("severity").alias("severity_reliability"), six("steadiness").alias("instability_reliability"), six(clip(total)).alias("reliability"),
+        six("severity").alias("severity_reliability"), six("steadiness").alias("instability_reliability"), reliability_of({c: F.col(c) for c in RELIABILITY}).alias("reliability"),
     )
 
 
@@ -128,12 +128,19 @@ def d6_fragile(r: Frames) -> DataFrame:
 @relation
 def d7_false_consensus(r: Frames) -> DataFrame:
     """Samples that agree when clean although something speaks against it."""
-    joined = r.sample_signals.filter("n_classes = 1")
-    tests = {"high_confidence_gap": F.col("confidence_gap") > 0.3, "low_mean_confidence": F.col("confidence_mean") < 0.5, "fragile_under_perturbation": F.col("break_rank") == 1, "high_instability": F.col("instability_score") > 0.5}
-    flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
-    found = joined.select("sample_id", flags.alias("flag_list")).filter(F.size("flag_list") > 0)
+    found = r.sample_signals.filter("n_classes = 1").select("sample_id", flags_raised().alias("flag_list")).filter(F.size("flag_list") > 0)
     n = F.size("flag_list")
-    return found.select("sample_id", F.array_join("flag_list", "|").alias("flags"), n.alias("flag_count"), F.when(n >= 3, "severe").when(n == 2, "moderate").otherwise("mild").alias("false_consensus_severity"))
+    return found.select("sample_id", F.array_join("flag_list", "|").alias("flags"), n.alias("flag_count"), severity_of_flags(n).alias("false_consensus_severity"))
+
+
+def flags_raised() -> Column:
+    """What speaks against a sample's agreement, from the columns of `sample_signals`."""
+    tests = {"high_confidence_gap": F.col("confidence_gap") > 0.3, "low_mean_confidence": F.col("confidence_mean") < 0.5, "fragile_under_perturbation": F.col("break_rank") == 1, "high_instability": F.col("instability_score") > 0.5}
+    return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
+
+
+def severity_of_flags(n: Column) -> Column:
+    return F.when(n >= 3, "severe").when(n == 2, "moderate").when(n == 1, "mild")
 
 
 @relation
@@ -177,7 +184,11 @@ def d10_trust(r: Frames) -> DataFrame:
     levels = F.array(*map(F.lit, TRUST_LEVELS))
     severity = F.col("false_consensus_severity")
     down = F.when(severity == "severe", 2).when(severity == "moderate", 1).otherwise(0)
-    joined = r.d1_reliability.select("sample_id", "reliability").join(r.d7_false_consensus.select("sample_id", "false_consensus_severity"), "sample_id", "left")
+    if r.gives("d1_reliability", "d7_false_consensus"):
+        joined = r.d1_reliability.select("sample_id", "reliability").join(r.d7_false_consensus.select("sample_id", "false_consensus_severity"), "sample_id", "left")
+    else:  # both are of the sample's own row
+        told = F.when(F.col("n_classes") == 1, severity_of_flags(F.size(flags_raised())))
+        joined = r.sample_signals.filter("n_classes IS NOT NULL").select("sample_id", reliability_of(reliability_columns()).alias("reliability"), told.alias("false_consensus_severity"))
     first = label(F.col("reliability"), TRUST)
     at = F.array_position(levels, F.col("initial_label")).cast("int")
     steps = joined.withColumn("initial_label", first).withColumns({"at": at, "down": down})

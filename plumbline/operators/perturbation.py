@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import share, six
+from plumbline.functions.columns import over, share, six
 from plumbline.functions.labels import is_clean, rank
-from plumbline.operators.agreement import one_value
+from plumbline.operators.agreement import hashed
 from plumbline.operators.frames import Frames, relation
 
 SAMPLE_KEY = ["sample_id", "perturbation_type", "severity_level"]
@@ -16,23 +16,38 @@ SAMPLE_KEY = ["sample_id", "perturbation_type", "severity_level"]
 CORRUPTIONS = ("original", "bright", "dark", "high_contrast", "low_contrast", "gaussian_noise", "gaussian_blur", "stain_shift", "defocus_blur", "jpeg_compression")
 
 
-def classes_seen(*extra: Column) -> list[Column]:
-    """Numbers of distinct models and classes of a group, both bounded by the catalogue."""
-    return [F.size(F.collect_set("model_name")).alias("n_models"), F.size(F.collect_set("predicted_class")).alias("n_classes"), *extra]
+def extremes(*names: str) -> list[Column]:
+    """Least and greatest hash of the named columns of a group, and of such groups: they are the same where the group has one value. Longs, which aggregate without objects."""
+    return [f(f"{c}_{end}").alias(f"{c}_{end}") for c in names for end, f in (("low", F.min), ("high", F.max))]
+
+
+@relation
+def sample_rows(r: Frames) -> DataFrame:
+    """The log as narrow rows, dealt by sample: names of sample, type and severity, hashes of model and class."""
+    ends = [hashed(c).alias(f"{n}_{end}") for c, n in (("model_name", "model"), ("predicted_class", "class")) for end in ("low", "high")]
+    log = r.log.select("sample_id", "perturbation_type", "severity_level", "model_name", "predicted_class").repartition("sample_id")
+    return log.select(*SAMPLE_KEY, "predicted_class", *ends)
+
+
+@relation
+def sample_cells(r: Frames) -> DataFrame:
+    """A sample under a type and a severity, clean ones too, with the extremes of its models and classes."""
+    return r.sample_rows.groupBy(*SAMPLE_KEY).agg(*extremes("model", "class")).withColumn("severity_rank", rank("severity_level"))
 
 
 @relation
 def observations(r: Frames) -> DataFrame:
     """A sample under a type and a severity, seen by two models or more; whether they differ."""
-    seen = r.rows.filter(~is_clean()).groupBy(*SAMPLE_KEY).agg(F.min("severity_rank").alias("severity_rank"), one_value("model_name").alias("one_model"), (~one_value("predicted_class")).alias("differ"))
-    return seen.filter("NOT one_model").drop("one_model")
+    seen = r.sample_cells.filter(~is_clean()).filter("model_low <> model_high")
+    return seen.select(*SAMPLE_KEY, "severity_rank", (F.col("class_low") != F.col("class_high")).alias("differ"))
 
 
 @relation
 def levels(r: Frames) -> DataFrame:
-    """Samples by severity, all types together."""
-    seen = r.rows.groupBy("sample_id", "severity_level").agg(*classes_seen(F.min("severity_rank").alias("severity_rank")))
-    return seen.filter("n_models >= 2").select("sample_id", "severity_level", "severity_rank", (F.col("n_classes") == 1).alias("models_agree"), F.col("n_classes").alias("n_unique_classes"))
+    """Samples by severity, all types together. Classes are counted as groups."""
+    seen = r.sample_rows.groupBy("sample_id", "severity_level", "predicted_class").agg(*extremes("model"))
+    seen = seen.groupBy("sample_id", "severity_level").agg(F.count("predicted_class").cast("int").alias("n_classes"), *extremes("model"))
+    return seen.filter("model_low <> model_high").withColumn("severity_rank", rank("severity_level")).select("sample_id", "severity_level", "severity_rank", (F.col("n_classes") == 1).alias("models_agree"), F.col("n_classes").alias("n_unique_classes"))
 
 
 @relation
@@ -82,14 +97,37 @@ def b3_stability(r: Frames) -> DataFrame:
 
 
 @relation
-def ladder_sums(r: Frames) -> DataFrame:
-    """One row for each sample's ladder: steps, steps before the break, changes of state, the break, the greatest rank."""
-    before = F.col("agreed_before")
-    return r.ladders.groupBy("sample_id").agg(
-        F.count("*").alias("total_steps"), F.count_if(F.col("first_break").isNull()).alias("steps_before"), F.min("first_break").alias("first_break"),
-        F.max("severity_rank").alias("last_rank"), share(F.col("models_agree")).alias("survival"),
-        F.count(before).alias("transitions"), F.count_if(before.isNotNull() & (before != F.col("models_agree"))).alias("changes"),
-    )
+def walks(r: Frames) -> DataFrame:
+    """One row for each sample, from one dealing of the log: its ladder (steps, steps before the break, the break, changes of state, the greatest rank; null
+    without steps) and its observations (how many, how many differ, the first rank and the share of the types that do; null without any).
+
+    Each cell counts for its severity (a step of the ladder) and for its type; both are groups of the same aggregate.
+    """
+    names = F.inline(F.array(F.struct(F.lit(True).alias("step"), F.col("severity_level").alias("name")), F.struct(F.lit(False).alias("step"), F.col("perturbation_type").alias("name"))))
+    seen = F.coalesce(~is_clean() & (F.col("model_low") != F.col("model_high")), F.lit(False))
+    split = seen & F.coalesce(F.col("class_low") != F.col("class_high"), F.lit(False))
+    told = r.sample_cells.select("sample_id", "severity_rank", *(f"{c}_{end}" for c in ("model", "class") for end in ("low", "high")), seen.alias("seen"), split.alias("split"), names)
+    first = F.min(F.when(F.col("split"), F.col("severity_rank"))).alias("first_rank")
+    sides = told.groupBy("sample_id", "step", "name").agg(F.min("severity_rank").alias("severity_rank"), *extremes("model", "class"), F.count_if("seen").alias("seen"), F.count_if("split").alias("split"), first)
+    step, kind = F.col("step"), ~F.col("step")
+    sides = sides.filter((step & (F.col("model_low") != F.col("model_high"))) | (kind & (F.col("seen") > 0))).withColumn("agree", F.coalesce(F.col("class_low") == F.col("class_high"), F.lit(False)))
+    ladder = W.partitionBy("sample_id", "step").orderBy("severity_rank", "name")
+    walked = sides.withColumns({"before": F.lag("agree").over(ladder), "breaks": F.count_if(~F.col("agree")).over(ladder.rowsBetween(W.unboundedPreceding, 0))})
+    agree, before, breaks = F.col("agree"), F.col("before"), F.col("breaks")
+    here = step & ~agree & (breaks == 1)
+    known = F.col("name").isNotNull()
+    of = lambda condition, c: F.when(condition, F.col(c))
+    by = walked.groupBy("sample_id").agg(
+        F.nullif(F.count_if(step), F.lit(0)).alias("total_steps"), F.count_if(step & (breaks == 0)).alias("steps_before"), F.max(of(here, "severity_rank")).alias("break_rank"), F.max(of(here, "name")).alias("break_level"),
+        F.max(of(step, "severity_rank")).alias("last_rank"), F.count_if(step & agree).alias("agreeing"), F.count_if(step & before.isNotNull()).alias("transitions"), F.count_if(step & (before != agree)).alias("changes"),
+        F.nullif(F.coalesce(F.sum(of(kind, "seen")), F.lit(0)), F.lit(0)).alias("observations"), F.sum(of(kind, "split")).alias("breaks"), F.min(of(kind, "first_rank")).alias("first_rank"),
+        over(F.count_if(kind & known & (F.col("split") > 0)).cast("double"), F.count_if(kind & known).cast("double")).alias("breadth"))
+    none = F.col("total_steps").isNull()
+    steps = ("steps_before", "transitions", "changes")
+    by = by.withColumns({**{c: F.when(~none, F.col(c)) for c in steps}, "survival": F.col("agreeing") / F.col("total_steps"), "rate": F.col("breaks") / F.col("observations")}).drop("agreeing")
+    early = 1.0 - F.col("first_rank").cast("double") / (F.col("top_rank") + 1)
+    score = F.when(F.col("breaks") == 0, 0.0).otherwise(0.4 * F.col("rate") + 0.35 * early * F.col("rate") + 0.25 * F.col("breadth"))
+    return by.crossJoin(F.broadcast(r.top_rank)).withColumn("instability_score", F.when(F.col("observations").isNotNull(), six(score))).drop("top_rank")
 
 
 @relation
@@ -130,14 +168,8 @@ def b4_model_instability(r: Frames) -> DataFrame:
 
 @relation
 def b5_sample_instability(r: Frames) -> DataFrame:
-    differ = F.coalesce("differ", F.lit(False))
-    by = r.observations.groupBy("sample_id").agg(
-        F.count("*").alias("observations"), F.count_if(differ).alias("breaks"), share(differ).alias("rate"), F.min(F.when(differ, F.col("severity_rank"))).alias("first_rank"),
-        (F.size(F.collect_set(F.when(differ, F.col("perturbation_type")))) / F.size(F.collect_set("perturbation_type"))).alias("breadth"))
-    early = 1.0 - F.col("first_rank").cast("double") / (F.col("top_rank") + 1)
-    score = F.when(F.col("breaks") == 0, 0.0).otherwise(0.4 * F.col("rate") + 0.35 * early * F.col("rate") + 0.25 * F.col("breadth"))
-    scored = by.crossJoin(F.broadcast(r.top_rank))
-    return scored.select("sample_id", "observations", "breaks", six("rate").alias("disagreement_rate"), "first_rank", six("breadth").alias("breadth"), six(score).alias("instability_score"))
+    scored = r.walks.filter("observations IS NOT NULL")
+    return scored.select("sample_id", "observations", "breaks", six("rate").alias("disagreement_rate"), "first_rank", six("breadth").alias("breadth"), "instability_score")
 
 
 @relation
