@@ -11,37 +11,52 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import pixels
 from plumbline.functions.columns import six
 from plumbline.operators.frames import Frames, relation
 
-#: Levels of the images that are corrupted or scored at once.
-LEVELS = 8_000_000
+#: Levels of the images that are corrupted or scored at once (filters hold some ten arrays of eight bytes a level), and most images.
+LEVELS, IMAGES = 500_000, 512
 VARIANT = "sample_id string, true_label string, perturbation string, perturbation_type string, parameter double, variant_id string, height int, width int, pixels binary, mean_level double, error string"
 
 
 def stacks(b: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray | None]]:
     """Rows of one shape with their levels, a bounded number at once; rows that are no images come with None."""
-    height, width, data = (b.column(c).to_pylist() for c in ("height", "width", "pixels"))
+    height, width = (b.column(c).to_pylist() for c in ("height", "width"))
+    data = b.column("pixels")  # stays in the batch's own memory
+    length = pc.binary_length(data).to_pylist()
     by: dict[tuple[int, int] | None, list[int]] = {}
-    for i, (h, w, x) in enumerate(zip(height, width, data)):
-        whole = h is not None and w is not None and x is not None and h > 0 and w > 0 and len(x) == 3 * h * w
+    for i, (h, w, n) in enumerate(zip(height, width, length)):
+        whole = h is not None and w is not None and n is not None and h > 0 and w > 0 and n == 3 * h * w
         by.setdefault((h, w) if whole else None, []).append(i)
     for shape, rows in by.items():
         if shape is None:
             yield rows, None
             continue
-        step = max(1, LEVELS // (3 * shape[0] * shape[1]))
+        step = max(1, min(IMAGES, LEVELS // (3 * shape[0] * shape[1])))
         for k in range(0, len(rows), step):
             some = rows[k : k + step]
-            yield some, np.frombuffer(b"".join(data[i] for i in some), np.uint8).reshape(len(some), *shape, 3)
+            yield some, np.frombuffer(b"".join(data[i].as_py() for i in some), np.uint8).reshape(len(some), *shape, 3)
 
 
 def fan_out(images: DataFrame, enabled: tuple[str, ...] | None = None, seed: int = pixels.SEED) -> DataFrame:
     """Each image as it is and under every enabled corruption (all by default); what is no image gives one row with an error."""
+    return _plain(images).mapInArrow(_variants_of(enabled, seed), VARIANT)
+
+
+def _plain(images: DataFrame) -> DataFrame:
+    images.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(IMAGES))  # a batch holds whole images
+    return images.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("true_label").cast("string").alias("true_label"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
+
+
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _variants_of(enabled: tuple[str, ...] | None = None, seed: int = pixels.SEED) -> Batches:
     chosen = [v for v in pixels.VARIANTS if enabled is None or v[0] in ("original", *enabled)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +75,7 @@ def fan_out(images: DataFrame, enabled: tuple[str, ...] | None = None, seed: int
                     told = [pa.array([v] * n, t) for v, t in ((name, pa.string()), (kind, pa.string()), (parameter, pa.float64()), (pixels.variant_id(name, parameter, head), pa.string()))]
                     yield pa.RecordBatch.from_arrays([*same, *told, *shape, pa.array([v.tobytes() for v in made], pa.binary()), pa.array(made.mean((1, 2, 3))), pa.nulls(n, pa.string())], schema=schema)
 
-    return images.select(F.col("sample_id").cast("string").alias("sample_id"), F.col("true_label").cast("string").alias("true_label"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels").mapInArrow(run, VARIANT)
+    return run
 
 
 @dataclass
@@ -102,7 +117,16 @@ def judged(logits: np.ndarray, temperature: float | list[float]) -> tuple[np.nda
 def score(variants: DataFrame, scorers: list[Scorer]) -> DataFrame:
     """Every variant by every scorer. An image that a scorer fails on (alone, after its stack failed) is a row with the error and without
     a class, and so is one that came with an error; the others go on. A scorer that doesn't load fails all its rows in this way."""
-    spark = variants.sparkSession
+    return variants.mapInArrow(_scores_of(variants.sparkSession, scorers), SCORED)
+
+
+def score_images(images: DataFrame, scorers: list[Scorer], enabled: tuple[str, ...] | None = None) -> DataFrame:
+    """The variants of images by scorers, both in one Python process of a task: a stack's variants are scored as they are made and never go back to the JVM."""
+    made, judge = _variants_of(enabled), _scores_of(images.sparkSession, scorers)
+    return _plain(images).mapInArrow(lambda batches: judge(made(batches)), SCORED)
+
+
+def _scores_of(spark: SparkSession, scorers: list[Scorer]) -> Batches:
     for s in scorers:
         if s.weights is not None and len(s.weights) > LIMIT:
             raise ValueError(f"the weights of {s.name} have {len(s.weights)} bytes; let its load() read them from a store")
@@ -145,7 +169,7 @@ def score(variants: DataFrame, scorers: list[Scorer]) -> DataFrame:
                             out.append({**r, "predicted_class": classes[k] if k < len(classes) else f"class_{k}", "confidence": float(p[k]), "raw_confidence": float(raw), "probabilities": p.tolist(), "predicted_idx": int(k)})
                     yield pa.RecordBatch.from_pylist(out, schema)
 
-    return variants.mapInArrow(run, SCORED)
+    return run
 
 
 def log_of(scored: DataFrame) -> DataFrame:
@@ -168,7 +192,8 @@ def p14_corruptions(r: Frames) -> DataFrame:
 @relation
 def scored(r: Frames) -> DataFrame:
     """The variants by the scorers; give them as a relation of this name to score others."""
-    return score(r.variants, [linear("linear0", 0, 0.8336), linear("linear1", 1, [0.9, 0.8, 0.85, 1.1])])
+    scorers = [linear("linear0", 0, 0.8336), linear("linear1", 1, [0.9, 0.8, 0.85, 1.1])]
+    return score(r.variants, scorers) if r.gives("variants") else score_images(r.images, scorers)
 
 
 def linear(name: str, seed: int, temperature: float | list[float], classes: int = 4) -> Scorer:

@@ -97,6 +97,36 @@ def test_fan_out(spark):
     assert images.fan_out(table(spark, rows_of(1)).limit(0)).count() == 0
 
 
+def test_memory_is_bounded_whatever_the_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(n):
+        x = np.random.default_rng(n).integers(0, 256, (n, 8, 8, 3)).astype(np.uint8)
+        names = [str(i) for i in range(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(names), pa.array([8] * n, pa.int32()), pa.array([8] * n, pa.int32()), pa.array([v.tobytes() for v in x], pa.binary())], ["sample_id", "true_label", "height", "width", "pixels"])
+        sizes = [len(rows) * 192 for rows, _ in images.stacks(batch)]
+        assert sum(sizes) == x.size and max(sizes) <= images.LEVELS
+        tracemalloc.start()
+        assert sum(b.num_rows for b in images._variants_of()(iter([batch]))) == 10 * n
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top
+
+    few, many = peak(1000), peak(8000)
+    assert many < 1.5 * few
+
+
+def test_variants_are_scored_in_one_pass(spark):
+    df, scorers = table(spark, rows_of(20) + rows_of(3, (3, 5)) + [("bad", 8, 8, None, "c0")]), [images.linear("linear", 0, 0.5)]
+    one = images.score_images(df, scorers)
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    near = lambda x: round(x, 9) if isinstance(x, float) else [round(v, 9) for v in x] if isinstance(x, list) else x  # noqa: E731  a product of matrices sums by size
+    text = lambda d: sorted(str([near(v) for v in r]) for r in d.collect())
+    assert text(one) == text(images.score(images.fan_out(df), scorers)) and one.count() == 23 * 10 + 1
+
+
 def test_scorers_and_their_failures(spark):
     def picky(weights):
         def predict(x):
