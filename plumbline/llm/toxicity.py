@@ -9,7 +9,7 @@ together hold every word of a text; the document's score is a logistic calibrati
 The network learns from a bounded sample of the labelled rows: about SAMPLE documents of each class, drawn by
 a hash of the id from all labelled rows outside the held-out remainder, and of these, in the order of the hash,
 the first SAMPLE_BYTES of text, the last text cut. Spark applies both bounds before anything is read. Training
-takes place on that sample; scoring is one narrow pass over all texts.
+takes place on that sample, in one task and not on the driver; scoring is one narrow pass over all texts.
 
 Null and empty texts get the calibrated score of a text without windows. Labels that contradict each other
 count as toxic; null labels do not count. Without a labelled row of both classes every score is 0.
@@ -18,6 +18,7 @@ Repeated rows get equal scores. Extra columns are ignored. An empty table gives
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -301,9 +302,16 @@ def labelled(docs: DataFrame, labels: DataFrame, mod: int = 5) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 5) -> Net | None:
-    # At most SAMPLE_BYTES of each class, which labelled() has cut.
-    rows = sorted((r["draw"], r["doc_id"], bytes(r["text"]), r["toxic"]) for r in labelled(docs, labels, mod).toLocalIterator())
-    return train([r[2] for r in rows], np.array([r[3] for r in rows], bool))
+    """The network, trained by one task, for the sample is bounded (SAMPLE_BYTES of each class, which labelled() has cut); the driver gets a few MB of parameters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["draw"], r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        net = train([r[2] for r in rows], np.array([r[3] for r in rows], bool))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    small_batches(docs.sparkSession)
+    found = labelled(docs, labels, mod).repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(found["net"]) if found else None
 
 
 def _scored(docs: DataFrame, labels: DataFrame, carried: list[str], mod: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -53,3 +54,13 @@ def test_forward_equals_a_plain_loop():
     tops = net.tops(x)
     for i in range(len(texts)):
         assert tops[i] == pytest.approx(max([-4.0, *(z for t, z in zip(text, want) if t == i)]), abs=2e-3)
+
+
+def test_the_driver_does_not_train(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 3} text") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: (os.getpid(), len(texts)))
+    where, n = toxicity.fit(docs, labels)
+    assert where != os.getpid() and 20 < n <= 40
+    monkeypatch.undo()
+    assert toxicity.fit(docs, labels.limit(0)) is None
