@@ -33,3 +33,12 @@ def test_risks_by_columns_equal_those_by_rows(spark):
     assert by(plain) == by(given)
     trust = Frames(log=log, d7_false_consensus=Frames(log=log).d7_false_consensus)
     assert {tuple(x) for x in plain.d10_trust.collect()} == {tuple(x) for x in trust.d10_trust.collect()}
+
+
+def test_collapses_from_one_pass_over_the_vectors(spark):
+    rows = [("s", "m", "a", 0.9, "blur", "low"), ("s", "m", "a", 0.95, "clean", "clean"), ("s", "m", "a", 0.74, "hue", "low"), ("s", "m", "a", 0.6, "blur", "high"), ("t", "m", "a", 0.9, "blur", "low"), ("t", "m", "a", 0.2, "blur", "odd")]
+    found = relation("u5_collapses", log=frame(spark, rows))
+    got = {r["sample_id"]: (r["collapse_trigger"], r["collapse_severity"], r["confidence_drop"]) for r in found.collect()}
+    assert got == {"s": ("hue", "low", 0.21), "t": ("blur", "odd", 0.7)}
+    again = relation("u5_collapses", log=frame(spark, rows))  # not run yet, so that its plan is there once
+    assert dealings(again) == 1 and "MergeJoin" not in again._jdf.queryExecution().executedPlan().toString()
