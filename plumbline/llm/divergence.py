@@ -47,9 +47,10 @@ def counted(docs: DataFrame) -> DataFrame:
     """(lang, term, source, n, d): occurrences, and documents that have the term."""
     terms = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")), terms.alias("terms"))
-    entry = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    both = F.concat(F.transform("terms", entry(1, 0)), F.transform(F.array_distinct("terms"), entry(0, 1)))
-    return rows.select("lang", "source", F.inline(both)).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # Behind a document's occurrences stand its distinct terms: plain strings told apart by position, for a struct each would cost more than its count.
+    both = F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term")
+    occurs = F.col("at") < F.col("size")
+    return rows.select("lang", "source", F.size("terms").alias("size"), both).groupBy("lang", "term", "source").agg(F.count_if(occurs).alias("n"), F.count_if(~occurs).alias("d"))
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:

@@ -71,3 +71,11 @@ def test_a_tree_equals_all_pairs_of_its_rows():
                 want[i, j] += int(m) * (f(a * 1000, b * 1000) - f(a * 1000, j + 3) - f(i + 3, b * 1000) + f(i + 3, j + 3))
     i, j, value = divergence.tree(source, p, zero, times)
     assert {(int(a), int(b)): int(v) for a, b, v in zip(i, j, value)} == dict(want)
+
+
+def test_occurrences_and_documents_of_terms(spark):
+    docs = spark.createDataFrame([("en", "a", "One two, two TWO Ä"), ("en", "a", "two"), (None, None, None), ("en", "b", "1 2 3")], "lang string, source string, text string")
+    found = divergence.counted(docs)
+    assert {tuple(r) for r in found.collect()} == {("en", "one", "a", 1, 1), ("en", "two", "a", 4, 2), ("en", "Ä", "a", 1, 1)}
+    again = divergence.counted(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in again and "inline" not in again  # no struct for each token
